@@ -48,17 +48,16 @@ def exact_groups(
         "doc_id", F.length(F.coalesce("text", F.lit(""))).cast("long").alias("n"), normalised(F.col("text")).alias("norm")
     ).withColumn("h", hash128(F.col("norm")))
     best = F.min(F.struct((-F.col("n")).alias("order"), F.col("doc_id").isNull().alias("no_id"), "doc_id"))
-    groups = shared.materialize(
+    groups = (
         rows.groupBy("h", "norm")
         .agg(F.count(F.lit(1)).alias("group_size"), best.alias("best"))
-        .select("h", F.sha2("norm", 256).alias("text_sha256"), "group_size", F.col("best.doc_id").alias("keep_id")),
-        "exact-groups",
+        .select("h", F.sha2("norm", 256).alias("text_sha256"), "group_size", F.col("best.doc_id").alias("keep_id"))
     )
-    per_hash = groups.groupBy("h").agg(
-        F.count(F.lit(1)).alias("texts"), F.min(F.struct("text_sha256", "group_size", "keep_id")).alias("g")
+    per_hash = shared.materialize(
+        groups.groupBy("h").agg(F.count(F.lit(1)).alias("texts"), F.min(F.struct("text_sha256", "group_size", "keep_id")).alias("g")), "exact-groups"
     )
     # A hash that stands for several texts: its rows go by text.
-    mixed = shared.materialize(per_hash.where("texts > 1").select("h"), "exact-mixed")
+    mixed = per_hash.where("texts > 1").select("h")
     slim = rows.select("doc_id", "h")
     found = slim.join(per_hash.where("texts = 1").select("h", "g.*"), "h")
     if mixed.limit(1).count():
