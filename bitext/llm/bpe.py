@@ -1,8 +1,8 @@
 """Byte-level BPE encoding and decoding with a hierarchical-bitmap rank queue.
 
 A pre-token is a linked list of byte positions. Each position holds the rank of the pair that
-starts there; a bucket per rank holds positions, and a bitmap of three 256-way levels finds
-the lowest rank that has any. A popped position whose pair has changed since is stale and is
+starts there; a bucket per rank holds positions, and a bitmap of two levels finds the lowest
+rank that has any. A popped position whose pair has changed since is stale and is
 skipped. Every merge costs two inserts, so a pre-token of n bytes costs O(n log n) however
 long it is. Short pre-tokens come from a bounded cache.
 
@@ -26,49 +26,10 @@ from pyspark.sql import types as T
 from . import shared
 
 #: Pre-tokens of one Python worker's cache, and the longest that goes into it, in characters.
-CACHE_ROWS = 400_000
+CACHE_ROWS = 1_000_000
 CACHE_CHARS = 64
 NONE = 1 << 24
-
-
-class RankQueue:
-    """Positions by rank; ``pop`` gives the lowest rank and its lowest position."""
-
-    def __init__(self):
-        self.buckets: dict[int, list[int]] = {}
-        self.top = 0
-        self.mid: dict[int, int] = {}
-        self.low: dict[int, int] = {}
-
-    def push(self, rank: int, position: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket is None:
-            self.buckets[rank] = [position]
-            a, b = rank >> 16, rank >> 8
-            self.top |= 1 << a
-            self.mid[a] = self.mid.get(a, 0) | 1 << (b & 255)
-            self.low[b] = self.low.get(b, 0) | 1 << (rank & 255)
-        else:
-            heapq.heappush(bucket, position)
-
-    def pop(self) -> tuple[int, int] | None:
-        if not self.top:
-            return None
-        a = (self.top & -self.top).bit_length() - 1
-        bits = self.mid[a]
-        b = a << 8 | (bits & -bits).bit_length() - 1
-        bits = self.low[b]
-        rank = b << 8 | (bits & -bits).bit_length() - 1
-        bucket = self.buckets[rank]
-        position = heapq.heappop(bucket)
-        if not bucket:
-            del self.buckets[rank]
-            self.low[b] &= self.low[b] - 1
-            if not self.low[b]:
-                self.mid[a] &= self.mid[a] - 1
-                if not self.mid[a]:
-                    self.top &= self.top - 1
-        return rank, position
+BIT = [1 << k for k in range(256)]
 
 
 class Codec:
@@ -78,6 +39,7 @@ class Codec:
         self.ranks = ranks
         self.tokens = {r: t for t, r in ranks.items()}
         self.split = regex.compile(pattern).findall
+        self.pairs = [ranks.get(bytes((a, b)), NONE) for a in range(256) for b in range(256)]
         self.cache: dict[str, bytes] = {}
 
     def merge(self, piece: bytes) -> list[int]:
@@ -88,28 +50,52 @@ class Codec:
         get, n = self.ranks.get, len(piece)
         after = list(range(1, n + 1))
         before = list(range(-1, n))
-        rank = [get(piece[i : i + 2], NONE) for i in range(n - 1)] + [NONE]
-        queue = RankQueue()
+        pairs = self.pairs
+        rank = [pairs[a << 8 | b] for a, b in zip(piece, piece[1:], strict=False)] + [NONE]
+        # The queue: positions per rank, and which ranks have any, in two levels of bits.
+        buckets: dict[int, list[int]] = {}
+        low: dict[int, int] = {}
+        high = 0
         for i, r in enumerate(rank):
             if r != NONE:
-                queue.push(r, i)
-        while (entry := queue.pop()) is not None:
-            r, i = entry
+                if r in buckets:
+                    buckets[r].append(i)
+                else:
+                    buckets[r] = [i]
+                    low[r >> 8] = low.get(r >> 8, 0) | BIT[r & 255]
+                    high |= 1 << (r >> 8)
+        while high:
+            h = (high & -high).bit_length() - 1
+            bits = low[h]
+            r = h << 8 | (bits & -bits).bit_length() - 1
+            bucket = buckets[r]
+            if len(bucket) > 1:
+                i = heapq.heappop(bucket)
+            else:
+                i = bucket[0]
+                del buckets[r]
+                low[h] = bits = bits & (bits - 1)
+                if not bits:
+                    high &= high - 1
             if rank[i] != r:
-                continue
+                continue  # stale
             j = after[i]  # joins i, and leaves the list
             k = after[i] = after[j]
             before[k] = i
             rank[j] = NONE
-            end = after[k] if k < n else n
-            rank[i] = get(piece[i:end], NONE) if k < n else NONE
-            if rank[i] != NONE:
-                queue.push(rank[i], i)
-            h = before[i]
-            if h >= 0:
-                rank[h] = get(piece[h:k], NONE)
-                if rank[h] != NONE:
-                    queue.push(rank[h], h)
+            changed = [(i, get(piece[i : after[k]], NONE) if k < n else NONE)]
+            g = before[i]
+            if g >= 0:
+                changed.append((g, get(piece[g:k], NONE)))
+            for at, r in changed:
+                rank[at] = r
+                if r != NONE:
+                    if r in buckets:
+                        heapq.heappush(buckets[r], at)
+                    else:
+                        buckets[r] = [at]
+                        low[r >> 8] = low.get(r >> 8, 0) | BIT[r & 255]
+                        high |= 1 << (r >> 8)
         out, i = [], 0
         while i < n:
             out.append(self.ranks[piece[i : after[i]]])
