@@ -6,47 +6,18 @@ executors share that folder and nothing else, so a lost executor loses no interm
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from bitext.storage import materialize, new_path, shared_dir, table
 
-def shared_dir(spark: SparkSession) -> str:
-    """Folder that all processes of the application can reach.
-
-    ``spark.checkpoint.dir`` where it is set. Otherwise, in local mode only, a new temporary
-    folder, which is then stored in that setting; a cluster without the setting is an error.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back: lineage ends here.
-
-    The files stay until the owner of the folder removes them; their size is known to the
-    optimizer, which therefore broadcasts the table only below its own threshold.
-    """
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["append_columns", "as_text_rows", "free_name", "materialize", "new_path", "open_fs", "shared_dir", "table"]
 
 
 def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -93,10 +64,6 @@ def append_columns(
     return df.mapInArrow(run, out)
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def as_text_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Only the id and the text, under the names ``doc_id`` and ``text``."""
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
