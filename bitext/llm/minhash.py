@@ -202,7 +202,8 @@ def near_groups(docs: DataFrame, shingle: int = 3, percent: int = 85, doc_id: st
     links = _links(rows, sk, classes, shingle, percent)
     roots = connected_components(links).withColumnRenamed("node", "sig")
     rooted = classes.select("sig", "rep").join(roots, "sig", "left").withColumn("root", F.coalesce("root", "sig"))
-    named = rooted.join(rooted.groupBy("root").agg(F.min("rep").alias("component_id")), "root").select("sig", "component_id")
+    names = shared.materialize(rooted.groupBy("root").agg(F.min("rep").alias("component_id")), "names")
+    named = rooted.join(names, "root").select("sig", "component_id")
     out = sk.select("doc_id", "n", "sig").join(named, "sig", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
@@ -210,7 +211,8 @@ def near_groups(docs: DataFrame, shingle: int = 3, percent: int = 85, doc_id: st
 def _links(rows: DataFrame, sk: DataFrame, classes: DataFrame, shingle: int, percent: int) -> DataFrame:
     """Edges u, v between class digests: exact links that connect what is connected."""
     values = classes.select("sig", F.size("sketch").alias("k"), F.explode("sketch").alias("value"))
-    counts = values.groupBy("value").agg(F.count(F.lit(1)).alias("classes")).where("classes > 1")
+    # Counts are written before they are joined: a plain side lets the join split a hot hash.
+    counts = shared.materialize(values.groupBy("value").agg(F.count(F.lit(1)).alias("classes")).where("classes > 1"), "counts")
     own = Window.partitionBy("sig")
     # A class's rarest hashes come first, and those that no other class retains before all.
     ranked = values.join(counts, "value").withColumn("alone", F.col("k") - F.count(F.lit(1)).over(own))
@@ -218,7 +220,9 @@ def _links(rows: DataFrame, sk: DataFrame, classes: DataFrame, shingle: int, per
     prefix = shared.materialize(
         ranked.where(F.col("place") <= F.col("k") - F.greatest(F.lit(1), F.floor(F.col("k") * SHARED / K)) + 1).select("value", "sig"), "prefix"
     )
-    sizes = prefix.groupBy("value").agg(F.count(F.lit(1)).alias("classes"), F.min("sig").alias("hub")).where("classes > 1")
+    sizes = shared.materialize(
+        prefix.groupBy("value").agg(F.count(F.lit(1)).alias("classes"), F.min("sig").alias("hub")).where("classes > 1"), "list-sizes"
+    )
     hubs = prefix.join(sizes.where(F.col("classes") > LIST), "value").where("sig <> hub").select(F.col("sig").alias("u"), F.col("hub").alias("v")).distinct()
     short = prefix.join(sizes.where(F.col("classes") <= LIST).select("value"), "value")
     # Many lists have the same members: one of each is enough.
@@ -232,13 +236,15 @@ def _links(rows: DataFrame, sk: DataFrame, classes: DataFrame, shingle: int, per
 def _verify(rows: DataFrame, sk: DataFrame, classes: DataFrame, candidates: DataFrame, shingle: int, percent: int) -> DataFrame:
     # A hash deals each group into blocks; sums over the groups give their numbers.
     sized = candidates.join(classes.select(F.col("sig").alias("node"), "rep", "n"), "node")
-    blocks = sized.groupBy("root").agg(
-        F.greatest(F.ceil(F.sum("n") / BLOCK_SHINGLES), F.ceil(F.count(F.lit(1)) / BLOCK_SETS)).cast("int").alias("blocks")
+    # Written first, so that the join below has a plain side and a hot group can be split.
+    blocks = shared.materialize(
+        sized.groupBy("root").agg(F.greatest(F.ceil(F.sum("n") / BLOCK_SHINGLES), F.ceil(F.count(F.lit(1)) / BLOCK_SETS)).cast("int").alias("blocks")), "blocks"
     )
     dealt = shared.materialize(
         sized.join(blocks, "root").select("root", F.col("node").alias("sig"), "rep", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block")), "dealt"
     )
-    texts = rows.join(dealt, F.col("doc_id").eqNullSafe(F.col("rep")))
+    # Both sides grow with the corpus: no broadcast at any size.
+    texts = rows.hint("merge").join(dealt, F.col("doc_id").eqNullSafe(F.col("rep")))
     keyed = texts.select(
         "root", "sig", "text", "block",
         F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, F.col("block")).alias("a"), F.greatest(o, F.col("block")).alias("b")))).alias("pair"),
