@@ -6,7 +6,7 @@ token that no pattern covers, and the mean log-likelihood ratio per transition d
 
 Random strings are labelled by the patterns (values of their matches in a bounded sample of
 documents) and completed with generated ones of several alphabets; ordinary identifiers are
-the other tokens of that sample.
+the shorter of the other tokens of that sample.
 
 Defined results: null is the empty text; texts without a span give 0, 0, 0 and the digest of
 the empty string; texts are searched whole; repeated rows give a row each; an empty table
@@ -35,6 +35,7 @@ ASSIGN_CHARS, ACCESS_CHARS = 6, 20
 KINDS = ("assign", "access", "hex", "markov")
 
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
+CANDIDATE_CHARS = 20
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{4,}")
 #: About so many documents are trained on, sampled by a hash of the text.
@@ -101,12 +102,12 @@ def train(docs: DataFrame, text: str = "text", train_docs: int = TRAIN_DOCS) ->
 
 
 def ordinary(text: str, covered: list[tuple[str, int, int]]) -> list[str]:
-    """Tokens that no span touches."""
+    """Tokens that no span touches; candidates for secrets carry no label."""
     out, k = [], 0
     for m in TOKEN.finditer(text):
         while k < len(covered) and covered[k][2] <= m.start():
             k += 1
-        if not any(a < m.end() and m.start() < b for _, a, b in covered[k:]):
+        if m.end() - m.start() < CANDIDATE_CHARS and not any(a < m.end() and m.start() < b for _, a, b in covered[k:]):
             out.append(m[0])
     return out
 

@@ -1,0 +1,267 @@
+"""The operators on small tables: nulls, empty and long texts, ties, repeats, empty tables, clashing columns."""
+
+from __future__ import annotations
+
+import base64
+import hashlib
+import struct
+import zlib
+
+import pytest
+import tiktoken
+from pyspark.sql import functions as F
+
+public_tokenizers = pytest.importorskip("public_tokenizers")
+
+from bitext.llm import bpe, components, decontam, exact_dedup, langid, minhash, secrets, sharding, sitetree, token_scan, warc  # noqa: E402
+from bitext.llm.queries import QUERIES  # noqa: E402
+
+SF = "/root/testdata/sf0.001"
+LONG = "lorem ipsum dolor sit amet " * 20000
+ROWS = [
+    (1, "a b c"), (2, "abc"), (3, " a\tb\nc \r"), (4, None), (5, ""), (6, " \x0b\x0c"), (7, "é"), (7, "é"), (8, LONG), (9, "a b d"), (None, "a b d"), (None, None), (10, "12 !"), (11, "the quick brown fox jumps"),
+]
+EXTRA = "doc_id long, text string, score double, hits string, lang_pred string, ids string, sig string, n long, lang string"
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame([(i, t, 1.0, "h", "p", "i", "s", 3, "en" if t and len(t) > 4 else "fr") for i, t in ROWS], EXTRA)
+
+
+def same_rows(df):
+    return sorted((tuple(r) for r in df.collect()), key=repr)
+
+
+def norm(t):
+    return (t or "").translate({ord(c): None for c in " \t\n\x0b\x0c\r"})
+
+
+def expected_groups(rows):
+    out = []
+    for i, t in rows:
+        group = [(j, u or "") for j, u in rows if norm(u) == norm(t)]
+        keep = min(group, key=lambda g: (-len(g[1]), g[0] is None, g[0] or 0))[0]
+        out.append((i, keep, len(group), i == keep, hashlib.sha256(norm(t).encode()).hexdigest()))
+    return sorted(out, key=repr)
+
+
+def test_exact_groups_also_where_hashes_collide(docs):
+    assert same_rows(exact_dedup.exact_groups(docs)) == expected_groups(ROWS)
+    collide = exact_dedup.exact_groups(docs, hash128=lambda c: F.left(exact_dedup.content_hash(c), F.lit(0)))
+    assert same_rows(collide) == expected_groups(ROWS)
+    kept = exact_dedup.exact_dedup(docs)
+    assert kept.columns == docs.columns
+    assert {norm(r.text) for r in kept.collect()} == {norm(t) for _, t in ROWS}
+    assert kept.count() == len({norm(t) for _, t in ROWS})
+    assert exact_dedup.exact_groups(docs.limit(0)).count() == 0
+
+
+def test_shards(docs):
+    got = sharding.assign_shards(docs, shards=3, parts=4).collect()
+    assert len(got) == len(ROWS)
+    by_size = sorted((r.doc_id or -1, r.size, r.text_crc32) for r in got)
+    assert by_size == sorted((i or -1, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for i, t in ROWS)
+    for s in range(3):
+        assert sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got)))
+    assert all(r.grown_shard in (r.shard, 3) and r.law == "key" for r in got)
+    assert sharding.assign_shards(docs.limit(0)).count() == 0
+
+
+def test_bpe(docs):
+    c = bpe.codec()
+    enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=c.ranks, special_tokens={})
+    want = []
+    for i, t in ROWS:
+        ids = enc.encode_ordinary(t or "")
+        want.append((i, len(ids), hashlib.sha256(struct.pack(f"<{len(ids)}I", *ids)).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()))
+    assert same_rows(bpe.round_trip(docs)) == sorted(want, key=repr)
+    assert bpe.round_trip(docs.limit(0)).count() == 0
+    assert bpe.encode_documents(docs, ids="packed").columns == [*docs.columns, "packed"]
+
+
+@pytest.mark.parametrize("block", [3, 1 << 21])
+def test_token_counts_across_blocks(docs, block):
+    want = sorted(((r.doc_id, r.n_tokens) for r in bpe.round_trip(docs).collect()), key=repr)
+    got = token_scan.token_counts(docs.where(F.coalesce(F.length("text"), F.lit(0)) < 1000) if block == 3 else docs, block=block)
+    if block == 3:
+        long = {r.doc_id for r in docs.where("length(text) >= 1000").collect()}
+        want = [w for w in want if w[0] not in long]
+    assert sorted(((r.doc_id, r.n_tokens) for r in got.collect()), key=repr) == want
+    assert token_scan.token_counts(docs.limit(0)).count() == 0
+
+
+def test_decontamination_in_one_and_in_many_blocks(spark, docs):
+    items = spark.createDataFrame([(10, "The quick, BROWN fox"), (9, "a b"), (2, None), (None, "lorem"), (9, "a b"), (3, "nope nope")], "item_id long, text string")
+    want = {1: (3, 2, ["9"]), 2: (1, 0, []), 4: (0, 0, []), 8: (100000, 20000, []), 9: (3, 2, ["9"]), 11: (5, 4, ["10"])}
+    for size in (1 << 20, 8):
+        got = {r.doc_id: r for r in decontam.find_leaks(docs, items, block_bytes=size).collect() if r.doc_id is not None}
+        assert {k: (got[k].n_words, got[k].n_hit, got[k].items) for k in want} == want
+    report = {r.doc_id: r for r in decontam.leak_report(docs, items).collect()}
+    assert report[2].items_sha256 == hashlib.sha256(b"").hexdigest()
+    assert report[11].items_sha256 == decontam.items_digest(["10"])
+    clean = decontam.drop_leaks(docs, items)
+    assert clean.columns == docs.columns
+    assert {r.doc_id for r in clean.collect()} == {2, 4, 5, 6, 7, 10, None}
+    assert decontam.find_leaks(docs, items.limit(0)).agg(F.sum("n_hit")).first()[0] == 0
+    assert decontam.find_leaks(docs.limit(0), items).count() == 0
+
+
+def jaccard_components(rows, size, percent):
+    import re
+
+    sets = []
+    for _, t in rows:
+        w = re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode().lower())
+        n = min(size, len(w))
+        sets.append({tuple(w[i : i + n]) for i in range(len(w) - n + 1)} if w else set())
+    label = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
+                old, new = max(label[a], label[b]), min(label[a], label[b])
+                label = [new if x == old else x for x in label]
+    out = []
+    for k, (i, _) in enumerate(rows):
+        ids = [j for m, (j, _) in enumerate(rows) if label[m] == label[k] and j is not None]
+        out.append((i, len(sets[k]), min(ids) if ids and sets[k] else i))
+    return sorted(out, key=repr)
+
+
+def near_rows(n, words, edits, seed, start=100):
+    import random
+
+    r = random.Random(seed)
+    base = [f"w{r.randrange(5000)}" for _ in range(words)]
+    rows = []
+    for i in range(n):
+        w = list(base)
+        for _ in range(r.randint(0, edits)):
+            w[r.randrange(words)] = f"x{r.randrange(10**6)}"
+        rows.append((start + i, " ".join(w)))
+    return rows
+
+
+def test_near_groups_equal_brute_force(spark):
+    rows = [*ROWS, *near_rows(70, 60, 5, 1), *near_rows(30, 200, 12, 2, 300), *near_rows(6, 4, 1, 3, 400), (500, "A  B\tC"), (501, "a b")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = minhash.near_groups(df)
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()), key=repr) == jaccard_components(rows, 3, 85)
+    assert all(r.kept == (r.doc_id == r.component_id) for r in got.collect() if r.doc_id is not None)
+
+
+def test_near_groups_with_long_lists_and_small_blocks(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "LIST", 5)
+    monkeypatch.setattr(minhash, "BLOCK_SETS", 7)
+    rows = [*near_rows(60, 40, 4, 5), *near_rows(20, 40, 2, 6, 300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = minhash.near_groups(df, 5, 80).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=repr) == jaccard_components(rows, 5, 80)
+    assert minhash.near_groups(df.limit(0)).count() == 0
+    kept = minhash.near_dedup(df.withColumn("n", F.lit(1)), 5, 80)
+    assert kept.columns == ["doc_id", "text", "n"]
+    assert kept.count() == len({c for _, _, c in jaccard_components(rows, 5, 80)})
+
+
+def test_components(spark):
+    edges = [(i, i + 1) for i in range(20)] + [(100, 102), (101, 102), (7, 7), (102, 100)]
+    got = {r.node: r.root for r in components.connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert got == {**dict.fromkeys(range(21), 0), 100: 100, 101: 100, 102: 100}
+
+
+def test_language_id(spark, docs):
+    real = spark.read.parquet(f"{SF}/documents.parquet")
+    got = langid.identify(real).join(real.select("doc_id", "lang"), "doc_id")
+    held = got.where("held_out")
+    assert held.where("lang_pred = lang").count() >= 0.97 * held.count() > 0
+    row = held.first()
+    assert zlib.crc32(str(row.doc_id).encode()) % 5 == 0
+    small = {r.doc_id: r for r in langid.identify(docs).collect()}
+    assert {small[i].lang_pred for i in (4, 5, 6, 10)} == {"und"}
+    assert small[4].score == 0.0
+    assert small[8].lang_pred in ("en", "fr")
+    none = langid.identify(docs.withColumn("lang", F.lit(None).cast("string"))).collect()
+    assert {r.lang_pred for r in none} == {"und"}
+    assert langid.identify(docs.limit(0)).count() == 0
+    kept = langid.keep_identified(docs)
+    assert kept.columns == docs.columns
+    assert not {4, 5, 6, 10} & {r.doc_id for r in kept.collect()}
+
+
+def test_secrets(spark):
+    rows = [(1, 'a token = "0123456789abcdef01234567"'), (2, None), (3, ""), (4, "é key: Qz8" + "xT4kP9vLm2Rw7YbN" * 2), (4, "ordinary words only"), (5, "thequickbrownfoxjumpsoverthelazydog " * 30)]
+    df = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, spans string").drop("spans")
+    got = [r for r in secrets.secret_report(df).collect()]
+    first = next(r for r in got if r.doc_id == 1)
+    assert (first.n_assign, first.n_access, first.n_hex, first.spans) == (1, 0, 1, "assign:2:35,hex:11:35")
+    assert first.base_sha256 == hashlib.sha256(first.spans.encode()).hexdigest()
+    empty = hashlib.sha256(b"").hexdigest()
+    assert all(r.base_sha256 == empty and r.spans == "" for r in got if r.doc_id in (2, 3, 5))
+    assert sorted(r.spans for r in got if r.doc_id == 4) == ["", "markov:7:42"]
+    assert secrets.secret_report(df.limit(0)).count() == 0
+
+
+def test_markov_models_tell_strings_from_words(spark):
+    import random
+
+    ratio = secrets.train(spark.read.parquet(f"{SF}/documents.parquet"))
+    r = random.Random(5)
+    keys = ["".join(r.choices(secrets.ALPHABET[:62], k=32)) for _ in range(200)]
+    words = [w for row in spark.read.parquet(f"{SF}/documents.parquet").limit(100).collect() for w in secrets.CANDIDATE.findall(row.text) if w.isalpha()]
+    assert sum(bool(secrets.scan(k, ratio)) for k in keys) >= 190
+    assert sum(bool(secrets.scan(w, ratio)) for w in words) <= 0.01 * max(1, len(words))
+
+
+PAGES = [
+    (1, "http://a.b.org/x", "<p>same</p>"), (2, "http://A.b.org:80/x#f", "<p>same</p>"), (3, None, None), (4, "", ""), (5, "https://u@c.org:8443?q", "<p>é</p>"), (None, "http://a.b.org/x", "<p>same</p>"),
+    (1, "http://a.b.org/x", "<p>same</p>"), (6, "http://a\tb/", "<p>" + "z" * 200000),
+]
+
+
+def test_archive_round_trip(spark):
+    pages = spark.createDataFrame([(*p, "x") for p in PAGES], "page_id long, url string, html string, key string")
+    want = []
+    for i, _, h in PAGES:
+        payload = (h or "").encode()
+        first = min(j for j, _, g in PAGES if (g or "") == (h or "") and j is not None)
+        kind = "response" if i == first else "revisit"
+        want.append((i, len(payload), base64.b32encode(hashlib.sha1(payload).digest()).decode(), kind, None if kind == "response" else first))
+    assert same_rows(warc.archive_report(pages)) == sorted(want, key=repr)
+    assert warc.archive_report(pages.limit(0)).count() == 0
+
+
+def test_lookup_reads_single_captures(spark):
+    from bitext.llm import shared
+
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    archive = warc.write_archive(pages, shared.new_path(spark, "warc"), lines=7)
+    assert archive.directory.count() >= pages.count() / 7
+    some = pages.where("page_id IN (3, 40)")
+    keys = some.select(warc.index_key(F.col("url"), F.col("page_id")).alias("key")).unionByName(spark.createDataFrame([("zzz)/ 1",)], "key string"))
+    got = {r.page_id: r.payload for r in warc.lookup(spark, archive, keys).collect()}
+    assert got == {r.page_id: r.html for r in some.collect()}
+    key = spark.createDataFrame([("http://U@A.b.org:80/x?y#z",), ("c.org:8443?q",), (None,)], "u string").select(warc.url_key(F.col("u"))).collect()
+    assert [k[0] for k in key] == ["org,b,a)/x?y", "org,c:8443)/?q", ")/"]
+
+
+def test_site_tree_drops_what_a_host_repeats(spark):
+    def page(i):
+        return f"<html><body><div class='top'><span>Daily News</span></div><div class='story'><h2>Head {i * 7919}</h2><p>Body {i * 104729} text</p></div><div class='legal'>All rights reserved</div></body></html>"
+
+    rows = [(i, "http://h.org/p", page(i)) for i in range(20)] + [(100, "http://one.org/", page(1)), (101, None, None), (102, "http://h.org/", page(3))]
+    got = {r.page_id: r for r in sitetree.extract(spark.createDataFrame([(*r, "x") for r in rows], "page_id long, url string, html string, low string")).collect()}
+    assert all(got[i].text == f"Head {i * 7919}\nBody {i * 104729} text" for i in range(20))
+    assert got[100].text == "Daily News\nHead 7919\nBody 104729 text\nAll rights reserved"
+    assert (got[101].text, got[101].n_chars) == ("", 0)
+    assert got[5].n_chars == len(got[5].text)
+    assert sitetree.extract(spark.createDataFrame(rows, "page_id long, url string, html string").limit(0)).count() == 0
+
+
+def test_copies_of_a_page_keep_their_text(spark):
+    html = "<html><body><nav>n</nav><div><p>The same story on every page</p></div></body></html>"
+    df = spark.createDataFrame([(i, "http://h.org/", html) for i in range(30)], "page_id long, url string, html string")
+    assert {r.text for r in sitetree.extract(df).collect()} == {"The same story on every page"}
+
+
+def test_every_operator_has_one_query():
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
