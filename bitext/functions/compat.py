@@ -6,6 +6,8 @@ that they do not depend on an engine's ``\\s``.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -43,3 +45,8 @@ def quote_pattern(text: str) -> str:
 def quote_replacement(text: str) -> str:
     """``text`` as a literal replacement: group references have no meaning."""
     return text.replace("\\", "\\\\").replace("$", "\\$")
+
+
+def let(c: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``c``, with ``c`` computed once for all its uses."""
+    return F.element_at(F.transform(F.array(c), body), 1)

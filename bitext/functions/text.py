@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import compat
-from .compat import WS, not_empty, strip, text_or_empty
+from .compat import WS, let, not_empty, strip, text_or_empty
 
 Terms = Sequence[tuple[str, str]]
 
@@ -227,9 +227,13 @@ def find_replace(c: Column, query: str, replacement: str) -> tuple[Column, Colum
 
 def merge_short(c: Column, context: Column) -> Column:
     """A text of under 10 characters becomes the joined non-blank context texts, if those are longer."""
-    own = strip(text_or_empty(c))
     joined = F.array_join(F.filter(context, lambda x: strip(x) != ""), " ")
-    return F.when((F.length(own) < 10) & (F.size(context) > 1) & (F.length(joined) > F.length(own)), joined).otherwise(own)
+
+    def choose(own: Column) -> Column:
+        longer = let(joined, lambda j: F.when(F.length(j) > F.length(own), j).otherwise(own))
+        return F.when((F.length(own) < 10) & (F.size(context) > 1), longer).otherwise(own)
+
+    return let(strip(text_or_empty(c)), choose)
 
 
 def trim_tail(c: Column) -> Column:

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bitext.functions.compat import not_empty, strip, text_or_empty
+from bitext.functions.compat import let, not_empty, strip, text_or_empty
 from bitext.functions.text import estimate_confidence, preserved_tags, strip_fences, strip_meta, style_guide
 
 SOURCE_NAMES, TARGET_NAMES = ("source", "english", "en", "original"), ("target", "chinese_translation", "zh", "translation", "translated")
@@ -15,8 +13,14 @@ ARRAY_NAMES = ("translations", "translated", "paragraphs", "results")
 
 
 def _valid(c: Column) -> Column:
-    """``c`` where it is JSON."""
-    return _bound(c, lambda x: F.when(F.try_parse_json(x).isNotNull(), x))
+    """``c`` where it is JSON, and nothing else stands after it."""
+    return let(c, lambda x: F.when(_is_json(x), x))
+
+
+def _is_json(c: Column) -> Column:
+    # The parser stops after one value; as the only item of an array, all has to be that value.
+    item = F.try_parse_json(F.concat(F.lit("["), c, F.lit("]")))
+    return F.try_parse_json(c).isNotNull() & item.isNotNull() & F.try_variant_get(item, "$[1]", "variant").isNull()
 
 
 def _between(c: Column, opening: str, closing: str) -> Column:
@@ -25,11 +29,6 @@ def _between(c: Column, opening: str, closing: str) -> Column:
     return F.when((start > 0) & c.contains(closing) & (end > start), F.substring(c, start, end - start + 1))
 
 
-def _bound(c: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of ``c``, with ``c`` computed once."""
-    return F.element_at(F.transform(F.array(c), body), 1)
-
-
 def extract_json(c: Column, first_opened: bool = False) -> Column:
     """The JSON text inside a reply, or null: the reply without fences, else its outermost braces, else its brackets.
 
@@ -43,7 +42,7 @@ def extract_json(c: Column, first_opened: bool = False) -> Column:
             return F.coalesce(_valid(t), _valid(F.when((brace > 0) & ((bracket == 0) | (brace < bracket)), curly).otherwise(square)))
         return F.coalesce(_valid(t), _valid(curly), _valid(square))
 
-    return _bound(strip_fences(text_or_empty(c)), find)
+    return let(strip_fences(text_or_empty(c)), find)
 
 
 def _strings(json: Column) -> Column:
@@ -115,7 +114,7 @@ def apply_corrections(reply: Column, old: Column) -> Column:
     by_position = F.slice(by_position, F.lit(1), F.size(old))
     parts = F.transform(F.regexp_extract_all(clean, F.lit(r"(?is)Translation:\s*([^\[]*?)(?=\s*\[\d+\]\s*Source:|\s*\z)"), F.lit(1)), lambda x: strip_meta(strip(x)))
     parts = F.filter(parts, lambda x: x != "")
-    return F.when(F.size(given) > 0, by_position).when(F.try_parse_json(clean).isNull() & (F.size(parts) == F.size(old)), parts).otherwise(old)
+    return F.when(F.size(given) > 0, by_position).when(~F.coalesce(_is_json(clean), F.lit(False)) & (F.size(parts) == F.size(old)), parts).otherwise(old)
 
 
 def parse_executor_reply(replies: DataFrame) -> DataFrame:
@@ -129,7 +128,7 @@ def parse_executor_reply(replies: DataFrame) -> DataFrame:
     text = F.coalesce(not_empty(F.get_json_object("json", "$.translatedText")), F.col("original"))
     rows = rows.withColumn("translated", F.when(failed, F.col("original")).otherwise(text))
     given = F.get_json_object("json", "$.confidence").try_cast("double")
-    confidence = F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), given)), estimate_confidence(F.col("original"), F.col("translated"), F.col("constraint")))
+    confidence = F.coalesce(F.when(given.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), given))), estimate_confidence(F.col("original"), F.col("translated"), F.col("constraint")))
     tags = F.get_json_object("json", "$.preservedTags")
     tags = F.coalesce(F.when(tags.startswith("["), _strings(tags)), preserved_tags(F.col("original")))
     none = F.array().cast("array<string>")

@@ -588,12 +588,12 @@ def w4_allocate(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     sql(
         """, s AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY seq) AS p, count(*) OVER (PARTITION BY doc_id) AS n FROM pairs)
-        SELECT doc_id, block_id, left(original, 200) AS original, left(translated, 200) AS translated FROM s WHERE p <= 1 AND (n <= 2 OR doc_id IN (SELECT doc_id FROM issues WHERE severity = 'high'))""",
+        SELECT doc_id, block_id, left(original, 200) AS original, left(translated, 200) AS translated FROM s WHERE p <= 30 AND (n <= 50 OR doc_id IN (SELECT doc_id FROM issues WHERE severity = 'high'))""",
         "pairs", "issues",
     )
 )
 def w6_deep_check_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = workspace.deep_check_sample(inputs.pairs(spark, sf_dir), inputs.issues(spark, sf_dir), max_blocks=2, sample=1)
+    rows = workspace.deep_check_sample(inputs.pairs(spark, sf_dir), inputs.issues(spark, sf_dir))
     return rows.select("doc_id", "block_id", "original", "translated")
 
 
@@ -686,13 +686,13 @@ def f1_f2_normalize_and_detect_term(spark: SparkSession, sf_dir: str) -> DataFra
 @query(
     sql(
         rf"""SELECT word, CASE WHEN regexp_matches(t, '^[a-zA-ZÀ-ſ{_WS[1:-1]}\-]+$') THEN 'fr' ELSE 'Auto' END AS lang FROM (SELECT DISTINCT raw AS word, raw AS t FROM
-        (SELECT unnest(string_split(text, ' ')) AS raw FROM lines)) WHERE NOT regexp_matches(t, '[Ѐ-ӿ؀-ۿ가-힯぀-ヿ一-鿿]')""",
+        (SELECT unnest(string_split(text, ' ')) AS raw FROM lines))""",
         "lines",
     )
 )
 def f3_detect_text_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = inputs.lines(spark, sf_dir).select(F.explode(F.split("text", " ")).alias("word")).distinct()
-    return rows.select("word", text.detect_text_lang(F.col("word")).alias("lang")).where(F.col("lang").isin("fr", "Auto", "de", "es", "en"))
+    return rows.select("word", text.detect_text_lang(F.col("word")).alias("lang"))
 
 
 @query(

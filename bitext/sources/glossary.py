@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from bitext.functions.compat import not_empty, strip
+from bitext.functions.compat import let, not_empty, strip
 from bitext.functions.text import detect_term_lang, normalize_term
 
 # Seed terms.
@@ -62,6 +62,8 @@ TERM = T.StructType([
     T.StructField("frequency", T.LongType()), T.StructField("confirmed", T.BooleanType()),
     T.StructField("created_at", T.TimestampType()), T.StructField("updated_at", T.TimestampType()),
 ])
+#: Comma-separated fields of a term line that are read.
+CSV_FIELDS = 20
 #: Columns of exported files and the names they have there.
 EXPORT = {"source": "source", "target": "target", "source_lang": "sourceLang", "target_lang": "targetLang", "domain": "domain", "confirmed": "confirmed", "frequency": "frequency"}
 
@@ -110,12 +112,12 @@ def parse_term_lines(
     with quotes; all after the first part is the target, joined by commas.
     """
     t = strip(F.col(line))
-    csv = F.from_csv(t, ", ".join(f"c{i} string" for i in range(20)), {"quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false", "emptyValue": "", "nullValue": "\x00"})
-    fields = F.filter(F.array(*(csv[f"c{i}"] for i in range(20))), lambda x: x.isNotNull())
+    csv = F.from_csv(t, ", ".join(f"c{i} string" for i in range(CSV_FIELDS)), {"quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false", "emptyValue": "", "nullValue": "\x00"})
+    fields = let(csv, lambda r: F.filter(F.array(*(r[f"c{i}"] for i in range(CSV_FIELDS))), lambda x: x.isNotNull()))
     parts = F.when(t.contains("=>"), F.split(t, "=>")).when(t.contains("→"), F.split(t, "→")).when(t.contains("\t"), F.split(t, "\t")).otherwise(fields)
     rows = lines.where((t != "") & ~t.startswith("#")).withColumn("parts", parts).where(F.size("parts") >= 2)
-    source = normalize_term(F.element_at("parts", 1))
-    target = normalize_term(F.array_join(F.slice("parts", F.lit(2), F.size("parts") - 1), ","))
+    source = normalize_term(F.try_element_at("parts", F.lit(1)))
+    target = normalize_term(F.array_join(F.slice("parts", F.lit(2), F.greatest(F.size("parts") - 1, F.lit(0))), ","))
     rows = rows.withColumns({"source": source, "target": target}).drop("parts").where("source <> '' AND target <> '' AND source <> target")
     lang = {"source_lang": source_lang, "target_lang": target_lang}
     return rows.withColumns({
