@@ -42,6 +42,7 @@ TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{4,}")
 TRAIN_DOCS = 5000
 GENERATED = 3000
 SMOOTHING = 0.5
+BACK_OFF = 5.0
 #: Mean log-likelihood ratio per transition, in nats, from which a token counts as random.
 THRESHOLD = 0.6
 
@@ -93,11 +94,14 @@ def train(docs: DataFrame, text: str = "text", train_docs: int = TRAIN_DOCS) ->
         yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int32)) for x in (label, a, b)] + [pa.array(counts[label, a, b])], names=["label", "a", "b", "n"])
 
     found = sample.mapInArrow(count, "label int, a int, b int, n long").groupBy("label", "a", "b").agg(F.sum("n").alias("n")).toArrow()
-    counts = np.full((2, size, size), SMOOTHING)
+    counts = np.zeros((2, size, size))
     counts[found["label"].to_numpy(), found["a"].to_numpy(), found["b"].to_numpy()] += found["n"].to_numpy()
     for token in generated():
         np.add.at(counts[0], transitions(token), 1)
-    p = np.log(counts / counts.sum(axis=2, keepdims=True))
+    # Seldom seen rows lean on how often a character comes at all.
+    single = counts.sum(axis=1) + SMOOTHING
+    single /= single.sum(axis=1, keepdims=True)
+    p = np.log((counts + BACK_OFF * single[:, None, :]) / (counts.sum(axis=2, keepdims=True) + BACK_OFF))
     return (p[0] - p[1]).astype(np.float32)
 
 

@@ -189,7 +189,7 @@ def test_language_id(spark, docs):
 
 
 def test_secrets(spark):
-    rows = [(1, 'a token = "0123456789abcdef01234567"'), (2, None), (3, ""), (4, "é key: Qz8" + "xT4kP9vLm2Rw7YbN" * 2), (4, "ordinary words only"), (5, "thequickbrownfoxjumpsoverthelazydog " * 30)]
+    rows = [(1, 'a token = "0123456789abcdef01234567"'), (2, None), (3, ""), (4, "é key: Qz8" + "xT4kP9vLm2Rw7YbN" * 2), (4, "ordinary words only, of which there have to be many in the sample that both models learn from " * 300), (5, "ordinarywordsonlyofwhichtherehave " * 30)]
     df = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, spans string").drop("spans")
     got = [r for r in secrets.secret_report(df).collect()]
     first = next(r for r in got if r.doc_id == 1)
