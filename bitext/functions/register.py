@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
-from .compat import WS
+from .compat import ARABIC, CYRILLIC, HAN, HANGUL, KANA, WS
 from .text import FULL_WIDTH, META, NARROW, WIDE
 
 _STRIP = "regexp_replace({x}, r'^" + WS + "+|" + WS + "+\\z', '')"
 _SYMBOLS = r"[\-0-9\s.,%$€£¥₩₽₹₱₿+/\\*#@()\[\]{}]+"
 
+_STRIPPED = _STRIP.format(x="coalesce(t, '')")
+_RATIO = "(length(translated) / nullif(length(original), 0))"
+
 #: name, parameters, result type, body; the optimizer inlines them.
 FUNCTIONS = (
     ("normalize_term", "t STRING", "STRING", f"trim(regexp_replace(coalesce(t, ''), r'{WS}+', ' '))"),
@@ -23,6 +26,30 @@ FUNCTIONS = (
         f"(regexp_count(t, r'{FULL_WIDTH}') + 0.3D * regexp_count(t, r'{NARROW}') + 0.7D * regexp_count(t, r'{WIDE}')"
         f" + 0.52D * (length(t) - regexp_count(t, r'{FULL_WIDTH}') - regexp_count(t, r'{NARROW}') - regexp_count(t, r'{WIDE}'))) * size",
     ),
+    ("detect_term_lang", "t STRING", "STRING", f"CASE WHEN t RLIKE '{HAN}' THEN 'zh-CN' WHEN t RLIKE '{KANA}' THEN 'ja' WHEN t RLIKE '{HANGUL}' THEN 'ko' WHEN t RLIKE '{ARABIC}' THEN 'ar' WHEN t RLIKE '{CYRILLIC}' THEN 'ru' WHEN t RLIKE '[A-Za-z]' THEN 'en' ELSE 'Auto' END"),
+    (
+        "normalize_lang", "t STRING", "STRING",
+        f"CASE WHEN lower({_STRIPPED}) IN ('', 'auto', 'english', 'en') THEN 'en' WHEN lower({_STRIPPED}) IN ('chinese', 'chinese (simplified)', 'chinese (traditional)', 'zh') THEN 'zh'"
+        f" WHEN lower({_STRIPPED}) IN ('japanese', 'ja') THEN 'ja' WHEN lower({_STRIPPED}) IN ('korean', 'ko') THEN 'ko' ELSE lower({_STRIPPED}) END",
+    ),
+    ("skip_numeric_short", "t STRING", "BOOLEAN", "regexp_replace(coalesce(t, ''), '[-. ~]', '') RLIKE r'^[0-9]{1,6}\\z'"),
+    ("contains_cjk", "t STRING", "BOOLEAN", "coalesce(t, '') RLIKE '[㐀-鿿぀-ヿ가-힯]'"),
+    ("strip_fences", "t STRING", "STRING", _STRIP.format(x=r"regexp_replace(regexp_replace(t, r'^```[a-zA-Z]*\n?', ''), r'\n?```\z', '')")),
+    (
+        "classify_constraint", "node_type STRING, box_width DOUBLE, hint STRING", "STRING",
+        "CASE WHEN node_type IN ('code', 'table', 'list') THEN 'PreserveLayout' WHEN node_type IN ('label', 'button', 'caption', 'textbox') OR box_width < 200 THEN 'Concise'"
+        " WHEN hint IN ('Concise', 'PreserveLayout', 'ExpandAllowed') THEN hint ELSE 'ExpandAllowed' END",
+    ),
+    (
+        "drift_severity", "original STRING, translated STRING", "STRING",
+        f"CASE WHEN {_RATIO} < 0.2 THEN 'high' WHEN {_RATIO} > 2.5 THEN 'medium' WHEN {_RATIO} < 0.3 OR {_RATIO} > 1.8 THEN 'low' END",
+    ),
+    ("overflow_severity", "original STRING, translated STRING", "STRING", f"CASE WHEN {_RATIO} > 1.5 THEN 'high' WHEN {_RATIO} > 1.2 THEN 'medium' END"),
+    (
+        "estimate_confidence", "original STRING, translated STRING, block_constraint STRING", "DOUBLE",
+        f"CASE WHEN coalesce(original, '') = '' THEN 0.5D WHEN original = translated THEN 0.6D WHEN block_constraint = 'Concise' THEN CASE WHEN {_RATIO} <= 1.2 THEN 0.85D ELSE greatest(0.3D, 0.85D - ({_RATIO} - 1.2D) * 0.5D) END"
+        f" WHEN block_constraint = 'PreserveLayout' THEN CASE WHEN size(split(original, '\\n')) = size(split(translated, '\\n')) THEN 0.85D ELSE 0.5D END WHEN {_RATIO} BETWEEN 0.2 AND 2 THEN 0.8D ELSE 0.4D END",
+    ),
     ("length_ratio", "original STRING, translated STRING", "DOUBLE", "length(translated) / nullif(length(original), 0)"),
 )
 

@@ -155,3 +155,7 @@ def test_sql_functions(spark):
     register.register_functions(spark)
     row = spark.sql("SELECT normalize_term(' a  b '), strip_html('<p> x </p>'), escape_xml('<&'), skip_text('12%'), has_han('汉'), text_width('汉i', 10D), length_ratio('ab', 'abc')").first()
     assert tuple(row) == ("a b", "x", "&lt;&amp;", True, True, 13.0, 1.5)
+    row = spark.sql(
+        "SELECT detect_term_lang('かな'), normalize_lang(' Korean'), skip_numeric_short('12-3'), contains_cjk('x'), strip_fences('```a\nb\n```'), classify_constraint('p', 10D, NULL), drift_severity('abcd', 'abcdefgh'), overflow_severity('a', 'ab'), estimate_confidence('a\nb', 'c\nd', 'PreserveLayout')"
+    ).first()
+    assert tuple(row) == ("ja", "ko", True, False, "b", "Concise", "low", "high", 0.85)
