@@ -8,8 +8,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from bitext.storage import materialize
+
 #: Glossary rows up to which all terms go along with every text.
 SMALL_GLOSSARY = 2000
+#: Anchors (a term and one of its trigrams each) up to which they are broadcast.
+BROADCAST_ANCHORS = 500_000
 
 
 def relevant_glossary(blocks: DataFrame, glossary: DataFrame, keys: tuple[str, ...] = ("doc_id", "seq"), text: str = "text", small: int = SMALL_GLOSSARY) -> DataFrame:
@@ -46,16 +50,25 @@ def trigrams(c: Column) -> Column:
 
 
 def _by_trigram(blocks: DataFrame, terms: DataFrame, keys: tuple[str, ...], text: str) -> DataFrame:
-    """Equi-join on one trigram per term, the one that fewest texts have; then verify."""
+    """Equi-join on one trigram per term, the one that fewest texts have; then verify.
+
+    Anchors are written and counted. Up to ``BROADCAST_ANCHORS`` they go to the texts, which
+    then take part in no shuffle. Beyond, the texts' trigrams go to the anchors without the
+    texts, and only the texts of candidates are joined again, by their keys.
+    """
     texts = blocks.select(*keys, F.lower(text).alias("low"))
     grams = texts.select(*keys, "low", F.explode(trigrams(F.col("low"))).alias("gram"))
     of_terms = terms.select("source", "target", F.lower("source").alias("key")).select("*", F.explode(trigrams(F.col("key"))).alias("gram"))
-    frequency = grams.select("gram").join(of_terms.select("gram").distinct(), "gram").groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    frequency = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
     # Terms with a trigram that no text has occur nowhere: its frequency is 0, and it matches nothing.
     rare = of_terms.join(frequency, "gram", "left").groupBy("source", "target", "key").agg(F.min(F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("m"))
-    anchors = rare.select("source", "target", "key", F.col("m.gram").alias("gram"))
-    hits = grams.join(anchors, "gram").where(F.col("low").contains(F.col("key")))
-    return hits.select(*keys, "source", "target")
+    anchors = materialize(rare.select("source", "target", "key", F.col("m.gram").alias("gram")), "anchors")
+    if anchors.limit(BROADCAST_ANCHORS + 1).count() <= BROADCAST_ANCHORS:
+        hits = grams.join(F.broadcast(anchors), "gram")
+    else:
+        candidates = grams.select(*keys, "gram").distinct().join(anchors, "gram").drop("gram")
+        hits = texts.join(candidates, list(keys))
+    return hits.where(F.col("low").contains(F.col("key"))).select(*keys, "source", "target")
 
 
 def terms_by_lang_pair(terms: DataFrame, source_lang: str, target_lang: str) -> DataFrame:
