@@ -71,9 +71,12 @@ def exact_groups(
 
 def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, all columns; a repeated row (same id, same text) stays once."""
-    kept = exact_groups(docs, doc_id, text).where("kept").select("doc_id", "text_sha256").distinct()
-    key, sha = shared.free_name(docs, "dedup_id"), shared.free_name(docs, "dedup_sha")
-    kept = kept.select(F.col("doc_id").alias("k_id"), F.col("text_sha256").alias("k_sha"))
-    rows = docs.withColumn(key, F.col(doc_id).cast("long")).withColumn(sha, F.sha2(normalised(F.col(text)), 256))
-    rows = rows.join(kept, F.col(key).eqNullSafe(F.col("k_id")) & (F.col(sha) == F.col("k_sha")), "left_semi")
-    return rows.dropDuplicates([key, sha]).drop(key, sha)
+    # Plain key columns, without nulls: join and dropDuplicates then share one exchange of the texts.
+    keys = [shared.free_name(docs, f"dedup_{k}") for k in ("id", "none", "sha")]
+
+    def keyed(df: DataFrame, row_id: Column, sha: Column) -> DataFrame:
+        return df.withColumns(dict(zip(keys, (F.coalesce(row_id, F.lit(0).cast("long")), row_id.isNull(), sha), strict=True)))
+
+    kept = keyed(exact_groups(docs, doc_id, text).where("kept"), F.col("doc_id"), F.col("text_sha256")).select(*keys).distinct()
+    rows = keyed(docs, F.col(doc_id).cast("long"), F.sha2(normalised(F.col(text)), 256))
+    return rows.join(kept, keys, "left_semi").dropDuplicates(keys).select(*docs.columns)
