@@ -13,6 +13,7 @@ from bitext.inputs import sql, sql_apply_terms, sql_quote
 from bitext.operators import assemble, checks, layout, match, terms, workspace
 from bitext.plans import edits, inference, replies, requests
 from bitext.sources import blocks as scans
+from bitext.sources import containers
 from bitext.sources import glossary as glossaries
 from bitext.storage import new_path, table
 from bitext.streaming import events as streams
@@ -48,6 +49,70 @@ def _md5(c: Column | str) -> Column:
 
 # Scans
 
+_FILES = "SELECT source AS batch_id, doc_id AS pos, doc_id || ['.docx', '.PDF', '.md', '.exe'][doc_id % 4 + 1] AS path, n_chars * 100000 AS length FROM documents"
+
+
+@query(
+    f"""WITH f AS ({_FILES}), r AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY batch_id ORDER BY pos) > 10 THEN 'too_many' WHEN path LIKE '%.exe' THEN 'bad_type' WHEN length > 209715200 THEN 'too_large' END AS why FROM f)
+    SELECT batch_id, pos, coalesce(why, CASE WHEN sum(CASE WHEN why IS NULL THEN length END) OVER (PARTITION BY batch_id) > 524288000 THEN 'batch_too_large' END, 'accepted') AS reason FROM r"""
+)
+def s1_intake(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ending = F.element_at(F.array(*map(F.lit, (".docx", ".PDF", ".md", ".exe"))), (F.col("doc_id") % 4 + 1).cast("int"))
+    files = table(spark, sf_dir, "documents").select(
+        F.col("source").alias("batch_id"), F.col("doc_id").alias("pos"), F.concat(F.col("doc_id").cast("string"), ending).alias("path"), (F.col("n_chars") * 100000).alias("length")
+    )
+    return workspace.intake(files).select("batch_id", "pos", "reason")
+
+
+_XML = "replace(replace(replace(replace(replace({0}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '''', '&apos;'), '\"', '&quot;')"
+
+
+def _scan_packed(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
+    found = containers.scan_container(containers.pack_lines(table(spark, sf_dir, "documents"), kind), kind)
+    return found.select("doc_id", F.col("p_index").cast("long").alias("p_index"), "text")
+
+
+def _sql_packed(kind: str, expression: str = "text") -> str:
+    return sql(f"SELECT doc_id || '.{kind}' AS doc_id, seq AS p_index, {_XML.format(expression)} AS text FROM lines WHERE {_strip('text')} <> ''", "lines")
+
+
+@query(_sql_packed("docx"))
+def s2_scan_docx(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scan_packed(spark, sf_dir, "docx")
+
+
+@query(_sql_packed("pptx"))
+def s3_scan_pptx(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scan_packed(spark, sf_dir, "pptx")
+
+
+@query(_sql_packed("epub"))
+def s5_scan_epub(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scan_packed(spark, sf_dir, "epub")
+
+
+_TERM_TEXTS = "SELECT source, target, source_lang, domain, confirmed FROM termbase"
+
+
+@query(sql(_TERM_TEXTS, "termbase"))
+def s9_k2_glossary_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "terms-csv")
+    glossaries.write_terms_csv(inputs.termbase(spark, sf_dir), path)
+    return glossaries.read_glossary_csv(spark, path).select("source", "target", "source_lang", "domain", "confirmed")
+
+
+@query(sql("SELECT id, frequency, source, target, source_lang, domain, confirmed FROM termbase", "termbase"))
+def s10_k1_glossary_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "terms-json")
+    glossaries.write_terms_json(inputs.termbase(spark, sf_dir), path)
+    return glossaries.read_glossary_json(spark, path, lines=True).select("id", "frequency", "source", "target", "source_lang", "domain", "confirmed")
+
+
+@query(sql("SELECT domain, count(*) AS terms, sum(frequency)::BIGINT AS frequency FROM (SELECT domain, frequency FROM termbase UNION ALL SELECT 'default-glossary', 1 FROM range(43)) GROUP BY domain", "termbase"))
+def s12_default_glossary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    merged = terms.merge_terms(inputs.termbase(spark, sf_dir), glossaries.default_glossary(spark))
+    return merged.groupBy("domain").agg(F.count(F.lit(1)).alias("terms"), F.sum("frequency").alias("frequency"))
+
 
 @query(sql("SELECT doc_id, seq, tag, md5(text) AS text_md5 FROM html_blocks", "html_blocks"))
 def s4_scan_html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -172,6 +237,15 @@ def k6_assemble_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assemble.assemble_html(table(spark, sf_dir, "pages"), rows).select("page_id", F.length("html").alias("n_chars"), _md5("html").alias("html_md5"))
 
 
+@query(_sql_packed("docx", sql_apply_terms("text")))
+def k7_repack_container(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = containers.pack_lines(table(spark, sf_dir, "documents"), "docx")
+    found = containers.scan_container(files, "docx")
+    done = found.withColumn("translated", text.apply_terms(text.unescape_xml(F.col("text")), inputs.GLOSSARY))
+    again = containers.scan_container(containers.repack(files, done, "docx"), "docx")
+    return again.select("doc_id", F.col("p_index").cast("long").alias("p_index"), "text")
+
+
 @query(
     sql(
         "SELECT doc_id, md5(string_agg(CASE WHEN seq % 4 = 0 THEN 'edit ' || seq ELSE text END, chr(10) || chr(10) ORDER BY seq)) AS text_md5 FROM lines GROUP BY doc_id", "lines"
@@ -788,7 +862,7 @@ def f12_preserved_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inputs.html_blocks(spark, sf_dir).select("doc_id", F.col("seq").cast("long").alias("seq"), tags.alias("tags"))
 
 
-_ESCAPED = "replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '''', '&apos;'), '\"', '&quot;')"
+_ESCAPED = _XML.format("text")
 
 
 @query(sql(f"SELECT doc_id, seq, {_strip("regexp_replace(text, '<[^>]*>', '', 'g')")} AS plain, {_ESCAPED} AS escaped FROM html_blocks", "html_blocks"))

@@ -103,3 +103,30 @@ def repack(files: DataFrame, bitext: DataFrame, kind: str) -> DataFrame:
     own = files.select("path", "content").groupBy("path")
     texts = bitext.select(F.col("doc_id").alias("path"), "part", "p_index", "translated").groupBy("path")
     return own.cogroup(texts).applyInPandas(one, "path string, content binary")
+
+
+#: Paragraph markup, and the part that holds it, of the kinds that ``pack_lines`` writes.
+SHELLS = {
+    "docx": ("word/document.xml", '<w:document xmlns:w="w"><w:body>{}</w:body></w:document>', '<w:p><w:r><w:t xml:space="preserve">{}</w:t></w:r></w:p>'),
+    "pptx": ("ppt/slides/slide1.xml", '<p:sld xmlns:p="p" xmlns:a="a">{}</p:sld>', "<a:p><a:r><a:t>{}</a:t></a:r></a:p>"),
+    "epub": ("OEBPS/text.xhtml", "<html><body>{}</body></html>", "<p>{}</p>"),
+}
+
+
+def pack_lines(docs: DataFrame, kind: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """path, content: a minimal container per document, one paragraph per line."""
+    part, shell, paragraph = SHELLS[kind]
+
+    def pack(value: str | None) -> bytes:
+        out = io.BytesIO()
+        body = "".join(paragraph.format(_escape(line)) for line in (value or "").split("\n"))
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+            z.writestr("[Content_Types].xml", "<Types/>")
+            z.writestr(part, shell.format(body))
+        return out.getvalue()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"path": batch[doc_id].astype(str) + f".{kind}", "content": [pack(t) for t in batch[text]]})
+
+    return docs.select(doc_id, text).mapInPandas(run, "path string, content binary")

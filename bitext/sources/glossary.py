@@ -93,13 +93,19 @@ def read_glossary_csv(spark: SparkSession, path: str) -> DataFrame:
     return rows.where("coalesce(source, '') <> '' AND coalesce(target, '') <> ''")
 
 
-def read_glossary_json(spark: SparkSession, path: str) -> DataFrame:
-    """source, target and what else is given, from arrays of entries or maps of source to target."""
-    files = spark.read.text(path, wholetext=True).select(F.trim("value").alias("value"))
-    entry = "array<struct<id:string,source:string,target:string,sourceLang:string,targetLang:string,domain:string,frequency:bigint,confirmed:boolean>>"
-    arrays = files.where(F.col("value").startswith("[")).select(F.inline(F.from_json("value", entry)))
-    maps = files.where(F.col("value").startswith("{")).select(F.explode(F.from_json("value", "map<string,string>")).alias("source", "target"))
-    rows = arrays.unionByName(maps, allowMissingColumns=True)
+def read_glossary_json(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """source, target and what else is given, from files that hold an array of entries or a map of source to target.
+
+    ``lines``: files hold an entry per line, as ``write_terms_json`` writes them.
+    """
+    entry = "struct<id:string,source:string,target:string,sourceLang:string,targetLang:string,domain:string,frequency:bigint,confirmed:boolean>"
+    if lines:
+        rows = spark.read.text(path).select(F.from_json("value", entry).alias("e")).select("e.*")
+    else:
+        files = spark.read.text(path, wholetext=True).select(F.trim("value").alias("value"))
+        arrays = files.where(F.col("value").startswith("[")).select(F.inline(F.from_json("value", f"array<{entry}>")))
+        maps = files.where(F.col("value").startswith("{")).select(F.explode(F.from_json("value", "map<string,string>")).alias("source", "target"))
+        rows = arrays.unionByName(maps, allowMissingColumns=True)
     return rows.withColumnsRenamed({"sourceLang": "source_lang", "targetLang": "target_lang"})
 
 
