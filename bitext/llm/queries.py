@@ -57,7 +57,54 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
+_WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
 ORACLES: dict[str, str] = {
+    # What the pages of these tables look like: one article of h1 and p elements.
+    "op1_site_style_tree": r"""
+        WITH a AS (
+            SELECT page_id, url, regexp_extract(html, '(?s)<article>(.*?)(?:</article>|$)', 1) AS body FROM pages
+        ), b AS (
+            SELECT *, list_transform(regexp_split_to_array(body, '</?(?:p|h1)>'), lambda x: regexp_replace(x, '<[^>]*>', ' ', 'g')) AS l FROM a
+        ), c AS (
+            SELECT *, list_transform(l, lambda x: replace(replace(replace(replace(replace(x, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&middot;', '·'), '&amp;', '&')) AS t FROM b
+        ), d AS (
+            SELECT *, list_filter(list_transform(t, lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), lambda x: x <> '') AS lines FROM c
+        )
+        SELECT page_id, url, array_to_string(lines, chr(10)) AS text, length(array_to_string(lines, chr(10))) AS n_chars FROM d
+    """,
+    "op3_warc_index": """
+        WITH p AS (
+            SELECT page_id, coalesce(html, '') AS html FROM pages
+        ), f AS (
+            SELECT page_id, strlen(html) AS payload_bytes, unhex(sha1(html))::BIT::VARCHAR AS bits, min(page_id) OVER (PARTITION BY html) AS first FROM p
+        )
+        SELECT page_id, payload_bytes,
+               array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + (substr(bits, 5 * i + 1, 5)::BIT)::INTEGER, 1)), '') AS payload_digest,
+               CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
+        FROM f
+    """,
+    "op10_decontamination": f"""
+        WITH b AS (
+            SELECT item_id::VARCHAR AS item_id, {_WORDS} AS w FROM benchmark WHERE text IS NOT NULL
+        ), win AS (
+            SELECT DISTINCT item_id, least(10, len(w)) AS m, array_to_string(w[i : i + least(10, len(w)) - 1], ' ') AS k
+            FROM (SELECT *, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM b WHERE len(w) > 0)
+        ), d AS (
+            SELECT doc_id, coalesce({_WORDS}, []) AS w FROM documents
+        ), p AS (
+            SELECT doc_id, i, m, array_to_string(w[i : i + m - 1], ' ') AS k
+            FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d), (SELECT DISTINCT m FROM win) WHERE i + m - 1 <= len(w)
+        ), h AS (
+            SELECT doc_id, i, m, item_id FROM p JOIN win USING (m, k)
+        ), hit AS (
+            SELECT doc_id, count(DISTINCT pos) AS n FROM (SELECT doc_id, unnest(range(i, i + m)) AS pos FROM h) GROUP BY doc_id
+        ), it AS (
+            SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id, ',' ORDER BY item_id) AS items FROM h GROUP BY doc_id
+        )
+        SELECT doc_id, len(w) AS n_words, coalesce(n, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n, 0) > 0 AS contaminated
+        FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN it USING (doc_id)
+    """,
     "op7_exact_dedup": r"""
         WITH d AS (
             SELECT doc_id, length(coalesce(text, '')) AS n,
