@@ -26,6 +26,7 @@ CONSTRAINTS = ("Concise", "PreserveLayout", "ExpandAllowed")
 # What leaked review notes look like.
 META = r"[\(（]\s*此段落已(?:准确)?翻译[^\)）]*[\)）]|无需修改|已准确翻译"
 LEAKED = rf"(?is)^\[[0-9]+\]{WS}*Source:{WS}*.*?\n{WS}*Translation:{WS}*(.*)$"
+# What refusing replies say.
 REFUSALS = ("Here are a few options", "Please provide")
 
 #: Terms up to which a literal glossary becomes nested expressions.

@@ -100,7 +100,7 @@ def check_all(bitext: DataFrame, glossary: DataFrame, more: DataFrame | None = N
     return out if more is None else out.unionByName(more, allowMissingColumns=True)
 
 
-def issue_summary(issues: DataFrame, docs: DataFrame | None = None) -> DataFrame:
+def issue_summary(issues: DataFrame) -> DataFrame:
     """Counts per document by severity, and of patches that can be suggested."""
     counts = [F.count_if(F.col("severity") == s).alias(f"{s}_count") for s in reversed(SEVERITIES)]
     return issues.groupBy("doc_id").agg(F.count(F.lit(1)).alias("total"), *counts, F.count_if(_patchable()).alias("patches"))

@@ -106,9 +106,8 @@ def merge_issues(issues: DataFrame, retried: DataFrame, recheck: DataFrame) -> D
 
 def extend_glossary(user: DataFrame, extracted: DataFrame) -> DataFrame:
     """Bag union, the user's terms first: source, target, part, ord."""
-    parts = (df.select("source", "target", F.lit(k).alias("part"), "ord") for k, df in enumerate((user, extracted)))
-    first, second = parts
-    return first.unionByName(second)
+    own, mined = (df.select("source", "target", F.lit(k).alias("part"), "ord") for k, df in enumerate((user, extracted)))
+    return own.unionByName(mined)
 
 
 def context_window(bitext: DataFrame, k: int = 3, chars: int = 150) -> DataFrame:

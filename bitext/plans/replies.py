@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from bitext.functions.compat import let, not_empty, strip, text_or_empty
 from bitext.functions.text import estimate_confidence, preserved_tags, strip_fences, strip_meta, style_guide
 
+# Field names that replies use.
 SOURCE_NAMES, TARGET_NAMES = ("source", "english", "en", "original"), ("target", "chinese_translation", "zh", "translation", "translated")
 ARRAY_NAMES = ("translations", "translated", "paragraphs", "results")
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from bitext.operators.match import relevant_glossary
 from bitext.operators.workspace import chunk, context_window
 
+# Model name parts that mark a pure translator.
 DEDICATED = ("translategemma", "translation-", "nllb", "m2m100", "seamless")
 INSTRUCTIONS = {
     "Concise": "Keep the translation within 1.2 times the original length.",
