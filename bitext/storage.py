@@ -2,25 +2,30 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_own: dict[str, str] = {}
+
 
 def shared_dir(spark: SparkSession) -> str:
     """Folder that all processes of the application can reach.
 
-    ``spark.checkpoint.dir`` where it is set. Otherwise, in local mode only, a new temporary
-    folder, which is then stored in that setting; a cluster without the setting is an error.
+    ``spark.checkpoint.dir`` where it is set. Otherwise, in local mode only, a temporary folder
+    of the application; a cluster without the setting is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
+    if base:
+        return base.rstrip("/")
+    sc = spark.sparkContext
+    if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    if sc.applicationId not in _own:
+        _own[sc.applicationId] = "file://" + tempfile.mkdtemp(prefix="spark-")
+    return _own[sc.applicationId]
 
 
 def new_path(spark: SparkSession, name: str) -> str:
