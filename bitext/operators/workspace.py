@@ -35,8 +35,11 @@ def memory_lookup(blocks: DataFrame, memory: DataFrame) -> DataFrame:
     Memory rows have seq, original, translated.
     """
     known = memory.select(strip(F.col("original")).alias("key"), "seq", F.col("translated").alias("known")).groupBy("key").agg(F.max_by("known", "seq").alias("known"))
-    rows = blocks.withColumn("key", strip(F.col("text"))).join(known, "key", "left")
-    return rows.withColumn("translated", F.coalesce(not_empty(F.col("known")), F.col("text"))).drop("key", "known")
+    key = strip(text_or_empty(F.col("text")))
+    filled = blocks.where(key != "").join(known, key == F.col("key"), "left")
+    # Blank texts are one key and may be many: their single memory row, if any, goes to them.
+    blank = blocks.where(key == "").join(F.broadcast(known.where("key = ''")), F.lit(True), "left")
+    return filled.unionByName(blank).withColumn("translated", F.coalesce(not_empty(F.col("known")), F.col("text"))).drop("key", "known")
 
 
 def positional_overlay(blocks: DataFrame, edits: DataFrame) -> DataFrame:

@@ -151,9 +151,12 @@ def test_intake(spark):
 
 
 def test_memory_takes_the_last_and_never_an_empty_translation(spark):
-    b = spark.createDataFrame([(1, " x "), (2, "y"), (3, "z")], "doc_id long, text string")
+    b = spark.createDataFrame([(1, " x "), (2, "y"), (3, "z"), (4, " "), (5, None)], "doc_id long, text string")
     m = spark.createDataFrame([(1, "x", "old"), (2, "x ", "new"), (3, "y", "")], "seq long, original string, translated string")
-    assert {r.doc_id: r.translated for r in workspace.memory_lookup(b, m).collect()} == {1: "new", 2: "y", 3: "z"}
+    want = {1: "new", 2: "y", 3: "z", 4: " ", 5: None}
+    assert {r.doc_id: r.translated for r in workspace.memory_lookup(b, m).collect()} == want
+    blank = m.unionByName(spark.createDataFrame([(9, "\t", "-")], m.schema))
+    assert {r.doc_id: r.translated for r in workspace.memory_lookup(b, blank).collect()} == want | {4: "-", 5: "-"}
 
 
 def sequential_paragraphs(lines):
