@@ -14,9 +14,11 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -26,6 +28,8 @@ from . import bpe, shared
 EOD = 50256
 #: Tokens of a block.
 BLOCK = 1 << 21
+#: Parts of the documents that are on disk as token files one after another.
+WAVES = 2
 
 
 def write_tokens(docs: DataFrame, path: str, vocabulary: str | None = None, doc_id: str = "doc_id", text: str = "text", eod: int = EOD) -> DataFrame:
@@ -92,12 +96,30 @@ def scan_tokens(spark: SparkSession, path: str, files: DataFrame, eod: int = EOD
     )
 
 
-def token_counts(docs: DataFrame, vocabulary: str | None = None, doc_id: str = "doc_id", text: str = "text", block: int = BLOCK) -> DataFrame:
-    """doc_id, n_tokens, file (its number), ordinal, first_token: written, then scanned back."""
+def token_counts(docs: DataFrame, vocabulary: str | None = None, doc_id: str = "doc_id", text: str = "text", block: int = BLOCK, waves: int = WAVES) -> DataFrame:
+    """doc_id, n_tokens, wave, file (its number), ordinal, first_token: written, then scanned back.
+
+    The documents are dealt by a hash into ``waves``. Each wave's token files are written,
+    scanned and removed before the next, which divides the disk that they take.
+    """
     spark = docs.sparkSession
-    path = shared.new_path(spark, "tokens")
-    places = write_tokens(docs, path, vocabulary, doc_id, text)
-    counts = scan_tokens(spark, path, places, block=block)
-    return places.join(counts, ["file", "ordinal"]).select(
-        "doc_id", "n_tokens", F.split_part("file", F.lit("-"), F.lit(2)).cast("int").alias("file"), "ordinal", "first_token"
-    )
+    done = []
+    for wave in range(waves):
+        path = shared.new_path(spark, "tokens")
+        own = docs.where(F.pmod(F.xxhash64(doc_id), F.lit(waves)) == wave)
+        places = write_tokens(own, path, vocabulary, doc_id, text)
+        counts = scan_tokens(spark, path, places, block=block)
+        # Both sides grow with the corpus, and the places look small on disk: no broadcast.
+        joined = places.hint("merge").join(counts, ["file", "ordinal"]).select(
+            "doc_id", "n_tokens", F.lit(wave).alias("wave"), F.split_part("file", F.lit("-"), F.lit(2)).cast("int").alias("file"), "ordinal", "first_token"
+        )
+        done.append(shared.materialize(joined, "token-counts"))
+        remove_tokens(path)
+    return reduce(DataFrame.unionByName, done)
+
+
+def remove_tokens(path: str) -> None:
+    """Remove the token files below ``path``, if any were written."""
+    fs, base = shared.open_fs(path)
+    if fs.get_file_info(base).type == pafs.FileType.Directory:
+        fs.delete_dir(base)
