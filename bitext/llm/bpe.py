@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 from . import shared
 
 #: Pre-tokens of one Python worker's cache, and the longest that goes into it, in characters.
-CACHE_ROWS = 1_000_000
+CACHE_ROWS = 400_000
 CACHE_CHARS = 64
 NONE = 1 << 24
 BIT = [1 << k for k in range(256)]
@@ -41,6 +41,7 @@ class Codec:
         self.split = regex.compile(pattern).findall
         self.pairs = [ranks.get(bytes((a, b)), NONE) for a in range(256) for b in range(256)]
         self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def merge(self, piece: bytes) -> list[int]:
         """Ids of one pre-token: lowest rank first, leftmost first."""
@@ -104,11 +105,13 @@ class Codec:
 
     def packed(self, piece: str) -> bytes:
         """Ids of a pre-token as little-endian unsigned 32-bit integers."""
-        ids = self.merge(piece.encode())
-        out = struct.pack(f"<{len(ids)}I", *ids)
+        out = self.cache.get(piece) or self.older.get(piece)
+        if out is None:
+            ids = self.merge(piece.encode())
+            out = struct.pack(f"<{len(ids)}I", *ids)
         if len(piece) <= CACHE_CHARS:
-            if len(self.cache) >= CACHE_ROWS:
-                self.cache.clear()
+            if len(self.cache) >= CACHE_ROWS // 2:  # what is not met again in the next half goes
+                self.older, self.cache = self.cache, {}
             self.cache[piece] = out
         return out
 

@@ -89,6 +89,7 @@ def sketches(docs: DataFrame, size: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(n, pa.int64()), pa.array(sig, pa.binary()), pa.array(sketch, pa.list_(pa.int64()))], names=["doc_id", "n", "sig", "sketch"]
             )
+        _words.clear()  # workers live on, and their memory is shared by all stages
 
     return docs.mapInArrow(run, "doc_id long, n long, sig binary, sketch array<long>")
 
