@@ -8,8 +8,12 @@ of low importance are removed from every page, and the rest of the main content
 block by block.
 
 What a merged tree cannot tell is fixed by the markup itself: non-content elements (scripts,
-navigation, forms, ...) and elements whose class, id or role names such a part are left out
-on every host, and a page's article or main element, where it has one, is its main content.
+navigation, footers, ...) are left out on every host. An element whose class, id or role names
+such a part, or a form, is only suspected: it goes where its importance is low, where it has
+a small share of the page's text, or where it stands beside an article or main element that
+has most of the rest. html, body and what holds most of the article text are never suspected.
+On a modelled host an article or main element protects what holds most of it from removal and
+does nothing else; on other hosts it is the main content where it has half of the text.
 
 Defined results: null or empty html gives an empty text; broken or cut markup is read as far
 as it goes; hosts with fewer than ``MIN_PAGES`` pages have no low branches; repeated pages
@@ -20,26 +24,24 @@ columns are ignored.
 from __future__ import annotations
 
 import html as entities
-import math
 import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import shared
 
+#: Pages that a path needs to be modelled; a host is modelled where its root is.
 MIN_PAGES = 5
-#: Paths on fewer than this share of a host's pages are not modelled, which bounds a host's
-#: model by its mean number of paths a page over this share. They stay in the text.
-MIN_SHARE = 0.02
 #: Branches whose importance is below this are removed.
 LOW = 0.2
 GAMMA = 0.9
+#: Suspected elements with up to this share of a page's text are furniture; forms, up to half.
+SMALL, SMALL_FORM = 0.3, 0.5
 #: Bytes up to which the model of all hosts is broadcast; beyond, it is joined by host.
 BROADCAST_BYTES = 32 << 20
 
@@ -48,13 +50,14 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes template".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 OMIT = frozenset(
-    "script style noscript template iframe object embed svg canvas audio video head nav footer aside form button select option textarea input dialog menu noembed noframes xmp title math map".split()
+    "script style noscript template iframe object embed svg canvas audio video head nav footer aside button select option textarea input dialog menu noembed noframes xmp title math map".split()
 )
 CLOSES_P = frozenset(
     "address article aside blockquote details dialog div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul li dd dt".split()
 )
 SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 SCOPE = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table", "thead", "tbody", "tfoot"), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
+MAIN = ("article", "main")
 FURNITURE = re.compile(
     r"(?:^|[\s_-])(?:ad|ads|advert|adverts|advertisement|advertising|adsense|sponsor|sponsored|promo|promotion|banner|nav|navbar|navigation|menu|breadcrumb|breadcrumbs|header|masthead|footer|sidebar|side|"
     r"widget|cookie|cookies|consent|gdpr|notice|alert|popup|modal|overlay|newsletter|subscribe|signup|login|search|form|comment|comments|respond|reply|replies|disqus|share|sharing|social|related|"
@@ -68,22 +71,22 @@ _DIGITS = re.compile(r"\d+")
 
 
 class Node:
-    __slots__ = ("tag", "label", "parent", "children", "omit", "path")
+    __slots__ = ("tag", "label", "parent", "children", "omit", "marked", "path", "size", "within", "plain", "main", "holds")
 
-    def __init__(self, tag: str, label: str, parent: Node | None, omit: bool):
-        self.tag, self.label, self.parent, self.omit = tag, label, parent, omit
+    def __init__(self, tag: str, label: str, parent: Node | None, omit: bool, marked: bool = False):
+        self.tag, self.label, self.parent, self.omit, self.marked = tag, label, parent, omit, marked
         self.children: list[Node | str] = []
         self.path = xxhash.xxh3_64_intdigest(label, parent.path if parent else 0) >> 1
 
 
-def _describe(tag: str, attributes: str) -> tuple[str, bool]:
-    """Label of the node (tag, class, id without digits) and whether its attributes rule it out."""
+def _describe(tag: str, attributes: str) -> tuple[str, bool, bool]:
+    """Label of the node (tag, class, id without digits), whether it is hidden, whether its names are those of furniture."""
     if not attributes or attributes.isspace():
-        return tag, False
+        return tag, False, False
     found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(attributes)}
     names = [found.get(k, "") for k in ("class", "id", "role")]
     hidden = "hidden" in found or found.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none", found.get("style", ""), re.I) is not None
-    return _DIGITS.sub("0", " ".join([tag, *names]).strip()), hidden or any(FURNITURE.search(x) for x in names if x)
+    return _DIGITS.sub("0", " ".join([tag, *names]).strip()), hidden, any(FURNITURE.search(x) for x in names if x)
 
 
 def parse(html: str | None) -> Node:
@@ -113,8 +116,8 @@ def parse(html: str | None) -> Node:
                 node = up.parent
             continue
         node = _place(node, tag)
-        label, out = _describe(tag, m[3])
-        new = Node(tag, label, node, out or tag in OMIT or (tag == "header" and not _inside(node, ("article", "main"))))
+        label, out, marked = _describe(tag, m[3])
+        new = Node(tag, label, node, out or marked or tag in OMIT or tag == "form" or (tag == "header" and not _inside(node, MAIN)))
         node.children.append(new)
         if tag in RAW:
             close = re.compile(rf"</{tag}\s*>", re.I).search(html, at)
@@ -158,19 +161,53 @@ def _walk(node: Node) -> Iterator[Node]:
         stack.extend(c for c in reversed(x.children) if isinstance(c, Node))
 
 
-def _has_content(root: Node) -> bool:
-    return any(x.tag in ("article", "main") and not x.omit for x in _walk(root))
+def _weigh(root: Node) -> bool:
+    """Characters of every node; whether the page has an article or main with half of its plain text.
 
-
-def main_text(html: str | None, low: frozenset[int] = frozenset()) -> str:
-    """Blocks of the main content, one per line, without the branches in ``low``."""
+    size: all that is not omitted; within: in article or main elements; plain: outside marked
+    elements; main: both; holds: whether there is such an element with most of that text.
+    """
+    nodes = list(_walk(root))[::-1]  # children before parents
+    for x in nodes:
+        x.size = x.within = 0
+        x.holds = False
+        if not x.omit:
+            for c in x.children:
+                if isinstance(c, str):
+                    x.size += len(c.strip())
+                else:
+                    x.size, x.within, x.holds = x.size + c.size, x.within + c.within, x.holds or c.holds
+            if x.tag in MAIN:
+                x.within, x.holds = x.size, True
+    for x in nodes:
+        x.holds = x.holds and 2 * x.within >= root.within
+        x.marked = x.marked and not x.holds
+        x.plain = x.main = 0
+        if not x.omit and not x.marked:
+            for c in x.children:
+                if isinstance(c, str):
+                    x.plain += len(c.strip())
+                else:
+                    x.plain, x.main = x.plain + c.plain, x.main + c.main
+            if x.tag in MAIN:
+                x.main = x.plain
+    return root.holds and 2 * root.main >= root.plain
+
+
+def main_text(html: str | None, low: frozenset[int] = frozenset(), modelled: bool = False, high: frozenset[int] = frozenset()) -> str:
+    """Blocks of the main content, one per line, without the branches in ``low``.
+
+    ``modelled``: branches decide; otherwise an article or main with half of the text does.
+    ``high``: suspected paths of high importance, which stay inside an article or main.
+    """
     root = parse(html)
-    chosen = _has_content(root)
+    agreed = _weigh(root)
+    chosen = any(x.tag in MAIN and not x.omit for x in _walk(root))
     blocks: list[list[str]] = [[]]
-    # (node, whether its text counts); a plain string ends the element: a block boundary
-    stack: list[tuple[Node | str | None, bool]] = [(root, not chosen)]
+    # (node, whether its text counts, whether in an article or main); None ends an element: a block boundary
+    stack: list[tuple[Node | str | None, bool, bool]] = [(root, not chosen, False)]
     while stack:
-        x, on = stack.pop()
+        x, on, inside = stack.pop()
         if x is None:
             blocks.append([])
         elif isinstance(x, str):
@@ -179,28 +216,32 @@ def main_text(html: str | None, low: frozenset[int] = frozenset()) -> str:
         elif x.tag == "br":
             blocks[-1].append(" ")
         elif not x.omit:
-            inside = on and chosen
-            on = on or x.tag in ("article", "main")
             block = x.tag not in INLINE
-            # Within the main content only parts that the markup sets apart can be furniture.
-            if block and x.path in low and (not inside or x.label != x.tag) and not any(y.tag in ("article", "main") for y in _walk(x)):
+            if block and x.path in low and (not (on and chosen) or x.label != x.tag) and not any(y.tag in MAIN for y in _walk(x)):
                 continue
+            if x.marked and not (inside and x.path in high):
+                small = x.size <= (SMALL_FORM if x.tag == "form" else SMALL) * root.size
+                if small or (agreed and not inside):
+                    continue
+            inside = inside or x.tag in MAIN
+            on = on or inside
             if block:
                 blocks.append([])
-                stack.append((None, False))
-            stack.extend((c, on) for c in reversed(x.children))
+                stack.append((None, False, False))
+            stack.extend((c, on, inside) for c in reversed(x.children))
     lines = (" ".join(entities.unescape("".join(b)).split()) for b in blocks)
     return "\n".join(line for line in lines if line)
 
 
-def page_nodes(html: str | None) -> list[tuple[int, int, int, int]]:
-    """path, parent path, style and content hash of every merged node of a page."""
+def page_nodes(html: str | None) -> list[tuple[int, int, int, int, int, int]]:
+    """path, parent path, level, whether marked, style and content hash of every merged node of a page."""
     root = parse(html)
-    merged: dict[int, tuple[int, list, list]] = {}
+    merged: dict[int, tuple[int, int, int, list, list]] = {}
     for x in _walk(root):
         if x.omit or (x.parent is not None and x.parent.path not in merged):
             continue
-        _, styles, texts = merged.setdefault(x.path, (x.parent.path if x.parent else 0, [], []))
+        up = x.parent
+        *_, styles, texts = merged.setdefault(x.path, (up.path if up else 0, merged[up.path][1] + 1 if up else 0, int(x.marked), [], []))
         previous = None
         for c in x.children:
             if isinstance(c, Node):
@@ -210,8 +251,8 @@ def page_nodes(html: str | None) -> list[tuple[int, int, int, int]]:
             elif not c.isspace():
                 texts.append(" ".join(c.split()))
     return [
-        (path, parent, xxhash.xxh3_64_intdigest("\x1f".join(styles)) >> 1 if styles else 0, xxhash.xxh3_64_intdigest("\x1f".join(texts)) >> 1 if texts else 0)
-        for path, (parent, styles, texts) in merged.items()
+        (path, parent, level, marked, xxhash.xxh3_64_intdigest("\x1f".join(styles)) >> 1 if styles else 0, xxhash.xxh3_64_intdigest("\x1f".join(texts)) >> 1 if texts else 0)
+        for path, (parent, level, marked, styles, texts) in merged.items()
     ]
 
 
@@ -225,11 +266,15 @@ def with_host(pages: DataFrame) -> DataFrame:
     )
 
 
+NODE = ["path", "parent", "level", "marked", "style", "content"]
+
+
 def site_model(rows: DataFrame) -> DataFrame:
-    """host, low: the paths of each host's low branches, from page_id, url, html, host.
+    """host, path, low: each modelled host's low branches, its marked paths that are not low, and its root.
 
-    Two aggregations with map-side halves turn page nodes into one row per (host, path); a
-    host's rows are then few enough for one task, whatever number of pages it has.
+    Two aggregations with map-side halves turn page nodes into one row per (host, path).
+    Importances are folded upwards level by level, a join by (host, path) each, so no host is
+    in one task, whatever number of pages and paths it has.
     """
 
     def nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -239,75 +284,86 @@ def site_model(rows: DataFrame) -> DataFrame:
                 found = page_nodes(t.as_py())
                 out += found
                 host += [h.as_py()] * len(found)
-            columns = np.array(out, np.int64).reshape(-1, 4)
-            yield pa.RecordBatch.from_arrays([pa.array(host, pa.string()), *(pa.array(columns[:, k].copy()) for k in range(4))], names=["host", "path", "parent", "style", "content"])
+            columns = np.array(out, np.int64).reshape(-1, len(NODE))
+            yield pa.RecordBatch.from_arrays([pa.array(host, pa.string()), *(pa.array(columns[:, k].copy()) for k in range(len(NODE)))], names=["host", *NODE])
 
-    found = rows.select("host", "html").mapInArrow(nodes, "host string, path long, parent long, style long, content long")
-    variants = found.groupBy("host", "path", "parent", "style", "content").agg(F.count(F.lit(1)).alias("n"))
-    by_style = variants.groupBy("host", "path", "parent", "style").agg(F.sum("n").alias("s"), F.sum(F.when(F.col("content") != 0, F.col("n"))).alias("with_text"), F.sum(F.when(F.col("content") != 0, F.col("n") * F.log("n"))).alias("content_nln"))
+    found = rows.select("host", "html").mapInArrow(nodes, "host string, " + ", ".join(f"{x} long" for x in NODE))
+    key = ["host", "path", "parent", "level", "marked"]
+    variants = found.groupBy(*key, "style", "content").agg(F.count(F.lit(1)).alias("n"))
+    by_style = variants.groupBy(*key, "style").agg(F.sum("n").alias("s"), F.sum(F.when(F.col("content") != 0, F.col("n"))).alias("with_text"), F.sum(F.when(F.col("content") != 0, F.col("n") * F.log("n"))).alias("content_nln"))
     # Contents are told apart within a style; a path's styles are few.
-    stats = by_style.groupBy("host", "path", "parent").agg(
+    stats = by_style.groupBy(*key).agg(
         F.sum("s").alias("m"), F.sum(F.col("s") * F.log("s")).alias("style_nln"), F.max(F.col("style") != 0).alias("inner"),
         F.sum("with_text").alias("with_text"), F.sum("content_nln").alias("content_nln"),
     )
+    # A path is on no more pages than its parent, so what is kept is a tree.
+    stats = stats.where(F.col("m") >= MIN_PAGES).select(
+        *key, F.when(F.col("inner"), _entropy("m", "style_nln")).alias("style"), F.when(F.col("with_text") > 0, _entropy("with_text", "content_nln")).alias("content")
+    )
     stats = shared.materialize(stats, "site-stats")
-    pages = stats.where("parent = 0").groupBy("host").agg(F.max("m").alias("pages")).where(F.col("pages") >= MIN_PAGES)
-    common = stats.join(pages, "host").where(F.col("m") >= F.greatest(F.lit(2), F.col("pages") * MIN_SHARE))
-    return shared.materialize(common.groupBy("host").applyInPandas(_low_paths, "host string, low array<long>").where("size(low) > 0"), "site-model")
-
-
-def _low_paths(nodes: pd.DataFrame) -> pd.DataFrame:
-    """Importance of every node of one host, bottom up, and the highest nodes below LOW."""
-
-    def entropy(total: float, nln: float) -> float:
-        return (math.log(total) - nln / total) / math.log(total) if total > 1 else 1.0
-
-    own, inner, children = {}, {}, {}
-    for r in nodes.itertuples():
-        own[r.path] = (entropy(r.m, r.style_nln) if r.inner else None, entropy(r.with_text, r.content_nln) if r.with_text and r.with_text == r.with_text else None)
-        inner[r.path] = r.parent
-        children.setdefault(r.parent, []).append(r.path)
-    importance: dict[int, float] = {}
-
-    def visit(path: int) -> None:
-        stack = [(path, False)]
-        while stack:
-            p, done = stack.pop()
-            if not done:
-                stack.append((p, True))
-                stack.extend((c, False) for c in children.get(p, []))
-                continue
-            style, content = own[p]
-            parts = [importance[c] for c in children.get(p, [])] + ([content] if content is not None else [])
-            below = max(parts) if parts else (0.0 if style is None else style)
-            decay = GAMMA ** max(1, len(children.get(p, [])))
-            importance[p] = below if style is None else (1 - decay) * style + decay * below
-
-    tops = [p for p, up in inner.items() if up not in own]
-    for p in tops:
-        visit(p)
-    low, stack = [], list(tops)
-    while stack:
-        p = stack.pop()
-        # Below a branch whose text is itself repeated, pages are copies, not furniture.
-        if importance[p] < LOW and importance.get(inner[p], 0.0) >= LOW:
-            low.append(p)
+    deepest = stats.agg(F.max("level")).first()[0]
+    if deepest is None:
+        return stats.select("host", "path", F.lit(False).alias("low"))
+    weighed = None
+    for level in range(deepest, -1, -1):
+        own = stats.where(F.col("level") == level)
+        if weighed is None:
+            own = own.withColumns({"best": F.lit(None).cast("double"), "kids": F.lit(0).cast("long")})
         else:
-            stack.extend(children.get(p, []))
-    return pd.DataFrame({"host": [nodes["host"].iloc[0]], "low": [low]})
+            below = weighed[-1].groupBy("host", F.col("parent").alias("path")).agg(F.max("importance").alias("best"), F.count(F.lit(1)).alias("kids"))
+            own = own.join(below, ["host", "path"], "left")
+        part = F.coalesce(F.greatest("best", "content"), "style", F.lit(0.0))
+        decay = F.pow(F.lit(GAMMA), F.greatest(F.lit(1), F.coalesce("kids", F.lit(0))))
+        importance = F.when(F.col("style").isNull(), part).otherwise((1 - decay) * F.col("style") + decay * part)
+        weighed = [*(weighed or []), shared.materialize(own.select(*key, importance.alias("importance")), "site-level")]
+    every = weighed[0]
+    for x in weighed[1:]:
+        every = every.unionByName(x)
+    # Below a branch whose text is itself repeated, pages are copies, not furniture.
+    ups = every.select("host", F.col("path").alias("parent"), F.col("importance").alias("above"))
+    low = (F.col("importance") < LOW) & (F.coalesce("above", F.lit(0.0)) >= LOW)
+    told = every.join(ups, ["host", "parent"], "left").select("host", "path", "level", "marked", low.alias("low"))
+    return shared.materialize(told.where("low OR marked = 1 OR level = 0").select("host", "path", "low"), "site-model")
+
+
+def _entropy(total: str, nln: str) -> Column:
+    t = F.col(total)
+    return F.when(t > 1, (F.log(t) - F.col(nln) / t) / F.log(t)).otherwise(1.0)
+
+
+def _told(model: DataFrame, *keys: str) -> DataFrame:
+    """keys, low, high: the model's paths as two lists."""
+    return model.groupBy(*keys).agg(F.collect_set(F.when(F.col("low"), F.col("path"))).alias("low"), F.collect_set(F.when(~F.col("low"), F.col("path"))).alias("high"))
+
+
+def _by_page(rows: DataFrame, model: DataFrame) -> DataFrame:
+    """``rows`` with the model's paths that occur on each page: no host's list is gathered."""
+
+    def paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            for h, k, t in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                out += [(h, k, n[0]) for n in page_nodes(t)]
+            host, page, path = zip(*out, strict=True) if out else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(host, pa.string()), pa.array(page, pa.string()), pa.array(path, pa.int64())], names=["host", "page", "path"])
+
+    rows = rows.withColumn("page", F.md5(F.coalesce("html", F.lit(""))))
+    found = rows.select("host", "page", "html").mapInArrow(paths, "host string, page string, path long").distinct()
+    return rows.join(_told(found.join(model, ["host", "path"]), "host", "page"), ["host", "page"], "left")
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every page."""
     rows = with_host(pages)
     model = site_model(rows)
-    size = model.agg(F.sum(F.length("host") + 8 * F.size("low"))).first()[0] or 0
-    joined = rows.join(F.broadcast(model) if size <= BROADCAST_BYTES else model, "host", "left")
+    size = model.agg(F.sum(F.length("host") + 8)).first()[0] or 0
+    joined = rows.join(F.broadcast(_told(model, "host")), "host", "left") if size <= BROADCAST_BYTES else _by_page(rows, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = {n: batch.column(k) for k, n in enumerate(batch.schema.names)}
-            texts = [main_text(h.as_py(), frozenset(x.as_py() or ())) for h, x in zip(at["html"], at["low"], strict=True)]
+            told = zip(at["html"], at["low"], at["high"], strict=True)
+            texts = [main_text(h.as_py(), frozenset(x.as_py() or ()), x.is_valid, frozenset(y.as_py() or ())) for h, x, y in told]
             yield pa.RecordBatch.from_arrays([at["page_id"], at["url"], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    return joined.select("page_id", "url", "html", "low").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return joined.select("page_id", "url", "html", "low", "high").mapInArrow(run, "page_id long, url string, text string, n_chars long")

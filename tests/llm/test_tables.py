@@ -263,5 +263,15 @@ def test_copies_of_a_page_keep_their_text(spark):
     assert {r.text for r in sitetree.extract(df).collect()} == {"The same story on every page"}
 
 
+def test_small_sections_of_a_large_host_are_cleaned(spark):
+    def page(i):
+        extra = f"<div class='shop'><h3>Part {i * 13}</h3><p>Goods {i * 7919}</p><div class='terms'>Terms apply</div></div>" if i < 6 else f"<p>Body {i * 104729}</p>"
+        return f"<html><body>{extra}</body></html>"
+
+    df = spark.createDataFrame([(i, "http://h.org/p", page(i)) for i in range(400)], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in sitetree.extract(df).collect()}
+    assert got == {i: f"Part {i * 13}\nGoods {i * 7919}" if i < 6 else f"Body {i * 104729}" for i in range(400)}
+
+
 def test_every_operator_has_one_query():
     assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
