@@ -117,7 +117,7 @@ def parse(html: str | None) -> Node:
             continue
         node = _place(node, tag)
         label, out, marked = _describe(tag, m[3])
-        new = Node(tag, label, node, out or marked or tag in OMIT or tag == "form" or (tag == "header" and not _inside(node, MAIN)))
+        new = Node(tag, label, node, out or tag in OMIT or (tag == "header" and not _inside(node, MAIN)), (marked or tag == "form") and tag not in ("html", "body"))
         node.children.append(new)
         if tag in RAW:
             close = re.compile(rf"</{tag}\s*>", re.I).search(html, at)

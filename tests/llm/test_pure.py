@@ -132,3 +132,16 @@ def test_overlaps_equal_set_sizes():
     off = ~np.eye(len(sets), dtype=bool)
     for width in (7, 4096):
         assert (minhash._overlaps(sets, width)[off] == np.array(want)[off]).all()
+
+
+WRAPPED = {
+    "<body class='no-sidebar'><div class='content with-sidebar'><article><p>a story</p></article></div></body>": "a story",
+    "<div id='page-header-fixed'><p>one</p></div>": "one",
+    "<form><h1>t</h1><p>page in a form</p></form>": "t\npage in a form",
+    "<article><p>a</p><section class='search-results-story notice'><p>more of the story</p></section></article>": "a\nmore of the story",
+}
+
+
+@pytest.mark.parametrize("html", WRAPPED)
+def test_names_and_tags_do_not_decide_alone(html):
+    assert sitetree.main_text(html) == WRAPPED[html]
