@@ -202,7 +202,7 @@ def main_text(html: str | None, low: frozenset[int] = frozenset(), modelled: boo
     """
     root = parse(html)
     agreed = _weigh(root)
-    chosen = any(x.tag in MAIN and not x.omit for x in _walk(root))
+    chosen = agreed and not modelled
     blocks: list[list[str]] = [[]]
     # (node, whether its text counts, whether in an article or main); None ends an element: a block boundary
     stack: list[tuple[Node | str | None, bool, bool]] = [(root, not chosen, False)]
@@ -217,7 +217,7 @@ def main_text(html: str | None, low: frozenset[int] = frozenset(), modelled: boo
             blocks[-1].append(" ")
         elif not x.omit:
             block = x.tag not in INLINE
-            if block and x.path in low and (not (on and chosen) or x.label != x.tag) and not any(y.tag in MAIN for y in _walk(x)):
+            if (block or x.marked) and x.path in low and not (agreed and x.holds):
                 continue
             if x.marked and not (inside and x.path in high):
                 small = x.size <= (SMALL_FORM if x.tag == "form" else SMALL) * root.size

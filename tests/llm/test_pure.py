@@ -139,6 +139,8 @@ WRAPPED = {
     "<div id='page-header-fixed'><p>one</p></div>": "one",
     "<form><h1>t</h1><p>page in a form</p></form>": "t\npage in a form",
     "<article><p>a</p><section class='search-results-story notice'><p>more of the story</p></section></article>": "a\nmore of the story",
+    "<div><p>The story is here, in a div, and it is long</p></div><article>teaser</article><article>card</article>": "The story is here, in a div, and it is long\nteaser\ncard",
+    "<p>text</p><aside><article>teaser</article></aside>": "text",
 }
 
 

@@ -263,6 +263,22 @@ def test_copies_of_a_page_keep_their_text(spark):
     assert {r.text for r in sitetree.extract(df).collect()} == {"The same story on every page"}
 
 
+def test_importances_choose_on_pages_with_articles(spark, monkeypatch):
+    def page(i):
+        story = f"<div class='story'><p>Story {i * 104729} of the day, in a div, longer than all cards</p></div>"
+        return f"<html><body class='no-sidebar'><article class='card'><p>Same teaser</p></article>{story}</body></html>"
+
+    def inner(i):
+        return f"<html><body><article><h1>Head {i * 7919}</h1><section class='search-results'><p>Found {i * 31}</p></section><div>Follow us</div></article></body></html>"
+
+    rows = [(i, "http://h.org/p", page(i)) for i in range(20)] + [(100 + i, "http://i.org/p", inner(i)) for i in range(20)]
+    want = {i: f"Story {i * 104729} of the day, in a div, longer than all cards" for i in range(20)} | {100 + i: f"Head {i * 7919}\nFound {i * 31}" for i in range(20)}
+    for size in (sitetree.BROADCAST_BYTES, 0):
+        monkeypatch.setattr(sitetree, "BROADCAST_BYTES", size)
+        df = spark.createDataFrame(rows, "page_id long, url string, html string")
+        assert {r.page_id: r.text for r in sitetree.extract(df).collect()} == want
+
+
 def test_small_sections_of_a_large_host_are_cleaned(spark):
     def page(i):
         extra = f"<div class='shop'><h3>Part {i * 13}</h3><p>Goods {i * 7919}</p><div class='terms'>Terms apply</div></div>" if i < 6 else f"<p>Body {i * 104729}</p>"
