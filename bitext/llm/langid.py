@@ -13,6 +13,7 @@ give a row each; empty tables give no rows; further columns are kept by ``predic
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
@@ -45,22 +46,21 @@ class Model:
 
 @cache
 def _letters() -> np.ndarray:
-    """Lower-case letter, or a space, for every 16-bit character; 65535 for all beyond."""
-    table = np.full(1 << 16, 32, np.uint16)
-    for i in range(1 << 16):
+    """Lower-case letter, or a space, for every code point."""
+    table = np.full(sys.maxunicode + 1, 32, np.uint32)
+    for i in range(len(table)):
         c = chr(i)
         if c.isalpha():
             low = c.lower()
-            table[i] = ord(low) if len(low) == 1 and ord(low) < 1 << 16 else i
-    table[65535] = 65535
+            table[i] = ord(low) if len(low) == 1 else i
     return table
 
 
 def codes(text: str) -> np.ndarray:
     """Letters in lower case, runs of anything else as one space, a space at either end."""
     raw = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    c = _letters()[np.minimum(raw, 65535)]
-    c = np.concatenate([[32], c, [32]]).astype(np.uint16)
+    c = _letters()[raw]
+    c = np.concatenate([[32], c, [32]]).astype(np.uint32)
     return c[np.concatenate([[True], (c[1:] != 32) | (c[:-1] != 32)])]
 
 
@@ -131,7 +131,7 @@ def score(model: Model, texts: list[str | None]) -> list[tuple[str, float]]:
     lettered = np.zeros(len(texts), bool)
     parts: list[np.ndarray] = []
     owners: list[int] = []
-    gap = np.zeros(max(ORDERS) - 1, np.uint16)
+    gap = np.zeros(max(ORDERS) - 1, np.uint32)
 
     def flush() -> None:
         if parts:

@@ -147,3 +147,11 @@ WRAPPED = {
 @pytest.mark.parametrize("html", WRAPPED)
 def test_names_and_tags_do_not_decide_alone(html):
     assert sitetree.main_text(html) == WRAPPED[html]
+
+
+def test_only_letters_count_beyond_the_basic_plane():
+    matrix = np.vstack([np.full((1 << langid.BITS, 2), [-10, -20]), np.zeros((1, 2), int)]).astype(np.int32)
+    model = langid.Model(["a", "b"], matrix)
+    assert langid.score(model, ["😀😀", "\U0001f600 \uffff"]) == [("und", 0.0)] * 2
+    assert (langid.codes("ab 😀 cd") == langid.codes("ab cd")).all()
+    assert langid.codes("\U00010400").tolist() == [32, 0x10428, 32] != langid.codes("\U00020000").tolist()
