@@ -29,7 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import shared
@@ -75,8 +75,13 @@ def shingle_set(text: str | None, size: int) -> np.ndarray:
     return np.unique(h * _MIX[2])
 
 
+def row_key(doc_id: Column, text: Column) -> Column:
+    """128-bit digest of a row's id and text: equal for repeated rows alone."""
+    return F.unhex(F.md5(F.concat(F.coalesce(doc_id.cast("long").cast("string"), F.lit("")), F.lit(":"), F.coalesce(text.cast("string"), F.lit("")))))
+
+
 def sketches(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, n (set size), sig (128-bit digest of the set), sketch (K smallest, ascending)."""
+    """doc_id, key, n (set size), sig (128-bit digest of the set), sketch (K smallest, ascending) of rows doc_id, text, key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -87,11 +92,12 @@ def sketches(docs: DataFrame, size: int) -> DataFrame:
                 sig.append(xxhash.xxh128_digest(s.tobytes()) if len(s) else None)
                 sketch.append((s[:K] >> np.uint64(1)).astype(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(sig, pa.binary()), pa.array(sketch, pa.list_(pa.int64()))], names=["doc_id", "n", "sig", "sketch"]
+                [batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(sig, pa.binary()), pa.array(sketch, pa.list_(pa.int64()))],
+                names=["doc_id", "key", "n", "sig", "sketch"],
             )
         _words.clear()  # workers live on, and their memory is shared by all stages
 
-    return docs.mapInArrow(run, "doc_id long, n long, sig binary, sketch array<long>")
+    return docs.mapInArrow(run, "doc_id long, key binary, n long, sig binary, sketch array<long>")
 
 
 def _forest(n: int, a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
@@ -170,11 +176,8 @@ def _exact_forests(size: int, percent: int):
 
     def run(table: pa.Table) -> pa.Table:
         sets = [shingle_set(t.as_py(), size) for t in table["text"]]
-        # Where an id stands for several texts, the digest tells which one is meant.
-        own = [i for i, x in enumerate(table["sig"]) if xxhash.xxh128_digest(sets[i].tobytes()) == x.as_py()]
-        sets, table = [sets[i] for i in own], table.take(own)
         sig, side = table["sig"].to_pylist(), table["block"].to_numpy()
-        if len(own) < 2:
+        if len(sig) < 2:
             return pa.table({"u": pa.array([], pa.binary()), "v": pa.array([], pa.binary())})
         n = np.array([len(s) for s in sets])
         inter = _overlaps(sets)
@@ -195,18 +198,24 @@ def near_groups(docs: DataFrame, shingle: int = 3, percent: int = 85, doc_id: st
     ``percent``: links have 100 * intersection >= percent * union. The sketch constants are
     chosen for 80 and more.
     """
+    out = _grouped(docs, shingle, percent, doc_id, text)
+    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def _grouped(docs: DataFrame, shingle: int, percent: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, key, n, component_id, keep (key of the row that stands for the component; null without words)."""
     rows = shared.as_text_rows(docs, doc_id, text)
+    rows = rows.withColumn("key", row_key(F.col("doc_id"), F.col("text")))
     sk = shared.materialize(sketches(rows, shingle), "sketches")
     classes = shared.materialize(
-        sk.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "classes"
+        sk.where("n > 0").groupBy("sig").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "classes"
     )
     links = _links(rows, sk, classes, shingle, percent)
     roots = connected_components(links).withColumnRenamed("node", "sig")
     rooted = classes.select("sig", "rep").join(roots, "sig", "left").withColumn("root", F.coalesce("root", "sig"))
-    names = shared.materialize(rooted.groupBy("root").agg(F.min("rep").alias("component_id")), "names")
-    named = rooted.join(names, "root").select("sig", "component_id")
-    out = sk.select("doc_id", "n", "sig").join(named, "sig", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    names = shared.materialize(rooted.groupBy("root").agg(F.min("rep").alias("rep")).select("root", F.col("rep.doc_id").alias("component_id"), F.col("rep.key").alias("keep")), "names")
+    named = rooted.drop("rep").join(names, "root").select("sig", "component_id", "keep")
+    return sk.select("doc_id", "key", "n", "sig").join(named, "sig", "left").withColumn("component_id", F.coalesce("component_id", "doc_id")).drop("sig")
 
 
 def _links(rows: DataFrame, sk: DataFrame, classes: DataFrame, shingle: int, percent: int) -> DataFrame:
@@ -236,16 +245,17 @@ def _links(rows: DataFrame, sk: DataFrame, classes: DataFrame, shingle: int, per
 
 def _verify(rows: DataFrame, sk: DataFrame, classes: DataFrame, candidates: DataFrame, shingle: int, percent: int) -> DataFrame:
     # A hash deals each group into blocks; sums over the groups give their numbers.
-    sized = candidates.join(classes.select(F.col("sig").alias("node"), "rep", "n"), "node")
+    sized = candidates.join(classes.select(F.col("sig").alias("node"), F.col("rep.key").alias("key"), "n"), "node")
     # Written first, so that the join below has a plain side and a hot group can be split.
     blocks = shared.materialize(
         sized.groupBy("root").agg(F.greatest(F.ceil(F.sum("n") / BLOCK_SHINGLES), F.ceil(F.count(F.lit(1)) / BLOCK_SETS)).cast("int").alias("blocks")), "blocks"
     )
     dealt = shared.materialize(
-        sized.join(blocks, "root").select("root", F.col("node").alias("sig"), "rep", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block")), "dealt"
+        sized.join(blocks, "root").select("root", F.col("node").alias("sig"), "key", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block")), "dealt"
     )
     # Both sides grow with the corpus: no broadcast at any size.
-    texts = rows.hint("merge").join(dealt, F.col("doc_id").eqNullSafe(F.col("rep")))
+    # Repeated rows become one before they travel, so a class has one text, and a group as many as classes.
+    texts = rows.select("key", "text").dropDuplicates(["key"]).hint("merge").join(dealt, "key")
     keyed = texts.select(
         "root", "sig", "text", "block",
         F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, F.col("block")).alias("a"), F.greatest(o, F.col("block")).alias("b")))).alias("pair"),
@@ -254,8 +264,14 @@ def _verify(rows: DataFrame, sk: DataFrame, classes: DataFrame, candidates: Data
 
 
 def near_dedup(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` that name their component, all columns; a repeated id stays once."""
-    kept = near_groups(docs, shingle, percent).where("kept").select(F.col("doc_id").alias("k_id")).distinct()
-    key = shared.free_name(docs, "near_id")
-    rows = docs.withColumn(key, F.col("doc_id").cast("long")).join(kept, F.col(key).eqNullSafe(F.col("k_id")), "left_semi")
-    return rows.drop(key)
+    """One row of each component, all columns, and all rows without words; repeated rows are one."""
+    groups = shared.materialize(_grouped(docs, shingle, percent).where("n > 0").select("key", "keep"), "near-keys")
+    gone = groups.where("key <> keep").select(F.col("key").alias("k")).distinct()
+    twice = groups.where("key = keep").groupBy(F.col("key").alias("k")).count().where("count > 1").select("k")
+    key = shared.free_name(docs, "near_key")
+    rows = docs.withColumn(key, row_key(F.col("doc_id"), F.col("text")))
+    match = F.col(key) == F.col("k")
+    if twice.isEmpty():
+        return rows.join(gone, match, "left_anti").drop(key)
+    once = rows.join(gone.unionByName(twice), match, "left_anti")
+    return once.unionByName(rows.join(twice, match, "left_semi").dropDuplicates([key])).drop(key)

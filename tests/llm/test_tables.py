@@ -163,6 +163,30 @@ def test_near_groups_with_long_lists_and_small_blocks(spark, monkeypatch):
     assert kept.count() == len({c for _, _, c in jaccard_components(rows, 5, 80)})
 
 
+def test_near_copies_with_null_and_repeated_ids(spark, monkeypatch):
+    base = " ".join(f"w{i}" for i in range(60))
+    rows = [(None, base), (None, base + " x"), (7, base.upper() + " Y"), (7, base + " z"), (7, base + " z")] * 2
+    rows += [(None, "other " * 9), (None, None), (None, None), (8, ""), (9, "alone here"), (9, "alone here"), (None, base.replace("w", "v")), (None, base.replace("w", "v") + " x")]
+    exact = minhash._exact_forests
+
+    def one_text_a_class(size, percent):
+        run = exact(size, percent)
+
+        def checked(table):
+            assert len(set(table["sig"].to_pylist())) == len(table)
+            return run(table)
+
+        return checked
+
+    monkeypatch.setattr(minhash, "_exact_forests", one_text_a_class)
+    df = spark.createDataFrame([(*r, "n") for r in rows], "doc_id long, text string, near_key string")
+    got = minhash.near_dedup(df)
+    assert got.columns == df.columns
+    left = got.collect()
+    assert sum(r.text is None for r in left) == 2
+    assert sorted((r.doc_id or 0, (r.text or "")[:2]) for r in left if r.text is not None) == sorted([(7, left[[r.doc_id for r in left].index(7)].text[:2]), (0, "ot"), (8, ""), (9, "al"), (0, "v0")])
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(20)] + [(100, 102), (101, 102), (7, 7), (102, 100)]
     got = {r.node: r.root for r in components.connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
