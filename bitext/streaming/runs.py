@@ -7,8 +7,6 @@ from pyspark.sql.streaming import StreamingQuery
 
 from bitext.storage import new_path
 
-TIMEOUT_S = 300
-
 
 def stream_table(spark: SparkSession, path: str) -> DataFrame:
     """A Parquet table, one file or a folder, as a stream of its files."""
@@ -16,10 +14,15 @@ def stream_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path[:-1]}[{path[-1]}]")
 
 
-def finish(query: StreamingQuery, timeout: int = TIMEOUT_S) -> None:
-    """Wait for a bounded query, then stop it; fails if it failed or did not end."""
+def finish(query: StreamingQuery, timeout: int | None = None) -> None:
+    """Wait until a bounded query ends by itself, however long, then stop it; fails if it failed.
+
+    With a ``timeout`` in seconds it also fails if the query did not end by then.
+    """
     try:
-        if not query.awaitTermination(timeout):
+        if timeout is None:
+            query.awaitTermination()
+        elif not query.awaitTermination(timeout):
             raise TimeoutError(f"streaming query not done after {timeout} s")
     finally:
         query.stop()

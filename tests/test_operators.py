@@ -339,3 +339,24 @@ def test_incremental_run_repeats_nothing(spark, tmp_path):
     for i in range(2):
         runs.finish(events.incremental_translate(stream, inference.stub([("the", "le")]), str(tmp_path / "out"), str(tmp_path / f"cp{i}")))
     assert sorted(r.translated for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["b", "le a"]
+
+
+def test_bounded_streams_are_waited_for_without_a_limit():
+    import pytest
+
+    from bitext.streaming import runs
+
+    class Slow:
+        stopped = False
+
+        def awaitTermination(self, timeout=None):  # noqa: N802
+            return None if timeout is None else False
+
+        def stop(self):
+            self.stopped = True
+
+    query = Slow()
+    runs.finish(query)
+    assert query.stopped
+    with pytest.raises(TimeoutError):
+        runs.finish(Slow(), 1)
