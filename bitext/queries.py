@@ -1131,7 +1131,7 @@ def e7_parse_executor_reply(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def e8_parse_plan_reply(spark: SparkSession, sf_dir: str) -> DataFrame:
-    entry = F.struct(F.left("original", F.lit(10)).alias("source"), F.left("translated", F.lit(10)).alias("target"), F.lit("noun").alias("category"))
+    entry = F.struct(F.col("original").alias("source"), F.col("translated").alias("target"), F.lit("noun").alias("category"))
     body = F.to_json(F.struct(F.array(entry).alias("glossary"), F.create_map(F.col("block_id"), F.col("constraint")).alias("blockConstraints")))
     rows = inputs.pairs(spark, sf_dir).select("doc_id", "seq", F.lit("business").alias("domain"), _reply(body).alias("reply"))
     out = replies.parse_plan_reply(rows)
@@ -1140,7 +1140,7 @@ def e8_parse_plan_reply(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def e9_parse_issues_reply(spark: SparkSession, sf_dir: str) -> DataFrame:
-    issue = F.struct(F.col("block_id").alias("blockId"), F.lit("style").alias("type"), F.left("original", F.lit(30)).alias("description"), F.lit("low").alias("severity"))
+    issue = F.struct(F.col("block_id").alias("blockId"), F.lit("style").alias("type"), F.col("original").alias("description"), F.lit("low").alias("severity"))
     incomplete = F.struct(F.col("block_id").alias("blockId"), F.lit("style").alias("type"), F.lit("").alias("description"), F.lit("low").alias("severity"))
     rows = inputs.pairs(spark, sf_dir).select("doc_id", "seq", _reply(F.to_json(F.array(issue, incomplete))).alias("reply"))
     return replies.parse_issues_reply(rows)

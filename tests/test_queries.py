@@ -41,3 +41,14 @@ def test_runs(spark, name):
 def test_entry(spark):
     assert entry_module.entry(spark).count() > 0
     assert set(entry_module.oracle_sql()) <= set(entry_module.queries())
+
+
+@pytest.mark.parametrize("name", ["e8_parse_plan_reply", "e9_parse_issues_reply"])
+def test_replies_hold_whole_texts(spark, monkeypatch, name):
+    from bitext import queries
+
+    seen = []
+    parse = getattr(queries.replies, name[3:])
+    monkeypatch.setattr(queries.replies, name[3:], lambda rows: seen.append(rows) or parse(rows))
+    QUERIES[name](spark, SF)
+    assert "left(" not in seen[0]._jdf.queryExecution().analyzed().toString().lower().replace("left(outer", "")
