@@ -133,8 +133,8 @@ def find_secrets(docs: DataFrame, text: str = "text", spans: str = "spans", trai
     ratio = train(docs, text, train_docs)
     schema = T.StructType([T.StructField(spans, T.ArrayType(SPAN))])
 
-    def make() -> Callable[[str | None], tuple]:
-        return lambda t: ([dict(zip(("kind", "start", "end"), s, strict=True)) for s in scan(t, ratio, threshold)],)
+    def make() -> Callable:
+        return lambda texts: (([dict(zip(("kind", "start", "end"), s, strict=True)) for s in scan(t, ratio, threshold)],) for t in texts)
 
     return shared.append_columns(docs, text, make, schema)
 

@@ -6,7 +6,7 @@ executors share that folder and nothing else, so a lost executor loses no interm
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -40,12 +40,12 @@ def free_name(df: DataFrame, name: str) -> str:
 def append_columns(
     df: DataFrame,
     text: str,
-    make: Callable[[], Callable[[str | None], tuple]],
+    make: Callable[[], Callable[[Iterable[str | None]], Iterable[tuple]]],
     schema: T.StructType,
 ) -> DataFrame:
     """All columns of ``df`` plus ``schema``, computed per text inside Arrow batches.
 
-    ``make`` runs once per task and returns the function from a text to a tuple of values.
+    ``make`` runs once per task and returns the function from texts to a tuple of values each.
     Names in ``schema`` must be free in ``df`` (see ``free_name``).
     """
     out = T.StructType(df.schema.fields + schema.fields)
@@ -54,8 +54,8 @@ def append_columns(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fn = make()
         for batch in batches:
-            values = [fn(x.as_py()) for x in batch.column(batch.schema.get_field_index(text))]
-            columns = list(zip(*values, strict=True)) or [()] * len(arrow)
+            texts = (x.as_py() for x in batch.column(batch.schema.get_field_index(text)))
+            columns = list(zip(*fn(texts), strict=True)) or [()] * len(arrow)
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, *(pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True))],
                 names=[*batch.schema.names, *arrow.names],

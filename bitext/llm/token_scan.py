@@ -41,15 +41,15 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str | None = None, doc_
     rows = shared.as_text_rows(docs, doc_id, text)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = bpe.codec(vocabulary).encode
+        encode = bpe.codec(vocabulary).encode_all
         fs, base = shared.open_fs(path)
         fs.create_dir(base, recursive=True)
         name = f"tokens-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.bin"
         done = 0
         with fs.open_output_stream(f"{base}/{name}", compression=None) as out:
             for batch in batches:
-                for t in batch.column(1):
-                    ids = np.frombuffer(encode(t.as_py()), "<u4")
+                for packed in encode(t.as_py() for t in batch.column(1)):
+                    ids = np.frombuffer(packed, "<u4")
                     out.write(np.append(ids, eod).astype("<u2").tobytes())
                 n = batch.num_rows
                 yield pa.RecordBatch.from_arrays(

@@ -35,6 +35,40 @@ def test_bpe_takes_the_leftmost_of_equal_ranks_and_late_lower_ranks():
     assert c.merge(b"aabcx") == [97, 260, 120]
 
 
+def test_bpe_of_many_pre_tokens_equals_one_by_one():
+    r = random.Random(4)
+    for seed in range(30):
+        ranks = {bytes([i]): i for i in range(256)}
+        tokens = list(map(bytes, ([97], [98], [99])))
+        for rank in r.sample(range(300, 900), 60):  # ranks in any order: merges make pairs of lower ranks
+            token = r.choice(tokens) + r.choice(tokens)
+            if token not in ranks:
+                ranks[token] = rank
+                tokens.append(token)
+        c = bpe.Codec(ranks, r"[\s\S]+")
+        pieces = list({"".join(r.choices("abcd"[: 1 + seed % 4], k=r.randint(1, 40))).encode() for _ in range(300)})
+        assert c.merge_all(pieces) == [struct.pack(f"<{len(x)}I", *x) for x in map(c.merge, pieces)]
+        for piece in pieces[:40]:
+            parts = [piece[i : i + 1] for i in range(len(piece))]
+            while piece not in ranks and len(parts) > 1:
+                best, at = min((ranks.get(a + b, bpe.NONE), i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False)))
+                if best == bpe.NONE:
+                    break
+                parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            assert c.merge(piece) == [ranks[x] for x in ([piece] if piece in ranks else parts)]
+    assert c.merge_all([]) == []
+
+
+@pytest.mark.parametrize("run", [1, 5, 64])
+def test_bpe_splits_long_texts_piece_by_piece(monkeypatch, run):
+    monkeypatch.setattr(bpe, "RUN_CHARS", run)
+    c = bpe.Codec(bpe.codec().ranks, public_tokenizers.PATTERN)
+    texts = [None, *TEXTS[:-2], "it's we'll they're I've 'll 're    x \n\n y  '", "word  " * 300, " " * 500, "'r" * 50 + "'re" * 50, *(t[:900] for t in TEXTS[-2:])]
+    enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=c.ranks, special_tokens={})
+    got = [list(struct.unpack(f"<{len(x) // 4}I", x)) for x in c.encode_all(texts)]
+    assert got == [enc.encode_ordinary(t or "") for t in texts]
+
+
 def test_jump_hash_moves_only_into_new_shards():
     keys = np.arange(20000, dtype=np.int64) - 5000
     before = sharding.jump_hash(keys, 1)
