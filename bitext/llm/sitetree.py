@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -65,17 +66,23 @@ FURNITURE = re.compile(
     re.I,
 )
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)(/?)>", re.S)
+# Comments and declarations, and how a tag starts. Nothing here is tried in two ways.
+_START = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*+)", re.S)
+_REST = re.compile(r"((?:[^>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*+)>")
+_UNQUOTED = re.compile(r"([^>]*+)>")
 _ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _DIGITS = re.compile(r"\d+")
 
 
 class Node:
-    __slots__ = ("tag", "label", "parent", "children", "omit", "marked", "path", "size", "within", "plain", "main", "holds")
+    __slots__ = ("tag", "label", "parent", "children", "omit", "marked", "path", "depth", "para", "size", "within", "plain", "main", "holds")
 
     def __init__(self, tag: str, label: str, parent: Node | None, omit: bool, marked: bool = False):
         self.tag, self.label, self.parent, self.omit, self.marked = tag, label, parent, omit, marked
         self.children: list[Node | str] = []
+        self.depth = parent.depth + 1 if parent else 0
+        # The open paragraph that a block below this node ends.
+        self.para: Node | None = self if tag == "p" else parent.para if parent and tag in INLINE else None
         self.path = xxhash.xxh3_64_intdigest(label, parent.path if parent else 0) >> 1
 
 
@@ -90,69 +97,65 @@ def _describe(tag: str, attributes: str) -> tuple[str, bool, bool]:
 
 
 def parse(html: str | None) -> Node:
-    """Tree of a page, with the implied end tags of paragraphs, list items and table cells."""
+    """Tree of a page, with the implied end tags of paragraphs, list items and table cells.
+
+    A page that ends inside a tag loses that tag; where quotes leave a tag without an end,
+    they no longer count from there on. The time is linear in the page.
+    """
     root = Node("", "", None, False)
     if not html:
         return root
-    at, node, end = 0, root, len(html)
+    at, node, end, rest = 0, root, len(html), _REST
+    opened: defaultdict[str, list[Node]] = defaultdict(list)  # by tag, outermost first
+
+    def leave(last: Node) -> Node:
+        x = node
+        while x is not last.parent:
+            opened[x.tag].pop()
+            x = x.parent
+        return x
+
     while at < end:
-        m = _TOKEN.search(html, at)
+        m = _START.search(html, at)
         if m is None:
-            tail = html[at:]
-            cut = re.search(r"<[A-Za-z/!?][^>]*\Z", tail)  # a tag that the end of the page cut off
-            node.children.append(tail[: cut.start()] if cut else tail)
+            node.children.append(html[at:])
             break
         if m.start() > at:
             node.children.append(html[at : m.start()])
         at = m.end()
         if m[2] is None:
             continue
-        tag = m[2].lower()
+        inner = rest.match(html, at)
+        if inner is None and rest is _REST:
+            rest = _UNQUOTED
+            inner = rest.match(html, at)
+        if inner is None:
+            break
+        at = inner.end()
+        tag, attributes = m[2].lower(), inner[1]
         if m[1]:
-            up = node
-            while up is not root and up.tag != tag:
-                up = up.parent
-            if up is not root:
-                node = up.parent
+            if opened[tag]:
+                node = leave(opened[tag][-1])
             continue
-        node = _place(node, tag)
-        label, out, marked = _describe(tag, m[3])
-        new = Node(tag, label, node, out or tag in OMIT or (tag == "header" and not _inside(node, MAIN)), (marked or tag == "form") and tag not in ("html", "body"))
+        if tag in CLOSES_P and node.para is not None:
+            node = leave(node.para)
+        if tag in SIBLINGS:
+            near = max((opened[x][-1] for x in (*SIBLINGS[tag], *SCOPE[tag]) if opened[x]), key=lambda x: x.depth, default=None)
+            if near is not None and near.tag in SIBLINGS[tag]:
+                node = leave(near)
+        label, out, marked = _describe(tag, attributes)
+        lone_header = tag == "header" and not any(opened[x] for x in MAIN)
+        new = Node(tag, label, node, out or tag in OMIT or lone_header, (marked or tag == "form") and tag not in ("html", "body"))
         node.children.append(new)
         if tag in RAW:
             close = re.compile(rf"</{tag}\s*>", re.I).search(html, at)
             at = close.end() if close else end
-        elif tag not in VOID and not m[4]:
+        elif tag not in VOID and not attributes.endswith("/"):
+            opened[tag].append(new)
             node = new
     return root
 
 
-def _place(node: Node, tag: str) -> Node:
-    """The node below which a start tag goes: some end what is open."""
-    up = node
-    if tag in CLOSES_P:
-        x = node
-        while x.tag in INLINE:
-            x = x.parent
-        if x.tag == "p":
-            up = x.parent
-    if tag in SIBLINGS:
-        x = up
-        while x is not None and x.tag not in SCOPE[tag] and x.tag:
-            if x.tag in SIBLINGS[tag]:
-                return x.parent
-            x = x.parent
-    return up
-
-
-def _inside(node: Node | None, tags: tuple[str, ...]) -> bool:
-    while node is not None:
-        if node.tag in tags:
-            return True
-        node = node.parent
-    return False
-
-
 def _walk(node: Node) -> Iterator[Node]:
     stack = [node]
     while stack:
@@ -212,7 +215,7 @@ def main_text(html: str | None, low: frozenset[int] = frozenset(), modelled: boo
             blocks.append([])
         elif isinstance(x, str):
             if on:
-                blocks[-1].append(x)
+                blocks[-1].append(entities.unescape(x))
         elif x.tag == "br":
             blocks[-1].append(" ")
         elif not x.omit:
@@ -229,7 +232,7 @@ def main_text(html: str | None, low: frozenset[int] = frozenset(), modelled: boo
                 blocks.append([])
                 stack.append((None, False, False))
             stack.extend((c, on, inside) for c in reversed(x.children))
-    lines = (" ".join(entities.unescape("".join(b)).split()) for b in blocks)
+    lines = (" ".join("".join(b).split()) for b in blocks)
     return "\n".join(line for line in lines if line)
 
 
