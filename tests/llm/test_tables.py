@@ -94,6 +94,21 @@ def test_token_counts_across_blocks(docs, block):
     assert token_scan.token_counts(docs.limit(0)).count() == 0
 
 
+def test_wide_ids_and_taken_separators(spark, docs, tmp_path):
+    ranks = bpe.codec().ranks
+    wide = tmp_path / "wide.tiktoken"
+    wide.write_text("".join(f"{base64.b64encode(t).decode()} {r if r < 256 else r + 65536 - 256}\n" for t, r in ranks.items()))
+    few = docs.where("doc_id IS NULL OR doc_id <> 8")
+    want = sorted(((r.doc_id, r.n_tokens) for r in bpe.round_trip(few, str(wide)).collect()), key=repr)
+    got = token_scan.token_counts(few, str(wide), block=5)
+    assert sorted(((r.doc_id, r.n_tokens) for r in got.collect()), key=repr) == want
+    assert token_scan.layout(str(wide)) == token_scan.Layout(115536, "<u4")
+    assert token_scan.layout() == token_scan.Layout(50256, "<u2")
+    for eod in (17, -1, 1 << 32):
+        with pytest.raises(ValueError):
+            token_scan.layout(None, eod)
+
+
 def test_decontamination_in_one_and_in_many_blocks(spark, docs):
     items = spark.createDataFrame([(10, "The quick, BROWN fox"), (9, "a b"), (2, None), (None, "lorem"), (9, "a b"), (3, "nope nope")], "item_id long, text string")
     want = {1: (3, 2, ["9"]), 2: (1, 0, []), 4: (0, 0, []), 8: (100000, 20000, []), 9: (3, 2, ["9"]), 11: (5, 4, ["10"])}
