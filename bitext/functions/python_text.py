@@ -12,7 +12,12 @@ from pyspark.sql import functions as F
 
 from .compat import INLINE_TAGS
 
+# How extracted text is cleaned.
 _HAN_LINE = re.compile(r"[一-鿿]")
+_SPLIT_WORDS = re.compile(r"(?<=[A-Za-z0-9])\n(?=[A-Za-z0-9])")
+_BLANK_LINES = re.compile(r"\n{3,}")
+_GLOSS = re.compile(r"\s*\([^)]*[a-zA-Z].*\)$")
+
 _INLINE = re.compile(rf"<(/?)({'|'.join(INLINE_TAGS)})\b([^>]*)>", re.I)
 
 
@@ -28,9 +33,8 @@ def clean_text(text: str | None) -> str:
             continue
         out.append(line)
         alone = len(line.strip()) == 1 and bool(_HAN_LINE.match(line.strip()))
-    joined = re.sub(r"(?<=[A-Za-z0-9])\n(?=[A-Za-z0-9])", " ", "\n".join(out))
-    joined = re.sub(r"\n{3,}", "\n\n", joined)
-    return re.sub(r"\s*\([^)]*[a-zA-Z].*\)$", "", joined).strip()
+    joined = _BLANK_LINES.sub("\n\n", _SPLIT_WORDS.sub(" ", "\n".join(out)))
+    return _GLOSS.sub("", joined).strip()
 
 
 def clean_extracted(df: DataFrame, text: str = "text") -> DataFrame:

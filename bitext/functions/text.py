@@ -63,10 +63,11 @@ def detect_text_lang(c: Column) -> Column:
 
 
 def normalize_lang(c: Column, lower_unknown: bool = True) -> Column:
-    """Language name to code. Unknown names: lower-cased and ``en`` for none, or left as they are."""
+    """Language name to code; ``auto`` is ``en``. Unknown names: lower-cased and ``en`` for none, or left as they are."""
     t = F.lower(strip(text_or_empty(c)))
     out = F.when(t.isin("english", "en"), "en").when(t.isin("chinese", "chinese (simplified)", "chinese (traditional)", "zh"), "zh")
-    out = out.when(t.isin("japanese", "ja"), "ja").when(t.isin("korean", "ko"), "ko").when(t.isin("", "auto"), "en" if lower_unknown else "auto")
+    out = out.when(t.isin("japanese", "ja"), "ja").when(t.isin("korean", "ko"), "ko").when(t == "auto", "en")
+    out = out.when(t == "", "en") if lower_unknown else out
     return out.otherwise(t if lower_unknown else c)
 
 
@@ -144,6 +145,7 @@ def refusal_fallback(reply: Column, source: Column) -> Column:
     return F.when(bad, source).otherwise(r)
 
 
+# What counts as a tag to preserve.
 TAG_PATTERNS = (
     r"</?[a-zA-Z][a-zA-Z0-9]*(?:\s+[^>]*)?/?>",
     r'<span\s+data-jo-id="[^"]*"[^>]*>.*?</span>',

@@ -1,6 +1,7 @@
 """Quality checks over bitext (doc_id, seq, block_id, original, translated, preserved_tags, constraint).
 
-Issues have doc_id, block_id, type, severity, suggestion; ``detail`` names the term or tag.
+Issues have doc_id, block_id, type, severity, description, suggestion; ``detail`` names the
+term or tag.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from bitext.functions.text import layout_lines_match
 
 from .match import relevant_glossary
 
-ISSUE = ["doc_id", "block_id", "type", "severity", "detail", "suggestion"]
+ISSUE = ["doc_id", "block_id", "type", "severity", "detail", "description", "suggestion"]
 SEVERITIES = ("low", "medium", "high")
 
 
@@ -25,9 +26,29 @@ def _ratio() -> Column:
     return F.length("translated") / F.nullif(F.length("original"), F.lit(0))
 
 
-def _issue(kind: str, severity: Column, detail: Column, suggestion: Column | str) -> Column:
+def _issue(kind: str, severity: Column, detail: Column, description: Column, suggestion: Column | str) -> Column:
     suggestion = suggestion if isinstance(suggestion, Column) else F.lit(suggestion)
-    return F.struct(F.lit(kind).alias("type"), severity.alias("severity"), detail.alias("detail"), suggestion.alias("suggestion"))
+    return F.struct(F.lit(kind).alias("type"), severity.alias("severity"), detail.alias("detail"), description.alias("description"), suggestion.alias("suggestion"))
+
+
+# What issues say, with the places of their values, and what they advise.
+SHORT = "Translation is suspiciously short (%d vs %d chars, ratio %.2f). May have lost significant content."
+LONG = "Translation is suspiciously long (%d vs %d chars, ratio %.2f). May contain added content or hallucinations."
+OUTSIDE = "Translation length ratio %.2f is outside expected range (0.5-1.8). Verify content accuracy."
+OVERFLOW = "Concise block translation exceeds 1.2x limit (%.2fx, %d vs %d chars). May cause layout overflow."
+TAG_LOST = 'Tag "%s" from original was lost in translation'
+ELEMENT_LOST = 'Structural element "%s" was lost'
+TERM_MARKED = 'Term "%s" was marked uncertain (wrapped in <term> tags) instead of using glossary translation "%s"'
+TERM_MISSING = 'Glossary term "%s" should be "%s" but was not found in translation'
+SHORT_ADVICE = "Review and ensure all key information is preserved"
+LONG_ADVICE = "Review and trim any content not present in the original"
+OUTSIDE_ADVICE = "Check that translation preserves original meaning"
+OVERFLOW_ADVICE = "Compress translation using abbreviations and shorter phrasing"
+TAG_ADVICE = 'Re-insert tag "%s" at the appropriate position'
+ELEMENT_ADVICE = "Restore the missing element"
+TERM_ADVICE = 'Replace translation of "%s" with "%s"'
+#: Characters of a lost element that its description shows.
+SHOWN = 50
 
 
 def drift_severity() -> Column:
@@ -41,12 +62,15 @@ def overflow_severity() -> Column:
 
 
 def _drift() -> Column:
-    advice = F.when(_ratio() < 0.2, "Review and ensure all key information is preserved").when(_ratio() > 2.5, "Review and trim any content not present in the original")
-    return _issue("semantic_drift", drift_severity(), F.lit(""), advice.otherwise("Check that translation preserves original meaning"))
+    new, old, r = F.length("translated"), F.length("original"), _ratio()
+    said = F.when(r < 0.2, F.format_string(SHORT, new, old, r)).when(r > 2.5, F.format_string(LONG, new, old, r)).otherwise(F.format_string(OUTSIDE, r))
+    advice = F.when(r < 0.2, SHORT_ADVICE).when(r > 2.5, LONG_ADVICE).otherwise(OUTSIDE_ADVICE)
+    return _issue("semantic_drift", drift_severity(), F.lit(""), said, advice)
 
 
 def _overflow() -> Column:
-    return _issue("layout_overflow", overflow_severity(), F.lit(""), "Compress translation using abbreviations and shorter phrasing")
+    said = F.format_string(OVERFLOW, _ratio(), F.length("translated"), F.length("original"))
+    return _issue("layout_overflow", overflow_severity(), F.lit(""), said, OVERFLOW_ADVICE)
 
 
 def _lost_tags() -> Column:
@@ -58,7 +82,8 @@ def _lost_tags() -> Column:
         # A tag whose name is there in another form is not lost.
         opened = F.when(name != "", F.rlike(t, F.concat(F.lit("(?i)<"), name, F.lit(r"[\s>]"))))
         severity = F.when(name == "", "medium").when(~opened, "high")
-        return _issue("tag_lost", severity, tag, F.when(name == "", "Restore the missing element").otherwise(F.concat(F.lit('Re-insert tag "'), tag, F.lit('" at the appropriate position'))))
+        said = F.when(name == "", F.format_string(ELEMENT_LOST, F.left(tag, F.lit(SHOWN)))).otherwise(F.format_string(TAG_LOST, tag))
+        return _issue("tag_lost", severity, tag, said, F.when(name == "", ELEMENT_ADVICE).otherwise(F.format_string(TAG_ADVICE, tag)))
 
     missing = F.filter("preserved_tags", lambda tag: ~F.contains(t, tag))
     return F.transform(missing, issue)
@@ -87,10 +112,11 @@ def check_terms(bitext: DataFrame, glossary: DataFrame) -> DataFrame:
     missing = hits.where(~F.contains(F.lower("translated"), F.lower("target")))
     marker = F.concat(F.lit("<term>"), F.col("source"), F.lit("</term>"))
     marked = F.contains("translated", marker)
-    advice = F.concat(F.lit('Replace translation of "'), F.col("source"), F.lit('" with "'), F.col("target"), F.lit('"'))
+    advice = F.format_string(TERM_ADVICE, "source", "target")
+    said = F.when(marked, F.format_string(TERM_MARKED, "source", "target")).otherwise(F.format_string(TERM_MISSING, "source", "target"))
     return missing.select(
         "doc_id", "block_id", F.lit("term_mismatch").alias("type"), F.when(marked, "medium").otherwise("high").alias("severity"), F.col("source").alias("detail"),
-        F.when(marked, F.replace("translated", marker, F.col("target"))).otherwise(advice).alias("suggestion"),
+        said.alias("description"), F.when(marked, F.replace("translated", marker, F.col("target"))).otherwise(advice).alias("suggestion"),
     )
 
 

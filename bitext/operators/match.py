@@ -2,32 +2,35 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bitext.storage import materialize
 
-#: Glossary rows up to which all terms go along with every text.
-SMALL_GLOSSARY = 2000
-#: Anchors (a term and one of its trigrams each) up to which they are broadcast.
-BROADCAST_ANCHORS = 500_000
+#: Glossary rows, and bytes of their texts, up to which all terms go along with every text.
+SMALL_GLOSSARY, SMALL_BYTES = 2000, 1 << 20
+#: Bytes of anchors (a term and one of its grams each) up to which they are broadcast.
+BROADCAST_BYTES = 64 << 20
+#: Characters of a gram; shorter terms are grams themselves.
+GRAM = 3
 
 
 def relevant_glossary(blocks: DataFrame, glossary: DataFrame, keys: tuple[str, ...] = ("doc_id", "seq"), text: str = "text", small: int = SMALL_GLOSSARY) -> DataFrame:
     """keys, source, target: every glossary row whose source occurs in the text, in any case.
 
-    Up to ``small`` rows, counted first, the glossary is one array next to each text. Beyond,
-    terms are found by their rarest trigram.
+    Up to ``small`` rows of ``SMALL_BYTES``, counted first, the glossary is one array next to
+    each text. Beyond, terms are found by their rarest gram.
     """
     terms = glossary.where(F.col("source") != "").select("source", "target")
-    if terms.limit(small + 1).count() <= small:
+    rows, size = terms.agg(F.count(F.lit(1)), F.coalesce(F.sum(_bytes("source", "target")), F.lit(0))).first()
+    if rows <= small and size <= SMALL_BYTES:
         return _by_array(blocks, terms, keys, text)
-    short = terms.where(F.length("source") < 3)
-    long = _by_trigram(blocks, terms.where(F.length("source") >= 3), keys, text)
-    return long if short.limit(1).count() == 0 else long.unionByName(_by_array(blocks, short, keys, text))
+    return _by_gram(blocks, terms, keys, text)
+
+
+def _bytes(*columns: str) -> Column:
+    """About what a row of these texts takes in memory."""
+    return sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in columns), F.lit(16 * len(columns)))
 
 
 def _by_array(blocks: DataFrame, terms: DataFrame, keys: tuple[str, ...], text: str) -> DataFrame:
@@ -38,39 +41,49 @@ def _by_array(blocks: DataFrame, terms: DataFrame, keys: tuple[str, ...], text:
     return hits.select(*keys, "t.source", "t.target")
 
 
-def trigrams(c: Column) -> Column:
-    """Distinct trigrams of a text (slicing by position is linear in Python, not in SQL)."""
-
-    @F.pandas_udf("array<string>")
-    def cut(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in batches:
-            yield s.map(lambda t: list({t[i : i + 3] for i in range(len(t) - 2)}) if t else [])
-
-    return cut(c)
+def grams(c: Column, sizes: tuple[int, ...] = (GRAM,)) -> Column:
+    """Distinct character n-grams of a text; overlapping ones come from matches of no length."""
+    parts = [F.regexp_extract_all(c, F.lit(rf"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in sizes]
+    return F.array_distinct(F.concat(*parts))
 
 
-def _by_trigram(blocks: DataFrame, terms: DataFrame, keys: tuple[str, ...], text: str) -> DataFrame:
-    """Equi-join on one trigram per term, the one that fewest texts have; then verify.
+def _by_gram(blocks: DataFrame, terms: DataFrame, keys: tuple[str, ...], text: str) -> DataFrame:
+    """Equi-join on one gram per term, the one that fewest texts have; then verify.
 
-    Anchors are written and counted. Up to ``BROADCAST_ANCHORS`` they go to the texts, which
-    then take part in no shuffle. Beyond, the texts' trigrams go to the anchors without the
-    texts, and only the texts of candidates are joined again, by their keys.
+    Terms shorter than a gram are their own gram, so no list of terms meets every text. Only
+    grams that terms have are counted. Anchors are written and measured: up to
+    ``BROADCAST_BYTES`` they go to the texts, which then take part in no shuffle. Beyond, the
+    texts' grams go to the anchors without the texts, and only the texts of candidates are
+    joined again, by their keys.
     """
+    key = F.lower("source")
+    of_terms = terms.select("source", "target", key.alias("key"), F.explode(F.when(F.length(key) < GRAM, F.array(key)).otherwise(grams(key))).alias("gram"))
+    # A handful of rows: the lengths that grams have, up to GRAM.
+    sizes = tuple(sorted(r[0] for r in of_terms.select(F.length("gram")).distinct().collect()))
     texts = blocks.select(*keys, F.lower(text).alias("low"))
-    grams = texts.select(*keys, "low", F.explode(trigrams(F.col("low"))).alias("gram"))
-    of_terms = terms.select("source", "target", F.lower("source").alias("key")).select("*", F.explode(trigrams(F.col("key"))).alias("gram"))
-    frequency = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
-    # Terms with a trigram that no text has occur nowhere: its frequency is 0, and it matches nothing.
-    rare = of_terms.join(frequency, "gram", "left").groupBy("source", "target", "key").agg(F.min(F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("m"))
-    anchors = materialize(rare.select("source", "target", "key", F.col("m.gram").alias("gram")), "anchors")
-    if anchors.limit(BROADCAST_ANCHORS + 1).count() <= BROADCAST_ANCHORS:
-        hits = grams.join(F.broadcast(anchors), "gram")
+    found = texts.select(*keys, "low", F.explode(grams(F.col("low"), sizes)).alias("gram"))
+    known = materialize(of_terms.groupBy("gram").agg(F.count(F.lit(1)).alias("terms")).select("gram"), "grams")
+    frequency = found.join(_small(known, "gram"), "gram", "left_semi").groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    # Terms with a gram that no text has occur nowhere: its frequency is 0, and it matches nothing.
+    rare = of_terms.join(frequency, "gram", "left").groupBy("source", "target", "key").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("m"))
+    anchors = materialize(rare.where("m.n > 0").select("source", "target", "key", F.col("m.gram").alias("gram")), "anchors")
+    if _size(anchors, "source", "target", "key", "gram") <= BROADCAST_BYTES:
+        hits = found.join(F.broadcast(anchors), "gram")
     else:
-        candidates = grams.select(*keys, "gram").distinct().join(anchors, "gram").drop("gram")
+        candidates = found.select(*keys, "gram").distinct().join(anchors, "gram").drop("gram")
         hits = texts.join(candidates, list(keys))
     return hits.where(F.col("low").contains(F.col("key"))).select(*keys, "source", "target")
 
 
+def _size(df: DataFrame, *columns: str) -> int:
+    return df.agg(F.coalesce(F.sum(_bytes(*columns)), F.lit(0))).first()[0]
+
+
+def _small(df: DataFrame, *columns: str) -> DataFrame:
+    """``df``, marked for a broadcast where its measured size allows it."""
+    return F.broadcast(df) if _size(df, *columns) <= BROADCAST_BYTES else df
+
+
 def terms_by_lang_pair(terms: DataFrame, source_lang: str, target_lang: str) -> DataFrame:
     return terms.where((F.col("source_lang") == source_lang) & (F.col("target_lang") == target_lang))
 

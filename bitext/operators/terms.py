@@ -39,13 +39,15 @@ def merge_terms(existing: DataFrame, incoming: DataFrame, now: str = "2024-01-01
         F.coalesce("target_lang", F.lit("")).alias("k_tl"), F.coalesce("domain", F.lit("")).alias("k_domain"),
     )
     old = old.withColumn("first", F.row_number().over(own) == 1)
-    new = valid_terms(incoming).select(
-        "seq", "source", "target", "confirmed", F.lower("source").alias("k_source"), _or("source_lang", DEFAULTS["source_lang"]).alias("k_sl"),
+    # Equal rows become one first: counts and largest seq fit a hash aggregate, what is left is a vocabulary.
+    same = incoming.groupBy("source", "target", "source_lang", "target_lang", "domain", "confirmed").agg(F.count(F.lit(1)).alias("n"), F.max("seq").alias("seq"))
+    new = valid_terms(same).select(
+        "seq", "n", "source", "target", "confirmed", F.lower("source").alias("k_source"), _or("source_lang", DEFAULTS["source_lang"]).alias("k_sl"),
         _or("target_lang", DEFAULTS["target_lang"]).alias("k_tl"), _or("domain", DEFAULTS["domain"]).alias("k_domain"),
     )
     keys = ["k_source", "k_sl", "k_tl", "k_domain"]
     new = new.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"), F.max_by(F.struct("source", "target"), "seq").alias("last"),
+        F.sum("n").alias("n"), F.max_by(F.struct("source", "target"), "seq").alias("last"),
         F.max_by("confirmed", F.when(F.col("confirmed").isNotNull(), F.col("seq"))).alias("flag"),
     ).withColumn("first", F.lit(True))
     both = old.join(new, [*keys, "first"], "full_outer")

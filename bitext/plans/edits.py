@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -72,16 +72,19 @@ def candidates(source: str, old: str, new: str) -> list[tuple[str, str, str, flo
 def term_candidates(edits: DataFrame) -> DataFrame:
     """doc_id, block_id, pos, source, target, old_target, confidence of edits (source_text, before_text, after_text)."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            rows = [
-                (d, b, pos, *c)
-                for d, b, s, old, new in zip(f["doc_id"], f["block_id"], f["source_text"], f["before_text"], f["after_text"], strict=True)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [
+                (row, pos, *c)
+                for row, (s, old, new) in enumerate(zip(*(batch.column(k).to_pylist() for k in (2, 3, 4)), strict=True))
                 for pos, c in enumerate(candidates(s or "", old or "", new or ""))
             ]
-            yield pd.DataFrame(rows, columns=["doc_id", "block_id", "pos", "source", "target", "old_target", "confidence"])
+            row, *columns = zip(*found, strict=True) if found else [()] * 6
+            ids = [batch.column(k).take(pa.array(row, pa.int64())) for k in (0, 1)]
+            kinds = (pa.int32(), pa.string(), pa.string(), pa.string(), pa.float64())
+            yield pa.RecordBatch.from_arrays([*ids, *map(pa.array, columns, kinds)], names=["doc_id", "block_id", "pos", "source", "target", "old_target", "confidence"])
 
     # Unchanged texts never reach Python.
     changed = edits.where(~F.col("before_text").eqNullSafe(F.col("after_text"))).select("doc_id", "block_id", "source_text", "before_text", "after_text")
     kind = changed.schema["doc_id"].dataType.simpleString()
-    return changed.mapInPandas(run, f"doc_id {kind}, block_id string, pos int, source string, target string, old_target string, confidence double")
+    return changed.mapInArrow(run, f"doc_id {kind}, block_id string, pos int, source string, target string, old_target string, confidence double")

@@ -1,4 +1,8 @@
-"""Batch inference with a pluggable function: batched calls, halving, retries, fallbacks."""
+"""Batch inference with a pluggable function: batched calls, halving, retries, fallbacks.
+
+Replies are written to the shared folder as soon as they are there, so a block is asked for
+once, however often its reply is used, and all uses see the same one.
+"""
 
 from __future__ import annotations
 
@@ -7,12 +11,13 @@ import time
 from collections.abc import Callable, Iterator, Sequence
 from functools import partial
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from bitext.operators import checks, workspace
+from bitext.storage import materialize
 
 Translate = Callable[[list[str]], list[str]]
 FATAL = ("401", "403", "UNAUTHORIZED", "PERMISSION_DENIED", "API_KEY_INVALID", "API key")
@@ -77,18 +82,24 @@ def translate_blocks(rows: DataFrame, fn: Translate, batch: int = 20, terms: Seq
 
     The number of partitions is the number of concurrent callers.
     """
-    rows = rows.drop(out)
-    schema = T.StructType([*rows.schema.fields, T.StructField(out, T.StringType())])
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            texts = [t or "" for t in frame[text]]
-            done: list[str] = []
-            for at in range(0, len(texts), batch):
-                done += translate_batch(texts[at : at + batch], fn, terms)
-            yield frame.assign(**{out: done})
+    def translated(texts: list[str | None]) -> list[str | None]:
+        given = [t or "" for t in texts]
+        return [x for at in range(0, len(given), batch) for x in translate_batch(given[at : at + batch], fn, terms)]
+
+    return _asked(rows.drop(out), text, out, translated)
 
-    return rows.mapInPandas(run, schema)
+
+def _asked(rows: DataFrame, text: str, out: str, fn: Callable[[list[str | None]], list[str | None]]) -> DataFrame:
+    """``rows``, untouched, plus a column of what ``fn`` makes of ``text``; stored at once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for given in batches:
+            replies = fn(given.column(given.schema.get_field_index(text)).to_pylist())
+            yield pa.RecordBatch.from_arrays([*given.columns, pa.array(replies, pa.string())], names=[*given.schema.names, out])
+
+    schema = T.StructType([*rows.schema.fields, T.StructField(out, T.StringType())])
+    return materialize(rows.mapInArrow(run, schema), "replies")
 
 
 def polish_blocks(requests: DataFrame, bitext: DataFrame, fn: Translate, batch: int = 20) -> DataFrame:
@@ -106,24 +117,17 @@ def polish_blocks(requests: DataFrame, bitext: DataFrame, fn: Translate, batch:
 
 def ask_documents(requests: DataFrame, fn: Translate, tries: int = 2) -> DataFrame:
     """``requests`` plus ``reply``: one retry, then null. Parsers turn null into defaults."""
-    schema = T.StructType([*requests.schema.fields, T.StructField("reply", T.StringType())])
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            replies = []
-            for prompt in frame["prompt"]:
-                reply = None
-                for _ in range(tries):
-                    try:
-                        reply = fn([prompt])[0]
-                        break
-                    except Exception as e:
-                        if any(x in str(e) for x in FATAL):
-                            raise
-                replies.append(reply)
-            yield frame.assign(reply=pd.Series(replies, dtype=object, index=frame.index))
-
-    return requests.mapInPandas(run, schema)
+
+    def ask(prompt: str | None) -> str | None:
+        for _ in range(tries):
+            try:
+                return fn([prompt or ""])[0]
+            except Exception as e:
+                if any(x in str(e) for x in FATAL):
+                    raise
+        return None
+
+    return _asked(requests.drop("reply"), "prompt", "reply", lambda prompts: [ask(p) for p in prompts])
 
 
 def review_round(bitext: DataFrame, issues: DataFrame, glossary: DataFrame, fn: Translate, max_retries: int = 2) -> tuple[DataFrame, DataFrame]:

@@ -12,8 +12,10 @@ from bitext.functions.text import strip_html
 BLOCK_TAGS = ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "title", "td", "blockquote")
 #: Element, attributes and inner markup of the leftmost, shortest, non-nested block elements.
 HTML_BLOCK = rf"(?is)<({'|'.join(BLOCK_TAGS)})\b([^>]*)>(.*?)</\1>"
+# Lines that stand alone, characters of East Asian text, marks that end a paragraph.
 SPECIAL_LINE = r"^(?:[0-9]+(?:\.[0-9]+)*|\*|-|•|◆|Section|Chapter|Title|Page)(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
 EAST_ASIAN_END = r"[぀-ヿ㐀-䶿一-鿿豈-﫿ｦ-ﾟ]\z"
+CLOSING_MARK = r"[.:!?。！？’”」]\z"
 
 
 def scan_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -23,9 +25,9 @@ def scan_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
 
 def scan_html_blocks(df: DataFrame, html: str = "html", doc_id: str = "page_id") -> DataFrame:
     """doc_id, seq, tag, text (inner markup) of block elements that have text."""
-    blocks = F.arrays_zip(
-        F.regexp_extract_all(html, F.lit(HTML_BLOCK), F.lit(1)).alias("tag"), F.regexp_extract_all(html, F.lit(HTML_BLOCK), F.lit(3)).alias("inner")
-    )
+    # One search of the page; an element's own tag and markup follow from its ends.
+    elements = F.regexp_extract_all(html, F.lit(HTML_BLOCK), F.lit(0))
+    blocks = F.transform(elements, lambda e: F.struct(F.regexp_extract(e, HTML_BLOCK, 1).alias("tag"), F.regexp_extract(e, HTML_BLOCK, 3).alias("inner")))
     found = df.select(F.col(doc_id).alias("doc_id"), F.posexplode(F.filter(blocks, lambda b: strip_html(b["inner"]) != "")).alias("seq", "b"))
     return found.select("doc_id", "seq", F.lower("b.tag").alias("tag"), F.col("b.inner").alias("text"))
 
@@ -51,7 +53,7 @@ def reconstruct_paragraphs(lines: DataFrame) -> DataFrame:
     rows = lines.select("doc_id", "seq", strip(F.col("text")).alias("line"))
     order = Window.partitionBy("doc_id").orderBy("seq")
     special = F.col("line").rlike(SPECIAL_LINE) | (F.length("line") < 25)
-    closes = F.col("line").rlike(r"[.:!?。！？’”」]\z") | (F.length("line") < 50)
+    closes = F.col("line").rlike(CLOSING_MARK) | (F.length("line") < 50)
     rows = rows.select("*", (F.col("line") == "").alias("blank"), special.alias("special"), closes.alias("closes"))
     before = F.lag(F.struct("blank", "special", "closes")).over(order)
     starts = before.isNull() | before["blank"] | before["special"] | before["closes"] | F.col("blank") | F.col("special")

@@ -5,9 +5,11 @@ from __future__ import annotations
 import io
 import re
 import zipfile
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,6 +24,8 @@ KINDS = {
     "pptx": (r"(?s)<a:p\b[^>]*>.*?</a:p>", r"(?s)<a:t\b[^>]*>(.*?)</a:t>", r"^ppt/.*\.xml$"),
     "epub": (HTML_BLOCK, "", r"(?i)\.(?:xhtml|html|htm)$"),
 }
+#: What reading a damaged or encrypted archive raises.
+DAMAGE = (zipfile.BadZipFile, zlib.error, EOFError, OSError, RuntimeError, NotImplementedError, ValueError)
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
@@ -29,24 +33,47 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def unzip_parts(files: DataFrame, kind: str) -> DataFrame:
-    """doc_id (the path), part, xml of a container's text parts, in the archive's order."""
+    """doc_id (the path), part, xml of a container's text parts, in the archive's order.
+
+    A part that cannot be read has no xml but an ``error``; a file that is no archive, or has no
+    content, is one such row without a part.
+    """
     wanted = re.compile(KINDS[kind][2])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def parts(content: bytes | None) -> Iterator[tuple]:
+        try:
+            with zipfile.ZipFile(io.BytesIO(content or b"")) as z:
+                names = [n for n in z.namelist() if wanted.search(n) and "[Content_Types]" not in n]
+                for i, name in enumerate(names):
+                    try:
+                        yield i, name, z.read(name).decode("utf-8", "replace"), None
+                    except DAMAGE as e:
+                        yield i, name, None, f"{type(e).__name__}: {e}"
+        except DAMAGE as e:
+            yield None, None, None, f"{type(e).__name__}: {e}"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.string(), pa.int32(), pa.string(), pa.string(), pa.string())
         for batch in batches:
-            for path, content in zip(batch["path"], batch["content"], strict=True):
-                with zipfile.ZipFile(io.BytesIO(content)) as z:
-                    names = [n for n in z.namelist() if wanted.search(n) and "[Content_Types]" not in n]
-                    for i, name in enumerate(names):
-                        yield pd.DataFrame({"doc_id": [path], "part_no": [i], "part": [name], "xml": [z.read(name).decode("utf-8", "replace")]})
+            for path, content in zip(*batch.columns, strict=True):
+                for row in parts(content.as_py()):
+                    yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((path.as_py(), *row), kinds, strict=True)], names=["doc_id", "part_no", "part", "xml", "error"])
+
+    return files.select("path", "content").mapInArrow(run, "doc_id string, part_no int, part string, xml string, error string")
+
 
-    return files.select("path", "content").mapInPandas(run, "doc_id string, part_no int, part string, xml string")
+def damaged(files: DataFrame, kind: str) -> DataFrame:
+    """doc_id, part, error of what ``scan_container`` leaves out."""
+    return unzip_parts(files, kind).where("error IS NOT NULL").select("doc_id", "part", "error")
 
 
 def scan_container(files: DataFrame, kind: str) -> DataFrame:
-    """doc_id, part, p_index, text of paragraphs with text; entities stay as they are."""
+    """doc_id, part, p_index, text of paragraphs with text; entities stay as they are.
+
+    Damaged files and parts give no paragraphs (see ``damaged``).
+    """
     paragraph, run, _ = KINDS[kind]
-    parts = unzip_parts(files, kind)
+    parts = unzip_parts(files, kind).where("error IS NULL")
     found = parts.select("doc_id", "part_no", "part", F.posexplode(F.regexp_extract_all("xml", F.lit(paragraph), F.lit(0))).alias("p_index", "p"))
     if kind == "epub":
         text = F.regexp_extract("p", HTML_BLOCK, 3)
@@ -84,7 +111,10 @@ def rewrite_part(xml: str, kind: str, texts: dict[int, str]) -> str:
 
 
 def repack(files: DataFrame, bitext: DataFrame, kind: str) -> DataFrame:
-    """path, content with translations (doc_id, part, p_index, translated) put back; parts are stored uncompressed."""
+    """path, content with translations (doc_id, part, p_index, translated) put back; parts are stored uncompressed.
+
+    A damaged file, or one without content, comes back as it is.
+    """
 
     def one(key: tuple, own: pd.DataFrame, texts: pd.DataFrame) -> pd.DataFrame:
         if own.empty:
@@ -93,11 +123,14 @@ def repack(files: DataFrame, bitext: DataFrame, kind: str) -> DataFrame:
         for part, index, text in zip(texts["part"], texts["p_index"], texts["translated"], strict=True):
             if text is not None:
                 by_part.setdefault(part, {})[int(index)] = text
-        out = io.BytesIO()
-        with zipfile.ZipFile(io.BytesIO(own["content"].iloc[0])) as z, zipfile.ZipFile(out, "w", zipfile.ZIP_STORED) as new:
-            for name in z.namelist():
-                raw = z.read(name)
-                new.writestr(name, rewrite_part(raw.decode("utf-8", "replace"), kind, by_part[name]) if name in by_part else raw)
+        given, out = own["content"].iloc[0], io.BytesIO()
+        try:
+            with zipfile.ZipFile(io.BytesIO(given or b"")) as z, zipfile.ZipFile(out, "w", zipfile.ZIP_STORED) as new:
+                for name in z.namelist():
+                    raw = z.read(name)
+                    new.writestr(name, rewrite_part(raw.decode("utf-8", "replace"), kind, by_part[name]) if name in by_part else raw)
+        except DAMAGE:
+            return pd.DataFrame({"path": [key[0]], "content": [given]})
         return pd.DataFrame({"path": [key[0]], "content": [out.getvalue()]})
 
     own = files.select("path", "content").groupBy("path")

@@ -62,8 +62,6 @@ TERM = T.StructType([
     T.StructField("frequency", T.LongType()), T.StructField("confirmed", T.BooleanType()),
     T.StructField("created_at", T.TimestampType()), T.StructField("updated_at", T.TimestampType()),
 ])
-#: Comma-separated fields of a term line that are read.
-CSV_FIELDS = 20
 #: Columns of exported files and the names they have there.
 EXPORT = {"source": "source", "target": "target", "source_lang": "sourceLang", "target_lang": "targetLang", "domain": "domain", "confirmed": "confirmed", "frequency": "frequency"}
 
@@ -109,6 +107,21 @@ def read_glossary_json(spark: SparkSession, path: str, lines: bool = False) -> D
     return rows.withColumnsRenamed({"sourceLang": "source_lang", "targetLang": "target_lang"})
 
 
+def csv_fields(line: Column) -> Column:
+    """All fields of one line, as many as it has.
+
+    Cut at the quotes, every other piece lies inside quotes. An empty piece between two quoted
+    ones is a doubled quote; commas of the other outer pieces end fields. Line ends become blanks.
+    """
+
+    def piece(x: Column, i: Column, last: Column) -> Column:
+        outer = F.when((x == "") & (i > 0) & (i < last), '"').otherwise(F.replace(x, F.lit(","), F.lit("\n")))
+        return F.when(i % 2 == 0, outer).otherwise(x)
+
+    pieces = F.split(F.replace(line, F.lit("\n"), F.lit(" ")), '"')
+    return F.split(let(pieces, lambda p: F.array_join(F.transform(p, lambda x, i: piece(x, i, F.size(p) - 1)), "")), "\n")
+
+
 def parse_term_lines(
     lines: DataFrame, source_lang: str = "Auto", target_lang: str = "zh-CN", domain: str = "general", confirmed: bool = True, line: str = "line"
 ) -> DataFrame:
@@ -118,8 +131,7 @@ def parse_term_lines(
     with quotes; all after the first part is the target, joined by commas.
     """
     t = strip(F.col(line))
-    csv = F.from_csv(t, ", ".join(f"c{i} string" for i in range(CSV_FIELDS)), {"quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false", "emptyValue": "", "nullValue": "\x00"})
-    fields = let(csv, lambda r: F.filter(F.array(*(r[f"c{i}"] for i in range(CSV_FIELDS))), lambda x: x.isNotNull()))
+    fields = csv_fields(t)
     parts = F.when(t.contains("=>"), F.split(t, "=>")).when(t.contains("→"), F.split(t, "→")).when(t.contains("\t"), F.split(t, "\t")).otherwise(fields)
     rows = lines.where((t != "") & ~t.startswith("#")).withColumn("parts", parts).where(F.size("parts") >= 2)
     source = normalize_term(F.try_element_at("parts", F.lit(1)))

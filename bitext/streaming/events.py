@@ -92,10 +92,9 @@ def session_processor() -> StatefulProcessor:
 def evict_stale_sessions(events: DataFrame, lateness: str = "10 minutes") -> DataFrame:
     """doc_id, created (microseconds), events of every session that has ended, from a stream of (doc_id, ts).
 
-    The watermark bounds the state; later rows are dropped.
+    The watermark bounds the state; later rows are dropped. The query needs the RocksDB state
+    store, which ``runs.run_available`` gives it.
     """
-    spark = events.sparkSession
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     rows = events.select("doc_id", "ts").withWatermark("ts", lateness)
     return rows.groupBy("doc_id").transformWithStateInPandas(
         statefulProcessor=session_processor(), outputStructType="doc_id long, created long, events long", outputMode="Append", timeMode="EventTime"

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
@@ -28,11 +31,28 @@ def finish(query: StreamingQuery, timeout: int | None = None) -> None:
         query.stop()
 
 
-def run_available(stream: DataFrame, mode: str, name: str) -> DataFrame:
+#: State store that timers and several state variables need.
+ROCKSDB = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
+
+
+@contextmanager
+def settings(spark: SparkSession, conf: dict[str, str]) -> Iterator[None]:
+    """Session settings for a while; a query keeps those it was started with."""
+    before = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def run_available(stream: DataFrame, mode: str, name: str, conf: dict[str, str] = ROCKSDB) -> DataFrame:
     """Process what is there now and return it: all rows in append mode, the last result in complete mode.
 
     Each micro-batch goes to a folder of its own, named by its id, so a repeated one replaces
-    itself.
+    itself. ``conf`` holds session settings of this query alone.
     """
     spark = stream.sparkSession
     path = new_path(spark, name)
@@ -41,6 +61,7 @@ def run_available(stream: DataFrame, mode: str, name: str) -> DataFrame:
         target = path + "/rows" if mode == "complete" else f"{path}/rows/batch={batch_id}"
         batch.write.mode("overwrite").parquet(target)
 
-    query = stream.writeStream.outputMode(mode).option("checkpointLocation", path + "/state").trigger(availableNow=True).foreachBatch(write).start()
-    finish(query)
+    with settings(spark, conf):
+        query = stream.writeStream.outputMode(mode).option("checkpointLocation", path + "/state").trigger(availableNow=True).foreachBatch(write).start()
+        finish(query)
     return spark.read.schema(stream.schema).parquet(path + "/rows")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import random
 import zipfile
 
 import pytest
@@ -65,6 +66,33 @@ def test_term_lines(spark):
     assert got[0].source_lang == "en"
 
 
+def csv_by_hand(line):
+    out, field, quoted, i = [], "", False, 0
+    while i < len(line):
+        c = line[i]
+        if quoted and line[i : i + 2] == '""':
+            field += '"'
+            i += 1
+        elif c == '"':
+            quoted = not quoted
+        elif c == "," and not quoted:
+            out.append(field)
+            field = ""
+        else:
+            field += c
+        i += 1
+    return [*out, field]
+
+
+def test_term_lines_have_any_number_of_fields(spark):
+    r = random.Random(8)
+    lines = ["a," + ",".join(f"t{i}" for i in range(500)), '"a,b",c', 'a"b,c"d,e', '"",x', ',', '', '"a""', 'x,"" ""', *("".join(r.choices('ab",  ', k=r.randint(1, 14))) for _ in range(400))]
+    got = spark.createDataFrame([(x,) for x in lines], "line string").select("line", glossary.csv_fields(F.col("line"))).collect()
+    assert {r[0]: r[1] for r in got} == {x: csv_by_hand(x) for x in lines}
+    row = glossary.parse_term_lines(spark.createDataFrame([(lines[0],)], "line string")).first()
+    assert row.target == ",".join(f"t{i}" for i in range(500))
+
+
 def test_glossary_files(spark, tmp_path):
     csv = tmp_path / "g.csv"
     csv.write_text('source,target,confirmed\n"a ""q""",b,true\nshort\n,x,true\nc,d,false\n', encoding="utf-8")
@@ -111,16 +139,102 @@ def test_terms_and_tags(spark):
 
 @pytest.mark.parametrize("anchors", [0, 1000])
 def test_contains_join_has_no_cartesian_product_on_its_large_path(spark, monkeypatch, anchors):
-    monkeypatch.setattr(match, "BROADCAST_ANCHORS", anchors)
+    monkeypatch.setattr(match, "BROADCAST_BYTES", anchors)
     texts = spark.createDataFrame([(1, 0, "The Quick brown fox"), (2, 0, "nothing"), (3, 0, None)], "doc_id long, seq long, text string")
     g = spark.createDataFrame([("quick b", "x"), ("ox", "y"), ("zzz", "z"), ("THE", "t")], "source string, target string")
     large = match.relevant_glossary(texts, g, small=1)
     small = match.relevant_glossary(texts, g)
     want = {(1, "quick b"), (1, "ox"), (1, "THE")}
     assert {(r.doc_id, r.source) for r in large.collect()} == want == {(r.doc_id, r.source) for r in small.collect()}
-    plan = match.relevant_glossary(texts, g.where("length(source) > 2"), small=1)._jdf.queryExecution().executedPlan().toString()
+    plan = match.relevant_glossary(texts, g, small=1)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan
     assert "BroadcastNestedLoopJoin" not in plan
+    assert "Python" not in plan
+
+
+def test_contains_join_finds_terms_of_any_length(spark):
+    r = random.Random(2)
+    sources = {"".join(r.choices("abc东西 ", k=r.randint(1, 5))) for _ in range(120)} | {"İ", "ß", "\n"}
+    rows = [(i, "".join(r.choices("ABCabc东西\n ", k=r.randint(0, 30))) + r.choice(["", "İx", "ẞ"])) for i in range(80)]
+    texts = spark.createDataFrame(rows, "doc_id long, text string").withColumn("seq", F.lit(0))
+    g = spark.createDataFrame([(s, s[::-1]) for s in sources], "source string, target string")
+    both = [sorted((x.doc_id, x.source) for x in match.relevant_glossary(texts, g, small=n).collect()) for n in (0, 2000)]
+    assert both[0] == both[1] and len(both[0]) > 500
+
+
+def test_incoming_rows_are_counted_before_they_are_sorted(spark):
+    merged = terms.merge_terms(base(spark, ("AI", "人工智能")), incoming(spark, *[("ai", "b", None)] * 3))
+    plan = merged._jdf.queryExecution().executedPlan().toString()
+    first = plan.rindex("HashAggregate(keys=[source")
+    assert all(plan.rindex("SortAggregate", 0, first) < first for _ in [0])
+    assert [tuple(x) for x in merged.where("change = 'updated'").select("target", "frequency").collect()] == [("b", 4)]
+
+
+def test_issues_carry_descriptions(spark):
+    rows = [(1, 0, "b0", "A term, " * 5, "<term>term</term>" * 10, ["<b>", "**x**"], "Concise"), (1, 1, "b1", "x" * 100, "y", ["<i>"], "x"), (1, 2, "b2", "the term", "y" * 5, [], "x"), (1, 3, "b3", "x" * 100, "y" * 25, [], "x")]
+    df = spark.createDataFrame(rows, bitext(spark, [1], "x").schema)
+    g = spark.createDataFrame([("term", "Begriff")], "source string, target string")
+    found = checks.check_all(df, g)
+    assert checks.valid_issues(found).count() == found.count() == 9
+    said = {(r.block_id, r.type, r.severity): r.description for r in found.collect()}
+    assert said["b0", "layout_overflow", "high"] == "Concise block translation exceeds 1.2x limit (4.25x, 170 vs 40 chars). May cause layout overflow."
+    assert said["b1", "semantic_drift", "high"] == "Translation is suspiciously short (1 vs 100 chars, ratio 0.01). May have lost significant content."
+    assert said["b0", "semantic_drift", "medium"] == "Translation is suspiciously long (170 vs 40 chars, ratio 4.25). May contain added content or hallucinations."
+    assert said["b3", "semantic_drift", "low"] == "Translation length ratio 0.25 is outside expected range (0.5-1.8). Verify content accuracy."
+    assert said["b0", "tag_lost", "high"] == 'Tag "<b>" from original was lost in translation'
+    assert said["b0", "tag_lost", "medium"] == 'Structural element "**x**" was lost'
+    assert said["b0", "term_mismatch", "medium"].startswith('Term "term" was marked uncertain')
+    assert said["b2", "term_mismatch", "high"] == 'Glossary term "term" should be "Begriff" but was not found in translation'
+
+
+def counting(folder):
+    """A model that notes each text it is asked for, and answers differently every time."""
+
+    def fn(texts):
+        import uuid
+        from pathlib import Path
+
+        for t in texts:
+            (Path(folder) / uuid.uuid4().hex).write_text(t)
+        return [f"{t} {uuid.uuid4().hex}" for t in texts]
+
+    return fn
+
+
+def test_each_block_is_asked_for_once(spark, tmp_path):
+    rows = [(2**53 + 1, 0, "b0", "the API", "x", ["<b>"], "x", 0), (2**53 + 2, 1, "b1", "word", "words", [], "x", None), (None, 2, "b2", "rest", "rest of it", [], "x", 1)]
+    df = spark.createDataFrame(rows, "doc_id long, seq int, block_id string, original string, translated string, preserved_tags array<string>, constraint string, retry_count int")
+    g = spark.createDataFrame([("api", "接口")], "source string, target string")
+    after, issues = inference.review_round(df, checks.check_all(df, g), g, counting(tmp_path))
+    assert [p.read_text() for p in tmp_path.iterdir()] == ["the API"]
+    got = {r.block_id: r for r in after.collect()}
+    assert {b: r.doc_id for b, r in got.items()} == {"b0": 2**53 + 1, "b1": 2**53 + 2, "b2": None}
+    # The issues are about the very text that is returned.
+    long = [r.description for r in issues.where("block_id = 'b0' AND type = 'semantic_drift'").collect()]
+    assert long and f"({len(got['b0'].translated)} vs 7 chars" in long[0]
+    assert len(list(tmp_path.iterdir())) == 1
+    asked = inference.ask_documents(spark.createDataFrame([(2**60 + 1, "p"), (None, None)], "doc_id long, prompt string"), counting(tmp_path))
+    assert sorted(r.doc_id or 0 for r in asked.collect()) == [0, 2**60 + 1] and asked.where("reply is null").count() == 0
+    assert len(list(tmp_path.iterdir())) == 3
+    changed = spark.createDataFrame([(2**53 + 1, "b", "The big cat.", "le gros chat noir", "le grand chat noir")], "doc_id long, block_id string, source_text string, before_text string, after_text string")
+    assert {r.doc_id for r in edits.term_candidates(changed).collect()} == {2**53 + 1}
+    assert edits.term_candidates(changed.limit(0)).count() == 0
+
+
+def test_damaged_containers_end_no_job(spark):
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_STORED) as z:
+        z.writestr("word/a.xml", "<w:p><w:r><w:t>good part</w:t></w:r></w:p>")
+        z.writestr("word/document.xml", "<w:p><w:r><w:t>hello there</w:t></w:r></w:p>")
+    good = out.getvalue()
+    files = [("ok", good), ("half", good.replace(b"hello there", b"hallo there", 1)), ("text", b"no archive"), ("empty", b""), ("none", None)]
+    df = spark.createDataFrame(files, "path string, content binary")
+    assert sorted((r.doc_id, r.text) for r in containers.scan_container(df, "docx").collect()) == [("half", "good part"), ("ok", "good part"), ("ok", "hello there")]
+    assert {(r.doc_id, r.part) for r in containers.damaged(df, "docx").collect()} == {("half", "word/document.xml"), ("text", None), ("empty", None), ("none", None)}
+    texts = spark.createDataFrame([(p, "word/document.xml", 0, "salut") for p, _ in files], "doc_id string, part string, p_index int, translated string")
+    back = {r.path: r.content for r in containers.repack(df, texts, "docx").collect()}
+    assert back["text"] == b"no archive" and back["none"] is None and back["half"] == dict(files)["half"]
+    assert b"salut" in back["ok"]
 
 
 def test_local_checks_scan_once(spark):
