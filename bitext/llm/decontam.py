@@ -3,8 +3,11 @@
 Words are maximal runs outside ASCII non-alphanumerics after lower-casing A-Z. Each run of
 ``WINDOW`` item words is a pattern; an item with fewer words is one pattern. The search moves
 a window over the document's word ids: a shift table over blocks of two words skips places
-where no pattern can end, the bucket of the last block selects patterns, and a direct
-comparison confirms them. Pattern lengths are searched one by one, longest first.
+where no pattern can end, buckets by the hash of the last and the first block select patterns,
+and a direct comparison confirms them. Pattern lengths are searched one by one, longest first.
+
+Tables are sorted arrays: the items' words once, a shift per distinct block and a bucket entry
+per pattern, about 30 bytes a word, and a dictionary of the distinct words.
 
 Defined results: null or wordless texts have no words and no hits; an item without words has
 no window; items without an id mark words but are not listed; repeated item rows count once;
@@ -19,6 +22,7 @@ import re
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,62 +31,98 @@ from . import shared
 
 WINDOW = 10
 #: UTF-8 bytes of item text that one pass holds in memory; more items take more passes.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+_MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def words(text: str | None) -> list[bytes]:
     return WORD.findall(text.encode().lower()) if text else []
 
 
+class Table:
+    """Shifts and buckets of the patterns of ``size`` words, which end at ``ends`` in ``seq``."""
+
+    def __init__(self, seq: np.ndarray, spans: list[tuple[int, int]], size: int, base: int):
+        self.size, self.base, self.width = size, base, min(2, size)
+        first, last = (np.array(x, np.int64) for x in zip(*spans, strict=True))
+        n = last - first - self.width + 1
+        # Every block of the items, by its last word, and the smallest shift that an own pattern gives it.
+        at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + self.width - 1
+        ends = np.repeat(first, n) + at
+        blocks, shifts = self._blocks(seq, ends), np.maximum(0, size - 1 - at).astype(np.uint8)
+        order = np.lexsort((shifts, blocks))
+        blocks, ordered = blocks[order], shifts[order]
+        keep = np.concatenate([[True], blocks[1:] != blocks[:-1]])
+        self.blocks, self.shifts = np.append(blocks[keep], np.iinfo(np.int64).max), np.append(ordered[keep], np.uint8(0))
+        ends = ends[shifts == 0]
+        hashes = self._hash(self._blocks(seq, ends), self._blocks(seq, ends - size + self.width))
+        order = np.argsort(hashes)
+        self.hashes, self.ends = hashes[order], ends[order].astype(np.int32)
+
+    def _blocks(self, seq: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        own = seq[ends].astype(np.int64)
+        return own if self.width == 1 else seq[ends - 1].astype(np.int64) * self.base + own
+
+    @staticmethod
+    def _hash(last: np.ndarray, first: np.ndarray) -> np.ndarray:
+        return (last.astype(np.uint64) * _MIX) ^ ((first.astype(np.uint64) + np.uint64(1)) * _MIX >> np.uint64(7))
+
+    def search(self, seq: np.ndarray, text: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """End of each match in ``text``, and the ends of the equal patterns in ``seq``."""
+        size, n = self.size, len(text)
+        if n < size:
+            return
+        blocks = self._blocks(text, np.arange(self.width - 1, n))
+        at = self.blocks.searchsorted(blocks)
+        steps = np.where(self.blocks[at] == blocks, self.shifts[at], size - self.width + 1).tolist()
+        stops, off, at = [], self.width - 1, size - 1
+        while at < n:
+            step = steps[at - off]
+            if step:
+                at += step
+            else:
+                stops.append(at)
+                at += 1
+        if not stops:
+            return
+        stops = np.array(stops)
+        hashes = self._hash(blocks[stops - off], blocks[stops - size + 1])
+        low, high = self.hashes.searchsorted(hashes), self.hashes.searchsorted(hashes, "right")
+        back = np.arange(1 - size, 1)
+        for stop, a, b in zip(stops[high > low].tolist(), low[high > low].tolist(), high[high > low].tolist(), strict=True):
+            ends = self.ends[a:b]
+            equal = (seq[ends[:, None] + back] == text[stop + back]).all(axis=1)
+            if equal.any():
+                yield stop, ends[equal]
+
+
 class Patterns:
-    """Shift tables and buckets of some items' windows, by pattern length."""
+    """The windows of some items: their words as one sequence, and a table per pattern length."""
 
     def __init__(self, items: Iterable[tuple[str | None, str | None]], window: int = WINDOW):
         self.ids: dict[bytes, int] = {}
-        owners: dict[tuple[int, ...], set[str]] = {}
-        for item_id, text in items:
-            seq = [self.ids.setdefault(w, len(self.ids) + 1) for w in words(text)]
-            for i in range(max(1, len(seq) - window + 1) if seq else 0):
-                owned = owners.setdefault(tuple(seq[i : i + window]), set())
-                if item_id is not None:
-                    owned.add(item_id)
-        self.base = len(self.ids) + 1
-        self.tables = []
-        by_length = defaultdict(list)
-        for pattern in owners:
-            by_length[len(pattern)].append(pattern)
-        for m, patterns in sorted(by_length.items(), reverse=True):
-            width = min(2, m)
-            shift: dict[int, int] = {}
-            bucket = defaultdict(list)
-            for p in patterns:
-                for end in range(width - 1, m):
-                    block = self.block(p, end, width)
-                    shift[block] = min(shift.get(block, m), m - 1 - end)
-                bucket[self.block(p, m - 1, width)].append((p, owners[p]))
-            self.tables.append((m, width, shift, dict(bucket)))
-
-    def block(self, seq, end: int, width: int) -> int:
-        return seq[end - 1] * self.base + seq[end] if width == 2 else seq[end]
+        self.owners: list[str | None] = []
+        flat, starts = [], [0]
+        by_size = defaultdict(list)
+        for item_id, text in dict.fromkeys(items):
+            own = [self.ids.setdefault(w, len(self.ids) + 1) for w in words(text)]
+            if own:
+                flat.append(np.array(own, np.int32))
+                by_size[min(window, len(own))].append((starts[-1], starts[-1] + len(own)))
+                starts.append(starts[-1] + len(own))
+                self.owners.append(item_id)
+        self.seq, self.starts = np.concatenate([np.zeros(0, np.int32), *flat]), np.array(starts)
+        self.tables = [Table(self.seq, spans, size, len(self.ids) + 1) for size, spans in sorted(by_size.items(), reverse=True)]
 
     def search(self, seq: list[int]) -> tuple[list[tuple[int, int]], set[str]]:
         """Merged hit intervals (start, end) in words and the ids of items that occur."""
-        hits, found, base, n = [], set(), self.base, len(seq)
-        for m, width, shift, bucket in self.tables:
-            far, at = m - width + 1, m - 1
-            while at < n:
-                block = seq[at - 1] * base + seq[at] if width == 2 else seq[at]
-                step = shift.get(block, far)
-                if step:
-                    at += step
-                    continue
-                window = tuple(seq[at - m + 1 : at + 1])
-                for pattern, owned in bucket[block]:
-                    if pattern == window:
-                        hits.append((at - m + 1, at + 1))
-                        found |= owned
-                at += 1
+        hits, found, text = [], set(), np.array(seq, np.int32)
+        for table in self.tables:
+            for stop, ends in table.search(self.seq, text):
+                hits.append((stop - table.size + 1, stop + 1))
+                found.update(self.owners[k] for k in np.unique(self.starts.searchsorted(ends, "right") - 1).tolist())
+        found.discard(None)
         return merged(hits), found
 
 
@@ -96,7 +136,7 @@ def merged(hits: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-SPANS = "array<struct<start:int,end:int>>"
+FOUND = "n_words long, hits array<struct<start:int,end:int>>, items array<string>"
 
 
 def find_leaks(
@@ -109,55 +149,81 @@ def find_leaks(
     window: int = WINDOW,
     block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
-    """doc_id, n_words, n_hit, hits (word intervals), items (sorted ids), one row per document.
+    """doc_id, n_words, hits (word intervals), items (sorted ids), n_hit, one row per document.
 
     The items are the stated query set. They are dealt by a hash into as many blocks as their
     measured size needs; every document meets one block per pass, in the scan, without a
-    shuffle. With one block, the usual case, there is one pass.
+    shuffle. With one block, the usual case, there is one pass. With more, each further pass
+    writes what it found, without texts, and the findings of a row are put together by the
+    digest of its id and text.
     """
     rows = shared.as_text_rows(docs, doc_id, text)
-    return _search(rows, benchmark, item_id, item_text, window, block_bytes).drop("text")
+    items, blocks = _dealt(benchmark, item_id, item_text, block_bytes)
+    rows = rows.withColumn("row", shared.row_key("doc_id", "text"))
+    out = _pass(rows, "doc_id long, row binary", _patterns(items, blocks, 0, window))
+    if blocks > 1:
+        more = _further(rows, items, blocks, window).groupBy("row").agg(F.flatten(F.collect_list("hits")).alias("more_hits"), F.flatten(F.collect_list("items")).alias("more_items"))
+        joined = shared.materialize(out, "leaks").join(more, "row", "left")
+        out = joined.mapInArrow(_put_together, f"doc_id long, row binary, {FOUND}")
+    size = F.aggregate("hits", F.lit(0).cast("long"), lambda n, x: n + x.end - x.start)
+    return out.drop("row").withColumn("n_hit", size)
+
+
+def _dealt(benchmark: DataFrame, item_id: str, item_text: str, block_bytes: int) -> tuple[DataFrame, int]:
+    items = benchmark.select(F.col(item_id).cast("string").alias("i"), F.col(item_text).cast("string").alias("t")).where("t is not null").distinct()
+    size = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
+    return items, 1 + size // block_bytes
 
 
-def _search(rows: DataFrame, benchmark: DataFrame, item_id: str, item_text: str, window: int, block_bytes: int) -> DataFrame:
-    """``rows`` (with a column ``text``) plus n_words, n_hit, hits, items."""
-    items = benchmark.select(F.col(item_id).cast("string").alias("i"), F.col(item_text).cast("string").alias("t")).where("t is not null")
-    size = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    blocks = 1 + size // block_bytes
-    out = rows.withColumns({"n_words": F.lit(0).cast("long"), "hits": F.lit(None).cast(SPANS), "items": F.lit(None).cast("array<string>")})
-    for b in range(blocks):
-        part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == b)
-        patterns = rows.sparkSession.sparkContext.broadcast(Patterns([(r.i, r.t) for r in part.toLocalIterator()], window))
-        out = out.mapInArrow(_pass(patterns), out.schema)
-        if blocks > 1:
-            out = shared.materialize(out, "leaks")
-    return out.withColumn(
-        "n_hit", F.coalesce(F.aggregate("hits", F.lit(0).cast("long"), lambda n, x: n + x.end - x.start), F.lit(0).cast("long"))
-    )
+def _patterns(items: DataFrame, blocks: int, block: int, window: int):
+    """The patterns of one block of items, bounded by ``block_bytes``, broadcast."""
+    part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == block)
+    return items.sparkSession.sparkContext.broadcast(Patterns([(r.i, r.t) for r in part.toLocalIterator()], window))
+
+
+def _further(rows: DataFrame, items: DataFrame, blocks: int, window: int) -> DataFrame:
+    """row, hits, items that the blocks but the first find, of rows with any."""
+    out = None
+    for b in range(1, blocks):
+        found = _pass(rows, "doc_id long, row binary", _patterns(items, blocks, b, window)).where("size(hits) > 0").select("row", "hits", "items").dropDuplicates(["row"])
+        found = shared.materialize(found, "leaks")
+        out = found if out is None else out.unionByName(found)
+    return out
+
 
+def _pass(rows: DataFrame, kept: str, patterns) -> DataFrame:
+    """The columns ``kept`` of ``rows`` (with a column ``text``) plus n_words, hits, items."""
+    names = [c.split()[0] for c in kept.split(", ")]
 
-def _pass(patterns):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p: Patterns = patterns.value
         get = p.ids.get
         for batch in batches:
-            text, hits, items = (batch.column(batch.schema.get_field_index(c)) for c in ("text", "hits", "items"))
-            n_words, all_hits, all_items = [], [], []
-            for t, h, i in zip(text, hits, items, strict=True):
+            n_words, hits, items = [], [], []
+            for t in batch.column(batch.schema.get_field_index("text")):
                 seq = [get(w, 0) for w in words(t.as_py())]
                 spans, found = p.search(seq)
                 n_words.append(len(seq))
-                if h.is_valid:
-                    spans = merged([*((x["start"], x["end"]) for x in h.as_py()), *spans])
-                    found |= set(i.as_py())
-                all_hits.append([{"start": a, "end": b} for a, b in spans])
-                all_items.append(sorted(found))
-            new = {"n_words": n_words, "hits": all_hits, "items": all_items}
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(new[f.name], f.type) if f.name in new else batch.column(k) for k, f in enumerate(batch.schema)], schema=batch.schema
-            )
+                hits.append([{"start": a, "end": b} for a, b in spans])
+                items.append(sorted(found))
+            yield _found([batch.column(batch.schema.get_field_index(c)) for c in names], names, n_words, hits, items)
+
+    return rows.select(*names, "text").mapInArrow(run, f"{kept}, {FOUND}")
 
-    return run
+
+def _found(kept: list[pa.Array], names: list[str], n_words: list, hits: list, items: list) -> pa.RecordBatch:
+    spans = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+    return pa.RecordBatch.from_arrays([*kept, pa.array(n_words, pa.int64()), pa.array(hits, spans), pa.array(items, pa.list_(pa.string()))], names=[*names, "n_words", "hits", "items"])
+
+
+def _put_together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Intervals and items of all blocks, merged."""
+    for batch in batches:
+        at = {n: batch.column(k) for k, n in enumerate(batch.schema.names)}
+        own, more = ([[(x["start"], x["end"]) for x in row or ()] for row in at[c].to_pylist()] for c in ("hits", "more_hits"))
+        hits = [[{"start": a, "end": b} for a, b in merged(x + y)] for x, y in zip(own, more, strict=True)]
+        items = [sorted({*x, *(y or ())}) for x, y in zip(at["items"].to_pylist(), at["more_items"].to_pylist(), strict=True)]
+        yield _found([at["doc_id"], at["row"]], ["doc_id", "row"], at["n_words"].to_pylist(), hits, items)
 
 
 def leak_report(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
@@ -169,11 +235,27 @@ def leak_report(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The documents without any benchmark window, all columns."""
-    names = [f"c{i}" for i in range(len(docs.columns))]
-    rows = docs.toDF(*names).withColumn("text", F.col(names[docs.columns.index(text)]).cast("string"))
-    clean = _search(rows, benchmark, "item_id", "text", window, block_bytes).where("n_hit = 0")
-    return clean.select(*(F.col(a).alias(b) for a, b in zip(names, docs.columns, strict=True)))
+    """The documents without any benchmark window, all columns; a filter in the scan for each block of items."""
+    items, blocks = _dealt(benchmark, "item_id", "text", block_bytes)
+    every = [_patterns(items, blocks, b, window) for b in range(blocks)]
+    out = docs
+    for patterns in every:
+        out = _without(out, text, patterns)
+    return out
+
+
+def _without(docs: DataFrame, text: str, patterns) -> DataFrame:
+    place = docs.columns.index(text)
+    kind = docs.schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        p: Patterns = patterns.value
+        get = p.ids.get
+        for batch in batches:
+            clean = [not p.search([get(w, 0) for w in words(t.as_py())])[0] for t in batch.column(place)]
+            yield batch.filter(pa.array(clean, pa.bool_()))
+
+    return docs.mapInArrow(run, kind)
 
 
 def items_digest(items: Iterable[str]) -> str:

@@ -29,7 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import shared
@@ -75,11 +75,6 @@ def shingle_set(text: str | None, size: int) -> np.ndarray:
     return np.unique(h * _MIX[2])
 
 
-def row_key(doc_id: Column, text: Column) -> Column:
-    """128-bit digest of a row's id and text: equal for repeated rows alone."""
-    return F.unhex(F.md5(F.concat(F.coalesce(doc_id.cast("long").cast("string"), F.lit("")), F.lit(":"), F.coalesce(text.cast("string"), F.lit("")))))
-
-
 def sketches(docs: DataFrame, size: int) -> DataFrame:
     """doc_id, key, n (set size), sig (128-bit digest of the set), sketch (K smallest, ascending) of rows doc_id, text, key."""
 
@@ -205,7 +200,7 @@ def near_groups(docs: DataFrame, shingle: int = 3, percent: int = 85, doc_id: st
 def _grouped(docs: DataFrame, shingle: int, percent: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, key, n, component_id, keep (key of the row that stands for the component; null without words)."""
     rows = shared.as_text_rows(docs, doc_id, text)
-    rows = rows.withColumn("key", row_key(F.col("doc_id"), F.col("text")))
+    rows = rows.withColumn("key", shared.row_key("doc_id", "text"))
     sk = shared.materialize(sketches(rows, shingle), "sketches")
     classes = shared.materialize(
         sk.where("n > 0").groupBy("sig").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "classes"
@@ -269,7 +264,7 @@ def near_dedup(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFram
     gone = groups.where("key <> keep").select(F.col("key").alias("k")).distinct()
     twice = groups.where("key = keep").groupBy(F.col("key").alias("k")).count().where("count > 1").select("k")
     key = shared.free_name(docs, "near_key")
-    rows = docs.withColumn(key, row_key(F.col("doc_id"), F.col("text")))
+    rows = docs.withColumn(key, shared.row_key("doc_id", "text"))
     match = F.col(key) == F.col("k")
     if twice.isEmpty():
         return rows.join(gone, match, "left_anti").drop(key)

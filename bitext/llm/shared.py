@@ -10,14 +10,14 @@ from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from bitext.storage import materialize, new_path, shared_dir, table
 
-__all__ = ["append_columns", "as_text_rows", "free_name", "materialize", "new_path", "open_fs", "shared_dir", "table"]
+__all__ = ["append_columns", "as_text_rows", "free_name", "materialize", "new_path", "open_fs", "row_key", "shared_dir", "table"]
 
 
 def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -64,6 +64,12 @@ def append_columns(
     return df.mapInArrow(run, out)
 
 
+def row_key(doc_id: Column | str, text: Column | str) -> Column:
+    """128-bit digest of a row's id and text: equal for repeated rows alone."""
+    doc_id, text = (F.col(c) if isinstance(c, str) else c for c in (doc_id, text))
+    return F.unhex(F.md5(F.concat(F.coalesce(doc_id.cast("long").cast("string"), F.lit("")), F.lit(":"), F.coalesce(text.cast("string"), F.lit("")))))
+
+
 def as_text_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Only the id and the text, under the names ``doc_id`` and ``text``."""
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))

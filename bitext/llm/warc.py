@@ -35,6 +35,10 @@ DATE = "2024-01-01T00:00:00Z"
 #: besides one per index file, because blocks grow with the number of captures.
 LINES = 3000
 MAX_BLOCKS = 100_000
+#: Characters of a key that the directory keeps, so that its size is bounded too.
+KEY_CHARS = 256
+#: Bytes of archive records that one reading task is dealt.
+READ_BYTES = 16 << 20
 #: Payloads from this many bytes may be revisits.
 MIN_REVISIT = 0
 COMPRESSION = 1
@@ -92,19 +96,22 @@ class Archive:
 
     path: str
     captures: int
-    directory: DataFrame  # first, last (keys), file, offset, length
+    bytes: int
+    key_chars: int
+    directory: DataFrame  # first, last (keys, up to key_chars), file, offset, length
 
 
-def write_archive(pages: DataFrame, path: str, min_revisit: int = MIN_REVISIT, lines: int = LINES) -> Archive:
+def write_archive(pages: DataFrame, path: str, min_revisit: int = MIN_REVISIT, lines: int = LINES, key_chars: int = KEY_CHARS) -> Archive:
     """Write archives and both index levels for page_id, url, html."""
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
-    rows = rows.select("*", F.sha1("html").alias("sha1"), F.octet_length("html").alias("bytes"))
+    # Equal payloads are told by 256 bits: different pages with one SHA-1 can be made.
+    rows = rows.select("*", F.sha2("html", 256).alias("same"), F.octet_length("html").alias("bytes"))
     # Only payloads that come more than once need to know their response.
     repeated = shared.materialize(
-        rows.where(F.col("bytes") >= min_revisit).groupBy("sha1", "bytes").agg(F.min("page_id").alias("response"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"),
+        rows.where(F.col("bytes") >= min_revisit).groupBy("same", "bytes").agg(F.min("page_id").alias("response"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"),
         "warc-repeated",
     )
-    typed = rows.join(repeated, ["sha1", "bytes"], "left").withColumn("revisit", F.col("response").isNotNull() & ~F.col("response").eqNullSafe(F.col("page_id")))
+    typed = rows.join(repeated, ["same", "bytes"], "left").withColumn("revisit", F.col("response").isNotNull() & ~F.col("response").eqNullSafe(F.col("page_id")))
     # The page_id makes keys unique, so that one lookup means one capture.
     typed = typed.select(index_key(F.col("url"), F.col("page_id")).alias("key"), "page_id", "url", "html", F.when(F.col("revisit"), F.col("response")).alias("refers_to"), "revisit")
 
@@ -127,7 +134,7 @@ def write_archive(pages: DataFrame, path: str, min_revisit: int = MIN_REVISIT, l
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([name] * len(offsets), pa.string()), pa.array(offsets, pa.int64()), pa.array(lengths, pa.int64())], names=["key", "file", "offset", "length"])
 
     entries = shared.materialize(typed.mapInArrow(write, "key string, file string, offset long, length long"), "warc-entries")
-    captures = entries.count()
+    captures, size = entries.agg(F.count(F.lit(1)), F.coalesce(F.sum("length"), F.lit(0))).first()
     per_block = max(lines, -(-captures // MAX_BLOCKS))
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,7 +147,7 @@ def write_archive(pages: DataFrame, path: str, min_revisit: int = MIN_REVISIT, l
                 nonlocal at
                 raw = zlib.compress("\n".join("\t".join(map(str, x)) for x in held).encode(), COMPRESSION)
                 out.write(raw)
-                found.append((held[0][0], held[-1][0], name, at, len(raw)))
+                found.append((held[0][0][:key_chars], held[-1][0][:key_chars], name, at, len(raw)))
                 at += len(raw)
                 held.clear()
 
@@ -156,7 +163,7 @@ def write_archive(pages: DataFrame, path: str, min_revisit: int = MIN_REVISIT, l
 
     ordered = entries.repartitionByRange("key").sortWithinPartitions("key")
     directory = shared.materialize(ordered.mapInArrow(index, "first string, last string, file string, offset long, length long"), "warc-directory")
-    return Archive(path, captures, directory)
+    return Archive(path, captures, size, key_chars, directory)
 
 
 def index_key(url: Column, page_id: Column) -> Column:
@@ -168,10 +175,10 @@ def lookup(spark: SparkSession, archive: Archive, keys: DataFrame) -> DataFrame:
     """The captures with the given index keys (a column ``key``), read from the archives.
 
     page_id, url, payload_bytes, payload_digest, record_type, refers_to and payload (null for
-    revisits). The directory, bounded by MAX_BLOCKS, goes to every task; keys are dealt by
-    block, so that each block is read once.
+    revisits). The directory, bounded by MAX_BLOCKS and KEY_CHARS, goes to every task; keys are
+    dealt by block, so that each block is read once.
     """
-    path = archive.path
+    path, key_chars = archive.path, archive.key_chars
     blocks = archive.directory.orderBy("first", "last").toArrow().to_pydict()
     directory = spark.sparkContext.broadcast(blocks)
 
@@ -180,8 +187,9 @@ def lookup(spark: SparkSession, archive: Archive, keys: DataFrame) -> DataFrame:
         for batch in batches:
             out_key, out_block = [], []
             for key in batch.column(0).to_pylist():
-                # Repeated keys may fill several blocks.
-                for b in range(bisect_left(d["last"], key), bisect_right(d["first"], key)):
+                # Repeated keys, and keys that begin alike, may fill several blocks.
+                short = key[:key_chars]
+                for b in range(bisect_left(d["last"], short), bisect_right(d["first"], short)):
                     out_key.append(key)
                     out_block.append(b)
             yield pa.RecordBatch.from_arrays([pa.array(out_key, pa.string()), pa.array(out_block, pa.int32())], names=["key", "block"])
@@ -214,7 +222,9 @@ def lookup(spark: SparkSession, archive: Archive, keys: DataFrame) -> DataFrame:
             f.close()
 
     placed = keys.select("key").distinct().mapInArrow(search, "key string, block int")
-    dealt = placed.repartition("block").sortWithinPartitions("block", "key")
+    # By the bytes to read, not by those of the keys.
+    tasks = min(len(blocks["file"]), max(spark.sparkContext.defaultParallelism, -(-archive.bytes // READ_BYTES)))
+    dealt = placed.repartition(max(1, tasks), "block").sortWithinPartitions("block", "key")
     return dealt.mapInArrow(read, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload string")
 
 

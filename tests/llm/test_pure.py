@@ -99,6 +99,20 @@ def brute_leaks(doc, items, window):
     return len(hit), found
 
 
+def test_pattern_tables_take_a_bounded_multiple_of_the_item_text():
+    import pickle
+
+    r = random.Random(9)
+    vocabulary = ["".join(r.choices("abcdefgh", k=r.randint(2, 9))) for _ in range(20000)]
+    items = [(str(i), " ".join(r.choices(vocabulary, k=120))) for i in range(3000)]
+    size = sum(len(t) for _, t in items)
+    p = decontam.Patterns(items)
+    arrays = sum(x.nbytes for t in p.tables for x in (t.blocks, t.shifts, t.hashes, t.ends)) + p.seq.nbytes + p.starts.nbytes
+    assert arrays <= 6 * size and len(pickle.dumps(p)) <= 8 * size
+    doc = f"some words {items[7][1]} and others"
+    assert p.search([p.ids.get(w, 0) for w in decontam.words(doc)]) == ([(2, 122)], {"7"})
+
+
 def test_wu_manber_equals_brute_force():
     r = random.Random(3)
     for _ in range(150):

@@ -316,6 +316,19 @@ def test_archive_round_trip(spark):
     assert warc.archive_report(pages.limit(0)).count() == 0
 
 
+def test_directory_bounds_long_keys(spark):
+    rows = [(i, "http://h.org/" + "x" * 30 + f"/{i:03}" + "\U0010ffff" * (i % 3), f"page {i}") for i in range(60)] + [(100, "http://h.org/" + "\U0010ffff" * 40, "p"), (101, "http://h.org/", "q")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    from bitext.llm import shared
+
+    archive = warc.write_archive(pages, shared.new_path(spark, "warc"), lines=7, key_chars=20)
+    bounds = archive.directory.collect()
+    assert max(len(x) for r in bounds for x in (r["first"], r["last"])) <= 20 and len(bounds) >= 9
+    keys = pages.select(warc.index_key(F.col("url"), F.col("page_id")).alias("key"))
+    assert sorted((r.page_id, r.payload) for r in warc.lookup(spark, archive, keys).collect()) == sorted((i, h) for i, _, h in rows)
+    assert archive.bytes > 0
+
+
 def test_lookup_reads_single_captures(spark):
     from bitext.llm import shared
 
