@@ -70,13 +70,9 @@ def exact_groups(
 
 
 def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, all columns; a repeated row (same id, same text) stays once."""
-    # Plain key columns, without nulls: join and dropDuplicates then share one exchange of the texts.
-    keys = [shared.free_name(docs, f"dedup_{k}") for k in ("id", "none", "sha")]
+    """The rows of ``docs`` that stay, all columns; of rows with one id and equal texts the longest stays."""
+    def key(row_id: Column, sha: Column) -> Column:
+        return F.unhex(F.md5(F.concat(F.coalesce(row_id.cast("string"), F.lit("")), F.lit(":"), sha)))
 
-    def keyed(df: DataFrame, row_id: Column, sha: Column) -> DataFrame:
-        return df.withColumns(dict(zip(keys, (F.coalesce(row_id, F.lit(0).cast("long")), row_id.isNull(), sha), strict=True)))
-
-    kept = keyed(exact_groups(docs, doc_id, text).where("kept"), F.col("doc_id"), F.col("text_sha256")).select(*keys).distinct()
-    rows = keyed(docs, F.col(doc_id).cast("long"), F.sha2(normalised(F.col(text)), 256))
-    return rows.join(kept, keys, "left_semi").dropDuplicates(keys).select(*docs.columns)
+    groups = exact_groups(docs, doc_id, text).select(key(F.col("doc_id"), F.col("text_sha256")).alias("key"), "kept")
+    return shared.keep_rows(docs, groups, key(F.col(doc_id).cast("long"), F.sha2(normalised(F.col(text)), 256)), text)

@@ -7,14 +7,18 @@
    at the threshold; so by the prefix principle they share one of their K - SHARED + 1 rarest
    ones, and only these enter the lists. Passages that many documents share are frequent, so
    their hashes stay out unless a document consists mostly of them.
-3. Lists of up to ``LIST`` classes: the union-sketch estimate filters their pairs inside a
-   task, which returns a spanning forest of what passes. Longer lists link all members to one
-   hub, unfiltered. Components of these links are candidate groups.
-4. Exact Jaccard on full sets inside the groups, over blocks of bounded size: each pair of a
-   group's blocks is one task input; it returns a spanning forest of its exact links. Nothing
-   is capped; no pair of a group is skipped.
+3. The union-sketch estimate filters the pairs of each list; equal lists count once.
+   Components of what passes are candidate groups.
+4. Exact Jaccard on full sets inside the groups.
 5. Components of the exact links, joined back to classes and documents.
 
+Steps 3 and 4 look for links between the members of a group, which may be a hot one, in the
+same way (``_linked``): members are dealt into blocks, every pair inside a block is tested, and
+about ``HUBS`` members of a group go to all of its blocks. In a group of near copies that
+connects nearly all, at a cost linear in the group. What the largest component of a group
+leaves out is then tested against every other component, block by block: a pair is left out
+only where it is connected already. Nothing is capped, and tasks return spanning forests.
+
 Defined results: null texts and texts without words have an empty set, are linked with
 nothing and stay; fewer words than a shingle are one shingle; texts are read whole; repeated
 rows give a row each, with the same component; a null doc_id never names a component that
@@ -24,12 +28,12 @@ has another id; an empty table gives no rows; further columns are ignored.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import shared
@@ -38,10 +42,15 @@ from .components import connected_components
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 K = 32
 SHARED = 14
+#: Members of a list that is estimated in one task, together with others.
 LIST = 48
-#: Bounds of a block of a candidate group: set elements and sets.
+#: Bounds of a block of a group: set elements and sets.
 BLOCK_SHINGLES = 400_000
 BLOCK_SETS = 128
+#: About so many members of a group of several blocks are tested against all others.
+HUBS = 8
+#: Pairs of sketches that are estimated at once.
+PAIRS = 1 << 14
 CACHE_WORDS = 400_000
 
 
@@ -134,31 +143,47 @@ def _overlaps(sets: list[np.ndarray], width: int = 4096) -> np.ndarray:
     return out
 
 
+def _estimated(sketches: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (larger index first) that the union sketch takes for similar enough.
+
+    Of the k smallest hashes of the union (k up to K), ``SHARED`` of K have to be in both.
+    """
+    n = len(sketches)
+    sizes = np.array([len(x) for x in sketches])
+    pad = np.iinfo(np.int64).max
+    grid = np.full((n, K), pad, np.int64)
+    for row, x in zip(grid, sketches, strict=True):
+        row[: len(x)] = x
+    # Hashes in both bound those among the k smallest: only such pairs need the estimate.
+    both = _overlaps(sketches)
+    k = np.minimum(K, sizes[:, None] + sizes[None, :] - both)
+    a, b = np.nonzero(np.tril(both * K >= SHARED * k, -1))
+    keep = np.zeros(len(a), bool)
+    for at in range(0, len(a), PAIRS):
+        i, j = a[at : at + PAIRS], b[at : at + PAIRS]
+        union = np.sort(np.concatenate([grid[i], grid[j]], axis=1), axis=1)
+        twice = (union[:, 1:] == union[:, :-1]) & (union[:, 1:] != pad)
+        place = np.cumsum(~twice, axis=1)  # of each value among the distinct ones, less one
+        hits = (twice & (place < k[i, j][:, None])).sum(axis=1)
+        keep[at : at + PAIRS] = hits * K >= SHARED * k[i, j]
+    return a[keep], b[keep]
+
+
+def _sketches_of(column: pa.Array) -> list[np.ndarray]:
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    flat, ends = column.flatten().to_numpy(), column.offsets.to_numpy()
+    return [flat[a - ends[0] : b - ends[0]] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+
+
 def _candidate_forests(lists: DataFrame) -> DataFrame:
-    """u, v: spanning forests of the pairs of each list that pass the union-sketch estimate."""
+    """u, v: spanning forests of the pairs of each short list that pass the union-sketch estimate."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             u, v = [], []
             for row in batch.column(0):
-                members = row.values
-                sig = members.field("sig").to_pylist()
-                column = members.field("sketch")
-                flat, ends = column.flatten().to_numpy(), column.offsets.to_numpy()
-                sk = [flat[a - ends[0] : b - ends[0]] for a, b in zip(ends[:-1], ends[1:], strict=True)]
-                a, b = [], []
-                for i in range(len(sk)):
-                    for j in range(i):
-                        both = np.concatenate([sk[i], sk[j]])
-                        both.sort()
-                        twice = both[1:] == both[:-1]
-                        union = np.concatenate([both[:1], both[1:][~twice]])
-                        k = min(K, len(union))
-                        hits = int((both[1:][twice] <= union[k - 1]).sum())
-                        if hits * K >= SHARED * k:
-                            a.append(i)
-                            b.append(j)
-                for r, x in _forest(len(sk), np.array(a, int), np.array(b, int)):
+                sig = row.values.field("sig").to_pylist()
+                for r, x in _forest(len(sig), *_estimated(_sketches_of(row.values.field("sketch")))):
                     u.append(sig[x])
                     v.append(sig[r])
             yield pa.RecordBatch.from_arrays([pa.array(u, pa.binary()), pa.array(v, pa.binary())], names=["u", "v"])
@@ -166,27 +191,101 @@ def _candidate_forests(lists: DataFrame) -> DataFrame:
     return lists.select("members").mapInArrow(run, "u binary, v binary")
 
 
-def _exact_forests(size: int, percent: int):
-    """Exact links of one block, or between two blocks, of a group; (root, node) pairs."""
+Pairs = Callable[[pa.ChunkedArray], tuple[np.ndarray, np.ndarray]]
 
-    def run(table: pa.Table) -> pa.Table:
-        sets = [shingle_set(t.as_py(), size) for t in table["text"]]
-        sig, side = table["sig"].to_pylist(), table["block"].to_numpy()
-        if len(sig) < 2:
-            return pa.table({"u": pa.array([], pa.binary()), "v": pa.array([], pa.binary())})
+
+def _similar_sketches(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    return _estimated(_sketches_of(column))
+
+
+def _similar_texts(size: int, percent: int) -> Pairs:
+    """The pairs of texts whose full sets are similar enough."""
+
+    def run(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+        sets = [shingle_set(t.as_py(), size) for t in column]
         n = np.array([len(s) for s in sets])
         inter = _overlaps(sets)
-        linked = 100 * inter >= percent * (n[:, None] + n[None, :] - inter)
-        a, b = np.nonzero(np.tril(linked, -1))
-        if side.min() != side.max():  # pairs inside either block have a row of their own
-            other = side[a] != side[b]
-            a, b = a[other], b[other]
-        pairs = _forest(len(sig), a, b)
-        return pa.table({"u": pa.array([sig[x] for _, x in pairs], pa.binary()), "v": pa.array([sig[r] for r, _ in pairs], pa.binary())})
+        return np.nonzero(np.tril(100 * inter >= percent * (n[:, None] + n[None, :] - inter), -1))
 
     return run
 
 
+def _tested(members: DataFrame, keys: list[str], similar: Pairs) -> DataFrame:
+    """u, v: a spanning forest of the similar pairs of sig, load of each group.
+
+    With side, comp: pairs of one component are left out, and pairs of one side too where the
+    group has two.
+    """
+
+    def run(table: pa.Table) -> pa.Table:
+        sig, pairs = table["sig"].to_pylist(), []
+        if len(sig) > 1:
+            a, b = similar(table["load"])
+            if "comp" in table.column_names:
+                comp = np.unique(np.array(table["comp"].to_pylist(), object), return_inverse=True)[1]
+                side = table["side"].to_numpy()
+                other = (comp[a] != comp[b]) & ((side[a] != side[b]) | (side.min() == side.max()))
+                a, b = a[other], b[other]
+            pairs = _forest(len(sig), a, b)
+        return pa.table({"u": pa.array([sig[x] for _, x in pairs], pa.binary()), "v": pa.array([sig[r] for r, _ in pairs], pa.binary())})
+
+    return members.groupBy(*keys).applyInArrow(run, "u binary, v binary")
+
+
+def _linked(members: DataFrame, load: Callable[[DataFrame], DataFrame], similar: Pairs) -> DataFrame:
+    """u, v: links that connect all similar pairs inside each group of ``members`` (group, sig, n).
+
+    ``load`` joins the column ``load``, which ``similar`` compares, to rows with ``sig``.
+    """
+
+    def blocks(n: Column, weight: Column) -> Column:
+        return F.greatest(F.ceil(weight / BLOCK_SHINGLES), F.ceil(n / BLOCK_SETS)).cast("int")
+
+    # Written first, so that the joins have a plain side and a hot group can be split.
+    groups = shared.materialize(
+        members.groupBy("group").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("weight")).where("size > 1").select("group", "size", blocks(F.col("size"), F.col("weight")).alias("blocks")),
+        "groups",
+    )
+    block = F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int")
+    hub = (F.col("blocks") > 1) & (F.pmod(F.xxhash64("sig", F.lit(1)), F.col("size")) < HUBS)
+    dealt = shared.materialize(members.join(groups, "group").select("group", "sig", "n", F.when(hub, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(block)).alias("places")), "dealt")
+    near = load(dealt).select("group", "sig", "load", F.explode("places").alias("place"))
+    links = shared.materialize(_tested(near, ["group", "place"], similar), "links")
+    large = groups.where("blocks > 1").select("group")
+    if large.isEmpty():
+        return links
+
+    # What is connected by now, and per large group all that its largest component leaves out.
+    roots = connected_components(links).select(F.col("node").alias("sig"), "root")
+    own = members.join(large, "group").join(roots, "sig", "left").select("group", "sig", "n", F.coalesce("root", "sig").alias("comp"))
+    own = shared.materialize(own, "components")
+    comps = own.groupBy("group", "comp").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("weight"))
+    sums = comps.groupBy("group").agg(F.max(F.struct("size", "weight", "comp")).alias("main"), F.sum("size").alias("size"), F.sum("weight").alias("weight"))
+    sums = sums.where("size > main.size").select(
+        "group", F.col("main.comp").alias("main"), blocks(F.col("main.size"), F.col("main.weight")).alias("main_blocks"),
+        blocks(F.col("size") - F.col("main.size"), F.col("weight") - F.col("main.weight")).alias("rest_blocks"),
+    )
+    sums = shared.materialize(sums, "rests")
+    if sums.isEmpty():
+        return links
+    rest = F.col("comp") != F.col("main")
+    block = F.pmod(F.xxhash64("sig"), F.when(rest, F.col("rest_blocks")).otherwise(F.col("main_blocks"))).cast("int")
+
+    def cells(count: str, cell: Callable[[Column], Column]) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.col(count) - 1), cell)
+
+    def cell(a: Column, b: Column, with_main: bool, side: Column) -> Column:
+        return F.struct(a.alias("a"), b.alias("b"), F.lit(with_main).alias("with_main"), side.cast("int").alias("side"))
+
+    among = cells("rest_blocks", lambda o: cell(F.least(o, F.col("block")), F.greatest(o, F.col("block")), False, F.col("block") > o))
+    across = cells("main_blocks", lambda o: cell(F.col("block"), o, True, F.lit(0)))
+    back = cells("rest_blocks", lambda o: cell(o, F.col("block"), True, F.lit(1)))
+    dealt = own.join(sums, "group").withColumns({"rest": rest, "block": block})
+    dealt = shared.materialize(dealt.select("group", "sig", "n", "comp", F.when(F.col("rest"), F.concat(among, across)).otherwise(back).alias("cells")), "dealt")
+    far = load(dealt).select("group", "sig", "comp", "load", F.inline("cells"))
+    return links.unionByName(shared.materialize(_tested(far, ["group", "a", "b", "with_main"], similar), "links"))
+
+
 def near_groups(docs: DataFrame, shingle: int = 3, percent: int = 85, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row per input row.
 
@@ -225,48 +324,32 @@ def _links(rows: DataFrame, sk: DataFrame, classes: DataFrame, shingle: int, per
     prefix = shared.materialize(
         ranked.where(F.col("place") <= F.col("k") - F.greatest(F.lit(1), F.floor(F.col("k") * SHARED / K)) + 1).select("value", "sig"), "prefix"
     )
-    sizes = shared.materialize(
-        prefix.groupBy("value").agg(F.count(F.lit(1)).alias("classes"), F.min("sig").alias("hub")).where("classes > 1"), "list-sizes"
-    )
-    hubs = prefix.join(sizes.where(F.col("classes") > LIST), "value").where("sig <> hub").select(F.col("sig").alias("u"), F.col("hub").alias("v")).distinct()
+    sizes = shared.materialize(prefix.groupBy("value").agg(F.count(F.lit(1)).alias("classes")).where("classes > 1"), "list-sizes")
     short = prefix.join(sizes.where(F.col("classes") <= LIST).select("value"), "value")
     # Many lists have the same members: one of each is enough.
     lists = short.groupBy("value").agg(F.array_sort(F.collect_list("sig")).alias("sigs")).select("sigs").distinct()
     members = lists.select(F.xxhash64("sigs").alias("list"), F.explode("sigs").alias("sig")).join(classes.select("sig", "sketch"), "sig")
     lists = members.groupBy("list").agg(F.collect_list(F.struct("sig", "sketch")).alias("members"))
-    candidates = connected_components(_candidate_forests(lists).unionByName(hubs))
-    return _verify(rows, sk, classes, candidates, shingle, percent)
+    links = _candidate_forests(lists)
+    long = sizes.where(F.col("classes") > LIST).select("value")
+    if not long.isEmpty():
+        # Sketches are short: a list's blocks are bounded by their members.
+        own = shared.materialize(prefix.join(long, "value").select(F.col("value").alias("group"), "sig", F.lit(K).cast("long").alias("n")), "long-lists")
+        links = links.unionByName(_linked(own, lambda df: df.join(classes.select("sig", F.col("sketch").alias("load")), "sig"), _similar_sketches))
+    candidates = connected_components(links)
+    groups = candidates.select(F.col("root").alias("group"), F.col("node").alias("sig")).join(classes.select("sig", F.col("rep.key").alias("key"), "n"), "sig")
+    keys = groups.select("sig", "key")
+    # Repeated rows become one before they travel, so a class has one text, and a group as many as classes.
+    texts = rows.select("key", F.col("text").alias("load")).dropDuplicates(["key"])
 
+    def with_text(df: DataFrame) -> DataFrame:
+        # Both sides grow with the corpus: no broadcast at any size.
+        return texts.hint("merge").join(df.join(keys, "sig"), "key")
 
-def _verify(rows: DataFrame, sk: DataFrame, classes: DataFrame, candidates: DataFrame, shingle: int, percent: int) -> DataFrame:
-    # A hash deals each group into blocks; sums over the groups give their numbers.
-    sized = candidates.join(classes.select(F.col("sig").alias("node"), F.col("rep.key").alias("key"), "n"), "node")
-    # Written first, so that the join below has a plain side and a hot group can be split.
-    blocks = shared.materialize(
-        sized.groupBy("root").agg(F.greatest(F.ceil(F.sum("n") / BLOCK_SHINGLES), F.ceil(F.count(F.lit(1)) / BLOCK_SETS)).cast("int").alias("blocks")), "blocks"
-    )
-    dealt = shared.materialize(
-        sized.join(blocks, "root").select("root", F.col("node").alias("sig"), "key", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block")), "dealt"
-    )
-    # Both sides grow with the corpus: no broadcast at any size.
-    # Repeated rows become one before they travel, so a class has one text, and a group as many as classes.
-    texts = rows.select("key", "text").dropDuplicates(["key"]).hint("merge").join(dealt, "key")
-    keyed = texts.select(
-        "root", "sig", "text", "block",
-        F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, F.col("block")).alias("a"), F.greatest(o, F.col("block")).alias("b")))).alias("pair"),
-    )
-    return keyed.groupBy("root", "pair").applyInArrow(_exact_forests(shingle, percent), "u binary, v binary")
+    return _linked(groups.select("group", "sig", "n"), with_text, _similar_texts(shingle, percent))
 
 
 def near_dedup(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """One row of each component, all columns, and all rows without words; repeated rows are one."""
     groups = shared.materialize(_grouped(docs, shingle, percent).where("n > 0").select("key", "keep"), "near-keys")
-    gone = groups.where("key <> keep").select(F.col("key").alias("k")).distinct()
-    twice = groups.where("key = keep").groupBy(F.col("key").alias("k")).count().where("count > 1").select("k")
-    key = shared.free_name(docs, "near_key")
-    rows = docs.withColumn(key, shared.row_key("doc_id", "text"))
-    match = F.col(key) == F.col("k")
-    if twice.isEmpty():
-        return rows.join(gone, match, "left_anti").drop(key)
-    once = rows.join(gone.unionByName(twice), match, "left_anti")
-    return once.unionByName(rows.join(twice, match, "left_semi").dropDuplicates([key])).drop(key)
+    return shared.keep_rows(docs, groups.select("key", (F.col("key") == F.col("keep")).alias("kept")), shared.row_key("doc_id", "text"))

@@ -17,7 +17,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from bitext.storage import materialize, new_path, shared_dir, table
 
-__all__ = ["append_columns", "as_text_rows", "free_name", "materialize", "new_path", "open_fs", "row_key", "shared_dir", "table"]
+__all__ = ["append_columns", "as_text_rows", "free_name", "keep_rows", "materialize", "new_path", "open_fs", "row_key", "shared_dir", "table"]
 
 
 def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -70,6 +70,34 @@ def row_key(doc_id: Column | str, text: Column | str) -> Column:
     return F.unhex(F.md5(F.concat(F.coalesce(doc_id.cast("long").cast("string"), F.lit("")), F.lit(":"), F.coalesce(text.cast("string"), F.lit("")))))
 
 
+#: Keys of rows to drop up to which they are broadcast, about 60 bytes each.
+BROADCAST_KEYS = 500_000
+
+
+def keep_rows(docs: DataFrame, decided: DataFrame, key: Column, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` without those whose ``key`` is decided (key, kept) not to be kept.
+
+    Rows of one kept key become one, the longest text first. Only keys to drop, and repeated
+    ones, are joined; up to ``BROADCAST_KEYS``, counted first, no text goes through a shuffle.
+    Rows whose key is not decided stay.
+    """
+    mine, other = free_name(docs, "row_key"), free_name(docs, "other_key")
+    per_key = materialize(decided.groupBy("key").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n")).where("NOT kept OR n > 1").withColumnRenamed("key", other), "decided")
+    few = per_key.count() <= BROADCAST_KEYS
+    rows, match = docs.withColumn(mine, key), F.col(mine) == F.col(other)
+
+    def join(keys: DataFrame, how: str) -> DataFrame:
+        return rows.join(F.broadcast(keys) if few else keys, match, how)
+
+    once = join(per_key.select(other), "left_anti").drop(mine)
+    twice = per_key.where("kept").select(other)
+    if twice.isEmpty():
+        return once
+    # Partial aggregates merge repeated rows before they travel.
+    longest = F.max_by(F.struct(*(F.col(f"`{c}`") for c in docs.columns)), F.struct(F.length(text), F.xxhash64(text)))
+    return once.unionByName(join(twice, "left_semi").groupBy(mine).agg(longest.alias(other)).select(f"{other}.*"))
+
+
 def as_text_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Only the id and the text, under the names ``doc_id`` and ``text``."""
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))

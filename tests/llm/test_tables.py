@@ -181,22 +181,68 @@ def test_near_groups_with_long_lists_and_small_blocks(spark, monkeypatch):
     assert kept.count() == len({c for _, _, c in jaccard_components(rows, 5, 80)})
 
 
+def sliding(n, words, step, start):
+    """Documents that are each similar to the next one only."""
+    return [(start + i, " ".join(f"s{start}w{k}" for k in range(i * step, i * step + words))) for i in range(n)]
+
+
+@pytest.mark.parametrize("hubs", [0, 2, 8])
+def test_links_that_no_hub_sees_are_found(spark, monkeypatch, hubs):
+    monkeypatch.setattr(minhash, "LIST", 4)
+    monkeypatch.setattr(minhash, "BLOCK_SETS", 5)
+    monkeypatch.setattr(minhash, "HUBS", hubs)
+    rows = [*sliding(50, 60, 3, 1000), *sliding(40, 60, 5, 2000), *near_rows(50, 60, 6, 8, 3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = minhash.near_groups(df, 3, 85).collect()
+    want = jaccard_components(rows, 3, 85)
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=repr) == want
+    assert 5 < len({c for _, _, c in want}) < 100
+
+
+def test_estimates_equal_a_plain_union_sketch():
+    import numpy as np
+
+    r = np.random.default_rng(2)
+    base = np.unique(r.integers(0, 10**6, 400))
+    sets = [np.unique(np.where(r.random(len(base)) < q, base, r.integers(0, 10**6, len(base)))) for q in (1, 0.95, 0.8, 0.6, 0.5, 0.3)] + [base[:20], base[:7], base[5:25]]
+    sketches = [s[: minhash.K] for s in sets]
+    want = set()
+    for i, x in enumerate(sketches):
+        for j, y in enumerate(sketches[:i]):
+            union = sorted({*x.tolist(), *y.tolist()})[: minhash.K]
+            hits = sum(h in x and h in y for h in union)
+            if hits * minhash.K >= minhash.SHARED * len(union):
+                want.add((i, j))
+    a, b = minhash._estimated(sketches)
+    assert {*zip(a.tolist(), b.tolist(), strict=True)} == want and 3 < len(want) < 30
+
+
+def test_rows_of_one_key_become_the_longest(spark):
+    rows = [(1, "a b", "x"), (1, "ab", "y"), (1, "ab", "y"), (2, "a  b", "z"), (3, "c", None), (None, "c", "n"), (None, "d", "n"), (None, "d", "n")] * 3
+    df = spark.createDataFrame(rows, "doc_id long, text string, k string").withColumn("other_key", F.lit(1)).withColumn("row_key", F.lit(2))
+    kept = exact_dedup.exact_dedup(df)
+    assert kept.columns == df.columns
+    assert sorted((r.doc_id or 0, r.text) for r in kept.collect()) == [(0, "d"), (2, "a  b"), (3, "c")]
+    one = exact_dedup.exact_dedup(df.where("doc_id <> 2"))
+    assert sorted((r.doc_id, r.text) for r in one.collect()) == [(1, "a b"), (3, "c")]
+
+
 def test_near_copies_with_null_and_repeated_ids(spark, monkeypatch):
     base = " ".join(f"w{i}" for i in range(60))
     rows = [(None, base), (None, base + " x"), (7, base.upper() + " Y"), (7, base + " z"), (7, base + " z")] * 2
     rows += [(None, "other " * 9), (None, None), (None, None), (8, ""), (9, "alone here"), (9, "alone here"), (None, base.replace("w", "v")), (None, base.replace("w", "v") + " x")]
-    exact = minhash._exact_forests
+    exact = minhash._similar_texts
 
     def one_text_a_class(size, percent):
         run = exact(size, percent)
 
-        def checked(table):
-            assert len(set(table["sig"].to_pylist())) == len(table)
-            return run(table)
+        def checked(column):
+            assert len({minhash.shingle_set(t.as_py(), size).tobytes() for t in column}) == len(column)
+            return run(column)
 
         return checked
 
-    monkeypatch.setattr(minhash, "_exact_forests", one_text_a_class)
+    monkeypatch.setattr(minhash, "_similar_texts", one_text_a_class)
     df = spark.createDataFrame([(*r, "n") for r in rows], "doc_id long, text string, near_key string")
     got = minhash.near_dedup(df)
     assert got.columns == df.columns
