@@ -41,6 +41,15 @@ def stub(terms: Sequence[tuple[str, str]]) -> Translate:
     return partial(stub_translate, terms=tuple(terms))
 
 
+def scripted(answer: Callable[[str], str]) -> Translate:
+    """An offline model from the answer to one prompt."""
+    return partial(_answers, answer)
+
+
+def _answers(answer: Callable[[str], str], texts: list[str]) -> list[str]:
+    return [answer(t) for t in texts]
+
+
 def call_with_retry(fn: Translate, texts: list[str], sleep: Callable[[float], None] = time.sleep) -> list[str]:
     """One call; rate limits are waited out, growing, or as long as the error says."""
     for attempt in range(1, TRIES + 1):

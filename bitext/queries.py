@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -898,15 +900,13 @@ def f17_repair_inline_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.col("seq").cast("long").alias("seq"), "broken", _md5("translated").alias("translated_md5"))
 
 
-@query(
-    sql(
-        """SELECT doc_id, seq, round(CASE WHEN original = '' THEN 0.5 WHEN original = translated THEN 0.6
+_CONFIDENCE = """round(CASE WHEN original = '' THEN 0.5 WHEN original = translated THEN 0.6
         WHEN "constraint" = 'Concise' THEN CASE WHEN r <= 1.2 THEN 0.85 ELSE greatest(0.3, 0.85 - (r - 1.2) * 0.5) END
         WHEN "constraint" = 'PreserveLayout' THEN CASE WHEN len(string_split(original, chr(10))) = len(string_split(translated, chr(10))) THEN 0.85 ELSE 0.5 END
-        WHEN r >= 0.2 AND r <= 2 THEN 0.8 ELSE 0.4 END::DOUBLE, 6) AS confidence FROM pairs""",
-        "pairs",
-    )
-)
+        WHEN r >= 0.2 AND r <= 2 THEN 0.8 ELSE 0.4 END::DOUBLE, 6)"""
+
+
+@query(sql(f"SELECT doc_id, seq, {_CONFIDENCE} AS confidence FROM pairs", "pairs"))
 def f18_estimate_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = text.estimate_confidence(F.col("original"), F.col("translated"), F.col("constraint"))
     return inputs.pairs(spark, sf_dir).select("doc_id", "seq", F.round(c.cast("double"), 6).alias("confidence"))
@@ -975,6 +975,28 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _json(x: str) -> str:
+    return f"to_json({x})::VARCHAR"
+
+
+def _json_list(*fields: tuple[str, str], order: str) -> str:
+    """Rows of a group as a JSON array of objects with the given names and SQL values."""
+    item = " || ',' || ".join(f"{sql_quote(_quoted(name) + ':')} || {_json(value)}" for name, value in fields)
+    return f"'[' || string_agg('{{' || {item} || '}}', ',' ORDER BY {order}) || ']'"
+
+
+def _quoted(name: str) -> str:
+    return f'"{name}"'
+
+
+_TERM_LIST = f"(SELECT {_json_list(('source', 'source'), ('target', 'target'), order='ord')} FROM glossary)"
+_PLANNER = f""", s AS (SELECT doc_id, count(*) AS total_blocks, {_json_list(('blockId', 'block_id'), ('text', 'left(text, 200)'), ('nodeType', 'node_type'), order='seq')} AS summaries FROM blocks GROUP BY doc_id),
+    f AS (SELECT doc_id, string_agg('[' || block_id || '] (' || node_type || '): ' || left(text, 300), chr(10) || chr(10) ORDER BY seq) AS samples FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY seq) AS n FROM blocks) WHERE n <= 20 GROUP BY doc_id),
+    p AS (SELECT doc_id, total_blocks, summaries, 'Document: "doc-' || doc_id || '.md" (md)' || chr(10) || 'Source language: ' || lang || chr(10) || 'Target language: zh' || chr(10) || 'Domain: general' || chr(10) || 'Total blocks: '
+        || total_blocks || chr(10) || chr(10) || 'Blocks:' || chr(10) || summaries || chr(10) || chr(10) || 'Samples:' || chr(10) || samples || chr(10) || chr(10) || 'Known terms:' || chr(10) || {_TERM_LIST}
+        || chr(10) || chr(10) || 'Answer with the plan as JSON: glossary, styleGuide, blockConstraints, estimatedExpansionRatio.' AS prompt FROM documents JOIN s USING (doc_id) JOIN f USING (doc_id))"""
+
+
 def _planner(spark: SparkSession, sf_dir: str) -> DataFrame:
     return requests.planner_requests(_docs(spark, sf_dir), inputs.blocks(spark, sf_dir), inputs.glossary(spark))
 
@@ -983,7 +1005,7 @@ def _known(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inputs.pairs(spark, sf_dir).withColumn("style_guide", F.lit(text.STYLE_GUIDES["general"]))
 
 
-@query()
+@query(sql(f"{_PLANNER} SELECT doc_id, total_blocks, length(summaries) AS summary_chars, md5(prompt) AS prompt_md5 FROM p", "blocks", "glossary"))
 def q1_planner_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _planner(spark, sf_dir).select("doc_id", "total_blocks", F.length("summaries").alias("summary_chars"), _md5("prompt").alias("prompt_md5"))
 
@@ -1001,18 +1023,50 @@ def q2_executor_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "seq", "n_terms", "n_context", "temperature", "max_tokens")
 
 
-@query()
+_ADVICE = "CASE \"constraint\" " + " ".join(f"WHEN '{k}' THEN {sql_quote(v)}" for k, v in requests.INSTRUCTIONS.items()) + " END"
+
+
+@query(
+    sql(
+        f""", h AS (SELECT doc_id, seq, '{{' || string_agg({_json('source')} || ':' || {_json('target')}, ',' ORDER BY source) || '}}' AS terms FROM pairs, glossary WHERE source <> '' AND contains(lower(original), lower(source)) GROUP BY ALL),
+        c AS (SELECT *, list({{'o': left(original, 150), 't': left(translated, 150)}}) OVER (PARTITION BY doc_id ORDER BY seq ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) AS context FROM pairs),
+        l AS (SELECT *, coalesce('Context:' || chr(10) || array_to_string(list_transform(context, lambda x, i: '[' || i || '] Original: ' || x.o || chr(10) || '    Translated: ' || x.t), chr(10) || chr(10)), 'This is the first block. No prior context available.') AS before FROM c)
+        SELECT doc_id, seq, md5('Source language: English' || chr(10) || 'Target language: Chinese (Simplified)' || chr(10) || 'Block ID: ' || block_id || chr(10) || 'Constraint: ' || "constraint" || chr(10) || {_ADVICE} || chr(10) || 'Style guide: '
+            || {sql_quote(text.STYLE_GUIDES["general"])} || chr(10) || chr(10) || coalesce('Use exactly these terms:' || chr(10) || terms, 'No glossary terms found in this block.') || chr(10) || chr(10) || before || chr(10) || chr(10) || 'Text:' || chr(10) || original
+            || chr(10) || chr(10) || 'Answer as JSON: translatedText, preservedTags, confidence.') AS prompt_md5 FROM l LEFT JOIN h USING (doc_id, seq)""",
+        "pairs", "glossary",
+    )
+)
 def q2_executor_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return requests.executor_requests(_known(spark, sf_dir), inputs.glossary(spark)).select("doc_id", "seq", _md5("prompt").alias("prompt_md5"))
 
 
-@query()
+@query(
+    sql(
+        f""", s AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY seq) AS place, count(*) OVER (PARTITION BY doc_id) AS n FROM pairs)
+        SELECT doc_id, count(*) AS blocks, md5('Review these translations.' || chr(10) || 'Terms:' || chr(10) || {_TERM_LIST} || chr(10) || 'Blocks:' || chr(10)
+            || {_json_list(('blockId', 'block_id'), ('original', 'left(original, 200)'), ('translation', 'left(translated, 200)'), order='seq')} || chr(10)
+            || 'Answer with a JSON array of issues: blockId, type, description, suggestion, severity.') AS prompt_md5
+        FROM s WHERE place <= 30 AND (n <= 50 OR doc_id IN (SELECT doc_id FROM issues WHERE severity = 'high')) GROUP BY doc_id""",
+        "pairs", "issues", "glossary",
+    )
+)
 def q3_review_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     sample = workspace.deep_check_sample(inputs.pairs(spark, sf_dir), inputs.issues(spark, sf_dir))
     return requests.review_requests(sample, inputs.glossary(spark)).select("doc_id", "blocks", _md5("prompt").alias("prompt_md5"))
 
 
-@query()
+_POLISHED = {**requests.ACTIONS, "formal": f"Rewrite the translation so that it is {requests.STYLES['formal']}."}
+
+
+@query(
+    sql(
+        f""" SELECT doc_id, block_id, action, CASE WHEN action = 'fit_to_bbox' THEN 0.15 ELSE 0.3 END AS temperature, CASE WHEN action = 'fit_to_bbox' THEN ceil(length(translated) * 1.2::DOUBLE) ELSE 1024 END::BIGINT AS max_tokens,
+        md5(advice || chr(10) || 'Original: ' || original || chr(10) || 'Translation: ' || translated || chr(10) || 'Answer with the new translation only.') AS prompt_md5
+        FROM pairs, (VALUES {", ".join(f"({sql_quote(k)}, {sql_quote(v)})" for k, v in _POLISHED.items())}) AS a(action, advice)""",
+        "pairs",
+    )
+)
 def q4_polish_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = inputs.pairs(spark, sf_dir)
     parts = [requests.polish_requests(rows, a).withColumn("action", F.lit(a)) for a in requests.ACTIONS]
@@ -1023,7 +1077,13 @@ def q4_polish_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "block_id", "action", "temperature", "max_tokens", _md5("prompt").alias("prompt_md5"))
 
 
-@query()
+@query(
+    sql(
+        f""", n AS (SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY seq) - 1) // 20 AS batch, seq, text FROM lines)
+        SELECT doc_id, batch, count(*) AS items, md5('{{"paragraphs":[' || string_agg({_json('text')}, ',' ORDER BY seq) || ']}}') AS payload_md5 FROM n GROUP BY ALL""",
+        "lines",
+    )
+)
 def q5_batch_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return requests.batch_requests(inputs.lines(spark, sf_dir), inputs.glossary(spark)).select("doc_id", "batch", "items", _md5("payload").alias("payload_md5"))
 
@@ -1040,12 +1100,25 @@ def q6_numbered_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.numbered_batch(inputs.spans(spark, sf_dir))
 
 
-@query()
+@query(
+    sql(
+        """, s AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY seq) AS place FROM pairs)
+        SELECT doc_id, count(*) AS pairs, md5(string_agg('[' || place || '] Source: ' || original || chr(10) || 'Translation: ' || translated, chr(10) || chr(10) ORDER BY place)) AS prompt_md5 FROM s WHERE place <= 30 GROUP BY doc_id""",
+        "pairs",
+    )
+)
 def q7_proofread_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return requests.proofread_requests(inputs.pairs(spark, sf_dir)).select("doc_id", "pairs", _md5("prompt").alias("prompt_md5"))
 
 
-@query()
+@query(
+    sql(
+        f""", r AS (SELECT source, target FROM termbase WHERE source_lang = 'en' AND target_lang = '中文 (简体)' ORDER BY confirmed DESC, frequency DESC, id LIMIT 80),
+        b AS (SELECT coalesce('Use exactly these terms:' || chr(10) || '{{' || string_agg({_json('source')} || ':' || {_json('target')}, ',' ORDER BY -length(source), source) || '}}', '') AS block FROM r)
+        SELECT length(block) AS chars, md5(block) AS block_md5 FROM b""",
+        "termbase",
+    )
+)
 def q8_glossary_block(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranked = match.prompt_glossary(inputs.termbase(spark, sf_dir), "en", "中文 (简体)")
     return requests.glossary_block(ranked).select(F.length("block").alias("chars"), _md5("block").alias("block_md5"))
@@ -1057,14 +1130,14 @@ def _reply(body: Column) -> Column:
     return F.when(n == 0, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).when(n == 1, F.concat(F.lit("Here it is: "), body, F.lit(" Done."))).otherwise(body)
 
 
-@query()
+@query(sql("SELECT doc_id, seq, true AS found FROM pairs", "pairs"))
 def e1_extract_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     body = F.to_json(F.struct(F.array(F.col("translated")).alias("translations")))
     rows = inputs.pairs(spark, sf_dir)
     return rows.select("doc_id", "seq", F.get_json_object(replies.extract_json(_reply(body), first_opened=True), "$.translations[0]").eqNullSafe(F.col("translated")).alias("found"))
 
 
-@query()
+@query(sql("SELECT doc_id, seq, len(string_split(translated, chr(10))) AS items, true AS same FROM pairs", "pairs"))
 def e2_translations_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = F.split("translated", "\n")
     name = F.element_at(F.array(*map(F.lit, (*replies.ARRAY_NAMES, "lines"))), (F.col("doc_id") % 5 + 1).cast("int"))
@@ -1112,7 +1185,18 @@ def e5_parse_key_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inputs.pairs(spark, sf_dir).select("doc_id", "seq", F.inline(found))
 
 
-@query()
+_UPPER = _strip("upper(replace(x, 'ß', 'SS'))")
+
+
+@query(
+    sql(
+        f""", o AS (SELECT doc_id, seq, string_split(translated, chr(10)) AS old FROM pairs),
+        n AS (SELECT *, CASE WHEN seq % 4 = 0 THEN greatest(len(old) - 1, 1) ELSE len(old) END AS given FROM o),
+        c AS (SELECT doc_id, seq, list_transform(old, lambda x, i: CASE WHEN i % 2 = 1 AND i <= given THEN coalesce(nullif({_UPPER}, ''), x) ELSE x END) AS out FROM n)
+        SELECT doc_id, seq, len(out) AS items, md5(array_to_string(out, chr(10))) AS texts_md5 FROM c""",
+        "pairs",
+    )
+)
 def e6_apply_corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
     old = F.split("translated", "\n")
     new = F.transform(old, lambda x, i: F.when(i % 2 == 0, F.upper(x)).otherwise(""))
@@ -1121,7 +1205,13 @@ def e6_apply_corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inputs.pairs(spark, sf_dir).select("doc_id", "seq", F.size(out).alias("items"), _md5(F.array_join(out, "\n")).alias("texts_md5"))
 
 
-@query()
+@query(
+    sql(
+        f""" SELECT doc_id, seq, md5(CASE WHEN doc_id % 9 = 8 THEN original ELSE translated END) AS translated_md5, CASE WHEN doc_id % 9 = 8 THEN 0 ELSE len(list_distinct({_ALL_TAGS.replace('{0}', 'original')})) END AS n_tags,
+        CASE WHEN doc_id % 9 = 8 THEN 0.0 WHEN seq % 2 = 0 THEN 1.0 ELSE {_CONFIDENCE} END::DOUBLE AS confidence FROM pairs""",
+        "pairs",
+    )
+)
 def e7_parse_executor_reply(spark: SparkSession, sf_dir: str) -> DataFrame:
     body = F.to_json(F.struct(F.col("translated").alias("translatedText"), F.when(F.col("seq") % 2 == 0, F.lit(1.7)).alias("confidence")))
     rows = inputs.pairs(spark, sf_dir).withColumn("reply", F.when(F.col("doc_id") % 9 == 8, "no answer").otherwise(_reply(body))).drop("translated")
@@ -1129,7 +1219,7 @@ def e7_parse_executor_reply(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "seq", _md5("translated").alias("translated_md5"), F.size("preserved_tags").alias("n_tags"), F.round("confidence", 6).alias("confidence"))
 
 
-@query()
+@query(sql(f"SELECT doc_id, 1 AS terms, {sql_quote(text.STYLE_GUIDES['business'])} AS style_guide, 1 AS constraints, 1.3::DOUBLE AS expansion_ratio FROM pairs", "pairs"))
 def e8_parse_plan_reply(spark: SparkSession, sf_dir: str) -> DataFrame:
     entry = F.struct(F.col("original").alias("source"), F.col("translated").alias("target"), F.lit("noun").alias("category"))
     body = F.to_json(F.struct(F.array(entry).alias("glossary"), F.create_map(F.col("block_id"), F.col("constraint")).alias("blockConstraints")))
@@ -1138,7 +1228,7 @@ def e8_parse_plan_reply(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.size("glossary").alias("terms"), "style_guide", F.size("constraints").alias("constraints"), "expansion_ratio")
 
 
-@query()
+@query(sql("SELECT doc_id, block_id, 'style' AS type, original AS description, NULL::VARCHAR AS suggestion, 'low' AS severity FROM pairs WHERE original <> ''", "pairs"))
 def e9_parse_issues_reply(spark: SparkSession, sf_dir: str) -> DataFrame:
     issue = F.struct(F.col("block_id").alias("blockId"), F.lit("style").alias("type"), F.col("original").alias("description"), F.lit("low").alias("severity"))
     incomplete = F.struct(F.col("block_id").alias("blockId"), F.lit("style").alias("type"), F.lit("").alias("description"), F.lit("low").alias("severity"))
@@ -1216,7 +1306,20 @@ def g7_apply_patches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checks.apply_patches(inputs.pairs(spark, sf_dir), patches.unionByName(worse)).select("doc_id", "block_id", "translated")
 
 
-@query()
+def _issues_of(name: str) -> str:
+    """All issues of a bitext, with CTEs of their own."""
+    return "(WITH " + _ALL_ISSUES.lstrip(", ").replace("FROM tagged", f"FROM {name}") + ")"
+
+
+@query(
+    sql(
+        f""", first AS (SELECT doc_id, seq, block_id, original, translated, "constraint", retry_count FROM pairs), found AS {_issues_of('first')},
+        again AS (SELECT * REPLACE (CASE WHEN retry_count < 2 AND (doc_id, block_id) IN (SELECT (doc_id, block_id) FROM found WHERE severity = 'high') THEN {sql_apply_terms('original')} ELSE translated END AS translated) FROM first), after AS {_issues_of('again')}
+        SELECT doc_id, count(*) AS total, count(*) FILTER (WHERE severity = 'high') AS high_count, count(*) FILTER (WHERE severity = 'medium') AS medium_count, count(*) FILTER (WHERE severity = 'low') AS low_count,
+        count(*) FILTER (WHERE severity = 'low') AS patches FROM after GROUP BY doc_id""",
+        "pairs", "glossary",
+    )
+)
 def g8_review_round(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = inputs.pairs(spark, sf_dir).withColumn("preserved_tags", text.preserved_tags(F.col("original")))
     found = checks.check_all(rows, inputs.glossary(spark))
@@ -1238,26 +1341,65 @@ def x1_translate_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inference.translate_blocks(rows, inference.stub(inputs.GLOSSARY)).select("doc_id", F.col("seq").cast("long").alias("seq"), "translated")
 
 
-@query()
+# Offline models that answer as the prompts ask, and fail or say nothing at times.
+
+
+def _polisher(prompt: str) -> str:
+    """The translation with a mark; nothing for every fifth length."""
+    old = re.search(r"\nTranslation: (.*)\nAnswer with", prompt, re.S)[1]
+    return "" if len(old) % 5 == 0 else f"{old} (polished)"
+
+
+def _plan(prompt: str) -> str:
+    """A fenced plan with the known terms; no answer for every seventh number of blocks."""
+    total = int(re.search(r"\nTotal blocks: (\d+)\n", prompt)[1])
+    if total % 7 == 0:
+        raise ValueError("no plan")
+    known = json.loads(prompt.split("\n\nKnown terms:\n")[1].split("\n\nAnswer with")[0])
+    plan = {"glossary": known, "styleGuide": f"{total} blocks", "blockConstraints": {"block-0": "Concise"}, "estimatedExpansionRatio": (10 + total % 5) / 10}
+    return f"```json\n{json.dumps(plan, ensure_ascii=False)}\n```"
+
+
+def _proofreader(prompt: str) -> str:
+    """Corrections of every other pair, as JSON with talk around it."""
+    parts = re.split(r"(?:\A|\n\n)\[\d+\] Source: ", prompt)[1:]
+    new = [p.split("\nTranslation: ", 1)[1] + "!" if i % 2 == 0 else "" for i, p in enumerate(parts)]
+    return json.dumps({"corrections": new}, ensure_ascii=False)
+
+
+@query(sql("SELECT doc_id, block_id, CASE WHEN length(translated) % 5 = 0 THEN translated ELSE translated || ' (polished)' END AS translated FROM pairs", "pairs"))
 def x2_polish_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = inputs.pairs(spark, sf_dir)
-    out = inference.polish_blocks(requests.polish_requests(rows, "naturalize"), rows, inference.stub((("the", "le"),)))
-    return out.select("doc_id", "block_id", F.length("translated").alias("n_chars"))
+    return inference.polish_blocks(requests.polish_requests(rows, "naturalize"), rows, inference.scripted(_polisher)).select("doc_id", "block_id", "translated")
 
 
-@query()
+@query(
+    sql(
+        f""", n AS (SELECT doc_id, count(*) AS total FROM blocks GROUP BY doc_id)
+        SELECT doc_id, CASE WHEN total % 7 = 0 THEN 0 ELSE (SELECT count(*) FROM glossary) END AS terms, CASE WHEN total % 7 = 0 THEN {sql_quote(text.STYLE_GUIDES["general"])} ELSE total || ' blocks' END AS style_guide,
+        CASE WHEN total % 7 = 0 THEN 0 ELSE 1 END AS constraints, CASE WHEN total % 7 = 0 THEN 1.3 ELSE (10 + total % 5) / 10 END::DOUBLE AS expansion_ratio FROM n""",
+        "blocks", "glossary",
+    )
+)
 def x3_plan_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked = inference.ask_documents(_planner(spark, sf_dir).select("doc_id", "prompt"), inference.stub(()))
+    asked = inference.ask_documents(_planner(spark, sf_dir).select("doc_id", "prompt"), inference.scripted(_plan))
     plans = replies.parse_plan_reply(asked.select("doc_id", F.lit("general").alias("domain"), "reply"))
-    return plans.select("doc_id", F.size("glossary").alias("terms"), "style_guide", "expansion_ratio")
+    return plans.select("doc_id", F.size("glossary").alias("terms"), "style_guide", F.size("constraints").alias("constraints"), "expansion_ratio")
 
 
-@query()
+@query(
+    sql(
+        f""", o AS (SELECT doc_id, list(translated ORDER BY seq) AS old FROM pairs GROUP BY doc_id),
+        c AS (SELECT doc_id, list_transform(old, lambda x, i: CASE WHEN i % 2 = 1 AND i <= 30 THEN {_strip("(x || '!')")} ELSE x END) AS out FROM o)
+        SELECT doc_id, len(out) AS items, md5(array_to_string(out, chr(10))) AS texts_md5 FROM c""",
+        "pairs",
+    )
+)
 def x4_proofread_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = inputs.pairs(spark, sf_dir)
     old = F.transform(F.array_sort(F.collect_list(F.struct("seq", "translated"))), lambda x: x["translated"])
     texts = rows.groupBy("doc_id").agg(old.alias("old"))
-    asked = inference.ask_documents(requests.proofread_requests(rows).select("doc_id", "prompt"), inference.stub(()))
+    asked = inference.ask_documents(requests.proofread_requests(rows).select("doc_id", "prompt"), inference.scripted(_proofreader))
     done = asked.join(texts, "doc_id").withColumn("new", replies.apply_corrections(F.coalesce("reply", F.lit("")), F.col("old")))
     return done.select("doc_id", F.size("new").alias("items"), _md5(F.array_join("new", "\n")).alias("texts_md5"))
 
