@@ -15,9 +15,9 @@
 Steps 3 and 4 look for links between the members of a group, which may be a hot one, in the
 same way (``_linked``): members are dealt into blocks, every pair inside a block is tested, and
 about ``HUBS`` members of a group go to all of its blocks. In a group of near copies that
-connects nearly all, at a cost linear in the group. What the largest component of a group
-leaves out is then tested against every other component, block by block: a pair is left out
-only where it is connected already. Nothing is capped, and tasks return spanning forests.
+connects nearly all, at a cost linear in the group. What is not connected to the same hubs as
+most of a group is then tested against everything else in it, block by block: a pair is left
+out only where it is connected already. Nothing is capped, and tasks return spanning forests.
 
 Defined results: null texts and texts without words have an empty set, are linked with
 nothing and stay; fewer words than a shingle are one shingle; texts are read whole; repeated
@@ -210,26 +210,49 @@ def _similar_texts(size: int, percent: int) -> Pairs:
     return run
 
 
+def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Smallest node of the component of each of n nodes."""
+    root = np.arange(n)
+    for r, x in _forest(n, a, b):
+        root[x] = r
+    return root
+
+
 def _tested(members: DataFrame, keys: list[str], similar: Pairs) -> DataFrame:
-    """u, v: a spanning forest of the similar pairs of sig, load of each group.
+    """group, u, v, label: a spanning forest of the similar pairs of sig, load of each group.
 
     With side, comp: pairs of one component are left out, and pairs of one side too where the
-    group has two.
+    group has two. With hub, blocks, place, groups of several blocks also give a row with
+    ``label`` per member: v names what u is connected to here, the same name in every block for
+    what is connected to a hub. Names are finer than components, never coarser.
     """
 
     def run(table: pa.Table) -> pa.Table:
-        sig, pairs = table["sig"].to_pylist(), []
-        if len(sig) > 1:
-            a, b = similar(table["load"])
-            if "comp" in table.column_names:
-                comp = np.unique(np.array(table["comp"].to_pylist(), object), return_inverse=True)[1]
-                side = table["side"].to_numpy()
-                other = (comp[a] != comp[b]) & ((side[a] != side[b]) | (side.min() == side.max()))
-                a, b = a[other], b[other]
-            pairs = _forest(len(sig), a, b)
-        return pa.table({"u": pa.array([sig[x] for _, x in pairs], pa.binary()), "v": pa.array([sig[r] for r, _ in pairs], pa.binary())})
-
-    return members.groupBy(*keys).applyInArrow(run, "u binary, v binary")
+        sig, n = table["sig"].to_pylist(), len(table)
+        a, b = similar(table["load"]) if n > 1 else (np.zeros(0, int), np.zeros(0, int))
+        if "comp" in table.column_names and n > 1:
+            comp = np.unique(np.array(table["comp"].to_pylist(), object), return_inverse=True)[1]
+            side = table["side"].to_numpy()
+            other = (comp[a] != comp[b]) & ((side[a] != side[b]) | (side.min() == side.max()))
+            a, b = a[other], b[other]
+        rows = [(sig[x], sig[r], False) for r, x in _forest(n, a, b)]
+        if "hub" in table.column_names and table["blocks"][0].as_py() > 1:
+            hub, root = table["hub"].to_numpy(), _roots(n, a, b)
+            own = _roots(n, a[hub[a] & hub[b]], b[hub[a] & hub[b]])  # as in every block
+            name: dict[int, bytes] = {}
+            for x in np.flatnonzero(hub).tolist():
+                name[own[x]] = min(sig[x], name.get(own[x], sig[x]))
+            near: dict[int, bytes] = {}
+            for x in np.flatnonzero(hub).tolist():
+                near[root[x]] = min(name[own[x]], near.get(root[x], name[own[x]]))
+            first = table["place"][0].as_py() == 0
+            rows += [(sig[x], name[own[x]] if hub[x] else near.get(root[x], sig[root[x]]), True) for x in range(n) if first or not hub[x]]
+        u, v, label = zip(*rows, strict=True) if rows else ((), (), ())
+        group = table["group"].combine_chunks().slice(0, 1).take(pa.array([0] * len(rows), pa.int64())) if rows else pa.array([], table.schema.field("group").type)
+        return pa.table({"group": group, "u": pa.array(u, pa.binary()), "v": pa.array(v, pa.binary()), "label": pa.array(label, pa.bool_())})
+
+    kind = members.schema["group"].dataType.simpleString()
+    return members.groupBy(*keys).applyInArrow(run, f"group {kind}, u binary, v binary, label boolean")
 
 
 def _linked(members: DataFrame, load: Callable[[DataFrame], DataFrame], similar: Pairs) -> DataFrame:
@@ -248,17 +271,15 @@ def _linked(members: DataFrame, load: Callable[[DataFrame], DataFrame], similar:
     )
     block = F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int")
     hub = (F.col("blocks") > 1) & (F.pmod(F.xxhash64("sig", F.lit(1)), F.col("size")) < HUBS)
-    dealt = shared.materialize(members.join(groups, "group").select("group", "sig", "n", F.when(hub, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(block)).alias("places")), "dealt")
-    near = load(dealt).select("group", "sig", "load", F.explode("places").alias("place"))
-    links = shared.materialize(_tested(near, ["group", "place"], similar), "links")
-    large = groups.where("blocks > 1").select("group")
-    if large.isEmpty():
-        return links
-
-    # What is connected by now, and per large group all that its largest component leaves out.
-    roots = connected_components(links).select(F.col("node").alias("sig"), "root")
-    own = members.join(large, "group").join(roots, "sig", "left").select("group", "sig", "n", F.coalesce("root", "sig").alias("comp"))
-    own = shared.materialize(own, "components")
+    dealt = members.join(groups, "group").withColumn("hub", hub)
+    dealt = dealt.select("group", "sig", "n", "blocks", "hub", F.when(F.col("hub"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(block)).alias("places"))
+    near = load(dealt).select("group", "sig", "load", "blocks", "hub", F.explode("places").alias("place"))
+    tested = shared.materialize(_tested(near, ["group", "place"], similar), "links")
+    links = tested.where("NOT label").select("u", "v")
+    own = tested.where("label").select("group", F.col("u").alias("sig"), F.col("v").alias("comp"))
+
+    # Per large group, all that its largest component leaves out.
+    own = own.join(members, ["group", "sig"])
     comps = own.groupBy("group", "comp").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("weight"))
     sums = comps.groupBy("group").agg(F.max(F.struct("size", "weight", "comp")).alias("main"), F.sum("size").alias("size"), F.sum("weight").alias("weight"))
     sums = sums.where("size > main.size").select(
@@ -281,9 +302,9 @@ def _linked(members: DataFrame, load: Callable[[DataFrame], DataFrame], similar:
     across = cells("main_blocks", lambda o: cell(F.col("block"), o, True, F.lit(0)))
     back = cells("rest_blocks", lambda o: cell(o, F.col("block"), True, F.lit(1)))
     dealt = own.join(sums, "group").withColumns({"rest": rest, "block": block})
-    dealt = shared.materialize(dealt.select("group", "sig", "n", "comp", F.when(F.col("rest"), F.concat(among, across)).otherwise(back).alias("cells")), "dealt")
+    dealt = dealt.select("group", "sig", "comp", F.when(F.col("rest"), F.concat(among, across)).otherwise(back).alias("cells"))
     far = load(dealt).select("group", "sig", "comp", "load", F.inline("cells"))
-    return links.unionByName(shared.materialize(_tested(far, ["group", "a", "b", "with_main"], similar), "links"))
+    return links.unionByName(shared.materialize(_tested(far, ["group", "a", "b", "with_main"], similar), "links").select("u", "v"))
 
 
 def near_groups(docs: DataFrame, shingle: int = 3, percent: int = 85, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

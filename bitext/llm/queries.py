@@ -114,9 +114,9 @@ ORACLES: dict[str, str] = {
         ), s AS (
             SELECT doc_id, unnest(l) AS shingle FROM g
         ), p AS (
-            SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS both FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY ALL
+            SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS common FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY ALL
         ), link AS (
-            SELECT x, y FROM p JOIN g gx ON gx.doc_id = x JOIN g gy ON gy.doc_id = y WHERE 100 * both >= 85 * (len(gx.l) + len(gy.l) - both)
+            SELECT x, y FROM p JOIN g gx ON gx.doc_id = x JOIN g gy ON gy.doc_id = y WHERE 100 * common >= 85 * (len(gx.l) + len(gy.l) - common)
         ), e AS (
             SELECT x, y FROM link UNION ALL SELECT y, x FROM link
         ), reach AS (

@@ -48,7 +48,7 @@ def assign_shards(docs: DataFrame, shards: int = SHARDS, parts: int = PARTS, doc
 
     A slot is the number of rows before it in its shard, in the order of (part, doc_id), where
     the part is a hash: rows are ranked inside (shard, part) and the ``shards * parts`` counts
-    are summed up once.
+    are summed up once. Rows that are wholly equal travel as one with their number.
     """
     rows = shared.as_text_rows(docs, doc_id, text).select(
         "doc_id",
@@ -65,8 +65,9 @@ def assign_shards(docs: DataFrame, shards: int = SHARDS, parts: int = PARTS, doc
     starts = rows.groupBy("shard", "part").agg(F.count(F.lit(1)).alias("n")).select(
         "shard", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start")
     )
-    inside = Window.partitionBy("shard", "part").orderBy("doc_id", "size", "text_crc32")
-    ranked = rows.withColumn("rank", F.row_number().over(inside) - 1)
+    same = rows.groupBy("doc_id", "size", "text_crc32", "shard", "grown_shard", "part").agg(F.count(F.lit(1)).alias("n"))
+    inside = Window.partitionBy("shard", "part").orderBy("doc_id", "size", "text_crc32").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = same.withColumn("upto", F.sum("n").over(inside)).withColumn("rank", F.explode(F.sequence(F.col("upto") - F.col("n"), F.col("upto") - 1)))
     # shards * parts rows at most, a fixed bound
     return ranked.join(F.broadcast(starts), ["shard", "part"]).select(
         "doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard",

@@ -69,6 +69,8 @@ def test_shards(docs):
         assert sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got)))
     assert all(r.grown_shard in (r.shard, 3) and r.law == "key" for r in got)
     assert sharding.assign_shards(docs.limit(0)).count() == 0
+    many = sharding.assign_shards(docs.where("doc_id = 7").withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(500)))), shards=3).collect()
+    assert sorted(r.slot for r in many) == list(range(1000)) and len({r.shard for r in many}) == 1
 
 
 def test_bpe(docs):
