@@ -15,18 +15,26 @@ def intake(files: DataFrame, max_files: int = 10, max_bytes: int = 200 * MIB, ma
     """``files`` (batch_id, pos, path, length) plus ``reason``: accepted, or why not.
 
     Order of the tests: the first ``max_files`` by position, the extension, the size, and then
-    the batch as a whole.
+    the batch as a whole. No batch is sorted: a group limit leaves its first files before the
+    shuffle, and the others are told by the place of the last of these. A null batch is a batch.
     """
+    place = F.struct("pos", "path")
     order = Window.partitionBy("batch_id").orderBy("pos", "path")
+    first = files.select("batch_id", "pos", "path", F.row_number().over(order).alias("n")).where(F.col("n") <= max_files)
+    last = first.groupBy("batch_id").agg(F.max(place).alias("last"), F.max("n").alias("files"))
+    last = first.select("batch_id", place.alias("at")).join(last.select(F.col("batch_id").alias("b"), "last", "files"), F.col("batch_id").eqNullSafe(F.col("b")))
+    last = last.groupBy("b", "last", "files").agg(F.count_if(F.col("at") == F.col("last")).alias("ties"))
+    rows = files.join(last, F.col("batch_id").eqNullSafe(F.col("b")), "left").drop("b")
+    inside = rows.where(place < F.col("last")).withColumn("late", F.lit(False))
+    outside = rows.where(place > F.col("last")).withColumn("late", F.lit(True))
+    # Rows of one position and path are alike: as many stay as had room.
+    same = rows.where(place == F.col("last")).withColumn("late", F.row_number().over(order) > F.col("ties"))
+    rows = inside.unionByName(same).unionByName(outside).drop("last", "files", "ties")
     name = F.lower(F.regexp_extract("path", r"\.([^./]*)\z", 1))
-    reason = (
-        F.when(F.row_number().over(order) > max_files, "too_many").when(~name.isin(*ALLOWED), "bad_type").when(F.col("length") > max_bytes, "too_large")
-    )
-    rows = files.withColumn("reason", reason)
-    total = F.sum(F.when(F.col("reason").isNull(), F.col("length"))).over(Window.partitionBy("batch_id"))
-    return rows.withColumn("total", total).withColumn(
-        "reason", F.coalesce("reason", F.when(F.col("total") > max_total, "batch_too_large"), F.lit("accepted"))
-    ).drop("total")
+    rows = rows.withColumn("reason", F.when(F.col("late"), "too_many").when(~name.isin(*ALLOWED), "bad_type").when(F.col("length") > max_bytes, "too_large")).drop("late")
+    totals = rows.where("reason IS NULL").groupBy(F.col("batch_id").alias("b")).agg(F.sum("length").alias("total"))
+    over = F.when(F.col("total") > max_total, "batch_too_large")
+    return rows.join(totals, F.col("batch_id").eqNullSafe(F.col("b")), "left").withColumn("reason", F.coalesce("reason", over, F.lit("accepted"))).drop("b", "total")
 
 
 def memory_lookup(blocks: DataFrame, memory: DataFrame) -> DataFrame:

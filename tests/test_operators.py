@@ -66,6 +66,23 @@ def test_term_lines(spark):
     assert got[0].source_lang == "en"
 
 
+def test_intake_of_ties_and_null_batches(spark):
+    r = random.Random(3)
+    rows = [(b, r.randint(0, 3), r.choice(["a.md", "b.exe", "c.PDF", "d.docx"]), r.randint(1, 40)) for b in ("x", "y", None) for _ in range(r.randint(3, 30))]
+    df = spark.createDataFrame(rows, "batch_id string, pos long, path string, length long")
+    got = [tuple(x) for x in workspace.intake(df, max_files=6, max_bytes=30, max_total=70).collect()]
+    assert sorted(map(repr, (g[:4] for g in got))) == sorted(map(repr, rows))
+    for b in ("x", "y", None):
+        own = [g for g in got if g[0] == b]
+        first = sorted((g[1], g[2]) for g in own)[:6]
+        kept = [g for g in own if g[4] != "too_many"]
+        assert sorted((g[1], g[2]) for g in kept) == first
+        good = [g for g in kept if not g[2].endswith("exe") and g[3] <= 30]
+        whole = "accepted" if sum(g[3] for g in good) <= 70 else "batch_too_large"
+        assert all(g[4] == (whole if g in good else "bad_type" if g[2].endswith("exe") else "too_large") for g in kept)
+    assert workspace.intake(df.limit(0)).count() == 0
+
+
 def csv_by_hand(line):
     out, field, quoted, i = [], "", False, 0
     while i < len(line):
