@@ -21,7 +21,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     e = shared.materialize(
         edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges"
     )
-    mark = None
+    mark = _mark(e)
     for _ in range(MAX_ROUNDS):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = shared.materialize(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "lowest")
@@ -30,7 +30,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         low = shared.materialize(large.groupBy("u").agg(F.min("v").alias("m")), "lowest")
         small = large.join(low, "u").select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("x")).select("x.*")
         e = shared.materialize(small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "edges")
-        now = tuple(e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
+        now = _mark(e)
         if now == mark:
             break
         mark = now
@@ -38,3 +38,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")
     roots = e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
+
+
+def _mark(edges: DataFrame) -> tuple:
+    return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())

@@ -359,15 +359,12 @@ def _links(rows: DataFrame, sk: DataFrame, classes: DataFrame, shingle: int, per
         links = links.unionByName(_linked(own, lambda df: df.join(classes.select("sig", F.col("sketch").alias("load")), "sig"), _similar_sketches))
     candidates = connected_components(links)
     groups = candidates.select(F.col("root").alias("group"), F.col("node").alias("sig")).join(classes.select("sig", F.col("rep.key").alias("key"), "n"), "sig")
-    keys = groups.select("sig", "key")
+    groups = shared.materialize(groups, "candidates")
+    # Texts of candidates, written once. Both sides grow with the corpus: no broadcast at any size.
     # Repeated rows become one before they travel, so a class has one text, and a group as many as classes.
     texts = rows.select("key", F.col("text").alias("load")).dropDuplicates(["key"])
-
-    def with_text(df: DataFrame) -> DataFrame:
-        # Both sides grow with the corpus: no broadcast at any size.
-        return texts.hint("merge").join(df.join(keys, "sig"), "key")
-
-    return _linked(groups.select("group", "sig", "n"), with_text, _similar_texts(shingle, percent))
+    texts = shared.materialize(texts.hint("merge").join(groups.select("sig", "key"), "key").select("sig", "load"), "candidate-texts")
+    return _linked(groups.select("group", "sig", "n"), lambda df: texts.hint("merge").join(df, "sig"), _similar_texts(shingle, percent))
 
 
 def near_dedup(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
