@@ -780,6 +780,19 @@ def f4_normalize_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", text.normalize_lang(F.upper("lang")).alias("code"), text.normalize_lang(name).alias("from_name"))
 
 
+_NAMED = "['English', ' chinese (Traditional) ', 'JAPANESE', 'ko', ' Auto ', '', 'Klingon ', upper(lang)][doc_id % 8 + 1]"
+
+
+@query(
+    f"""WITH n AS (SELECT doc_id, {_NAMED} AS name, lower(trim({_NAMED})) AS t FROM documents)
+    SELECT doc_id, CASE WHEN t IN ('english', 'en', 'auto') THEN 'en' WHEN t IN ('chinese', 'chinese (simplified)', 'chinese (traditional)', 'zh') THEN 'zh' WHEN t IN ('japanese', 'ja') THEN 'ja' WHEN t IN ('korean', 'ko') THEN 'ko' ELSE name END AS code FROM n"""
+)
+def f4_normalize_lang_as_is(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = F.array(*(F.lit(x) for x in ("English", " chinese (Traditional) ", "JAPANESE", "ko", " Auto ", "", "Klingon ")), F.upper("lang"))
+    return table(spark, sf_dir, "documents").select("doc_id", text.normalize_lang(F.element_at(names, (F.col("doc_id") % 8 + 1).cast("int")), lower_unknown=False).alias("code"))
+
+
+
 @query(sql(f"SELECT doc_id, seq, {sql_apply_terms('text')} AS text FROM lines", "lines"))
 def f5_apply_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inputs.lines(spark, sf_dir).select("doc_id", F.col("seq").cast("long").alias("seq"), text.apply_terms(F.col("text"), inputs.GLOSSARY).alias("text"))
@@ -1185,6 +1198,16 @@ def e5_parse_key_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inputs.pairs(spark, sf_dir).select("doc_id", "seq", F.inline(found))
 
 
+@query(sql(f"SELECT doc_id, seq, {_strip('original')} AS source, {_strip('translated')} AS target FROM pairs WHERE seq % 4 <> 3", "pairs"))
+def e5_parse_key_terms_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As e5_parse_key_terms, with replies that hold the whole texts, line ends and quotes included."""
+    n = F.col("seq") % 4
+    entry = F.when(n == 0, F.create_map(F.lit("source"), "original", F.lit("target"), "translated")).when(n == 1, F.create_map(F.lit("english"), "original", F.lit("chinese_translation"), "translated"))
+    entry = entry.when(n == 2, F.create_map(F.lit("original"), "original", F.lit("translated"), "translated")).otherwise(F.create_map(F.lit("en"), "original"))
+    found = replies.parse_key_terms(F.to_json(F.struct(F.array(entry).alias("keyTerms"))))
+    return inputs.pairs(spark, sf_dir).select("doc_id", "seq", F.inline(found))
+
+
 _UPPER = _strip("upper(replace(x, 'ß', 'SS'))")
 
 
@@ -1468,6 +1491,17 @@ def r4_incremental_translate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(results).select("doc_id", "translated")
 
 
+@query(sql(f"SELECT doc_id, 'block-' || seq AS block_id, {sql_apply_terms('text')} AS translated FROM html_blocks", "html_blocks"))
+def r4_incremental_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every block of every page, translated once although the stream is read twice."""
+    raw = scans.scan_html_blocks(runs.stream_table(spark, f"{sf_dir}/pages.parquet"))
+    blocks = raw.select("doc_id", F.concat(F.lit("block-"), F.col("seq").cast("string")).alias("block_id"), "text")
+    results = new_path(spark, "incremental")
+    for run in range(2):
+        runs.finish(streams.incremental_translate(blocks, inference.stub(inputs.GLOSSARY), results, new_path(spark, f"incremental-state-{run}")))
+    return spark.read.parquet(results).select("doc_id", "block_id", "translated")
+
+
 @query()
 def r5_learn_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = new_path(spark, "learned")
