@@ -36,10 +36,10 @@ from pyspark.sql import types as T
 from . import shared
 
 #: Pre-tokens of one Python worker's cache, and the longest that goes into it, in characters.
-CACHE_ROWS = 400_000
+CACHE_ROWS = 300_000
 CACHE_CHARS = 64
 #: Characters that are split and encoded together.
-RUN_CHARS = 4 << 20
+RUN_CHARS = 1 << 20
 #: Ids that are decoded together.
 DECODE_IDS = 1 << 20
 NONE = 1 << 24

@@ -30,6 +30,8 @@ BITS = 15
 ORDERS = (1, 2, 3)
 #: About so many documents per language are trained on; rarer languages give all they have.
 TRAIN_DOCS = 3000
+#: Different labels that a model may have; more are an error, not a smaller model.
+MAX_LABELS = 2000
 SMOOTHING = 0.1
 SCALE = 1 << 12
 #: n-grams that are scored at once.
@@ -92,7 +94,9 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
     """
     rows = docs.select(F.col(doc_id).alias("id"), F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang"))
     rows = rows.where(F.col("id").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("id")))
-    totals = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    totals = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MAX_LABELS + 1).collect()}
+    if len(totals) > MAX_LABELS:
+        raise ValueError(f"more than {MAX_LABELS} different labels: the column {lang} holds no languages")
     if not totals:
         return Model([], np.zeros(((1 << BITS) + 1, 0), np.int32))
     rates = F.create_map(*(F.lit(x) for lang_, n in totals.items() for x in (lang_, min(1.0, train_docs / n))))

@@ -1,6 +1,6 @@
 """Corpus pipeline: each stage reads, as Parquet, what its predecessor kept.
 
-language_id      drops documents without a language (no letter, or no language ahead)
+language_id      drops documents without a language: no letter, or a posterior below 0.5
 exact_dedup      keeps one document of each group of equal texts
 minhash          keeps one document of each component of near copies (5 words, 0.8)
 decontamination  drops documents that hold a window of a benchmark item
