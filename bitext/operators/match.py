@@ -16,7 +16,7 @@ GRAM = 3
 
 
 def relevant_glossary(blocks: DataFrame, glossary: DataFrame, keys: tuple[str, ...] = ("doc_id", "seq"), text: str = "text", small: int = SMALL_GLOSSARY) -> DataFrame:
-    """keys, source, target: every glossary row whose source occurs in the text, in any case.
+    """keys, source, target: every glossary row whose source occurs in the text, in any case; equal rows each count.
 
     Up to ``small`` rows of ``SMALL_BYTES``, counted first, the glossary is one array next to
     each text. Beyond, terms are found by their rarest gram.
@@ -57,7 +57,8 @@ def _by_gram(blocks: DataFrame, terms: DataFrame, keys: tuple[str, ...], text: s
     joined again, by their keys.
     """
     key = F.lower("source")
-    of_terms = terms.select("source", "target", key.alias("key"), F.explode(F.when(F.length(key) < GRAM, F.array(key)).otherwise(grams(key))).alias("gram"))
+    terms = terms.groupBy("source", "target").agg(F.count(F.lit(1)).alias("copies"))
+    of_terms = terms.select("source", "target", "copies", key.alias("key"), F.explode(F.when(F.length(key) < GRAM, F.array(key)).otherwise(grams(key))).alias("gram"))
     # A handful of rows: the lengths that grams have, up to GRAM.
     sizes = tuple(sorted(r[0] for r in of_terms.select(F.length("gram")).distinct().collect()))
     texts = blocks.select(*keys, F.lower(text).alias("low"))
@@ -65,14 +66,15 @@ def _by_gram(blocks: DataFrame, terms: DataFrame, keys: tuple[str, ...], text: s
     known = materialize(of_terms.groupBy("gram").agg(F.count(F.lit(1)).alias("terms")).select("gram"), "grams")
     frequency = found.join(_small(known, "gram"), "gram", "left_semi").groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
     # Terms with a gram that no text has occur nowhere: its frequency is 0, and it matches nothing.
-    rare = of_terms.join(frequency, "gram", "left").groupBy("source", "target", "key").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("m"))
-    anchors = materialize(rare.where("m.n > 0").select("source", "target", "key", F.col("m.gram").alias("gram")), "anchors")
+    rare = of_terms.join(frequency, "gram", "left").groupBy("source", "target", "copies", "key").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("m"))
+    anchors = materialize(rare.where("m.n > 0").select("source", "target", "copies", "key", F.col("m.gram").alias("gram")), "anchors")
     if _size(anchors, "source", "target", "key", "gram") <= BROADCAST_BYTES:
         hits = found.join(F.broadcast(anchors), "gram")
     else:
         candidates = found.select(*keys, "gram").distinct().join(anchors, "gram").drop("gram")
         hits = texts.join(candidates, list(keys))
-    return hits.where(F.col("low").contains(F.col("key"))).select(*keys, "source", "target")
+    hits = hits.where(F.col("low").contains(F.col("key"))).select(*keys, "source", "target", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    return hits.drop("col")
 
 
 def _size(df: DataFrame, *columns: str) -> int:

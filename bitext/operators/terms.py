@@ -96,9 +96,11 @@ def import_terms_json(existing: DataFrame, entries: DataFrame, merge: bool = Tru
         raw = {"k_sl": "source_lang", "k_tl": "target_lang", "k_domain": "domain"}
         return df.withColumns({"k_source": F.lower("source"), "k_target": F.lower("target"), **{k: F.coalesce(F.col(c), F.lit("")) for k, c in raw.items()}})
 
-    new = keyed(entries.where("coalesce(source, '') <> '' AND coalesce(target, '') <> ''"))
+    # Equal entries become one first, by a hash aggregate.
+    same = entries.groupBy("id", "source", "target", "source_lang", "target_lang", "domain", "frequency", "confirmed").agg(F.count(F.lit(1)).alias("n"), F.min("seq").alias("seq"))
+    new = keyed(same.where("coalesce(source, '') <> '' AND coalesce(target, '') <> ''"))
     new = new.groupBy(*key).agg(
-        F.count(F.lit(1)).alias("n"), F.min_by(F.struct("id", "source", "target", "frequency", "confirmed"), "seq").alias("e"),
+        F.sum("n").alias("n"), F.min_by(F.struct("id", "source", "target", "frequency", "confirmed"), "seq").alias("e"),
         F.max(F.coalesce("confirmed", F.lit(False))).alias("any_confirmed"),
     )
     first = Window.partitionBy(*key).orderBy("id")

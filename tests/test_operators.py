@@ -174,7 +174,7 @@ def test_contains_join_finds_terms_of_any_length(spark):
     sources = {"".join(r.choices("abc东西 ", k=r.randint(1, 5))) for _ in range(120)} | {"İ", "ß", "\n"}
     rows = [(i, "".join(r.choices("ABCabc东西\n ", k=r.randint(0, 30))) + r.choice(["", "İx", "ẞ"])) for i in range(80)]
     texts = spark.createDataFrame(rows, "doc_id long, text string").withColumn("seq", F.lit(0))
-    g = spark.createDataFrame([(s, s[::-1]) for s in sources], "source string, target string")
+    g = spark.createDataFrame([(s, s[::-1]) for s in sources] + [("a", "a")] * 2, "source string, target string")
     both = [sorted((x.doc_id, x.source) for x in match.relevant_glossary(texts, g, small=n).collect()) for n in (0, 2000)]
     assert both[0] == both[1] and len(both[0]) > 500
 
