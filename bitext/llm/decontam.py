@@ -21,6 +21,7 @@ import hashlib
 import re
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -159,14 +160,16 @@ def find_leaks(
     """
     rows = shared.as_text_rows(docs, doc_id, text)
     items, blocks = _dealt(benchmark, item_id, item_text, block_bytes)
-    rows = rows.withColumn("row", shared.row_key("doc_id", "text"))
-    out = _pass(rows, "doc_id long, row binary", _patterns(items, blocks, 0, window))
-    if blocks > 1:
-        more = _further(rows, items, blocks, window).groupBy("row").agg(F.flatten(F.collect_list("hits")).alias("more_hits"), F.flatten(F.collect_list("items")).alias("more_items"))
-        joined = shared.materialize(out, "leaks").join(more, "row", "left")
-        out = joined.mapInArrow(_put_together, f"doc_id long, row binary, {FOUND}")
+    if blocks == 1:
+        out = _pass(rows, "doc_id long", _patterns(items, blocks, 0, window))
+    else:
+        rows = rows.withColumn("row", shared.row_key("doc_id", "text"))
+        out = shared.materialize(_pass(rows, "doc_id long, row binary", _patterns(items, blocks, 0, window)), "leaks")
+        more = _leaks_of(rows, items, blocks, range(1, blocks), window).groupBy("row")
+        more = more.agg(F.flatten(F.collect_list("hits")).alias("more_hits"), F.flatten(F.collect_list("items")).alias("more_items"))
+        out = out.join(more, "row", "left").mapInArrow(_put_together, f"doc_id long, row binary, {FOUND}").drop("row")
     size = F.aggregate("hits", F.lit(0).cast("long"), lambda n, x: n + x.end - x.start)
-    return out.drop("row").withColumn("n_hit", size)
+    return out.withColumn("n_hit", size)
 
 
 def _dealt(benchmark: DataFrame, item_id: str, item_text: str, block_bytes: int) -> tuple[DataFrame, int]:
@@ -181,14 +184,13 @@ def _patterns(items: DataFrame, blocks: int, block: int, window: int):
     return items.sparkSession.sparkContext.broadcast(Patterns([(r.i, r.t) for r in part.toLocalIterator()], window))
 
 
-def _further(rows: DataFrame, items: DataFrame, blocks: int, window: int) -> DataFrame:
-    """row, hits, items that the blocks but the first find, of rows with any."""
-    out = None
-    for b in range(1, blocks):
+def _leaks_of(rows: DataFrame, items: DataFrame, blocks: int, wanted: range, window: int) -> DataFrame:
+    """row, hits, items of the rows in which some of the wanted blocks of items occur, one per block."""
+    parts = []
+    for b in wanted:
         found = _pass(rows, "doc_id long, row binary", _patterns(items, blocks, b, window)).where("size(hits) > 0").select("row", "hits", "items").dropDuplicates(["row"])
-        found = shared.materialize(found, "leaks")
-        out = found if out is None else out.unionByName(found)
-    return out
+        parts.append(shared.materialize(found, "leaks"))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def _pass(rows: DataFrame, kept: str, patterns) -> DataFrame:
@@ -234,14 +236,20 @@ def leak_report(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     )
 
 
-def drop_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The documents without any benchmark window, all columns; a filter in the scan for each block of items."""
+def drop_leaks(
+    docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES
+) -> DataFrame:
+    """The documents without any benchmark window, all columns.
+
+    One block of items is a filter in the scan. More take a pass each, one after another; what
+    they find goes by the digest of id and text.
+    """
     items, blocks = _dealt(benchmark, "item_id", "text", block_bytes)
-    every = [_patterns(items, blocks, b, window) for b in range(blocks)]
-    out = docs
-    for patterns in every:
-        out = _without(out, text, patterns)
-    return out
+    if blocks == 1:
+        return _without(docs, text, _patterns(items, blocks, 0, window))
+    rows = shared.as_text_rows(docs, doc_id, text).withColumn("row", shared.row_key("doc_id", "text"))
+    found = _leaks_of(rows, items, blocks, range(blocks), window)
+    return shared.keep_rows(docs, found.select(F.col("row").alias("key"), F.lit(False).alias("kept")), shared.row_key(doc_id, text), text)
 
 
 def _without(docs: DataFrame, text: str, patterns) -> DataFrame:

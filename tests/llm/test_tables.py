@@ -120,9 +120,11 @@ def test_decontamination_in_one_and_in_many_blocks(spark, docs):
     report = {r.doc_id: r for r in decontam.leak_report(docs, items).collect()}
     assert report[2].items_sha256 == hashlib.sha256(b"").hexdigest()
     assert report[11].items_sha256 == decontam.items_digest(["10"])
-    clean = decontam.drop_leaks(docs, items)
-    assert clean.columns == docs.columns
-    assert {r.doc_id for r in clean.collect()} == {2, 4, 5, 6, 7, 10, None}
+    for size in (1 << 20, 8):
+        clean = decontam.drop_leaks(docs, items, block_bytes=size)
+        assert clean.columns == docs.columns
+        left = [r.doc_id for r in clean.collect()]
+        assert set(left) == {2, 4, 5, 6, 7, 10, None} and left.count(7) == 2
     assert decontam.find_leaks(docs, items.limit(0)).agg(F.sum("n_hit")).first()[0] == 0
     assert decontam.find_leaks(docs.limit(0), items).count() == 0
 
