@@ -36,12 +36,12 @@ from pyspark.sql import types as T
 from . import shared
 
 #: Pre-tokens of one Python worker's cache, and the longest that goes into it, in characters.
-CACHE_ROWS = 300_000
+CACHE_ROWS = 200_000
 CACHE_CHARS = 64
 #: Characters that are split and encoded together.
 RUN_CHARS = 1 << 20
 #: Ids that are decoded together.
-DECODE_IDS = 1 << 20
+DECODE_IDS = 1 << 17
 NONE = 1 << 24
 BIT = [1 << k for k in range(256)]
 #: The id of the gap between two lists, above all others, and the bits that it takes.

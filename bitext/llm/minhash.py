@@ -51,7 +51,7 @@ BLOCK_SETS = 128
 HUBS = 8
 #: Pairs of sketches that are estimated at once.
 PAIRS = 1 << 14
-CACHE_WORDS = 400_000
+CACHE_WORDS = 100_000
 
 
 class _Words(dict):
