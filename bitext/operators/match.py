@@ -48,13 +48,13 @@ def grams(c: Column, sizes: tuple[int, ...] = (GRAM,)) -> Column:
 
 
 def _by_gram(blocks: DataFrame, terms: DataFrame, keys: tuple[str, ...], text: str) -> DataFrame:
-    """Equi-join on one gram per term, the one that fewest texts have; then verify.
+    """Equi-join on one gram per term; then verify.
 
-    Terms shorter than a gram are their own gram, so no list of terms meets every text. Only
-    grams that terms have are counted. Anchors are written and measured: up to
-    ``BROADCAST_BYTES`` they go to the texts, which then take part in no shuffle. Beyond, the
-    texts' grams go to the anchors without the texts, and only the texts of candidates are
-    joined again, by their keys.
+    Terms shorter than a gram are their own gram, so no list of terms meets every text. Up to
+    ``BROADCAST_BYTES`` of terms, measured, each goes by the gram that fewest terms have to the
+    texts, which are read once and take part in no shuffle. Beyond, terms go by the gram that
+    fewest texts have, the texts' grams go to them without the texts, and only the texts of
+    candidates are joined again, by their keys.
     """
     key = F.lower("source")
     terms = terms.groupBy("source", "target").agg(F.count(F.lit(1)).alias("copies"))
@@ -63,12 +63,16 @@ def _by_gram(blocks: DataFrame, terms: DataFrame, keys: tuple[str, ...], text: s
     sizes = tuple(sorted(r[0] for r in of_terms.select(F.length("gram")).distinct().collect()))
     texts = blocks.select(*keys, F.lower(text).alias("low"))
     found = texts.select(*keys, "low", F.explode(grams(F.col("low"), sizes)).alias("gram"))
-    known = materialize(of_terms.groupBy("gram").agg(F.count(F.lit(1)).alias("terms")).select("gram"), "grams")
-    frequency = found.join(_small(known, "gram"), "gram", "left_semi").groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
-    # Terms with a gram that no text has occur nowhere: its frequency is 0, and it matches nothing.
-    rare = of_terms.join(frequency, "gram", "left").groupBy("source", "target", "copies", "key").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("m"))
+    few = _size(terms, "source", "target", "source") <= BROADCAST_BYTES
+    if few:
+        counts = of_terms.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    else:
+        known = materialize(of_terms.select("gram").distinct(), "grams")
+        counts = found.join(known, "gram", "left_semi").groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    # A term with a gram that no text has matches nothing.
+    rare = of_terms.join(counts, "gram", "left").groupBy("source", "target", "copies", "key").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("m"))
     anchors = materialize(rare.where("m.n > 0").select("source", "target", "copies", "key", F.col("m.gram").alias("gram")), "anchors")
-    if _size(anchors, "source", "target", "key", "gram") <= BROADCAST_BYTES:
+    if few:
         hits = found.join(F.broadcast(anchors), "gram")
     else:
         candidates = found.select(*keys, "gram").distinct().join(anchors, "gram").drop("gram")
@@ -81,11 +85,6 @@ def _size(df: DataFrame, *columns: str) -> int:
     return df.agg(F.coalesce(F.sum(_bytes(*columns)), F.lit(0))).first()[0]
 
 
-def _small(df: DataFrame, *columns: str) -> DataFrame:
-    """``df``, marked for a broadcast where its measured size allows it."""
-    return F.broadcast(df) if _size(df, *columns) <= BROADCAST_BYTES else df
-
-
 def terms_by_lang_pair(terms: DataFrame, source_lang: str, target_lang: str) -> DataFrame:
     return terms.where((F.col("source_lang") == source_lang) & (F.col("target_lang") == target_lang))
 
