@@ -318,7 +318,8 @@ def codec(path: str | None = None) -> Codec:
 
 
 def encode_documents(docs: DataFrame, path: str | None = None, text: str = "text", ids: str = "ids") -> DataFrame:
-    """``docs`` plus the packed ids (binary)."""
+    """``docs`` plus the packed ids (binary), under a name that is free."""
+    ids = shared.free_name(docs, ids)
     schema = T.StructType([T.StructField(ids, T.BinaryType())])
 
     def make() -> Callable:

@@ -34,8 +34,10 @@ TRAIN_DOCS = 3000
 MAX_LABELS = 2000
 SMOOTHING = 0.1
 SCALE = 1 << 12
-#: n-grams that are scored at once.
+#: n-grams that are scored at once with up to 8 labels; with more labels in proportion fewer.
 CHUNK = 1 << 19
+#: Labels whose counts a training task holds before it hands them on.
+HELD_LABELS = 64
 UNKNOWN = "und"
 FOLDS, HELD_OUT = 5, 0
 
@@ -89,8 +91,9 @@ def held_out(doc_id: Column) -> Column:
 def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", train_docs: int = TRAIN_DOCS) -> Model:
     """Model of the labelled rows outside the held-out fold.
 
-    Rows are sampled by a hash of the id with one rate per language, ``train_docs`` over the
-    language's rows; the rates need a count without texts.
+    Rows are sampled by a hash of id and text with one rate per language, ``train_docs`` over the
+    language's rows; the rates need a count without texts. Equal rows are all in the sample or
+    none is; they become one with their number, so about ``train_docs`` texts are trained on.
     """
     rows = docs.select(F.col(doc_id).alias("id"), F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang"))
     rows = rows.where(F.col("id").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("id")))
@@ -100,24 +103,29 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
     if not totals:
         return Model([], np.zeros(((1 << BITS) + 1, 0), np.int32))
     rates = F.create_map(*(F.lit(x) for lang_, n in totals.items() for x in (lang_, min(1.0, train_docs / n))))
-    sample = rows.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < F.element_at(rates, F.col("lang")) * 1_000_000)
+    sample = rows.where(F.pmod(F.xxhash64("id", "text"), F.lit(1_000_000)) < F.element_at(rates, F.col("lang")) * 1_000_000)
+    sample = sample.where("text IS NOT NULL").groupBy("text", "lang").agg(F.count(F.lit(1)).alias("n"))
+
+    def summed(counts: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        for name, own in counts.items():
+            at = np.flatnonzero(own[:-1])
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(own[at])], names=["lang", "bucket", "n"])
+        counts.clear()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, np.ndarray] = {}
         for batch in batches:
-            for t, name in zip(batch.column(0), batch.column(1), strict=True):
-                if not t.is_valid:
-                    continue
+            for t, name, n in zip(*batch.columns, strict=True):
+                if len(counts) >= HELD_LABELS and name.as_py() not in counts:
+                    yield from summed(counts)
                 own = counts.setdefault(name.as_py(), np.zeros((1 << BITS) + 1, np.int64))
                 c = codes(t.as_py())
                 for at in range(0, len(c), CHUNK):  # the n-grams that start in the chunk
                     b = buckets(c[at : at + CHUNK + max(ORDERS) - 1])[:, :CHUNK]
-                    own += np.bincount(b.ravel(), minlength=len(own))
-        for name, own in counts.items():
-            at = np.flatnonzero(own[:-1])
-            yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(own[at])], names=["lang", "bucket", "n"])
+                    own += n.as_py() * np.bincount(b.ravel(), minlength=len(own))
+        yield from summed(counts)
 
-    counted = sample.select("text", "lang").mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    counted = sample.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     table = counted.toArrow()
     langs = sorted(totals)
     n = np.zeros((1 << BITS, len(langs)), np.int64)
@@ -130,7 +138,8 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
 
 
 def score(model: Model, texts: list[str | None]) -> list[tuple[str, float]]:
-    """Language and posterior of each text; texts are scored together, up to CHUNK places at once."""
+    """Language and posterior of each text; texts are scored together, as many places at once as CHUNK and the labels allow."""
+    chunk = max(1 << 10, CHUNK * 8 // max(8, len(model.langs)))
     sums = np.zeros((len(texts), len(model.langs)), np.int64)
     lettered = np.zeros(len(texts), bool)
     parts: list[np.ndarray] = []
@@ -154,17 +163,17 @@ def score(model: Model, texts: list[str | None]) -> list[tuple[str, float]]:
         lettered[i] = (c != 32).any()
         if not lettered[i] or not model.langs:
             continue
-        for at in range(0, len(c), CHUNK):
-            piece = c[at : at + CHUNK + len(gap)]
-            if len(piece) > CHUNK:  # n-grams that start in the overlap belong to the next piece
+        for at in range(0, len(c), chunk):
+            piece = c[at : at + chunk + len(gap)]
+            if len(piece) > chunk:  # n-grams that start in the overlap belong to the next piece
                 flush()
-                b = buckets(piece)[:, :CHUNK]
+                b = buckets(piece)[:, :chunk]
                 sums[i] += sum(model.matrix[row].sum(axis=0, dtype=np.int64) for row in b)
                 continue
             parts += [piece, gap]
             owners += [i, i]
             held += len(piece)
-        if held >= CHUNK:
+        if held >= chunk:
             flush()
             held = 0
     flush()

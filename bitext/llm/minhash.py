@@ -42,6 +42,8 @@ from .components import connected_components
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 K = 32
 SHARED = 14
+#: Similarity for which these two are chosen, in percent.
+MIN_PERCENT = 80
 #: Members of a list that is estimated in one task, together with others.
 LIST = 48
 #: Bounds of a block of a group: set elements and sets.
@@ -311,8 +313,10 @@ def near_groups(docs: DataFrame, shingle: int = 3, percent: int = 85, doc_id: st
     """doc_id, n_shingles, component_id, kept: one row per input row.
 
     ``percent``: links have 100 * intersection >= percent * union. The sketch constants are
-    chosen for 80 and more.
+    chosen for ``MIN_PERCENT`` (80) and more; less is an error.
     """
+    if not MIN_PERCENT <= percent <= 100:
+        raise ValueError(f"percent must be from {MIN_PERCENT} to 100: below, sketches lose links")
     out = _grouped(docs, shingle, percent, doc_id, text)
     return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
@@ -369,5 +373,7 @@ def _links(rows: DataFrame, sk: DataFrame, classes: DataFrame, shingle: int, per
 
 def near_dedup(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """One row of each component, all columns, and all rows without words; repeated rows are one."""
+    if not MIN_PERCENT <= percent <= 100:
+        raise ValueError(f"percent must be from {MIN_PERCENT} to 100: below, sketches lose links")
     groups = shared.materialize(_grouped(docs, shingle, percent).where("n > 0").select("key", "keep"), "near-keys")
     return shared.keep_rows(docs, groups.select("key", (F.col("key") == F.col("keep")).alias("kept")), shared.row_key("doc_id", "text"))

@@ -188,7 +188,8 @@ def scan(text: str | None, ratio: np.ndarray, evidence: float = EVIDENCE, thresh
 
 
 def find_secrets(docs: DataFrame, text: str = "text", spans: str = "spans", train_docs: int = TRAIN_DOCS, evidence: float = EVIDENCE, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` plus an array of (kind, start, end); the model is 37 kB and goes along."""
+    """``docs`` plus an array of (kind, start, end), under a name that is free; the model is 37 kB and goes along."""
+    spans = shared.free_name(docs, spans)
     ratio = train(docs, text, train_docs)
     schema = T.StructType([T.StructField(spans, T.ArrayType(SPAN))])
 

@@ -99,5 +99,5 @@ def keep_rows(docs: DataFrame, decided: DataFrame, key: Column, text: str = "tex
 
 
 def as_text_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Only the id and the text, under the names ``doc_id`` and ``text``."""
+    """Only the id and the text, under the names ``doc_id`` and ``text``; ids are longs, or strings of digits, other strings an error."""
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))

@@ -8,6 +8,7 @@ import random
 import struct
 import zlib
 
+import numpy as np
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -440,3 +441,40 @@ def test_small_sections_of_a_large_host_are_cleaned(spark):
 
 def test_every_operator_has_one_query():
     assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
+
+
+def test_names_that_are_taken_get_an_underscore(spark):
+    taken = spark.createDataFrame([(1, "password: abcdefgh", "s", "i")], "doc_id long, text string, spans string, ids string")
+    assert secrets.find_secrets(taken).select("spans", "_spans").first()[0] == "s"
+    assert bpe.encode_documents(taken).select("ids", "_ids").first()[0] == "i"
+
+
+def test_small_percents_are_refused(docs):
+    for f in (minhash.near_groups, minhash.near_dedup):
+        with pytest.raises(ValueError):
+            f(docs, percent=45)
+
+
+def test_many_labels_take_little_memory():
+    import tracemalloc
+
+    langs = [f"l{k}" for k in range(400)]
+    matrix = np.random.default_rng(1).integers(-9000, 0, ((1 << langid.BITS) + 1, len(langs)), np.int32)
+    matrix[-1] = 0
+    model, few = langid.Model(langs, matrix), langid.Model(langs[:8], matrix[:, :8].copy())
+    texts = [LONG, "a short one", None, LONG[:5000]]
+    tracemalloc.start()
+    found = langid.score(model, texts)
+    assert tracemalloc.get_traced_memory()[1] < 150e6
+    tracemalloc.stop()
+    # With fewer places at once, the same sums.
+    want = langid.score(few, texts)
+    part = langid.score(langid.Model(langs[:8] + ["x"] * 92, np.hstack([few.matrix, np.full((len(matrix), 92), -10**6, np.int32)])), texts)
+    assert [x for x, _ in part] == [x for x, _ in want] and len(found) == 4
+
+
+def test_a_sample_of_equal_rows_counts_each(spark):
+    rows = [(1, "aa bb", "en")] * 50 + [(k, f"cc dd {k}", "fr") for k in range(2, 40)]
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), train_docs=10**6)
+    other = langid.train(spark.createDataFrame(rows[:1] * 25 + rows[1:26] + rows[50:], "doc_id long, text string, lang string"), train_docs=10**6)
+    assert model.langs == other.langs == ["en", "fr"] and (model.matrix == other.matrix).all()
