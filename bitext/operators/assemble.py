@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bitext.functions.text import strip_html
-from bitext.sources.blocks import HTML_BLOCK
+from bitext.sources import elements
 
 
 def _ordered(order: str, text: str) -> Column:
@@ -32,27 +32,16 @@ def assemble_html(pages: DataFrame, bitext: DataFrame, html: str = "html", page_
     """page_id, html with the n-th block element's inner markup replaced by the n-th translation.
 
     ``bitext`` has doc_id, seq, translated with the seq of ``scan_html_blocks``; blocks without
-    text and blocks without a translation stay.
+    text and blocks without a translation stay. Rows have no order, so of several translations
+    of one place the greatest, by code points, counts.
     """
-    texts = bitext.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct(F.col("seq").cast("int"), "translated"))).alias("t"))
+    one = bitext.where(F.col("translated").isNotNull()).groupBy("doc_id", F.col("seq").cast("int").alias("seq")).agg(F.max("translated").alias("translated"))
+    texts = one.groupBy("doc_id").agg(F.collect_list(F.struct("seq", "translated")).alias("t"))
+
+    @F.arrow_udf("string")
+    def rewrite(pages: pa.Array, given: pa.Array) -> pa.Array:
+        pairs = zip(pages.to_pylist(), given.to_pylist(), strict=True)
+        return pa.array([p if p is None or not t else elements.rewritten(p, {x["seq"]: x["translated"] for x in t}) for p, t in pairs], pa.string())
+
     rows = pages.select(F.col(page_id).alias("doc_id"), F.col(html).alias("html")).join(texts, "doc_id", "left")
-    whole = F.regexp_extract_all("html", F.lit(HTML_BLOCK), F.lit(0))
-    rows = rows.withColumns({"gaps": F.split("html", HTML_BLOCK, -1), "elements": whole})
-    # The ordinal of an element counts those with text before it.
-    kept = F.transform("elements", lambda e: (strip_html(_inner(e)) != "").cast("int"))
-    rows = rows.withColumn("kept", kept)
-    seqs = F.transform("kept", lambda k, i: F.when(k == 1, F.aggregate(F.slice("kept", F.lit(1), i), F.lit(0), lambda a, x: a + x)))
-    new = F.zip_with("elements", seqs, _rewrite)
-    parts = F.zip_with("gaps", new, lambda g, e: F.concat(g, F.coalesce(e, F.lit(""))))
-    return rows.select(F.col("doc_id").alias(page_id), F.array_join(parts, "").alias("html"))
-
-
-def _inner(element: Column) -> Column:
-    return F.regexp_extract(element, HTML_BLOCK, 3)
-
-
-def _rewrite(element: Column, seq: Column) -> Column:
-    text = F.when(seq.isNotNull(), F.try_element_at(F.coalesce("t", F.create_map(F.lit(-1), F.lit(""))), seq))
-    opening = F.regexp_extract(element, r"^<[^>]*>", 0)
-    closing = F.regexp_extract(element, r"</[^<>]*>\z", 0)
-    return F.when(text.isNull(), element).otherwise(F.concat(opening, text, closing))
+    return rows.select(F.col("doc_id").alias(page_id), rewrite("html", "t").alias("html"))

@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bitext.functions.compat import strip
 from bitext.functions.predicates import non_blank
-from bitext.functions.text import strip_html
 
-BLOCK_TAGS = ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "title", "td", "blockquote")
-#: Element, attributes and inner markup of the leftmost, shortest, non-nested block elements.
-HTML_BLOCK = rf"(?is)<({'|'.join(BLOCK_TAGS)})\b([^>]*)>(.*?)</\1>"
+from . import elements
+from .elements import BLOCK_TAGS  # noqa: F401
+
 # Lines that stand alone, characters of East Asian text, marks that end a paragraph.
 SPECIAL_LINE = r"^(?:[0-9]+(?:\.[0-9]+)*|\*|-|•|◆|Section|Chapter|Title|Page)(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
 EAST_ASIAN_END = r"[぀-ヿ㐀-䶿一-鿿豈-﫿ｦ-ﾟ]\z"
@@ -23,13 +23,21 @@ def scan_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     return df.select(F.col(doc_id).alias("doc_id"), F.posexplode(F.split(text, "\n")).alias("seq", "text"))
 
 
+def html_elements(html: Column, only_text: bool = True) -> Column:
+    """Array of (tag, inner) of the block elements of a page, in one pass; by default of those that have text."""
+
+    @F.arrow_udf("array<struct<tag:string,inner:string>>")
+    def find(pages: pa.Array) -> pa.Array:
+        found = ([] if p is None else elements.blocks(p) if only_text else [(tag, p[a:b]) for tag, _, a, b, _ in elements.elements(p)] for p in pages.to_pylist())
+        return pa.array([[{"tag": t, "inner": x} for t, x in page] for page in found], pa.list_(pa.struct([("tag", pa.string()), ("inner", pa.string())])))
+
+    return find(html)
+
+
 def scan_html_blocks(df: DataFrame, html: str = "html", doc_id: str = "page_id") -> DataFrame:
     """doc_id, seq, tag, text (inner markup) of block elements that have text."""
-    # One search of the page; an element's own tag and markup follow from its ends.
-    elements = F.regexp_extract_all(html, F.lit(HTML_BLOCK), F.lit(0))
-    blocks = F.transform(elements, lambda e: F.struct(F.regexp_extract(e, HTML_BLOCK, 1).alias("tag"), F.regexp_extract(e, HTML_BLOCK, 3).alias("inner")))
-    found = df.select(F.col(doc_id).alias("doc_id"), F.posexplode(F.filter(blocks, lambda b: strip_html(b["inner"]) != "")).alias("seq", "b"))
-    return found.select("doc_id", "seq", F.lower("b.tag").alias("tag"), F.col("b.inner").alias("text"))
+    found = df.select(F.col(doc_id).alias("doc_id"), html_elements(F.col(html)).alias("e")).select("doc_id", F.posexplode("e").alias("seq", "b"))
+    return found.select("doc_id", "seq", F.col("b.tag").alias("tag"), F.col("b.inner").alias("text"))
 
 
 def scan_markdown(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:

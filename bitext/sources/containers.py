@@ -14,15 +14,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bitext.functions.compat import strip
-from bitext.functions.text import strip_html
 
-from .blocks import HTML_BLOCK
+from . import elements
+from .blocks import html_elements
 
-#: Paragraph element and text run of each kind, and the parts they are in.
+#: Paragraph element and text run of each kind, and the parts they are in; pages of a book have block elements.
 KINDS = {
     "docx": (r"(?s)<w:p\b[^>]*>.*?</w:p>", r"(?s)<w:t\b[^>]*>(.*?)</w:t>", r"\.xml$"),
     "pptx": (r"(?s)<a:p\b[^>]*>.*?</a:p>", r"(?s)<a:t\b[^>]*>(.*?)</a:t>", r"^ppt/.*\.xml$"),
-    "epub": (HTML_BLOCK, "", r"(?i)\.(?:xhtml|html|htm)$"),
+    "epub": ("", "", r"(?i)\.(?:xhtml|html|htm)$"),
 }
 #: What reading a damaged or encrypted archive raises.
 DAMAGE = (zipfile.BadZipFile, zlib.error, EOFError, OSError, RuntimeError, NotImplementedError, ValueError)
@@ -74,10 +74,10 @@ def scan_container(files: DataFrame, kind: str) -> DataFrame:
     """
     paragraph, run, _ = KINDS[kind]
     parts = unzip_parts(files, kind).where("error IS NULL")
-    found = parts.select("doc_id", "part_no", "part", F.posexplode(F.regexp_extract_all("xml", F.lit(paragraph), F.lit(0))).alias("p_index", "p"))
     if kind == "epub":
-        text = F.regexp_extract("p", HTML_BLOCK, 3)
-        return found.withColumn("text", text).where(strip_html(F.col("text")) != "").drop("p")
+        found = parts.select("doc_id", "part_no", "part", html_elements(F.col("xml"), only_text=False).alias("e")).select("doc_id", "part_no", "part", F.posexplode("e").alias("p_index", "p"))
+        return found.select("doc_id", "part_no", "part", "p_index", F.col("p.inner").alias("text")).where(strip(F.regexp_replace("text", "<[^>]*>", "")) != "")
+    found = parts.select("doc_id", "part_no", "part", F.posexplode(F.regexp_extract_all("xml", F.lit(paragraph), F.lit(0))).alias("p_index", "p"))
     return found.withColumn("text", F.array_join(F.regexp_extract_all("p", F.lit(run), F.lit(1)), "")).where(strip(F.col("text")) != "").drop("p")
 
 
@@ -95,6 +95,8 @@ def _unescape(text: str) -> str:
 
 def rewrite_part(xml: str, kind: str, texts: dict[int, str]) -> str:
     """A part with the texts of its paragraphs, by index, replaced."""
+    if kind == "epub":
+        return elements.rewritten(xml, texts, all_elements=True)
     paragraph, run, _ = KINDS[kind]
     counter = iter(range(1 << 60))
 
@@ -102,8 +104,6 @@ def rewrite_part(xml: str, kind: str, texts: dict[int, str]) -> str:
         text = texts.get(next(counter))
         if text is None:
             return m[0]
-        if kind == "epub":
-            return m[0][: m.start(3) - m.start()] + text + m[0][m.end(3) - m.start() :]
         rest = iter([_escape(_unescape(text))])
         return re.sub(run, lambda r: r[0][: r.start(1) - r.start()] + next(rest, "") + r[0][r.end(1) - r.start() :], m[0])
 

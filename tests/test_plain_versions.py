@@ -13,10 +13,11 @@ from bitext import inputs, queries
 from bitext.functions import python_text
 from bitext.operators import checks
 from bitext.plans import edits
-from bitext.sources.blocks import HTML_BLOCK
+from bitext.sources.elements import BLOCK_TAGS
 from bitext.storage import table
 
 SF = "/root/testdata/sf0.001"
+HTML_BLOCK = rf"(?is)<({'|'.join(BLOCK_TAGS)})\b([^>]*)>(.*?)</\1>"
 
 
 @pytest.fixture(scope="module")
