@@ -154,19 +154,20 @@ def test_terms_and_tags(spark):
     assert {r.detail: r.severity for r in checks.check_tags(df).collect()} == {"</b>": "medium", "**x**": "medium"}
 
 
-@pytest.mark.parametrize("anchors", [0, 1000])
-def test_contains_join_has_no_cartesian_product_on_its_large_path(spark, monkeypatch, anchors):
-    monkeypatch.setattr(match, "BROADCAST_BYTES", anchors)
+@pytest.mark.parametrize("automaton", [0, 1 << 20])
+def test_contains_join_has_no_cartesian_product_on_its_large_paths(spark, automaton):
     texts = spark.createDataFrame([(1, 0, "The Quick brown fox"), (2, 0, "nothing"), (3, 0, None)], "doc_id long, seq long, text string")
     g = spark.createDataFrame([("quick b", "x"), ("ox", "y"), ("zzz", "z"), ("THE", "t")], "source string, target string")
-    large = match.relevant_glossary(texts, g, small=1)
+    large = match.relevant_glossary(texts, g, small=1, automaton=automaton)
     small = match.relevant_glossary(texts, g)
     want = {(1, "quick b"), (1, "ox"), (1, "THE")}
     assert {(r.doc_id, r.source) for r in large.collect()} == want == {(r.doc_id, r.source) for r in small.collect()}
-    plan = match.relevant_glossary(texts, g, small=1)._jdf.queryExecution().executedPlan().toString()
+    plan = large._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan
     assert "BroadcastNestedLoopJoin" not in plan
-    assert "Python" not in plan
+    # With the automaton texts meet no gram and no exchange; without it, no Python.
+    assert ("Python" in plan) == (automaton > 0)
+    assert not automaton or ("Exchange hash" not in plan and "regexp_extract_all" not in plan)
 
 
 def test_contains_join_finds_terms_of_any_length(spark):
@@ -175,8 +176,8 @@ def test_contains_join_finds_terms_of_any_length(spark):
     rows = [(i, "".join(r.choices("ABCabc东西\n ", k=r.randint(0, 30))) + r.choice(["", "İx", "ẞ"])) for i in range(80)]
     texts = spark.createDataFrame(rows, "doc_id long, text string").withColumn("seq", F.lit(0))
     g = spark.createDataFrame([(s, s[::-1]) for s in sources] + [("a", "a")] * 2, "source string, target string")
-    both = [sorted((x.doc_id, x.source) for x in match.relevant_glossary(texts, g, small=n).collect()) for n in (0, 2000)]
-    assert both[0] == both[1] and len(both[0]) > 500
+    ways = [sorted((x.doc_id, x.source, x.target) for x in match.relevant_glossary(texts, g, small=n, automaton=size).collect()) for n, size in ((0, 0), (0, 1 << 20), (2000, 0))]
+    assert ways[0] == ways[1] == ways[2] and len(ways[0]) > 500
 
 
 def test_incoming_rows_are_counted_before_they_are_sorted(spark):
