@@ -1,7 +1,9 @@
 """Batch inference with a pluggable function: batched calls, halving, retries, fallbacks.
 
-Replies are written to the shared folder as soon as they are there, so a block is asked for
-once, however often its reply is used, and all uses see the same one.
+Replies are written to the shared folder when a job has all of them, so a block is asked for
+once, however often its reply is used, and all uses see the same one. With a ``journal``, a
+folder, each call's replies are stored at once as well: a task or application that is killed
+asks for no answered block again (see ``bitext.journal``).
 """
 
 from __future__ import annotations
@@ -16,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from bitext import journal as journals
 from bitext.operators import checks, workspace
 from bitext.storage import materialize
 
@@ -86,45 +89,44 @@ def translate_batch(texts: list[str], fn: Translate, terms: Sequence[tuple[str,
     return translate_batch(texts[:middle], fn, terms, sleep) + translate_batch(texts[middle:], fn, terms, sleep)
 
 
-def translate_blocks(rows: DataFrame, fn: Translate, batch: int = 20, terms: Sequence[tuple[str, str]] = (), text: str = "text", out: str = "translated") -> DataFrame:
+def translate_blocks(rows: DataFrame, fn: Translate, batch: int = 20, terms: Sequence[tuple[str, str]] = (), text: str = "text", out: str = "translated", journal: str | None = None, key: str = "") -> DataFrame:
     """``rows`` plus ``out``. Filter before: nothing is pushed below the calls.
 
-    The number of partitions is the number of concurrent callers.
+    The number of partitions is the number of concurrent callers. ``key`` tells the requests of
+    one model, language pair and purpose from others in the ``journal``.
     """
+    return _asked(rows.drop(out), text, out, lambda texts: translate_batch(texts, fn, terms), batch, journal, f"translate:{key}")
 
-    def translated(texts: list[str | None]) -> list[str | None]:
-        given = [t or "" for t in texts]
-        return [x for at in range(0, len(given), batch) for x in translate_batch(given[at : at + batch], fn, terms)]
 
-    return _asked(rows.drop(out), text, out, translated)
-
-
-def _asked(rows: DataFrame, text: str, out: str, fn: Callable[[list[str | None]], list[str | None]]) -> DataFrame:
-    """``rows``, untouched, plus a column of what ``fn`` makes of ``text``; stored at once."""
+def _asked(rows: DataFrame, text: str, out: str, call: journals.Call, size: int, journal: str | None, key: str) -> DataFrame:
+    """``rows``, untouched, plus a column of what ``call`` makes of ``text``, up to ``size`` at once."""
+    if journal is not None:
+        return materialize(journals.ask(rows, text, out, call, size, journal, key), "replies")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for given in batches:
-            replies = fn(given.column(given.schema.get_field_index(text)).to_pylist())
+            texts = [t or "" for t in given.column(given.schema.get_field_index(text)).to_pylist()]
+            replies = [x for at in range(0, len(texts), size) for x in call(texts[at : at + size])]
             yield pa.RecordBatch.from_arrays([*given.columns, pa.array(replies, pa.string())], names=[*given.schema.names, out])
 
     schema = T.StructType([*rows.schema.fields, T.StructField(out, T.StringType())])
     return materialize(rows.mapInArrow(run, schema), "replies")
 
 
-def polish_blocks(requests: DataFrame, bitext: DataFrame, fn: Translate, batch: int = 20) -> DataFrame:
+def polish_blocks(requests: DataFrame, bitext: DataFrame, fn: Translate, batch: int = 20, journal: str | None = None, key: str = "") -> DataFrame:
     """``bitext`` with polished translations; an empty reply leaves the current one."""
 
     def lenient(texts: list[str]) -> list[str]:
         return [x or " " for x in fn(texts)]
 
-    new = translate_blocks(requests, lenient, batch, text="prompt", out="reply").select("doc_id", "block_id", "prompt", "reply")
+    new = translate_blocks(requests, lenient, batch, text="prompt", out="reply", journal=journal, key=f"polish:{key}").select("doc_id", "block_id", "prompt", "reply")
     rows = bitext.join(new, ["doc_id", "block_id"], "left")
     # A blank reply comes back as the prompt.
     empty = F.col("reply").isNull() | (F.col("reply") == F.col("prompt"))
     return rows.withColumn("translated", F.when(empty, F.col("translated")).otherwise(F.col("reply"))).drop("prompt", "reply")
 
 
-def ask_documents(requests: DataFrame, fn: Translate, tries: int = 2) -> DataFrame:
+def ask_documents(requests: DataFrame, fn: Translate, tries: int = 2, journal: str | None = None, key: str = "") -> DataFrame:
     """``requests`` plus ``reply``: one retry, then null. Parsers turn null into defaults."""
 
     def ask(prompt: str | None) -> str | None:
@@ -136,7 +138,7 @@ def ask_documents(requests: DataFrame, fn: Translate, tries: int = 2) -> DataFra
                     raise
         return None
 
-    return _asked(requests.drop("reply"), "prompt", "reply", lambda prompts: [ask(p) for p in prompts])
+    return _asked(requests.drop("reply"), "prompt", "reply", lambda prompts: [ask(p) for p in prompts], 1, journal, f"ask:{key}")
 
 
 def review_round(bitext: DataFrame, issues: DataFrame, glossary: DataFrame, fn: Translate, max_retries: int = 2) -> tuple[DataFrame, DataFrame]:

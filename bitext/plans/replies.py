@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bitext.functions.compat import let, not_empty, strip, text_or_empty
 from bitext.functions.text import estimate_confidence, preserved_tags, strip_fences, strip_meta, style_guide
+from bitext.storage import materialize
 
 # Field names that replies use.
 SOURCE_NAMES, TARGET_NAMES = ("source", "english", "en", "original"), ("target", "chinese_translation", "zh", "translation", "translated")
@@ -75,12 +78,38 @@ def align_replies(batches: DataFrame, replies: DataFrame) -> DataFrame:
 
 
 def split_batches(aligned: DataFrame) -> DataFrame:
-    """Halves of the batches that need splitting: rows with new batch and pos."""
+    """Halves of the batches that need splitting: rows with new batch and pos, further columns as they are."""
     rows = aligned.where("needs_split")
     sizes = rows.groupBy("doc_id", "batch").agg(F.count(F.lit(1)).alias("items"))
     rows, middle = rows.join(sizes, ["doc_id", "batch"]), F.floor(F.col("items") / 2)
     second = F.col("pos") >= middle
-    return rows.select("doc_id", F.concat_ws(".", F.col("batch").cast("string"), F.when(second, "1").otherwise("0")).alias("batch"), F.when(second, F.col("pos") - middle).otherwise(F.col("pos")).cast("int").alias("pos"), "text")
+    half = F.concat_ws(".", F.col("batch").cast("string"), F.when(second, "1").otherwise("0"))
+    rows = rows.withColumns({"batch": half, "pos": F.when(second, F.col("pos") - middle).otherwise(F.col("pos")).cast("int")})
+    return rows.drop("items", "translated", "needs_split")
+
+
+def align_until(batches: DataFrame, ask: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Every batch row (doc_id, batch, pos, text, ...) plus ``translated`` and ``rounds``, the calls that it took part in.
+
+    ``ask`` takes rows with doc_id, batch, pos, text and returns doc_id, batch, texts: the replies.
+    Batches whose replies do not align are halved and asked again, the others are done, so each
+    round has fewer and smaller batches and there are at most log2 of the largest batch of them,
+    and one. Replies are written before they are used: no batch is asked twice.
+    """
+    frontier = batches.withColumns({"first_batch": F.col("batch"), "first_pos": F.col("pos"), "batch": F.col("batch").cast("string")})
+    done: list[DataFrame] = []
+    while True:
+        frontier = materialize(frontier, "batches")
+        told = materialize(ask(frontier.select("doc_id", "batch", "pos", "text")), "batch-replies")
+        aligned = materialize(align_replies(frontier, told), "aligned")
+        done.append(aligned.where("NOT needs_split").withColumn("rounds", F.lit(len(done) + 1)))
+        frontier = split_batches(aligned)
+        if aligned.where("needs_split").isEmpty():
+            break
+    out = done[0]
+    for more in done[1:]:
+        out = out.unionByName(more)
+    return out.withColumns({"batch": F.col("first_batch"), "pos": F.col("first_pos")}).drop("first_batch", "first_pos", "needs_split")
 
 
 def parse_numbered(lines: DataFrame, replies: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bitext import inputs
+from bitext import inputs, versions
 from bitext.functions import predicates, python_text, register, text
 from bitext.inputs import sql, sql_apply_terms, sql_quote
 from bitext.operators import assemble, checks, layout, match, terms, workspace
@@ -212,6 +212,11 @@ def k3_glossary_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     return one.select(F.lit("en").alias("source_lang"), F.size(entries).cast("long").alias("terms"), _md5(F.array_join(rows, "\n")).alias("map_md5"))
 
 
+@query(sql("SELECT row_number() OVER (ORDER BY length(source) DESC, source) - 1 AS rank, source, target FROM termbase WHERE source_lang = 'en' AND target_lang = '中文 (简体)'", "termbase"))
+def k3_glossary_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return match.glossary_rows(inputs.termbase(spark, sf_dir), "en", "中文 (简体)")
+
+
 @query(
     sql(
         """, pages_ AS (SELECT doc_id, seq // 4 AS page, string_agg(CASE WHEN seq % 3 = 0 THEN 'U' || text ELSE text END, chr(10) || chr(10) ORDER BY seq) AS text FROM lines GROUP BY ALL)
@@ -1176,6 +1181,27 @@ def e3_align_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replies.align_replies(rows, given).select("doc_id", "batch", F.col("pos").cast("long").alias("pos"), "translated", "needs_split")
 
 
+_HALVED = """WITH RECURSIVE {head}, r AS (
+    SELECT *, 1 AS round, batch::VARCHAR AS part, pos AS place FROM b20 UNION ALL
+    SELECT doc_id, batch, pos, text, bad, round + 1, part || '.' || (place >= items // 2)::INTEGER, CASE WHEN place >= items // 2 THEN place - items // 2 ELSE place END
+    FROM (SELECT *, count(*) OVER w AS items, bool_or(bad) OVER w AS fails FROM r WINDOW w AS (PARTITION BY doc_id, part, round)) WHERE fails AND items > 1
+) SELECT doc_id, batch, pos, CASE WHEN bad THEN text ELSE 'U' || text END AS translated, max(round)::INTEGER AS rounds FROM r GROUP BY ALL"""
+_B20 = ", b20 AS (SELECT doc_id, seq // 20 AS batch, seq % 20 AS pos, text, length(text) % 7 = 3 AS bad FROM lines) SELECT 1"
+
+
+@query(_HALVED.format(head=sql(_B20, "lines").removeprefix("WITH ").removesuffix(" SELECT 1")))
+def e3_align_until(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A reply is one text short while its batch holds a text that the model leaves out: failures at every size, down to single texts."""
+    rows = inputs.lines(spark, sf_dir).select("doc_id", F.floor(F.col("seq") / 20).alias("batch"), (F.col("seq") % 20).alias("pos"), "text")
+
+    def ask(batches: DataFrame) -> DataFrame:
+        texts = F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"])
+        kept = F.transform(F.filter("texts", lambda t: F.length(t) % 7 != 3), lambda t: F.concat(F.lit("U"), t))
+        return batches.groupBy("doc_id", "batch").agg(texts.alias("texts")).withColumn("texts", kept)
+
+    return replies.align_until(rows, ask).select("doc_id", "batch", F.col("pos").cast("long").alias("pos"), "translated", "rounds")
+
+
 @query(
     sql(f", {_BATCHES} SELECT doc_id, batch, pos AS idx, CASE WHEN pos % 2 = 0 AND {_strip('text')} <> '' THEN {_strip(_MARKED)} ELSE text END AS translated FROM b", "lines")
 )
@@ -1364,6 +1390,25 @@ def x1_translate_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inference.translate_blocks(rows, inference.stub(inputs.GLOSSARY)).select("doc_id", F.col("seq").cast("long").alias("seq"), "translated")
 
 
+@query(
+    sql(
+        f""", t AS (SELECT doc_id, seq, text, text IN (SELECT text FROM lines WHERE seq % 2 = 0) AS known FROM lines WHERE {_strip('text')} <> '')
+        SELECT doc_id, seq, CASE WHEN known THEN {sql_apply_terms('text')} ELSE text || '?' END AS translated FROM t""",
+        "lines",
+    )
+)
+def x1_translate_with_journal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Even lines first; then all lines, by a model that would answer otherwise: only new texts reach it."""
+    rows, journal = inputs.lines(spark, sf_dir).where(predicates.non_blank(F.col("text"))), new_path(spark, "journal")
+    inference.translate_blocks(rows.where("seq % 2 = 0"), inference.stub(inputs.GLOSSARY), journal=journal)
+    done = inference.translate_blocks(rows, inference.scripted(_doubtful), journal=journal)
+    return done.select("doc_id", F.col("seq").cast("long").alias("seq"), "translated")
+
+
+def _doubtful(prompt: str) -> str:
+    return prompt + "?"
+
+
 # Offline models that answer as the prompts ask, and fail or say nothing at times.
 
 
@@ -1462,6 +1507,20 @@ def r1_assemble_token_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return streams.assemble_token_stream(_sse(spark, sf_dir)).select("response_id", _md5("text").alias("text_md5"))
 
 
+@query("SELECT conv_id * 100 + turn AS response_id, md5(text || ' ') AS text_md5, turn % 7 <> 3 AS complete FROM conversations WHERE turn % 7 <> 3")
+def r1_assemble_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts as a stream of lines in several files, dealt out by a hash; every seventh response lacks its end mark and so does not end."""
+    turns = table(spark, sf_dir, "conversations").withColumn("response_id", F.col("conv_id") * 100 + F.col("turn"))
+    words = F.split("text", " ")
+    content = F.transform(words, lambda w: F.to_json(F.struct(F.array(F.struct(F.struct(F.concat(w, F.lit(" ")).alias("content")).alias("delta"))).alias("choices"))))
+    lines = F.flatten(F.array(F.transform(content, lambda c: F.concat(F.lit("data: "), c)), F.array(F.lit(": ping")), F.when(F.col("turn") % 7 == 3, F.array(F.lit("data: {broken"))).otherwise(F.array(F.lit("data: [DONE]")))))
+    rows = turns.select("response_id", F.posexplode(lines).alias("line_no", "line")).withColumn("ts", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("response_id") % 60))
+    path = new_path(spark, "lines")
+    rows.repartition(3, F.xxhash64("response_id", "line_no")).write.parquet(path)
+    done = runs.run_available(streams.assemble_responses(runs.stream_table(spark, path, files=1)), "append", "responses")
+    return done.select("response_id", _md5("text").alias("text_md5"), "complete")
+
+
 def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = runs.stream_table(spark, f"{sf_dir}/events.parquet")
     phases = F.create_map(*(F.lit(x) for kv in inputs.PHASES.items() for x in kv))
@@ -1505,11 +1564,11 @@ def r4_incremental_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def r5_learn_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = new_path(spark, "learned")
-    inputs.termbase(spark, sf_dir).write.parquet(f"{base}/version=0")
+    versions.commit(inputs.termbase(spark, sf_dir), base, "start")
     raw = runs.stream_table(spark, f"{sf_dir}/conversations.parquet")
     rows = raw.where("role = 'assistant'").select(
         F.col("conv_id").alias("doc_id"), F.concat(F.lit("block-"), F.col("turn").cast("string")).alias("block_id"), F.col("text").alias("source_text"), F.col("text").alias("before_text"),
         F.regexp_replace("text", r"^(\S+) (\S+)", r"$1 $2x").alias("after_text"),
     )
     runs.finish(streams.learn_stream(rows, base, new_path(spark, "learned-state")))
-    return spark.read.parquet(f"{base}/version=1").where("domain = 'proofread'").select("source", "target", "frequency", "confirmed")
+    return versions.latest(spark, base).where("domain = 'proofread'").select("source", "target", "frequency", "confirmed")

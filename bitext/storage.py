@@ -6,6 +6,7 @@ import re
 import tempfile
 import uuid
 
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
@@ -46,3 +47,16 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
+    """File system and path of a URI or plain path, on the driver or in a task."""
+    if "://" in uri:
+        return pafs.FileSystem.from_uri(uri)
+    return pafs.LocalFileSystem(), uri.removeprefix("file:")
+
+
+def listing(uri: str, recursive: bool = False) -> list[pafs.FileInfo]:
+    """What is below a folder; nothing where it does not exist."""
+    fs, path = open_fs(uri)
+    return fs.get_file_info(pafs.FileSelector(path, allow_not_found=True, recursive=recursive))

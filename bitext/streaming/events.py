@@ -8,17 +8,28 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from bitext import versions
 from bitext.operators.terms import learn_from_edits
 from bitext.operators.workspace import pending_after
 from bitext.plans.edits import term_candidates
 from bitext.plans.inference import Translate, translate_blocks
+from bitext.storage import listing
 
 PHASES = ("planning", "executing", "reviewing", "completed", "failed")
-SESSION_MINUTES = 30
+SESSION_MINUTES, RESPONSE_MINUTES = 30, 10
+
+
+def _data(line: Column) -> Column:
+    """What a data line holds, null for other lines."""
+    return F.when(line.startswith("data: "), F.trim(F.substring(line, 7, 1 << 30)))
+
+
+def _delta(body: Column) -> Column:
+    return F.when(body != "[DONE]", F.get_json_object(body, "$.choices[0].delta.content"))
 
 
 def assemble_token_stream(lines: DataFrame) -> DataFrame:
@@ -26,12 +37,88 @@ def assemble_token_stream(lines: DataFrame) -> DataFrame:
 
     Lines that are no data, the end mark, malformed ones and those without content add nothing.
     """
-    body = F.when(F.col("line").startswith("data: "), F.trim(F.substring("line", 7, 1 << 30)))
-    delta = F.when(body != "[DONE]", F.get_json_object(body, "$.choices[0].delta.content"))
+    delta = _delta(_data(F.col("line")))
     parts = F.array_sort(F.collect_list(F.when(delta.isNotNull(), F.struct("line_no", delta.alias("delta")))))
     return lines.groupBy("response_id").agg(F.array_join(F.transform(parts, lambda p: p["delta"]), "").alias("text"))
 
 
+def response_processor(minutes: int) -> StatefulProcessor:
+    """The processor of ``assemble_responses``, of a class that travels with the query."""
+
+    class Responses(StatefulProcessor):
+        """Collects a response's lines until all up to its end mark are there, or its time is over."""
+
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self.handle = handle
+            # Created (ms), lines so far, number of the end mark or -1, whether the text has gone out.
+            self.told = handle.getValueState("told", "created long, lines long, last long, sent boolean")
+            self.lines = handle.getListState("lines", "line_no long, delta string")
+
+        def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+            old = self.told.get() if self.told.exists() else None
+            created, n, last, sent = old or (None, 0, -1, False)
+            if sent:  # a late or repeated line of a finished response
+                return
+            new = []
+            for frame in rows:
+                first = int(frame["ms"].min())
+                created = first if created is None else created
+                marks = frame.loc[frame["done"], "line_no"]
+                last = int(marks.min()) if last < 0 and len(marks) else last
+                new += [(int(i), None if pd.isna(d) else d) for i, d in zip(frame["line_no"], frame["delta"], strict=True)]
+            if old is None:
+                self.handle.registerTimer(created + minutes * 60_000)
+            held = new
+            if last >= 0 and n + len(new) > last:  # maybe all: repeated lines count once
+                held = [*self.lines.get(), *new]
+                if len({i for i, *_ in held if i <= last}) > last:
+                    self.lines.clear()
+                    self.told.update((created, 0, last, True))
+                    yield self._frame(key, held, last, True)
+                    return
+            self.lines.appendList(new)
+            self.told.update((created, n + len(new), last, False))
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+            _, _, last, sent = self.told.get()
+            held = [] if sent else list(self.lines.get())
+            self.lines.clear()
+            self.told.clear()
+            if not sent:
+                yield self._frame(key, held, last, False)
+
+        @staticmethod
+        def _frame(key: tuple, held: list, last: int, complete: bool) -> pd.DataFrame:
+            by_place = {i: d for i, d in held if d is not None and (last < 0 or i <= last)}
+            text = "".join(by_place[i] for i in sorted(by_place))
+            return pd.DataFrame({"response_id": [key[0]], "text": [text], "complete": [complete]})
+
+        def close(self) -> None:
+            pass
+
+    return Responses()
+
+
+def assemble_responses(lines: DataFrame, minutes: int = RESPONSE_MINUTES, lateness: str = "10 minutes") -> DataFrame:
+    """response_id, text, complete from a stream of server-sent lines (response_id, line_no, line, ts) in any order.
+
+    Lines of a response are numbered from 0 without gaps. Its text goes out, once, when every
+    line up to its end mark has come, or, as incomplete, ``minutes`` of event time after its
+    first lines; after that its state is gone. Until then a short row without lines remembers
+    that it went out. Lines of a response that come twice count once. The query needs the
+    RocksDB state store, which ``runs.run_available`` gives it.
+    """
+    body = _data(F.col("line"))
+    rows = lines.withWatermark("ts", lateness).select(
+        "response_id", F.col("line_no").cast("long").alias("line_no"), _delta(body).alias("delta"), F.coalesce(body == "[DONE]", F.lit(False)).alias("done"),
+        F.unix_millis("ts").alias("ms"), "ts",
+    )
+    kind = lines.schema["response_id"].dataType.simpleString()
+    return rows.groupBy("response_id").transformWithStateInPandas(
+        statefulProcessor=response_processor(minutes), outputStructType=f"response_id {kind}, text string, complete boolean", outputMode="Append", timeMode="EventTime"
+    )
+
+
 def progress(events: DataFrame) -> DataFrame:
     """doc_id, completed, events, phase (of the latest event; ties by event_id) from (event_id, doc_id, type, phase, ts)."""
     return events.groupBy("doc_id").agg(
@@ -101,40 +188,35 @@ def evict_stale_sessions(events: DataFrame, lateness: str = "10 minutes") -> Dat
     )
 
 
-def incremental_translate(blocks: DataFrame, fn: Translate, results: str, checkpoint: str):
+def incremental_translate(blocks: DataFrame, fn: Translate, results: str, checkpoint: str, journal: str | None = None):
     """Start a query that translates blocks (doc_id, block_id, text) without a stored result and appends theirs.
 
-    A repeated micro-batch finds its results stored, so none is kept twice.
+    A repeated micro-batch finds its results stored, so none is kept twice. With a ``journal``
+    every reply is stored at once, and a micro-batch that was cut short asks only for the rest.
     """
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        done = stored(spark, results)
         fresh = batch.dropDuplicates(["doc_id", "block_id"])
-        todo = fresh if done is None else pending_after(fresh, done)
-        translate_blocks(todo, fn).write.mode("append").parquet(results)
+        # Only the results of this micro-batch's documents are looked at, by a join on both keys.
+        todo = pending_after(fresh, batch.sparkSession.read.parquet(results)) if listing(results) else fresh
+        translate_blocks(todo, fn, journal=journal).write.mode("append").parquet(results)
 
     return blocks.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def stored(spark: SparkSession, path: str) -> DataFrame | None:
-    """The table at ``path``, or None before its first write."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    if not hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
-        return None
-    return spark.read.parquet(path)
-
-
 def learn_stream(edits: DataFrame, termbase: str, checkpoint: str):
-    """Start a query that learns from edits; each micro-batch writes a termbase version below ``termbase``.
+    """Start a query that learns from edits; each micro-batch commits a version of the table ``termbase``.
 
-    Version n + 1 comes from version n alone, so a repeated micro-batch writes the same.
+    A repeated micro-batch finds its own commit (see ``bitext.versions``) and does nothing.
     """
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        old = spark.read.parquet(f"{termbase}/version={batch_id}")
-        new = learn_from_edits(term_candidates(batch), old)
-        new.drop("change", "rows_in").write.mode("overwrite").parquet(f"{termbase}/version={batch_id + 1}")
+        tag = f"{checkpoint}:{batch_id}"
+        now = versions.last(termbase)
+        if now is None:
+            raise ValueError("commit a first version of the termbase before learning")
+        if now["tag"] != tag:
+            learnt = learn_from_edits(term_candidates(batch), versions.latest(batch.sparkSession, termbase))
+            versions.commit(learnt.drop("change", "rows_in"), termbase, tag)
 
     return edits.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -11,10 +11,12 @@ from pyspark.sql.streaming import StreamingQuery
 from bitext.storage import new_path
 
 
-def stream_table(spark: SparkSession, path: str) -> DataFrame:
-    """A Parquet table, one file or a folder, as a stream of its files."""
+def stream_table(spark: SparkSession, path: str, files: int | None = None) -> DataFrame:
+    """A Parquet table, one file or a folder, as a stream of its files, up to ``files`` of them a micro-batch."""
     # As a pattern, since a stream's plain path has to be a folder.
-    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path[:-1]}[{path[-1]}]")
+    reader = spark.readStream.schema(spark.read.parquet(path).schema)
+    reader = reader if files is None else reader.option("maxFilesPerTrigger", files)
+    return reader.parquet(f"{path[:-1]}[{path[-1]}]")
 
 
 def finish(query: StreamingQuery, timeout: int | None = None) -> None:
