@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from bitext.functions.compat import not_empty
 from bitext.functions.text import normalize_term
+from bitext.storage import materialize
 
 DEFAULTS = {"source_lang": "Auto", "target_lang": "中文 (简体)", "domain": "general"}
 IMPORT_DEFAULTS = {"source_lang": "en", "target_lang": "zh", "domain": "general"}
@@ -152,6 +153,54 @@ def mine_frequent_terms(blocks: DataFrame, stop_words: DataFrame, min_freq: int
     return counts.join(stop_words, "term", "left_anti")
 
 
+#: Letters of scripts that are written without blanks: each is a word by itself.
+UNSPACED = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}"
+
+
+def mine_frequent_phrases(blocks: DataFrame, stop_words: DataFrame, min_freq: int = 3, max_words: int = 5, text: str = "text", maximal: bool = True) -> DataFrame:
+    """term, words, frequency of sequences of 1 to ``max_words`` words that come ``min_freq`` times or more.
+
+    Words follow each other with blanks alone between them; in scripts without blanks each
+    letter is a word, and the term has none between. No term starts or ends with a stop-word (a
+    column ``term``). With ``maximal``, terms inside a longer one that is found go.
+
+    Level by level: a sequence is counted only where both its parts that are one word shorter
+    are frequent, which semi-joins decide, so each level counts little more than it finds.
+    """
+    segments = F.explode(F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{M}\s]+"), F.lit(0)))
+    words = blocks.select(segments.alias("s")).select(F.regexp_extract_all("s", F.lit(rf"[{UNSPACED}]\p{{M}}*|[\p{{L}}\p{{M}}&&[^{UNSPACED}]]+"), F.lit(0)).alias("w"))
+    words = materialize(words.where(F.size("w") > 0), "segments")
+    levels: list[DataFrame] = []
+    for n in range(1, max_words + 1):
+        places = F.sequence(F.lit(1), F.size("w") - n + 1)
+        gram = lambda k, first=0, count=n: F.array_join(F.slice("w", k + first, F.lit(count)), " ")
+        found = words.where(F.size("w") >= n)
+        if n == 1:
+            grams = found.select(F.explode("w").alias("gram"))
+        else:
+            # Equal sequences become one first; their shorter parts are looked up once each.
+            grams = found.select(F.explode(F.transform(places, lambda k: F.struct(gram(k).alias("gram"), gram(k, 0, n - 1).alias("head"), gram(k, 1, n - 1).alias("tail")))).alias("g")).select("g.*")
+            known = levels[-1].select("gram")
+            grams = grams.join(known.withColumnRenamed("gram", "head"), "head", "left_semi").join(known.withColumnRenamed("gram", "tail"), "tail", "left_semi")
+        counts = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("frequency")).where(F.col("frequency") >= min_freq)
+        levels.append(materialize(counts.withColumn("words", F.lit(n)), f"frequent-{n}"))
+        if levels[-1].isEmpty():
+            break
+    every = levels[0]
+    for more in levels[1:]:
+        every = every.unionByName(more)
+    parts = F.split("gram", " ")
+    stop = stop_words.select(F.col("term").alias("word")).distinct()
+    ends = every.withColumns({"first": F.element_at(parts, 1), "last": F.element_at(parts, -1)})
+    good = ends.join(stop.withColumnRenamed("word", "first"), "first", "left_anti").join(stop.withColumnRenamed("word", "last"), "last", "left_anti").drop("first", "last")
+    if maximal:
+        good = materialize(good, "phrases")
+        inner = F.flatten(F.transform(F.sequence(F.lit(1), F.col("words") - 1), lambda n: F.transform(F.sequence(F.lit(1), F.col("words") - n + 1), lambda k: F.array_join(F.slice(parts, k, n), " "))))
+        good = good.join(good.where("words > 1").select(F.explode(inner).alias("gram")).distinct(), "gram", "left_anti")
+    joined = F.regexp_replace("gram", rf"(?<=[{UNSPACED}]\p{{M}}{{0,3}}) (?=[{UNSPACED}])", "")
+    return good.select(joined.alias("term"), "words", "frequency")
+
+
 def learn_from_edits(candidates: DataFrame, termbase: DataFrame, min_confidence: float = 0.5, per_edit: int = 3) -> DataFrame:
     """Merge the best candidates of each edit (doc_id, block_id, pos, source, target, confidence) as unconfirmed terms."""
     own = Window.partitionBy("doc_id", "block_id").orderBy("pos")

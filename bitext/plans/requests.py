@@ -58,9 +58,10 @@ def executor_requests(bitext: DataFrame, glossary: DataFrame, model: str = "chat
     """doc_id, seq, block_id, n_terms, n_context, temperature, max_tokens, prompt per block.
 
     Blocks have original, translated (what memory knows, or null), constraint, node_type and
-    style_guide.
+    style_guide. Of several targets of one source the last by ``ord`` counts.
     """
-    hits = relevant_glossary(bitext, glossary, ("doc_id", "seq"), "original").distinct()
+    last = glossary.groupBy("source").agg(F.max_by("target", "ord").alias("target"))
+    hits = relevant_glossary(bitext, last, ("doc_id", "seq"), "original")
     hits = hits.groupBy("doc_id", "seq").agg(F.count(F.lit(1)).alias("n_terms"), F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("source", "target"))))).alias("terms"))
     rows = context_window(bitext).join(hits, ["doc_id", "seq"], "left")
     concise = F.col("constraint") == "Concise"
@@ -102,9 +103,9 @@ def polish_requests(bitext: DataFrame, action: str, style: str | None = None) ->
     return bitext.select("doc_id", "block_id", F.lit(0.15 if fit else 0.3).alias("temperature"), tokens.cast("long").alias("max_tokens"), prompt.alias("prompt"))
 
 
-def batch_requests(blocks: DataFrame, glossary: DataFrame, size: int = 20) -> DataFrame:
-    """doc_id, batch, items, payload (``{"paragraphs": [...]}``), glossary lines."""
-    known = glossary.agg(F.array_join(F.transform(_sorted("ord", "source", "target"), lambda x: F.concat(x["source"], F.lit(" → "), x["target"])), "\n").alias("glossary"))
+def batch_requests(blocks: DataFrame, glossary: DataFrame, size: int = 20, terms: int = 120) -> DataFrame:
+    """doc_id, batch, items, payload (``{"paragraphs": [...]}``), glossary lines of the first ``terms`` terms by ``ord``."""
+    known = glossary.orderBy("ord").limit(terms).agg(F.array_join(F.transform(_sorted("ord", "source", "target"), lambda x: F.concat(x["source"], F.lit(" → "), x["target"])), "\n").alias("glossary"))
     rows = chunk(blocks, size).groupBy("doc_id", "batch").agg(F.count(F.lit(1)).alias("items"), _sorted("seq", "text").alias("b"))
     rows = rows.select("doc_id", "batch", "items", F.to_json(F.struct(F.transform("b", lambda x: x["text"]).alias("paragraphs"))).alias("payload"))
     return rows.join(F.broadcast(known))

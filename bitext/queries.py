@@ -13,7 +13,7 @@ from bitext import inputs, versions
 from bitext.functions import predicates, python_text, register, text
 from bitext.inputs import sql, sql_apply_terms, sql_quote
 from bitext.operators import assemble, checks, layout, match, terms, workspace
-from bitext.plans import edits, inference, replies, requests
+from bitext.plans import edits, glossary_pass, inference, replies, requests
 from bitext.sources import blocks as scans
 from bitext.sources import containers
 from bitext.sources import glossary as glossaries
@@ -558,6 +558,24 @@ def t7_mine_frequent_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return terms.mine_frequent_terms(inputs.lines(spark, sf_dir), stop)
 
 
+_LINES_WORDS = r"SELECT regexp_extract_all(s, '[\p{L}\p{M}]+') AS w FROM (SELECT unnest(regexp_extract_all(lower(text), '[\p{L}\p{M}\s]+')) AS s FROM lines)"
+
+
+@query(
+    sql(
+        f""", w AS ({_LINES_WORDS}), g AS (SELECT array_to_string(w[k : k + n - 1], ' ') AS gram, n FROM (SELECT w, n, unnest(range(1, len(w) - n + 2)) AS k FROM w, (SELECT unnest([1, 2, 3, 4, 5]) AS n) WHERE len(w) >= n)),
+        f AS (SELECT gram, n AS words, count(*) AS frequency FROM g GROUP BY ALL HAVING count(*) >= 3 AND split_part(gram, ' ', 1) NOT IN (SELECT source FROM glossary) AND split_part(gram, ' ', -1) NOT IN (SELECT source FROM glossary)),
+        p AS (SELECT string_split(gram, ' ') AS l, words FROM f),
+        i AS (SELECT DISTINCT array_to_string(l[k : k + n - 1], ' ') AS gram FROM (SELECT l, words, n, unnest(range(1, words - n + 2)) AS k FROM p, (SELECT unnest([1, 2, 3, 4]) AS n) WHERE n < words))
+        SELECT gram AS term, words, frequency FROM f WHERE gram NOT IN (SELECT gram FROM i)""",
+        "lines", "glossary",
+    )
+)
+def t7_mine_frequent_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stop = inputs.glossary(spark).select(F.col("source").alias("term"))
+    return terms.mine_frequent_phrases(inputs.lines(spark, sf_dir), stop)
+
+
 # Aggregates
 
 
@@ -816,6 +834,13 @@ def _sql_replace(x: str, pairs: list[tuple[str, str]]) -> str:
 _HAN_TERMS = [("the", "代理"), ("tion", "智能体"), ("AI", "人工智能"), ("ouer", "特工"), ("and", "和")]
 
 
+@query()
+def f5_apply_glossary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The termbase, of any size, on every line."""
+    glossary = inputs.termbase(spark, sf_dir).select(F.col("id").alias("ord"), "source", "target")
+    return glossary_pass.apply_glossary(inputs.lines(spark, sf_dir), glossary).select("doc_id", F.col("seq").cast("long").alias("seq"), "translated")
+
+
 @query(
     sql(
         f"""SELECT doc_id, seq, CASE WHEN seq % 2 = 0 THEN {_sql_fix(_sql_replace("text || '智能'", [t for t in text.longest_first(_HAN_TERMS) if t[0] != 'AI']))} ELSE text END AS han,
@@ -1041,6 +1066,25 @@ def q2_executor_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "seq", "n_terms", "n_context", "temperature", "max_tokens")
 
 
+#: Two targets of one source: the last one counts.
+_TWO = (*inputs.GLOSSARY, ("the", "die"), ("of", "aus"))
+
+
+@query(
+    sql(
+        f""", two AS (SELECT source, arg_max(target, ord) AS target FROM (VALUES {", ".join(f"({i}, {sql_quote(s)}, {sql_quote(t)})" for i, (s, t) in enumerate(_TWO))}) AS g(ord, source, target) GROUP BY source),
+        h AS (SELECT doc_id, seq, count(*) AS n, '{{' || string_agg({_json('source')} || ':' || {_json('target')}, ',' ORDER BY source) || '}}' AS terms FROM pairs, two WHERE source <> '' AND contains(lower(original), lower(source)) GROUP BY ALL)
+        SELECT doc_id, seq, coalesce(n, 0) AS n_terms, md5(coalesce('Use exactly these terms:' || chr(10) || terms, 'No glossary terms found in this block.')) AS known_md5 FROM pairs LEFT JOIN h USING (doc_id, seq)""",
+        "pairs",
+    )
+)
+def q2_executor_two_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    glossary = spark.createDataFrame([(i, s, t) for i, (s, t) in enumerate(_TWO)], "ord long, source string, target string")
+    rows = requests.executor_requests(_known(spark, sf_dir), glossary)
+    known = F.regexp_extract("prompt", r"(?s)\n\n((?:Use exactly these terms:\n|No glossary terms).*?)\n\n", 1)
+    return rows.select("doc_id", "seq", "n_terms", _md5(known).alias("known_md5"))
+
+
 _ADVICE = "CASE \"constraint\" " + " ".join(f"WHEN '{k}' THEN {sql_quote(v)}" for k, v in requests.INSTRUCTIONS.items()) + " END"
 
 
@@ -1490,6 +1534,48 @@ def x6_sql_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.selectExpr("doc_id", "CAST(seq AS BIGINT) AS seq", "normalize_term(text) AS term", "round(text_width(text, 10D), 6) AS width", "skip_text(text) AS skip", "escape_xml(text) AS escaped")
 
 
+def _both_forms() -> dict[str, tuple[Column, str]]:
+    """Every SQL function's Column twin and its call, on a column t."""
+    t, u = F.col("t"), F.col("u")
+    pairs = inputs.GLOSSARY
+    array = "array(" + ", ".join(f"named_struct('source', '{a}', 'target', '{b}')" for a, b in text.longest_first(pairs)) + ")"
+    given = "array(" + ", ".join(f"named_struct('source', '{a}', 'target', '{b}')" for a, b in pairs) + ")"
+    context = F.array(F.left(t, F.lit(9)), F.lit(" "), F.lit("next words"))
+    return {
+        "normalize_term": (text.normalize_term(t), "normalize_term(t)"), "strip_html": (text.strip_html(t), "strip_html(t)"), "escape_xml": (text.escape_xml(t), "escape_xml(t)"),
+        "skip_text": (predicates.skip_text(t), "skip_text(t)"), "has_han": (predicates.has_han(t), "has_han(t)"), "text_width": (text.text_width(t, F.lit(9.0)), "text_width(t, 9D)"),
+        "detect_term_lang": (text.detect_term_lang(t), "detect_term_lang(t)"), "normalize_lang": (text.normalize_lang(t), "normalize_lang(t)"),
+        "skip_numeric_short": (predicates.skip_numeric_short(t), "skip_numeric_short(t)"), "contains_cjk": (predicates.contains_cjk(t), "contains_cjk(t)"), "strip_fences": (text.strip_fences(t), "strip_fences(t)"),
+        "classify_constraint": (text.classify_constraint(F.lit("text"), F.length(t).cast("double"), u), "classify_constraint('text', cast(length(t) AS DOUBLE), u)"),
+        "estimate_confidence": (text.estimate_confidence(t, u, F.lit("Concise")), "estimate_confidence(t, u, 'Concise')"),
+        "length_ratio": (F.length(u) / F.nullif(F.length(t), F.lit(0)), "length_ratio(t, u)"), "detect_text_lang": (text.detect_text_lang(t), "detect_text_lang(t)"),
+        "apply_terms": (text.apply_terms(t, pairs), f"apply_terms(t, {given})"), "fix_han_terms": (text.fix_han_terms(t, pairs), f"fix_han_terms(t, {array})"), "fix_full_terms": (text.fix_full_terms(t, pairs), f"fix_full_terms(t, {given})"),
+        "strip_meta": (text.strip_meta(t), "strip_meta(t)"), "refusal_fallback": (text.refusal_fallback(u, t), "refusal_fallback(u, t)"), "preserved_tags": (text.preserved_tags(t), "preserved_tags(t)"),
+        "fit_font": (text.fit_font(t, F.lit(11.0), F.lit(90.0)), "fit_font(t, 11D, 90D)"), "style_guide": (text.style_guide(u), "style_guide(u)"), "find_replace": (text.find_replace(t, "the", "le")[0], "find_replace(t, 'the', 'le')"),
+        "merge_short": (text.merge_short(t, context), "merge_short(t, array(left(t, 9), ' ', 'next words'))"), "trim_tail": (text.trim_tail(t), "trim_tail(t)"), "truncate": (text.truncate(t, 50), "truncate(t, 50)"),
+        "skip_short_number": (predicates.skip_short_number(t), "skip_short_number(t)"),
+    }
+
+
+@query(sql("SELECT doc_id, seq, '' AS different, true AS cleaned, true AS repaired FROM lines", "lines"))
+def x6_all_sql_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The names of functions whose SQL form gives another value than their Column form: none, on any line."""
+    register.register_functions(spark)
+    rows = inputs.lines(spark, sf_dir).select("doc_id", F.col("seq").cast("long").alias("seq"), F.col("text").alias("t"), F.reverse(F.left("text", F.lit(30))).alias("u"))
+    both = _both_forms()
+    told = rows.select("*", *(F.expr(call).alias(f"s_{name}") for name, (_, call) in both.items()), F.expr("clean_extracted(t)").alias("cleaned"), F.expr("repair_inline_tags(t, u)").alias("repaired"))
+    names = [F.when(~F.col(f"s_{name}").eqNullSafe(form), F.lit(name)) for name, (form, _) in both.items()]
+    twin = python_text.repair_tags(python_text.clean_extracted(told.withColumns({"text": F.col("t"), "original": F.col("t"), "translated": F.col("u"), "broken": F.lit(True)})))
+    return twin.select("doc_id", "seq", F.array_join(F.array_compact(F.array(*names)), ",").alias("different"), (F.col("cleaned") == F.col("text")).alias("cleaned"), (F.col("repaired") == F.col("translated")).alias("repaired"))
+
+
+@query()
+def x6_lateral_term_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    register.register_functions(spark)
+    _edits(spark, sf_dir).createOrReplaceTempView("edits_of_terms")
+    return spark.sql("SELECT doc_id, block_id, c.* FROM edits_of_terms, LATERAL term_candidates(source_text, before_text, after_text) AS c WHERE before_text IS DISTINCT FROM after_text")
+
+
 # Streams
 
 
