@@ -2,25 +2,38 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bitext.functions.predicates import skip_text
 from bitext.functions.text import fit_font
+from bitext.ranks import Ordered
 
 
-def reading_order(spans: DataFrame) -> DataFrame:
-    """``spans`` plus ``place``: 1-based by (y0, x0) per page."""
+def reading_order(spans: DataFrame, long: bool = False) -> DataFrame:
+    """``spans`` plus ``place``: 1-based by (y0, x0) per page. ``long``: for pages larger than a task."""
+    if long:
+        return _ordered(spans).number("place").with_column("place", F.col("place") + 1).result()
     order = Window.partitionBy("doc_id", "page").orderBy("y0", "x0", "span_id")
     return spans.withColumn("place", F.row_number().over(order))
 
 
-def group_spans_by_line(spans: DataFrame, spread: float = 1.2, least: float = 6.0) -> DataFrame:
-    """``spans`` plus ``line``: a gap in y of ``spread`` sizes or more starts a new one."""
+def _ordered(spans: DataFrame) -> Ordered:
+    return Ordered(spans, ["doc_id", "page"], ["y0", "x0", "span_id"])
+
+
+def group_spans_by_line(spans: DataFrame, spread: float = 1.2, least: float = 6.0, long: bool = False) -> DataFrame:
+    """``spans`` plus ``line``: a gap in y of ``spread`` sizes or more starts a new one. ``long``: for pages larger than a task."""
+    def starts(y: Column, size: Column) -> Column:
+        return F.when(F.abs(F.col("y0") - y) >= spread * F.greatest(size, F.lit(least)), 1).otherwise(0)
+
+    if long:
+        rows = _ordered(spans).previous(F.struct("y0", "size"), "before")
+        rows = rows.running(starts(F.col("before.y0"), F.col("before.size")), "line").result()
+        return rows.drop("before")
     order = Window.partitionBy("doc_id", "page").orderBy("y0", "x0", "span_id")
-    y, size = F.lag("y0").over(order), F.lag("size").over(order)
-    starts = F.when(F.abs(F.col("y0") - y) >= spread * F.greatest(size, F.lit(least)), 1).otherwise(0)
-    return spans.withColumn("starts", starts).withColumn("line", F.sum("starts").over(order)).drop("starts")
+    begun = starts(F.lag("y0").over(order), F.lag("size").over(order))
+    return spans.withColumn("starts", begun).withColumn("line", F.sum("starts").over(order)).drop("starts")
 
 
 def layout_audit(spans: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bitext.functions.compat import not_empty, strip, text_or_empty
+from bitext.ranks import Ordered
 
 ALLOWED = ("docx", "pptx", "epub", "md", "pdf")
 MIB = 1 << 20
@@ -127,8 +128,10 @@ def context_window(bitext: DataFrame, k: int = 3, chars: int = 150) -> DataFrame
     return bitext.withColumn("context", F.collect_list(F.struct(F.left("original", F.lit(chars)).alias("original"), F.left("translated", F.lit(chars)).alias("translated"))).over(before))
 
 
-def chunk(df: DataFrame, size: int, order: str = "seq", key: str = "doc_id") -> DataFrame:
-    """``df`` plus ``batch``: fixed-size batches per document in order."""
+def chunk(df: DataFrame, size: int, order: str = "seq", key: str = "doc_id", long: bool = False) -> DataFrame:
+    """``df`` plus ``batch``: fixed-size batches per document in order. ``long``: for documents larger than a task."""
+    if long:
+        return Ordered(df, [key], [order]).number("batch").with_column("batch", F.floor(F.col("batch") / size)).result()
     n = F.row_number().over(Window.partitionBy(key).orderBy(order))
     return df.withColumn("batch", F.floor((n - 1) / size))
 

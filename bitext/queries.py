@@ -177,6 +177,11 @@ def s8_reconstruct_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scans.reconstruct_paragraphs(_wrapped(spark, sf_dir))
 
 
+@query(ORACLES["s8_reconstruct_paragraphs"])
+def s8_reconstruct_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scans.reconstruct_long_paragraphs(_wrapped(spark, sf_dir))
+
+
 _TERM_LINE = "word || CASE length(word) % 4 WHEN 0 THEN ' => ' WHEN 1 THEN ' → ' WHEN 2 THEN chr(9) ELSE ',' END || CASE WHEN length(word) % 5 = 0 THEN word ELSE reverse(word) END"
 
 
@@ -666,6 +671,18 @@ def w2_group_spans_by_line(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.group_spans_by_line(inputs.spans(spark, sf_dir)).select("doc_id", "span_id", "line")
 
 
+@query(sql(f", {_SPAN_LINES} SELECT span_id, doc_id, line, row_number() OVER ({_SPAN_ORDER}) AS place FROM sl", "spans"))
+def w2_l4_long_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = layout.group_spans_by_line(inputs.spans(spark, sf_dir), long=True)
+    return layout.reading_order(lines, long=True).select("doc_id", "span_id", "line", "place")
+
+
+@query(sql("SELECT doc_id, seq, (row_number() OVER (PARTITION BY doc_id ORDER BY seq) - 1) // 20 AS batch, 'block-' || seq AS block_id FROM lines", "lines"))
+def w3_w7_long_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = workspace.chunk(inputs.lines(spark, sf_dir), 20, long=True)
+    return scans.number_blocks(rows, long=True).select("doc_id", F.col("seq").cast("long").alias("seq"), "batch", "block_id")
+
+
 @query(sql("SELECT doc_id, seq, (row_number() OVER (PARTITION BY doc_id ORDER BY seq) - 1) // 20 AS batch FROM lines", "lines"))
 def w3_chunk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return workspace.chunk(inputs.lines(spark, sf_dir), 20).select("doc_id", F.col("seq").cast("long").alias("seq"), "batch")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from bitext.functions.compat import strip
 from bitext.functions.predicates import non_blank
+from bitext.ranks import Ordered
 
 from . import elements
 from .elements import BLOCK_TAGS  # noqa: F401
@@ -58,15 +59,31 @@ def reconstruct_paragraphs(lines: DataFrame) -> DataFrame:
     Whether a line starts a paragraph depends on it and its predecessor only: runs between
     starts are numbered by a running sum and glued in order.
     """
+    rows, order = _line_kinds(lines), Window.partitionBy("doc_id").orderBy("seq")
+    starts = _starts(F.lag(F.struct("blank", "special", "closes")).over(order))
+    return _glued(rows.withColumn("run", F.sum(F.when(starts, 1).otherwise(0)).over(order)))
+
+
+def reconstruct_long_paragraphs(lines: DataFrame) -> DataFrame:
+    """As ``reconstruct_paragraphs``, for documents larger than a task: their lines are dealt by ranges."""
+    rows = Ordered(_line_kinds(lines), ["doc_id"], ["seq"]).previous(F.struct("blank", "special", "closes"), "before")
+    return _glued(rows.running(F.when(_starts(F.col("before")), 1).otherwise(0), "run").result())
+
+
+def _line_kinds(lines: DataFrame) -> DataFrame:
     rows = lines.select("doc_id", "seq", strip(F.col("text")).alias("line"))
-    order = Window.partitionBy("doc_id").orderBy("seq")
     special = F.col("line").rlike(SPECIAL_LINE) | (F.length("line") < 25)
     closes = F.col("line").rlike(CLOSING_MARK) | (F.length("line") < 50)
-    rows = rows.select("*", (F.col("line") == "").alias("blank"), special.alias("special"), closes.alias("closes"))
-    before = F.lag(F.struct("blank", "special", "closes")).over(order)
-    starts = before.isNull() | before["blank"] | before["special"] | before["closes"] | F.col("blank") | F.col("special")
-    rows = rows.withColumn("run", F.sum(F.when(starts, 1).otherwise(0)).over(order)).where(~F.col("blank"))
-    parts = rows.groupBy("doc_id", "run").agg(F.min("seq").alias("seq"), F.array_sort(F.collect_list(F.struct("seq", "line"))).alias("lines"))
+    return rows.select("*", (F.col("line") == "").alias("blank"), special.alias("special"), closes.alias("closes"))
+
+
+def _starts(before: Column) -> Column:
+    """Whether a line starts a run, by the kinds of the line before."""
+    return before.isNull() | before["blank"] | before["special"] | before["closes"] | F.col("blank") | F.col("special")
+
+
+def _glued(rows: DataFrame) -> DataFrame:
+    parts = rows.where(~F.col("blank")).groupBy("doc_id", "run").agg(F.min("seq").alias("seq"), F.array_sort(F.collect_list(F.struct("seq", "line"))).alias("lines"))
     return parts.select("doc_id", "seq", strip(F.aggregate(F.transform("lines", lambda x: x["line"]), F.lit(""), _glue)).alias("text"))
 
 
@@ -75,11 +92,16 @@ def _glue(text: Column, line: Column) -> Column:
     return F.when(text == "", line).otherwise(joined.when(text.rlike(EAST_ASIAN_END), F.concat(text, line)).otherwise(F.concat(text, F.lit(" "), line)))
 
 
-def number_blocks(df: DataFrame, order: str = "seq") -> DataFrame:
-    """Defaults of raw blocks: zero-based ids and paths in document order, kind paragraph, text never null."""
-    n = (F.row_number().over(Window.partitionBy("doc_id").orderBy(order)) - 1).cast("string")
+def number_blocks(df: DataFrame, order: str = "seq", long: bool = False) -> DataFrame:
+    """Defaults of raw blocks: zero-based ids and paths in document order, kind paragraph, text never null.
+
+    ``long``: for documents larger than a task.
+    """
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy(order)) - 1
+    df = Ordered(df, ["doc_id"], [order]).number("place").result() if long else df.withColumn("place", place)
+    n = F.col("place").cast("string")
     kind = F.col("node_type") if "node_type" in df.columns else F.lit(None).cast("string")
     return df.withColumns({
         "block_id": F.concat(F.lit("block-"), n), "dom_path": F.concat(F.lit("body/p["), n, F.lit("]")),
         "node_type": F.coalesce(kind, F.lit("paragraph")), "text": F.coalesce("text", F.lit("")),
-    })
+    }).drop("place")
