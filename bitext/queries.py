@@ -15,7 +15,7 @@ from bitext.inputs import sql, sql_apply_terms, sql_quote
 from bitext.operators import assemble, checks, layout, match, terms, workspace
 from bitext.plans import edits, glossary_pass, inference, replies, requests
 from bitext.sources import blocks as scans
-from bitext.sources import containers
+from bitext.sources import containers, zipped
 from bitext.sources import glossary as glossaries
 from bitext.storage import new_path, table
 from bitext.streaming import events as streams
@@ -93,6 +93,29 @@ def s5_scan_epub(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scan_packed(spark, sf_dir, "epub")
 
 
+def _scan_files(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
+    """The same documents as files of a folder, large ones part by part."""
+    path = new_path(spark, kind)
+    zipped.write_zipped(containers.pack_lines(table(spark, sf_dir, "documents"), kind), path)
+    found = zipped.read_zipped(spark, path, kind, group_bytes=20_000)
+    return found.select(F.regexp_extract("doc_id", r"[^/]*\z", 0).alias("doc_id"), "p_index", "text")
+
+
+@query(_sql_packed("docx"))
+def s2_scan_docx_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scan_files(spark, sf_dir, "docx")
+
+
+@query(_sql_packed("pptx"))
+def s3_scan_pptx_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scan_files(spark, sf_dir, "pptx")
+
+
+@query(_sql_packed("epub"))
+def s5_scan_epub_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scan_files(spark, sf_dir, "epub")
+
+
 _TERM_TEXTS = "SELECT source, target, source_lang, domain, confirmed FROM termbase"
 
 
