@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from bitext.functions.compat import not_empty, strip, text_or_empty
 from bitext.ranks import Ordered
+from bitext.storage import materialize
 
 ALLOWED = ("docx", "pptx", "epub", "md", "pdf")
 MIB = 1 << 20
@@ -17,25 +18,24 @@ def intake(files: DataFrame, max_files: int = 10, max_bytes: int = 200 * MIB, ma
 
     Order of the tests: the first ``max_files`` by position, the extension, the size, and then
     the batch as a whole. No batch is sorted: a group limit leaves its first files before the
-    shuffle, and the others are told by the place of the last of these. A null batch is a batch.
+    shuffle; these few are written and tell where a batch's room ends and what its files sum up
+    to, and one join brings that to all files. A null batch is a batch.
     """
-    place = F.struct("pos", "path")
-    order = Window.partitionBy("batch_id").orderBy("pos", "path")
-    first = files.select("batch_id", "pos", "path", F.row_number().over(order).alias("n")).where(F.col("n") <= max_files)
-    last = first.groupBy("batch_id").agg(F.max(place).alias("last"), F.max("n").alias("files"))
-    last = first.select("batch_id", place.alias("at")).join(last.select(F.col("batch_id").alias("b"), "last", "files"), F.col("batch_id").eqNullSafe(F.col("b")))
-    last = last.groupBy("b", "last", "files").agg(F.count_if(F.col("at") == F.col("last")).alias("ties"))
-    rows = files.join(last, F.col("batch_id").eqNullSafe(F.col("b")), "left").drop("b")
-    inside = rows.where(place < F.col("last")).withColumn("late", F.lit(False))
-    outside = rows.where(place > F.col("last")).withColumn("late", F.lit(True))
-    # Rows of one position and path are alike: as many stay as had room.
-    same = rows.where(place == F.col("last")).withColumn("late", F.row_number().over(order) > F.col("ties"))
-    rows = inside.unionByName(same).unionByName(outside).drop("last", "files", "ties")
+    place = F.struct("pos", "path", "length")
+    order = Window.partitionBy("batch_id").orderBy("pos", "path", "length")
     name = F.lower(F.regexp_extract("path", r"\.([^./]*)\z", 1))
-    rows = rows.withColumn("reason", F.when(F.col("late"), "too_many").when(~name.isin(*ALLOWED), "bad_type").when(F.col("length") > max_bytes, "too_large")).drop("late")
-    totals = rows.where("reason IS NULL").groupBy(F.col("batch_id").alias("b")).agg(F.sum("length").alias("total"))
+    own_reason = F.when(~name.isin(*ALLOWED), "bad_type").when(F.col("length") > max_bytes, "too_large")
+    first = files.select("batch_id", "pos", "path", "length", F.row_number().over(order).alias("n")).where(F.col("n") <= max_files).drop("n")
+    places = materialize(first.groupBy("batch_id").agg(F.collect_list(place).alias("first"), F.sum(F.when(own_reason.isNull(), F.col("length"))).alias("total")), "intake")
+    told = places.select(F.col("batch_id").alias("b"), F.array_max("first").alias("last"), "total", "first")
+    told = told.select("b", "last", "total", F.size(F.filter("first", lambda x: x == F.col("last"))).alias("ties"))
+    rows = files.join(told, F.col("batch_id").eqNullSafe(F.col("b")))
+    # Rows that are alike in all of this: as many stay as had room.
+    same = rows.where(place == F.col("last")).withColumn("late", F.row_number().over(order) > F.col("ties"))
+    rows = rows.where(place != F.col("last")).withColumn("late", place > F.col("last")).unionByName(same)
     over = F.when(F.col("total") > max_total, "batch_too_large")
-    return rows.join(totals, F.col("batch_id").eqNullSafe(F.col("b")), "left").withColumn("reason", F.coalesce("reason", over, F.lit("accepted"))).drop("b", "total")
+    reason = F.coalesce(F.when(F.col("late"), "too_many"), own_reason, over, F.lit("accepted"))
+    return rows.withColumn("reason", reason).drop("b", "last", "total", "ties", "late")
 
 
 def memory_lookup(blocks: DataFrame, memory: DataFrame) -> DataFrame:
