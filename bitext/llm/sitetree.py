@@ -8,7 +8,7 @@ of low importance are removed from every page, and the rest of the main content
 block by block.
 
 Navigation, headers, footers, asides and the like are branches of the tree as any others, and go
-by their importance. What a merged tree cannot tell is fixed by the markup itself, whatever
+by their importance, for which what the markup suspects needs less evidence. What a merged tree cannot tell is fixed by the markup itself, whatever
 its size: such elements go on every host; an element whose class, id or role names such a part is
 suspected. Words that only furniture has (``HARD``: comments, cookies, adverts, menus) decide;
 other words (``SOFT``) decide where the branch is not of high importance inside an article or
@@ -43,8 +43,8 @@ from . import shared
 
 #: Pages that a path needs to be modelled; a host is modelled where its root is.
 MIN_PAGES = 5
-#: Branches whose importance is below this are removed.
-LOW = 0.2
+#: Branches whose importance is below this are removed; suspected ones need less evidence.
+LOW, LOW_SUSPECTED = 0.2, 0.8
 GAMMA = 0.9
 #: Bytes up to which the model of all hosts is broadcast; beyond, it is joined by host.
 BROADCAST_BYTES = 32 << 20
@@ -370,7 +370,7 @@ def site_model(rows: DataFrame) -> DataFrame:
     every = importances(stats, deepest)
     # Below a branch whose text is itself repeated, pages are copies, not furniture.
     ups = every.select("host", F.col("path").alias("parent"), F.col("importance").alias("above"))
-    low = (F.col("importance") < LOW) & (F.coalesce("above", F.lit(0.0)) >= LOW)
+    low = (F.col("importance") < F.when(F.col("marked") == 1, LOW_SUSPECTED).otherwise(LOW)) & (F.coalesce("above", F.lit(0.0)) >= LOW)
     told = every.join(ups, ["host", "parent"], "left").select("host", "path", "level", "marked", low.alias("low"))
     return shared.materialize(told.where("low OR marked = 1 OR level = 0").select("host", "path", "low"), "site-model")
 
