@@ -65,6 +65,12 @@ def _append(folder: str, rows: dict[str, str]) -> None:
     fs.move(f"{path}/.{name}", f"{path}/{name}.parquet")
 
 
+def _free(rows: DataFrame, name: str) -> str:
+    while name in rows.columns:
+        name = "_" + name
+    return name
+
+
 def ask(rows: DataFrame, text: str, out: str, call: Call, size: int, path: str, key: str, run: str | None = None) -> DataFrame:
     """``rows`` plus ``out``: the journal's reply, or that of ``call`` on up to ``size`` texts, which is written at once.
 
@@ -72,7 +78,7 @@ def ask(rows: DataFrame, text: str, out: str, call: Call, size: int, path: str,
     that is continued, by default a new one.
     """
     spark, schema = rows.sparkSession, T.StructType([*rows.schema.fields, T.StructField(out, T.StringType())])
-    mine, known = "request_digest", "request_reply"
+    mine, known = (_free(rows, name) for name in ("request_digest", "request_reply"))
     stored = answers(spark, path).select(F.col("digest").alias(mine), F.col("reply").alias(known))
     asked = rows.withColumn(mine, digest(F.col(text), key)).join(stored, mine, "left").select(*(F.col(f"`{c}`") for c in rows.columns), mine, known)
     folder = f"{path}/run={run or uuid.uuid4().hex}"

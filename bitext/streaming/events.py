@@ -197,7 +197,7 @@ def incremental_translate(blocks: DataFrame, fn: Translate, results: str, checkp
 
     def step(batch: DataFrame, batch_id: int) -> None:
         fresh = batch.dropDuplicates(["doc_id", "block_id"])
-        # Only the results of this micro-batch's documents are looked at, by a join on both keys.
+        # Of the stored results only the two key columns are read.
         todo = pending_after(fresh, batch.sparkSession.read.parquet(results)) if listing(results) else fresh
         translate_blocks(todo, fn, journal=journal).write.mode("append").parquet(results)
 

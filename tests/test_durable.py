@@ -75,6 +75,26 @@ def asked_by(out, tmp_path):
     return len(asked(tmp_path / "calls"))
 
 
+def test_a_micro_batch_that_was_cut_short_asks_only_for_the_rest(spark, tmp_path):
+    (tmp_path / "calls").mkdir()
+    spark.createDataFrame(ROWS, "doc_id long, block_id string, text string").coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = runs.stream_table(spark, str(tmp_path / "in"))
+    run = lambda fn: runs.finish(events.incremental_translate(stream, fn, str(tmp_path / "out"), str(tmp_path / "state"), journal=str(tmp_path / "journal")))
+    with pytest.raises(Exception, match="401"):
+        run(counting(tmp_path / "calls", "text number 30"))
+    kept = journal.answers(spark, str(tmp_path / "journal")).count()
+    before = len(asked(tmp_path / "calls"))
+    run(counting(tmp_path / "calls"))
+    assert len(asked(tmp_path / "calls")) - before <= 4 * (37 - kept)
+    assert sorted((r.doc_id, r.translated) for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [(k, t.upper()) for k, _, t in ROWS]
+
+
+def test_taken_names_do_not_matter(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "a", "x", "y")], "doc_id long, text string, request_digest string, request_reply string")
+    got = journal.ask(rows, "text", "reply", lambda t: [x + "!" for x in t], 2, str(tmp_path / "j"), "k").first()
+    assert tuple(got) == (1, "a", "x", "y", "a!")
+
+
 def test_failed_documents_are_asked_again(spark, tmp_path):
     rows = spark.createDataFrame([(1, "a"), (2, "b"), (3, None)], "doc_id long, prompt string")
 
