@@ -29,8 +29,13 @@ def html_elements(html: Column, only_text: bool = True) -> Column:
 
     @F.arrow_udf("array<struct<tag:string,inner:string>>")
     def find(pages: pa.Array) -> pa.Array:
-        found = ([] if p is None else elements.blocks(p) if only_text else [(tag, p[a:b]) for tag, _, a, b, _ in elements.elements(p)] for p in pages.to_pylist())
-        return pa.array([[{"tag": t, "inner": x} for t, x in page] for page in found], pa.list_(pa.struct([("tag", pa.string()), ("inner", pa.string())])))
+        ends, found = [0], []
+        for p in pages.to_pylist():
+            if p is not None:
+                found += elements.blocks(p) if only_text else [(tag, p[a:b]) for tag, _, a, b, _ in elements.elements(p)]
+            ends.append(len(found))
+        tags, inner = (pa.array([x[k] for x in found], pa.string()) for k in (0, 1))
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([tags, inner], names=["tag", "inner"]))
 
     return find(html)
 
