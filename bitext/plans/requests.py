@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from bitext.operators.match import relevant_glossary
+from bitext.operators.match import ranked, relevant_glossary
 from bitext.operators.workspace import chunk, context_window
 
 # Model name parts that mark a pure translator.
@@ -118,9 +118,9 @@ def proofread_requests(bitext: DataFrame, pairs: int = 30) -> DataFrame:
     return rows.agg(F.count(F.lit(1)).alias("pairs"), F.array_join(F.transform(_sorted("place", "line"), lambda x: x["line"]), "\n\n").alias("prompt"))
 
 
-def glossary_block(terms: DataFrame) -> DataFrame:
-    """One row: rule text and JSON map of ranked terms (source, target), empty when there is none."""
-    rows = terms.groupBy("source").agg(F.max_by("target", "id").alias("target"))
+def glossary_block(terms: DataFrame, limit: int = 80) -> DataFrame:
+    """One row: rule text and JSON map of the first ``limit`` terms by rank (see ``match.ranked``), empty when there is none."""
+    rows = ranked(terms, limit).groupBy("source").agg(F.max_by("target", "id").alias("target"))
     entries = F.array_sort(F.collect_list(F.struct((-F.length("source")).alias("n"), "source", "target")))
     text = F.concat(F.lit("Use exactly these terms:\n"), F.to_json(F.map_from_entries(F.transform(entries, lambda e: F.struct(e["source"], e["target"])))))
     return rows.agg(F.when(F.count(F.lit(1)) > 0, text).otherwise("").alias("block"))
