@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterator
 
 #: Bytes of a text that are cut into words at once.
 PART = 1 << 20
@@ -16,12 +17,19 @@ def byte_table(keep: bytes) -> bytes:
     return bytes(b + 32 if 65 <= b <= 90 else b if b in kept else 32 for b in range(256))
 
 
-def word_counts(data: bytes, table: bytes, part: int = PART) -> Counter[bytes]:
-    """How often each word is in ``data``; long data goes part by part, cut at a blank."""
-    data, out, at = data.translate(table), Counter(), 0
+def words_of(data: bytes, table: bytes, part: int = PART) -> Iterator[list[bytes]]:
+    """The words of ``data``, a bounded part at a time, cut at blanks."""
+    data, at = data.translate(table), 0
     while at < len(data):
         end = data.find(b" ", at + part)
         end = len(data) if end < 0 else end
-        out.update(data[at:end].split())
+        yield data[at:end].split()
         at = end
+
+
+def word_counts(data: bytes, table: bytes, part: int = PART) -> Counter[bytes]:
+    """How often each word is in ``data``."""
+    out: Counter[bytes] = Counter()
+    for words in words_of(data, table, part):
+        out.update(words)
     return out

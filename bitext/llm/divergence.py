@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from bitext.ranks import with_rank
 
 from . import shared
-from .counting import HELD, byte_table, word_counts
+from .counting import HELD, byte_table, words_of
 
 MIN_DOCS, TOP, SCALE, SMOOTHING = 30, 50, 1_000_000_000, 5
 TABLE = byte_table(bytes([*range(97, 123), *range(128, 256)]))
@@ -39,26 +39,30 @@ SEGMENT, SOURCES = 4096, 32
 
 def counts(docs: DataFrame) -> DataFrame:
     """lang, source, term, n, docs, written once; every group has a row with a null term."""
-    def rows(held: dict) -> pa.RecordBatch:
-        keys = list(zip(*held, strict=True)) or [(), (), ()]
-        terms = pa.array(keys[2], pa.binary()).cast(pa.string())
-        sums = [pa.array([v[k] for v in held.values()], pa.int64()) for k in (0, 1)]
-        return pa.RecordBatch.from_arrays([pa.array(keys[0], pa.string()), pa.array(keys[1], pa.string()), terms, *sums], names=["lang", "source", "term", "n", "docs"])
+    def rows(held: dict[tuple[str, str], tuple[Counter, Counter]]) -> Iterator[pa.RecordBatch]:
+        for (lang, source), (n, in_docs) in held.items():
+            terms = pa.array([None, *n], pa.binary()).cast(pa.string())
+            sums = [pa.array([0, *x], pa.int64()) for x in (n.values(), (in_docs[t] for t in n))]
+            group = [pa.array([x] * len(terms), pa.string()) for x in (lang, source)]
+            yield pa.RecordBatch.from_arrays([*group, terms, *sums], names=["lang", "source", "term", "n", "docs"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple, list[int]] = {}
+        held: dict[tuple[str, str], tuple[Counter, Counter]] = {}
+        size = 0
         for batch in batches:
             for lang, source, text in zip(*(c.to_pylist() for c in batch.columns[:2]), batch.column(2), strict=True):
-                found: Counter = word_counts((text.as_py() or "").encode(), TABLE)
-                for term, n in (*found.items(), (None, 0)):
-                    both = held.setdefault((lang, source, term), [0, 0])
-                    both[0] += n
-                    both[1] += 1
-                if len(held) >= HELD:
-                    yield rows(held)
-                    held = {}
-        if held:
-            yield rows(held)
+                n, in_docs = held.setdefault((lang, source), (Counter(), Counter()))
+                size -= len(n)
+                own: set[bytes] = set()
+                for words in words_of((text.as_py() or "").encode(), TABLE):
+                    n.update(words)
+                    own.update(words)
+                in_docs.update(own)
+                size += len(n) + 1
+                if size >= HELD:
+                    yield from rows(held)
+                    held, size = {}, 0
+        yield from rows(held)
 
     texts = docs.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source")), F.col("text").cast("string").alias("text"))
     found = texts.mapInArrow(run, "lang string, source string, term string, n long, docs long")
@@ -154,7 +158,7 @@ def audit(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP, segment: in
     """lang, source, part, item, value, rank."""
     found = counts(docs)
     kept, langs = kept_terms(found, min_docs)
-    in_group = found.where("term IS NOT NULL").join(kept, ["lang", "term"])
+    in_group = shared.materialize(found.where("term IS NOT NULL").join(kept, ["lang", "term"]).select("lang", "source", "term", "n", "place", "q", "terms"), "divergence-kept-counts")
     totals = in_group.groupBy("lang", "source").agg(F.sum("n").alias("total"))
     numbered = with_rank(found.where("term IS NULL").select("lang", "source"), [F.col("lang"), F.col("source")], "place")
     first = numbered.groupBy("lang").agg(F.min("place").alias("first"))
@@ -162,9 +166,9 @@ def audit(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP, segment: in
         "lang", "source", (F.col("place") - F.col("first")).alias("number"), F.coalesce("total", F.lit(0)).alias("total"), F.coalesce("terms", F.lit(0)).alias("terms"),
     )
     groups = shared.materialize(groups.withColumn("rest", F.when(F.col("terms") > 0, share(F.lit(0), F.col("total"), F.col("terms")))), "divergence-groups")
-    shares = shared.materialize(in_group.join(groups.select("lang", "source", "total"), ["lang", "source"]).select(
-        "lang", "source", "term", "place", "q", share(F.col("n"), F.col("total"), F.col("terms")).alias("p"),
-    ), "divergence-shares")
+    shares = in_group.join(groups.select("lang", "source", "total"), ["lang", "source"]).select(
+        "lang", "source", "term", "place", "q", share(F.col("n"), F.col("total"), F.col("terms")).alias("p")
+    )
     pairs = pair_values(columns(shares, groups, segment), groups, block)
     order = Window.partitionBy("lang", "source").orderBy(F.col("value").desc(), F.col("item"))
     terms = shares.where("p > q").select("lang", "source", F.col("term").alias("item"), (F.col("p") - F.col("q")).alias("value"))
