@@ -133,7 +133,8 @@ def _pair_rows(table: pa.Table) -> pa.Table:
     own = table.column("own").to_pylist()
     runs = [(np.array(e.values), np.array(v.values)) for e, v in zip(table.column("ends"), table.column("values"), strict=True)]
     first = [k for k, b in enumerate(own) if b == one]
-    pairs = [(i, j) for i in first for j, b in enumerate(own) if b == two and (one != two or i < j)]
+    # By name inside a block: rows of a group come in any order, and a pair's segments are summed by (a, b).
+    pairs = [(i, j) for i in first for j, b in enumerate(own) if b == two and (one != two or source[i] < source[j])]
     value = [distance(runs[i], runs[j]) for i, j in pairs]
     left, right = [source[i] for i, _ in pairs], [source[j] for _, j in pairs]
     return pa.table({"lang": pa.array([lang] * len(pairs), pa.string()), "a": pa.array(left, pa.string()), "b": pa.array(right, pa.string()), "value": pa.array(value, pa.int64())})

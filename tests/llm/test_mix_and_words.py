@@ -260,6 +260,16 @@ def test_audit_equals_plain_python(spark, rows, min_docs, top, segment, block):
     assert same(got, *got.columns) == plain_audit(rows, min_docs, top)
 
 
+def test_pairs_are_one_row_whatever_the_order_of_sources_in_a_segment(spark):
+    run = lambda source, number, segment, value: ("en", source, number, segment, [10], [value])
+    rows = [run("a", 0, 0, 5), run("b", 1, 0, 7), run("c", 2, 0, 1), run("c", 2, 1, 4), run("b", 1, 1, 4), run("a", 0, 1, 1)]
+    runs = spark.createDataFrame(rows, "lang string, source string, number long, segment long, ends array<int>, values array<long>").coalesce(1)
+    groups = spark.createDataFrame([("en", s, k, 20) for k, s in enumerate("abc")], "lang string, source string, number long, terms long")
+    found = {("a", "b"): 50, ("a", "c"): 70, ("b", "c"): 60}
+    expected = sorted([("en", *x, v) for (a, b), v in found.items() for x in ((a, b), (b, a))])
+    assert same(divergence.pair_values(runs, groups), "lang", "source", "item", "value") == expected
+
+
 def test_audit_of_an_empty_table(spark):
     assert divergence.audit(with_clashes(spark, EDGE).limit(0)).collect() == []
 
