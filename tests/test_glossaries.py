@@ -75,6 +75,38 @@ def test_the_work_does_not_grow_with_the_glossary():
     assert a == b and many <= 2 * few + 0.2
 
 
+def test_the_work_does_not_grow_with_the_square_of_the_terms_in_a_text():
+    import time
+
+    r = random.Random(11)
+    words = ["".join(r.choices("abcdefghij", k=r.randint(4, 8))) for _ in range(2000)]
+    known = glossary_pass.Glossary([(w, w[::-1]) for w in words])
+
+    def seconds(n):
+        text = " ".join(words[:n] + [w + w for w in words[:n]])
+        start = time.process_time()
+        return known.apply(text), time.process_time() - start
+
+    (_, few), (_, many) = seconds(200), seconds(2000)
+    assert many <= 25 * few + 0.2
+
+
+@pytest.mark.parametrize("letters", ["ab", "abcA", "aßẞİiIſs b", "ab.[]^-\\ "])
+def test_glossary_in_turn_equals_plain_python(letters):
+    r = random.Random(letters)
+    for _ in range(2000):
+        terms = [("".join(r.choices(letters, k=r.randint(1, 4))), "".join(r.choices(letters + ",", k=r.randint(1, 5)))) for _ in range(r.randint(0, 6))]
+        text = "".join(r.choices(letters + ",", k=r.randint(0, 25)))
+        want = text
+        for source, target in glossary_pass.longest_first(terms):
+            parts, at = [], 0
+            while (k := glossary_pass.fold(want).find(glossary_pass.fold(source), at)) >= 0:
+                parts += [want[at:k], target]
+                at = k + len(source)
+            want = "".join([*parts, want[at:]])
+        assert glossary_pass.Glossary(terms).apply(text) == want, (terms, text)
+
+
 def test_table_function_equals_the_operator(spark):
     key = lambda rows: sorted(tuple(x) for x in rows)
     assert key(queries.x6_lateral_term_candidates(spark, SF).collect()) == key(queries.x5_term_candidates(spark, SF).collect()) != []
