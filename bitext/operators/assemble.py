@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from bitext.sources import elements
+from bitext.sources.blocks import PIECE
 
 
 def _ordered(order: str, text: str) -> Column:
@@ -38,10 +42,16 @@ def assemble_html(pages: DataFrame, bitext: DataFrame, html: str = "html", page_
     one = bitext.where(F.col("translated").isNotNull()).groupBy("doc_id", F.col("seq").cast("int").alias("seq")).agg(F.max("translated").alias("translated"))
     texts = one.groupBy("doc_id").agg(F.collect_list(F.struct("seq", "translated")).alias("t"))
 
-    @F.arrow_udf("string")
-    def rewrite(pages: pa.Array, given: pa.Array) -> pa.Array:
-        pairs = zip(pages.to_pylist(), given.to_pylist(), strict=True)
-        return pa.array([p if p is None or not t else elements.rewritten(p, {x["seq"]: x["translated"] for x in t}) for p, t in pairs], pa.string())
+    def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            done, first, size = [], 0, 0
+            for row, (page, given) in enumerate(zip(batch.column("html"), batch.column("t"), strict=True), 1):
+                page, given = page.as_py(), given.as_py()
+                done.append(page if page is None or not given else elements.rewritten(page, {x["seq"]: x["translated"] for x in given}))
+                size += len(page or "")
+                if size >= PIECE or row == len(batch):
+                    yield pa.RecordBatch.from_arrays([batch.column("doc_id")[first:row], pa.array(done, pa.string())], names=[page_id, "html"])
+                    done, first, size = [], row, 0
 
     rows = pages.select(F.col(page_id).alias("doc_id"), F.col(html).alias("html")).join(texts, "doc_id", "left")
-    return rows.select(F.col("doc_id").alias(page_id), rewrite("html", "t").alias("html"))
+    return rows.select("doc_id", "html", "t").mapInArrow(rewrite, T.StructType([T.StructField(page_id, pages.schema[page_id].dataType), T.StructField("html", T.StringType())]))

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from bitext.functions.compat import strip
 from bitext.functions.predicates import non_blank
@@ -13,6 +16,8 @@ from bitext.ranks import Ordered
 from . import elements
 from .elements import BLOCK_TAGS  # noqa: F401
 
+#: Characters that leave a task at once.
+PIECE = 1 << 20
 # Lines that stand alone, characters of East Asian text, marks that end a paragraph.
 SPECIAL_LINE = r"^(?:[0-9]+(?:\.[0-9]+)*|\*|-|•|◆|Section|Chapter|Title|Page)(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
 EAST_ASIAN_END = r"[぀-ヿ㐀-䶿一-鿿豈-﫿ｦ-ﾟ]\z"
@@ -24,26 +29,37 @@ def scan_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     return df.select(F.col(doc_id).alias("doc_id"), F.posexplode(F.split(text, "\n")).alias("seq", "text"))
 
 
-def html_elements(html: Column, only_text: bool = True) -> Column:
-    """Array of (tag, inner) of the block elements of a page, in one pass; by default of those that have text."""
-
-    @F.arrow_udf("array<struct<tag:string,inner:string>>")
-    def find(pages: pa.Array) -> pa.Array:
-        ends, found = [0], []
-        for p in pages.to_pylist():
-            if p is not None:
-                found += elements.blocks(p) if only_text else [(tag, p[a:b]) for tag, _, a, b, _ in elements.elements(p)]
-            ends.append(len(found))
-        tags, inner = (pa.array([x[k] for x in found], pa.string()) for k in (0, 1))
-        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([tags, inner], names=["tag", "inner"]))
+def scan_elements(df: DataFrame, html: str, only_text: bool = True, seq: str = "seq") -> DataFrame:
+    """``df`` with a row (``seq``, tag, text: the inner markup) a block element in place of ``html``; by default of elements with text.
 
-    return find(html)
+    Rows leave a task in batches of about ``PIECE`` characters, whatever the size of what comes in.
+    """
+    keep = [f for f in df.schema if f.name != html]
+    schema = T.StructType([*keep, T.StructField(seq, T.IntegerType()), T.StructField("tag", T.StringType()), T.StructField("text", T.StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rest, pages = batch.select([f.name for f in keep]), batch.column(html)
+            at, size = ([], [], [], []), 0
+            for row in range(len(pages)):
+                page = pages[row].as_py()
+                if page is not None:
+                    found = elements.blocks(page) if only_text else ((tag, page[a:b]) for tag, _, a, b, _ in elements.elements(page))
+                    for n, (tag, inner) in enumerate(found):
+                        for values, x in zip(at, (row, n, tag, inner), strict=True):
+                            values.append(x)
+                        size += len(inner)
+                if at[0] and (size >= PIECE or row == len(pages) - 1):
+                    new = [pa.array(x, t) for x, t in zip(at[1:], (pa.int32(), pa.string(), pa.string()), strict=True)]
+                    yield pa.RecordBatch.from_arrays([*rest.take(pa.array(at[0], pa.int32())).columns, *new], names=[*rest.schema.names, seq, "tag", "text"])
+                    at, size = ([], [], [], []), 0
+
+    return df.mapInArrow(run, schema)
 
 
 def scan_html_blocks(df: DataFrame, html: str = "html", doc_id: str = "page_id") -> DataFrame:
     """doc_id, seq, tag, text (inner markup) of block elements that have text."""
-    found = df.select(F.col(doc_id).alias("doc_id"), html_elements(F.col(html)).alias("e")).select("doc_id", F.posexplode("e").alias("seq", "b"))
-    return found.select("doc_id", "seq", F.col("b.tag").alias("tag"), F.col("b.inner").alias("text"))
+    return scan_elements(df.select(F.col(doc_id).alias("doc_id"), F.col(html).cast("string").alias("html")), "html")
 
 
 def scan_markdown(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:

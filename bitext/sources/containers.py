@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from bitext.functions.compat import strip
 
 from . import elements
-from .blocks import html_elements
+from .blocks import PIECE, scan_elements
 
 #: Paragraph element and text run of each kind, and the parts they are in; pages of a book have block elements.
 KINDS = {
@@ -54,10 +54,21 @@ def unzip_parts(files: DataFrame, kind: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = (pa.string(), pa.int32(), pa.string(), pa.string(), pa.string())
+
+        def out(held: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*held, strict=True), kinds, strict=True)], names=["doc_id", "part_no", "part", "xml", "error"])
+
         for batch in batches:
+            held, size = [], 0
             for path, content in zip(*batch.columns, strict=True):
                 for row in parts(content.as_py()):
-                    yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((path.as_py(), *row), kinds, strict=True)], names=["doc_id", "part_no", "part", "xml", "error"])
+                    held.append((path.as_py(), *row))
+                    size += len(row[2] or "")
+                    if size >= PIECE:
+                        yield out(held)
+                        held, size = [], 0
+            if held:
+                yield out(held)
 
     return files.select("path", "content").mapInArrow(run, "doc_id string, part_no int, part string, xml string, error string")
 
@@ -75,8 +86,8 @@ def scan_container(files: DataFrame, kind: str) -> DataFrame:
     paragraph, run, _ = KINDS[kind]
     parts = unzip_parts(files, kind).where("error IS NULL")
     if kind == "epub":
-        found = parts.select("doc_id", "part_no", "part", html_elements(F.col("xml"), only_text=False).alias("e")).select("doc_id", "part_no", "part", F.posexplode("e").alias("p_index", "p"))
-        return found.select("doc_id", "part_no", "part", "p_index", F.col("p.inner").alias("text")).where(strip(F.regexp_replace("text", "<[^>]*>", "")) != "")
+        found = scan_elements(parts.select("doc_id", "part_no", "part", "xml"), "xml", only_text=False, seq="p_index").drop("tag")
+        return found.where(strip(F.regexp_replace("text", "<[^>]*>", "")) != "")
     found = parts.select("doc_id", "part_no", "part", F.posexplode(F.regexp_extract_all("xml", F.lit(paragraph), F.lit(0))).alias("p_index", "p"))
     return found.withColumn("text", F.array_join(F.regexp_extract_all("p", F.lit(run), F.lit(1)), "")).where(strip(F.col("text")) != "").drop("p")
 
@@ -158,8 +169,16 @@ def pack_lines(docs: DataFrame, kind: str, doc_id: str = "doc_id", text: str = "
             z.writestr(part, shell.format(body))
         return out.getvalue()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pd.DataFrame({"path": batch[doc_id].astype(str) + f".{kind}", "content": [pack(t) for t in batch[text]]})
-
-    return docs.select(doc_id, text).mapInPandas(run, "path string, content binary")
+            held, size = ([], []), 0
+            for row, (name, value) in enumerate(zip(*batch.columns, strict=True), 1):
+                value = value.as_py()
+                held[0].append(f"{name.as_py()}.{kind}")
+                held[1].append(pack(value))
+                size += len(value or "")
+                if size >= PIECE or row == len(batch):
+                    yield pa.RecordBatch.from_arrays([pa.array(held[0], pa.string()), pa.array(held[1], pa.binary())], names=["path", "content"])
+                    held, size = ([], []), 0
+
+    return docs.select(doc_id, text).mapInArrow(run, "path string, content binary")

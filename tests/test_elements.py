@@ -6,6 +6,7 @@ import random
 import re
 import time
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -44,6 +45,22 @@ def test_blocks_of_pages(spark):
     assert [tuple(r) for r in got] == [(1, 0, "h1", "A"), (1, 1, "li", "one<li>two")]
 
 
+def test_a_large_batch_of_pages_leaves_in_pieces(spark):
+    page = "<p>" + "x" * 100_000 + "</p>"
+    schema = spark.createDataFrame([], "doc_id long, html string").schema
+
+    class Table:
+        def __init__(self):
+            self.schema, self.columns = schema, schema.names
+
+        def mapInArrow(self, run, _):  # noqa: N802
+            return list(run([pa.RecordBatch.from_pydict({"doc_id": list(range(60)), "html": [page] * 59 + [None]})]))
+
+    out = blocks.scan_elements(Table(), "html")
+    assert max(sum(len(t) for t in b.column("text").to_pylist()) for b in out) <= blocks.PIECE + 100_000 and len(out) > 4
+    assert [d for b in out for d in b.column("doc_id").to_pylist()] == list(range(59))
+
+
 def test_pages_are_put_together_whatever_repeats(spark):
     pages = spark.createDataFrame([(1, "<h1>A</h1>-<p> </p><p>b</p>"), (2, None), (3, "<p>x</p>")], "page_id long, html string")
     new = spark.createDataFrame([(1, 0, "Z"), (1, 0, "Y"), (1, 1, "B"), (3, 0, None), (1, 7, "no")], "doc_id long, seq int, translated string")
