@@ -14,6 +14,7 @@ import re
 import uuid
 import zipfile
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,6 +30,8 @@ from .containers import DAMAGE, KINDS
 GROUP_BYTES = 64 << 20
 #: Unpacked bytes of a part that are looked at at once.
 PIECE = 1 << 20
+#: Partitions at most, and threads for what the driver does for each file.
+PARTITIONS, THREADS = 1000, 16
 SCHEMA = "doc_id string, part_no int, part string, p_index long, text string, error string"
 _CLOSING = {"docx": "</w:p>", "pptx": "</a:p>"}
 _OPENING = {"docx": re.compile(r"<w:p\b[^>]*>"), "pptx": re.compile(r"<a:p\b[^>]*>")}
@@ -73,10 +76,9 @@ def part_rows(archive: zipfile.ZipFile, name: str, kind: str, size: int) -> Iter
 
 @dataclass
 class Archives(InputPartition):
-    """Whole archives, or one part (number and name) of one."""
+    """Whole archives, and parts (number and name) of archives."""
 
-    paths: list[str]
-    part: tuple[int, str] | None = None
+    units: list[tuple[str, tuple[int, str] | None]]
 
 
 class ZippedReader(DataSourceReader):
@@ -87,35 +89,41 @@ class ZippedReader(DataSourceReader):
 
     def partitions(self) -> list[Archives]:
         files = sorted((f.path, f.size) for f in listing(self.path, recursive=True) if f.is_file and f.path.lower().endswith("." + self.kind) and not f.base_name.startswith("."))
-        out: list[Archives] = []
+        with ThreadPoolExecutor(THREADS) as pool:  # directories of large archives are read at once
+            parts = dict(pool.map(lambda path: (path, self._parts(path)), (path for path, n in files if n > self.group)))
+        groups: list[list] = []
         held, size = [], 0
         for path, n in files:
             if n > self.group:
-                out += self._parts(path)
+                groups += [[unit] for unit in parts[path]]
                 continue
             if held and size + n > self.group:
-                out.append(Archives(held))
+                groups.append(held)
                 held, size = [], 0
-            held, size = [*held, path], size + n
-        return [*out, Archives(held)]
+            held.append((path, None))
+            size += n
+        groups.append(held)
+        # Many small groups share a partition: the number of tasks does not grow with the files.
+        each = -(-len(groups) // PARTITIONS)
+        return [Archives([unit for group in groups[k : k + each] for unit in group]) for k in range(0, len(groups), each)]
 
     def _names(self, archive: zipfile.ZipFile) -> list[tuple[int, str]]:
         return list(enumerate(n for n in archive.namelist() if self.wanted.search(n) and "[Content_Types]" not in n))
 
-    def _parts(self, path: str) -> list[Archives]:
+    def _parts(self, path: str) -> list[tuple[str, tuple[int, str] | None]]:
         fs, _ = open_fs(self.path)
         try:
             with fs.open_input_file(path) as f, zipfile.ZipFile(f) as z:
-                return [Archives([path], part) for part in self._names(z)]
+                return [(path, part) for part in self._names(z)]
         except DAMAGE:
-            return [Archives([path])]  # its task says what is wrong
+            return [(path, None)]  # its task says what is wrong
 
     def read(self, partition: Archives) -> Iterator[tuple]:
         fs, _ = open_fs(self.path)
-        for path in partition.paths:
+        for path, part in partition.units:
             try:
                 with fs.open_input_file(path) as f, zipfile.ZipFile(f) as z:
-                    for no, name in [partition.part] if partition.part else self._names(z):
+                    for no, name in [part] if part else self._names(z):
                         try:
                             for index, text in part_rows(z, name, self.kind, self.piece):
                                 yield path, no, name, index, text, None
@@ -149,9 +157,10 @@ class ZippedWriter(DataSourceWriter):
 
     def commit(self, messages: list[Written | None]) -> None:
         fs, _ = open_fs(self.path)
-        for message in messages:
-            for hidden, final in message.files if message else ():
-                fs.move(hidden, final)
+        with ThreadPoolExecutor(THREADS) as pool:
+            for message in messages:
+                for _ in pool.map(lambda names: fs.move(*names), message.files if message else ()):
+                    pass
 
     def abort(self, messages: list[Written | None]) -> None:
         fs, _ = open_fs(self.path)

@@ -49,3 +49,16 @@ def test_written_files_come_whole_or_not_at_all(spark, tmp_path):
     got = zipped.read_zipped(spark, str(tmp_path / "out"), "pptx")
     assert [(r.p_index, r.text) for r in got.orderBy("p_index").collect()] == [(0, "a"), (1, "b")]
     assert zipped.read_zipped(spark, str(tmp_path / "none"), "pptx").collect() == []
+
+
+def test_tasks_do_not_grow_with_the_files(tmp_path, monkeypatch):
+    monkeypatch.setattr(zipped, "PARTITIONS", 7)
+    for k in range(50):
+        with zipfile.ZipFile(tmp_path / f"{k}.docx", "w") as z:
+            for part in range(1 + k % 2):
+                z.writestr(f"word/part{part}.xml", "<w:p><w:t>" + f"{k}" * (1 + k % 2 * 500) + "</w:t></w:p>")
+    reader = zipped.ZippedReader({"path": str(tmp_path), "kind": "docx", "group_bytes": "300"})
+    found = reader.partitions()
+    assert len(found) <= 7
+    rows = [row for p in found for row in reader.read(p)]
+    assert sorted((int(r[0].rsplit("/", 1)[-1][:-5]), r[1]) for r in rows) == sorted((k, part) for k in range(50) for part in range(1 + k % 2))
