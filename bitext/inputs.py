@@ -107,7 +107,7 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 def words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, seq, pos, word: blank-separated words of the lines, lower case, letters only."""
     rows = lines(spark, sf_dir).select("doc_id", "seq", F.posexplode(F.split("text", " ")).alias("pos", "raw"))
-    return rows.select("doc_id", "seq", "pos", F.regexp_replace(F.lower("raw"), r"[^\p{L}]", "").alias("word")).where("word <> ''")
+    return rows.where(F.lower("raw").rlike(r"\p{L}")).select("doc_id", "seq", "pos", F.regexp_replace(F.lower("raw"), r"[^\p{L}]+", "").alias("word"))
 
 
 def incoming(spark: SparkSession, sf_dir: str) -> DataFrame:

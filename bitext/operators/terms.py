@@ -42,7 +42,7 @@ def merge_terms(existing: DataFrame, incoming: DataFrame, now: str = "2024-01-01
     old = old.withColumn("first", F.row_number().over(own) == 1)
     # Equal rows become one first: counts and largest seq fit a hash aggregate, what is left is a vocabulary.
     same = incoming.groupBy("source", "target", "source_lang", "target_lang", "domain", "confirmed").agg(F.count(F.lit(1)).alias("n"), F.max("seq").alias("seq"))
-    new = valid_terms(same).select(
+    new = valid_terms(same, "n").select(
         "seq", "n", "source", "target", "confirmed", F.lower("source").alias("k_source"), _or("source_lang", DEFAULTS["source_lang"]).alias("k_sl"),
         _or("target_lang", DEFAULTS["target_lang"]).alias("k_tl"), _or("domain", DEFAULTS["domain"]).alias("k_domain"),
     )
@@ -70,10 +70,15 @@ def merge_terms(existing: DataFrame, incoming: DataFrame, now: str = "2024-01-01
     )
 
 
-def valid_terms(incoming: DataFrame) -> DataFrame:
-    """Incoming rows with normalised texts, without empty and self-mapping ones."""
+def valid_terms(incoming: DataFrame, count: str | None = None) -> DataFrame:
+    """Incoming rows with normalised texts, without empty and self-mapping ones.
+
+    ``count``: a positive number of rows that became one. It stands in the condition, so that
+    the test stays behind their aggregate and is made once for them all.
+    """
     rows = incoming.withColumns({"source": normalize_term(F.col("source")), "target": normalize_term(F.col("target"))})
-    return rows.where("source <> '' AND target <> '' AND source <> target")
+    good = (F.col("source") != "") & (F.col("target") != "") & (F.col("source") != F.col("target"))
+    return rows.where(good if count is None else F.least(count, good.cast("int").cast("long")) > 0)
 
 
 def merge_counts(merged: DataFrame, incoming: DataFrame) -> DataFrame:

@@ -492,3 +492,12 @@ def test_bounded_streams_are_waited_for_without_a_limit():
     assert query.stopped
     with pytest.raises(TimeoutError):
         runs.finish(Slow(), 1)
+
+
+def test_validity_of_terms_is_tested_behind_the_aggregate(spark):
+    rows = spark.createDataFrame([(1, " a ", "b", "en", None, "d", True), (2, " a ", "b", "en", None, "d", True), (3, "x", "x", "en", None, "d", None)], "seq long, source string, target string, source_lang string, target_lang string, domain string, confirmed boolean")
+    same = rows.groupBy("source", "target").agg(F.count(F.lit(1)).alias("n"))
+    valid = terms.valid_terms(same, "n")
+    plan = valid._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Filter") < plan.index("Aggregate") and "Filter" not in plan[plan.index("Aggregate") :]
+    assert [tuple(r) for r in valid.collect()] == [("a", "b", 2)]
