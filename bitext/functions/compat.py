@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 #: White space for Java patterns, without brackets.
 BLANK = r"\s\x0B\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
 WS = f"[{BLANK}]"
+#: The same characters one by one, for trimming.
+BLANKS = " \t\n\x0b\x0c\r\u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
 #: End and start of an ASCII word.
 WORD_END = r"(?![A-Za-z0-9_])"
 HAN = r"[一-鿿]"
@@ -29,8 +31,8 @@ def text_or_empty(c: Column) -> Column:
 
 
 def strip(c: Column) -> Column:
-    """Without white space at either end."""
-    return F.regexp_replace(c, f"^{WS}+|{WS}+$", "")
+    """Without white space at either end; only the ends are looked at."""
+    return F.btrim(c, F.lit(BLANKS))
 
 
 def not_empty(c: Column) -> Column:

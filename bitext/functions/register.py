@@ -15,11 +15,11 @@ from pyspark.sql import functions as F
 from bitext.plans.edits import candidates
 
 from . import python_text
-from .compat import ARABIC, BLANK, CYRILLIC, HAN, HANGUL, KANA, WS
+from .compat import ARABIC, BLANK, BLANKS, CYRILLIC, HAN, HANGUL, KANA, WS
 from .predicates import PLAIN_SYMBOLS
 from .text import ABBREVIATIONS, FULL_WIDTH, LEAKED, META, NARROW, REFUSALS, STYLE_GUIDES, TAG_PATTERNS, WIDE
 
-_STRIP = "regexp_replace({x}, r'^" + WS + "+|" + WS + "+\\z', '')"
+_STRIP = "btrim({x}, '" + BLANKS + "')"
 _SYMBOLS = r"[\-0-9\s.,%$€£¥₩₽₹₱₿+/\\*#@()\[\]{}]+"
 
 TERMS = "ARRAY<STRUCT<source: STRING, target: STRING>>"

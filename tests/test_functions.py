@@ -159,3 +159,25 @@ def test_sql_functions(spark):
         "SELECT detect_term_lang('かな'), normalize_lang(' Korean'), skip_numeric_short('12-3'), contains_cjk('x'), strip_fences('```a\nb\n```'), classify_constraint('p', 10D, NULL), drift_severity('abcd', 'abcdefgh'), overflow_severity('a', 'ab'), estimate_confidence('a\nb', 'c\nd', 'PreserveLayout')"
     ).first()
     assert tuple(row) == ("ja", "ko", True, False, "b", "Concise", "low", "high", 0.85)
+
+
+def test_strip_looks_at_the_ends_alone(spark):
+    import re
+
+    from bitext.functions import compat
+
+    blank = "".join(chr(i) for i in range(0x10000) if not 0xD800 <= i < 0xE000 and re.match("[ \\t-\\r\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]", chr(i)))
+    assert sorted(blank) == sorted(compat.BLANKS)
+    texts = [None, "", " ", blank, *(f"{b}a{b}b{b}" for b in blank), "a\u200b ", "\u0085x\u0085", "𝒳 \n", "\n 中 文\r\n"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    old = F.regexp_replace("t", f"^{compat.WS}+|{compat.WS}+$", "")
+    done = df.select(compat.strip(F.col("t")).alias("new"), old.alias("old"))
+    assert done.where("NOT new <=> old").count() == 0
+    assert "regexp" not in df.select(compat.strip(F.col("t")))._jdf.queryExecution().analyzed().toString().lower()
+
+
+def test_all_sql_functions_compare_in_generated_code(spark):
+    from bitext import queries
+
+    plan = queries.x6_all_sql_functions(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "filter(array(" not in plan and "concat_ws(" in plan.split("ArrowEvalPython")[0]
