@@ -7,6 +7,11 @@ domain, confirmed.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -162,6 +167,38 @@ def mine_frequent_terms(blocks: DataFrame, stop_words: DataFrame, min_freq: int
 UNSPACED = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}"
 
 
+def _places(words: DataFrame, head: int, most: int) -> DataFrame:
+    """head, tail, words: from every word of ``w`` on up to ``head`` words and those after them up to ``most``, and how many in all."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(0)
+            flat, ends = lists.flatten(), np.cumsum(np.asarray(pc.list_value_length(lists)), dtype=np.int64)
+            after = np.repeat(ends, np.diff(ends, prepend=0))
+            for at in range(0, len(flat), PLACES):
+                own = np.arange(at, min(at + PLACES, len(flat)))
+                n = np.minimum(after[own] - own, most)
+                # Beyond the end of a segment words are null and leave blanks at the end.
+                nth = [flat.take(pa.array(own + k, mask=n <= k)) for k in range(most)]
+                join = lambda x: pc.ascii_rtrim(pc.binary_join_element_wise(*x, " ", null_handling="replace", null_replacement=""), " ") if x else pa.repeat("", len(own))
+                out = pa.RecordBatch.from_arrays([join(nth[:head]), join(nth[head:]), pa.array(n, pa.int32())], names=["head", "tail", "words"])
+                yield out.sort_by([("head", "ascending"), ("tail", "ascending")])  # like ones together: the shuffle's blocks are smaller by it
+
+    return words.select("w").mapInArrow(run, "head string, tail string, words int")
+
+
+def _first_words(k: int, head: int) -> Column:
+    if k <= head:
+        return F.substring_index("head", " ", k) if k < head else F.col("head")
+    return F.concat_ws(" ", "head", F.substring_index("tail", " ", k - head))
+
+
+#: Places that leave Python at once.
+PLACES = 1 << 18
+#: Words by which places are dealt out: more make the parts more even, fewer leave less to add up.
+DEALT = 3
+
+
 def mine_frequent_phrases(blocks: DataFrame, stop_words: DataFrame, min_freq: int = 3, max_words: int = 5, text: str = "text", maximal: bool = True) -> DataFrame:
     """term, words, frequency of sequences of 1 to ``max_words`` words that come ``min_freq`` times or more.
 
@@ -169,31 +206,28 @@ def mine_frequent_phrases(blocks: DataFrame, stop_words: DataFrame, min_freq: in
     letter is a word, and the term has none between. No term starts or ends with a stop-word (a
     column ``term``). With ``maximal``, terms inside a longer one that is found go.
 
-    Level by level: a sequence is counted only where both its parts that are one word shorter
-    are frequent, which semi-joins decide, so each level counts little more than it finds.
+    Every place is dealt out once, with the words from there on, by the first ``DEALT`` of them;
+    all longer sequences that start there are then counted without another shuffle, and what
+    shorter ones add up to goes by sums.
     """
     segments = F.explode(F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{M}\s]+"), F.lit(0)))
     words = blocks.select(segments.alias("s")).select(F.regexp_extract_all("s", F.lit(rf"[{UNSPACED}]\p{{M}}*|[\p{{L}}\p{{M}}&&[^{UNSPACED}]]+"), F.lit(0)).alias("w"))
     words = materialize(words.where(F.size("w") > 0), "segments")
-    levels: list[DataFrame] = []
-    for n in range(1, max_words + 1):
-        places = F.sequence(F.lit(1), F.size("w") - n + 1)
-        gram = lambda k, first=0, count=n: F.array_join(F.slice("w", k + first, F.lit(count)), " ")
-        found = words.where(F.size("w") >= n)
-        if n == 1:
-            grams = found.select(F.explode("w").alias("gram"))
-        else:
-            # Equal sequences become one first; their shorter parts are looked up once each.
-            grams = found.select(F.explode(F.transform(places, lambda k: F.struct(gram(k).alias("gram"), gram(k, 0, n - 1).alias("head"), gram(k, 1, n - 1).alias("tail")))).alias("g")).select("g.*")
-            known = levels[-1].select("gram")
-            grams = grams.join(known.withColumnRenamed("gram", "head"), "head", "left_semi").join(known.withColumnRenamed("gram", "tail"), "tail", "left_semi")
-        counts = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("frequency")).where(F.col("frequency") >= min_freq)
-        levels.append(materialize(counts.withColumn("words", F.lit(n)), f"frequent-{n}"))
-        if levels[-1].isEmpty():
-            break
-    every = levels[0]
-    for more in levels[1:]:
-        every = every.unionByName(more)
+    head = min(DEALT, max_words)
+    most = F.least(F.col("words"), F.lit(max_words))
+
+    def grams(rows: DataFrame, sizes: range, key: list[str]) -> DataFrame:
+        """``rows`` (head, tail, words, n) with a row (gram, words) for each of the sizes that has so many words."""
+        one = lambda k: F.when(most >= k, F.struct(F.lit(k).alias("words"), _first_words(k, head).alias("gram")))
+        found = rows.select(*key, "n", F.explode(F.array(*map(one, sizes))).alias("g")).where("g IS NOT NULL").select(*key, "n", "g.*")
+        return found.groupBy(*key, "gram", "words").agg(F.sum("n").alias("frequency")).where(F.col("frequency") >= min_freq).drop(*key)
+
+    same = _places(words, head, max_words).repartition("head").groupBy("head", "tail", "words").agg(F.count(F.lit(1)).alias("n"))
+    # The head is part of the key, so equal sequences are in one place already.
+    every = grams(same, range(head, max_words + 1), ["head"])
+    if head > 1:
+        every = every.unionByName(grams(_places(words, head - 1, head - 1).withColumn("n", F.lit(1)), range(1, head), []))
+    every = materialize(every, "frequent")
     parts = F.split("gram", " ")
     stop = stop_words.select(F.col("term").alias("word")).distinct()
     ends = every.withColumns({"first": F.element_at(parts, 1), "last": F.element_at(parts, -1)})

@@ -129,3 +129,23 @@ def test_batches_take_a_bounded_glossary(spark):
     lines = requests.batch_requests(blocks, glossary, terms=5).first().glossary.split("\n")
     assert lines == [f"s{k} → t{k}" for k in range(5)]
     assert len(requests.batch_requests(blocks, glossary).first().glossary.split("\n")) == 120
+
+
+def test_places_of_phrases_go_over_no_border(spark, monkeypatch):
+    monkeypatch.setattr(terms, "PLACES", 3)
+    lists = [["a"], ["b", "c"], [], ["d", "e", "f", "g", "h", "i"], ["é", "中"]]
+    df = spark.createDataFrame([(x,) for x in lists], "w array<string>").coalesce(1)
+    for head, most in ((3, 5), (1, 1), (2, 2), (2, 6)):
+        got = sorted(map(tuple, terms._places(df, head, most).collect()))
+        want = sorted((" ".join(w[i : i + head]), " ".join(w[i + head : i + most]), len(w[i : i + most])) for w in lists for i in range(len(w)))
+        assert got == want
+
+
+@pytest.mark.parametrize("most", [1, 2, 3, 6])
+def test_phrases_of_any_length_equal_plain_counts(spark, most):
+    texts = ["a b c d e f g", "x a b c d e f", "a b a b a b a b", "b c d"] * 2
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    none = spark.createDataFrame([], "term string")
+    counts = Counter(" ".join(w[i : i + n]) for t in texts for w in [t.split()] for n in range(1, most + 1) for i in range(len(w) - n + 1))
+    got = {(r.term, r.words): r.frequency for r in terms.mine_frequent_phrases(df, none, max_words=most, maximal=False).collect()}
+    assert got == {(g, g.count(" ") + 1): n for g, n in counts.items() if n >= 3}
