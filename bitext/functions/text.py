@@ -228,13 +228,22 @@ def find_replace(c: Column, query: str, replacement: str) -> tuple[Column, Colum
     return F.replace(c, F.lit(query), F.lit(replacement)), F.coalesce(c.contains(query), F.lit(False))
 
 
+def join_context(context: Column) -> Column:
+    """The non-blank context texts in one."""
+    return F.array_join(F.filter(context, lambda x: strip(x) != ""), " ")
+
+
 def merge_short(c: Column, context: Column) -> Column:
     """A text of under 10 characters becomes the joined non-blank context texts, if those are longer."""
-    joined = F.array_join(F.filter(context, lambda x: strip(x) != ""), " ")
+    return merge_joined(c, join_context(context), F.size(context))
+
+
+def merge_joined(c: Column, joined: Column, size: Column) -> Column:
+    """``merge_short`` with a context of ``size`` texts that is joined already, once for all of its texts."""
 
     def choose(own: Column) -> Column:
         longer = let(joined, lambda j: F.when(F.length(j) > F.length(own), j).otherwise(own))
-        return F.when((F.length(own) < 10) & (F.size(context) > 1), longer).otherwise(own)
+        return F.when((F.length(own) < 10) & (size > 1), longer).otherwise(own)
 
     return let(strip(text_or_empty(c)), choose)
 

@@ -1032,8 +1032,11 @@ def f23_find_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def f24_merge_short(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = layout.group_spans_by_line(inputs.spans(spark, sf_dir))
-    groups = rows.groupBy("doc_id", "page", "line").agg(F.transform(F.array_sort(F.collect_list(F.struct("x0", "span_id", "text"))), lambda x: x["text"]).alias("context"))
-    return rows.join(groups, ["doc_id", "page", "line"]).select("doc_id", "span_id", text.merge_short(F.col("text"), F.col("context")).alias("text"))
+    # A line, which may be a whole page, is joined once and not for each of its spans, which come out of its own list again.
+    groups = rows.groupBy("doc_id", "page", "line").agg(F.array_sort(F.collect_list(F.struct("x0", "span_id", "text"))).alias("spans"))
+    lines = groups.select("doc_id", "spans", text.join_context(F.transform("spans", lambda x: x["text"])).alias("joined"), F.size("spans").alias("size"))
+    spans = lines.select("doc_id", "joined", "size", F.explode("spans").alias("s"))
+    return spans.select("doc_id", "s.span_id", text.merge_joined(F.col("s.text"), F.col("joined"), F.col("size")).alias("text"))
 
 
 @query(

@@ -501,3 +501,9 @@ def test_validity_of_terms_is_tested_behind_the_aggregate(spark):
     plan = valid._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Filter") < plan.index("Aggregate") and "Filter" not in plan[plan.index("Aggregate") :]
     assert [tuple(r) for r in valid.collect()] == [("a", "b", 2)]
+
+
+def test_short_spans_are_merged_without_a_join(spark):
+    from bitext import queries
+
+    assert "Join" not in queries.f24_merge_short(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
