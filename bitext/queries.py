@@ -1640,16 +1640,21 @@ def r1_assemble_token_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT conv_id * 100 + turn AS response_id, md5(text || ' ') AS text_md5, turn % 7 <> 3 AS complete FROM conversations WHERE turn % 7 <> 3")
 def r1_assemble_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts as a stream of lines in several files, dealt out by a hash; every seventh response lacks its end mark and so does not end."""
-    turns = table(spark, sf_dir, "conversations").withColumn("response_id", F.col("conv_id") * 100 + F.col("turn"))
+    """Texts as a stream of lines in three micro-batches of files, dealt out by a hash; every seventh response lacks its end mark and so does not end."""
+    # Conversations of more than 100 turns share numbers, so the stream has both parts.
+    turns = table(spark, sf_dir, "conversations").withColumn("response_id", F.concat_ws("-", "conv_id", "turn"))
     words = F.split("text", " ")
-    content = F.transform(words, lambda w: F.to_json(F.struct(F.array(F.struct(F.struct(F.concat(w, F.lit(" ")).alias("content")).alias("delta"))).alias("choices"))))
-    lines = F.flatten(F.array(F.transform(content, lambda c: F.concat(F.lit("data: "), c)), F.array(F.lit(": ping")), F.when(F.col("turn") % 7 == 3, F.array(F.lit("data: {broken"))).otherwise(F.array(F.lit("data: [DONE]")))))
-    rows = turns.select("response_id", F.posexplode(lines).alias("line_no", "line")).withColumn("ts", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("response_id") % 60))
-    path = new_path(spark, "lines")
-    rows.repartition(3, F.xxhash64("response_id", "line_no")).write.parquet(path)
-    done = runs.run_available(streams.assemble_responses(runs.stream_table(spark, path, files=1)), "append", "responses")
-    return done.select("response_id", _md5("text").alias("text_md5"), "complete")
+    # Two places after the words: a line that is no data, and the end.
+    places = turns.select("response_id", "turn", F.size(words).alias("n"), F.posexplode(F.concat(words, F.array(F.lit(""), F.lit("")))).alias("line_no", "w"))
+    content = F.to_json(F.struct(F.array(F.struct(F.struct(F.concat("w", F.lit(" ")).alias("content")).alias("delta"))).alias("choices")))
+    end = F.when(F.col("turn") % 7 == 3, "data: {broken").otherwise("data: [DONE]")
+    line = F.when(F.col("line_no") < F.col("n"), F.concat(F.lit("data: "), content)).when(F.col("line_no") == F.col("n"), ": ping").otherwise(end)
+    rows = places.select("response_id", "line_no", line.alias("line"), F.timestamp_seconds(F.lit(1_700_000_000) + F.col("turn") % 60).alias("ts"))
+    path, files = new_path(spark, "lines"), spark.sparkContext.defaultParallelism
+    rows.repartition(3 * files, F.xxhash64("response_id", "line_no")).write.parquet(path)
+    done = runs.run_available(streams.assemble_responses(runs.stream_table(spark, path, files=files)), "append", "responses")
+    part = F.split("response_id", "-")
+    return done.select((part[0].cast("long") * 100 + part[1].cast("long")).alias("response_id"), _md5("text").alias("text_md5"), "complete")
 
 
 def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,12 +5,13 @@ Functions of the first two kinds take a batch or a streaming DataFrame alike.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from bitext import versions
 from bitext.operators.terms import learn_from_edits
@@ -42,61 +43,59 @@ def assemble_token_stream(lines: DataFrame) -> DataFrame:
     return lines.groupBy("response_id").agg(F.array_join(F.transform(parts, lambda p: p["delta"]), "").alias("text"))
 
 
-def response_processor(minutes: int) -> StatefulProcessor:
-    """The processor of ``assemble_responses``, of a class that travels with the query."""
-
-    class Responses(StatefulProcessor):
-        """Collects a response's lines until all up to its end mark are there, or its time is over."""
-
-        def init(self, handle: StatefulProcessorHandle) -> None:
-            self.handle = handle
-            # Created (ms), lines so far, number of the end mark or -1, whether the text has gone out.
-            self.told = handle.getValueState("told", "created long, lines long, last long, sent boolean")
-            self.lines = handle.getListState("lines", "line_no long, delta string")
-
-        def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-            old = self.told.get() if self.told.exists() else None
-            created, n, last, sent = old or (None, 0, -1, False)
-            if sent:  # a late or repeated line of a finished response
-                return
-            new = []
-            for frame in rows:
-                first = int(frame["ms"].min())
-                created = first if created is None else created
-                marks = frame.loc[frame["done"], "line_no"]
-                last = int(marks.min()) if last < 0 and len(marks) else last
-                new += [(int(i), None if pd.isna(d) else d) for i, d in zip(frame["line_no"], frame["delta"], strict=True)]
-            if old is None:
-                self.handle.registerTimer(created + minutes * 60_000)
-            held = new
-            if last >= 0 and n + len(new) > last:  # maybe all: repeated lines count once
-                held = [*self.lines.get(), *new]
-                if len({i for i, *_ in held if i <= last}) > last:
-                    self.lines.clear()
-                    self.told.update((created, 0, last, True))
-                    yield self._frame(key, held, last, True)
-                    return
-            self.lines.appendList(new)
-            self.told.update((created, n + len(new), last, False))
-
-        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-            _, _, last, sent = self.told.get()
-            held = [] if sent else list(self.lines.get())
-            self.lines.clear()
-            self.told.clear()
+#: Responses share a state row by a hash of their ids: a call of Python, and of the state store, is then one for many of them.
+BUCKETS = 4096
+#: What is kept of each response of a bucket: text of its lines before ``following``, lines after a gap as they came, its first end mark (or -1), whether it has gone out.
+RESPONSES = "ids array<{0}>, created array<bigint>, texts array<string>, following array<bigint>, places array<array<bigint>>, deltas array<array<string>>, last array<bigint>, sent array<boolean>"
+
+
+def response_function(minutes: int) -> Callable:
+    """The function of ``assemble_responses``, over the rows and the state of a bucket."""
+
+    def collect(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        # By response: created (ms), text, following, lines by number, last, sent.
+        kept = {i: [c, t, f, dict(zip(p, d, strict=True)), *rest] for i, c, t, f, p, d, *rest in zip(*state.get, strict=True)} if state.exists else {}
+        new, touched, out = {}, set(), []
+        for frame in [] if state.hasTimedOut else frames:
+            ids = frame["response_id"].tolist() if key[0] >= 0 else [None] * len(frame)
+            for i, n, delta, done, ms in zip(ids, *(frame[c].tolist() for c in ("line_no", "delta", "done", "ms")), strict=True):
+                if i not in kept:
+                    kept[i], new[i] = [ms, "", 0, {}, -1, False], True
+                one = kept[i]
+                if i in new and ms < one[0]:
+                    one[0] = ms
+                if one[5] or n < one[2]:  # of a response that has gone out, or repeated
+                    continue
+                one[3][n] = delta
+                if done and (one[4] < 0 or n < one[4]):
+                    one[4] = n
+                touched.add(i)
+        for i in touched:
+            _, text, following, lines, last, _ = one = kept[i]
+            more = []
+            while following in lines and (last < 0 or following <= last):
+                more.append(lines.pop(following))
+                following += 1
+            one[1:3] = text + "".join(more), following
+            if 0 <= last < following:
+                out.append((i, one[1], True))
+                one[1], one[3], one[5] = "", {}, True
+        now, limit = state.getCurrentWatermarkMs(), minutes * 60_000
+        for i in [i for i, one in kept.items() if one[0] + limit < now]:
+            _, text, _, lines, last, sent = kept.pop(i)
             if not sent:
-                yield self._frame(key, held, last, False)
-
-        @staticmethod
-        def _frame(key: tuple, held: list, last: int, complete: bool) -> pd.DataFrame:
-            by_place = {i: d for i, d in held if d is not None and (last < 0 or i <= last)}
-            text = "".join(by_place[i] for i in sorted(by_place))
-            return pd.DataFrame({"response_id": [key[0]], "text": [text], "complete": [complete]})
-
-        def close(self) -> None:
-            pass
+                out.append((i, text + "".join(lines[n] for n in sorted(lines) if last < 0 or n <= last), False))
+        if kept:
+            rows = [(i, c, t, f, list(lines), list(lines.values()), *rest) for i, (c, t, f, lines, *rest) in kept.items()]
+            state.update(tuple(map(list, zip(*rows, strict=True))))
+            # A time limit has to lie after the watermark.
+            state.setTimeoutTimestamp(max(min(one[0] for one in kept.values()) + limit, now + 1))
+        elif state.exists:
+            state.remove()
+        if out:
+            yield pd.DataFrame(out, columns=["response_id", "text", "complete"])
 
-    return Responses()
+    return collect
 
 
 def assemble_responses(lines: DataFrame, minutes: int = RESPONSE_MINUTES, lateness: str = "10 minutes") -> DataFrame:
@@ -104,18 +103,19 @@ def assemble_responses(lines: DataFrame, minutes: int = RESPONSE_MINUTES, latene
 
     Lines of a response are numbered from 0 without gaps. Its text goes out, once, when every
     line up to its end mark has come, or, as incomplete, ``minutes`` of event time after its
-    first lines; after that its state is gone. Until then a short row without lines remembers
-    that it went out. Lines of a response that come twice count once. The query needs the
-    RocksDB state store, which ``runs.run_available`` gives it.
+    first lines; after that its state is gone. Until then a short row without text remembers
+    that it went out. Lines of a response that come twice count once. A response's text so far
+    is written again with each micro-batch that brings lines of it.
     """
+    bucket = F.when(F.col("response_id").isNull(), -1).otherwise(F.pmod(F.xxhash64("response_id"), F.lit(BUCKETS)))
     body = _data(F.col("line"))
     rows = lines.withWatermark("ts", lateness).select(
-        "response_id", F.col("line_no").cast("long").alias("line_no"), _delta(body).alias("delta"), F.coalesce(body == "[DONE]", F.lit(False)).alias("done"),
-        F.unix_millis("ts").alias("ms"), "ts",
+        "response_id", F.col("line_no").cast("long").alias("line_no"), F.coalesce(_delta(body), F.lit("")).alias("delta"), F.coalesce(body == "[DONE]", F.lit(False)).alias("done"),
+        F.unix_millis("ts").alias("ms"), "ts", bucket.alias("bucket"),
     )
     kind = lines.schema["response_id"].dataType.simpleString()
-    return rows.groupBy("response_id").transformWithStateInPandas(
-        statefulProcessor=response_processor(minutes), outputStructType=f"response_id {kind}, text string, complete boolean", outputMode="Append", timeMode="EventTime"
+    return rows.groupBy("bucket").applyInPandasWithState(
+        response_function(minutes), f"response_id {kind}, text string, complete boolean", RESPONSES.format(kind), "append", GroupStateTimeout.EventTimeTimeout
     )
 
 

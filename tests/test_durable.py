@@ -6,6 +6,7 @@ import os
 import random
 import uuid
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -195,3 +196,40 @@ def test_batches_are_halved_until_all_align(spark):
     assert sorted((r.batch, r.pos, r.translated) for r in got.collect()) == sorted((b, p, t.upper()) for _, b, p, t in rows)
     assert calls == sorted(calls, reverse=True) and len(calls) == 4
     assert {r.rounds for r in got.where("batch = 0").collect()} == {1} and {r.rounds for r in got.where("batch = 2").collect()} == {4}
+
+
+class State:
+    """A state row of the test's own."""
+
+    hasTimedOut, value = False, None
+    exists = property(lambda self: self.value is not None)
+    get = property(lambda self: self.value)
+
+    def update(self, value):
+        self.value = value
+
+    def remove(self):
+        self.value = None
+
+    def getCurrentWatermarkMs(self):
+        return 0
+
+    def setTimeoutTimestamp(self, ms):
+        self.limit = ms
+
+
+def test_responses_of_a_bucket_share_a_call_and_a_state_row():
+    state, collect = State(), events.response_function(10)
+
+    def send(*rows):
+        frame = pd.DataFrame(rows, columns=["response_id", "line_no", "delta", "done", "ms"])
+        return [tuple(r) for out in collect((7,), iter([frame]), state) for r in out.itertuples(index=False)]
+
+    assert send(("a", 1, "y", False, 5), ("b", 0, "z", False, 3), ("a", 4, "", True, 4)) == []
+    assert state.limit == 3 + 600_000
+    # An earlier end mark counts, though it comes later; what has gone out does not come again.
+    assert send(("a", 0, "x", False, 9), ("a", 2, "", True, 9)) == [("a", "xy", True)]
+    assert send(("a", 3, "w", False, 9), ("b", 1, "", True, 9), ("b", 0, "z", False, 9)) == [("b", "z", True)]
+    state.getCurrentWatermarkMs = lambda: 700_000
+    state.hasTimedOut = True
+    assert list(collect((7,), iter([]), state)) == [] and not state.exists
