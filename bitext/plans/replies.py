@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bitext.functions.compat import let, not_empty, strip, text_or_empty
 from bitext.functions.text import estimate_confidence, preserved_tags, strip_fences, strip_meta, style_guide
-from bitext.storage import materialize
+from bitext.storage import BUCKETED, materialize_by, settings
 
 # Field names that replies use.
 SOURCE_NAMES, TARGET_NAMES = ("source", "english", "en", "original"), ("target", "chinese_translation", "zh", "translation", "translated")
@@ -81,7 +81,11 @@ def split_batches(aligned: DataFrame) -> DataFrame:
     """Halves of the batches that need splitting: rows with new batch and pos, further columns as they are."""
     rows = aligned.where("needs_split")
     sizes = rows.groupBy("doc_id", "batch").agg(F.count(F.lit(1)).alias("items"))
-    rows, middle = rows.join(sizes, ["doc_id", "batch"]), F.floor(F.col("items") / 2)
+    return _halves(rows.join(sizes, ["doc_id", "batch"]))
+
+
+def _halves(rows: DataFrame) -> DataFrame:
+    middle = F.floor(F.col("items") / 2)
     second = F.col("pos") >= middle
     half = F.concat_ws(".", F.col("batch").cast("string"), F.when(second, "1").otherwise("0"))
     rows = rows.withColumns({"batch": half, "pos": F.when(second, F.col("pos") - middle).otherwise(F.col("pos")).cast("int")})
@@ -94,22 +98,31 @@ def align_until(batches: DataFrame, ask: Callable[[DataFrame], DataFrame]) -> Da
     ``ask`` takes rows with doc_id, batch, pos, text and returns doc_id, batch, texts: the replies.
     Batches whose replies do not align are halved and asked again, the others are done, so each
     round has fewer and smaller batches and there are at most log2 of the largest batch of them,
-    and one. Replies are written before they are used: no batch is asked twice.
+    and one. Replies are written before they are used: no batch is asked twice. All that is
+    written lies in buckets of documents, and a round writes its rows once, with what they
+    became: rows are shuffled once, and by ``ask`` only where it does not group by the batch.
     """
+    key = ["doc_id", "batch"]
     frontier = batches.withColumns({"first_batch": F.col("batch"), "first_pos": F.col("pos"), "batch": F.col("batch").cast("string")})
+    frontier = materialize_by(frontier, "batches", "doc_id")
     done: list[DataFrame] = []
     while True:
-        frontier = materialize(frontier, "batches")
-        told = materialize(ask(frontier.select("doc_id", "batch", "pos", "text")), "batch-replies")
-        aligned = materialize(align_replies(frontier, told), "aligned")
-        done.append(aligned.where("NOT needs_split").withColumn("rounds", F.lit(len(done) + 1)))
-        frontier = split_batches(aligned)
-        if aligned.where("needs_split").isEmpty():
+        told = ask(frontier.select("doc_id", "batch", "pos", "text")).select(*key, "texts")
+        rows = frontier.withColumn("items", F.count(F.lit(1)).over(Window.partitionBy(*key))).join(told, key, "left")
+        fits = F.coalesce(F.size("texts") == F.col("items"), F.lit(False))
+        translated = F.when(fits, F.coalesce(not_empty(F.get("texts", F.col("pos"))), "text"))
+        rows = rows.withColumns({"translated": translated, "needs_split": ~fits & (F.col("items") > 1)}).drop("texts")
+        with settings(batches.sparkSession, BUCKETED):
+            rows = materialize_by(rows, "aligned", "doc_id")
+        ended = rows.where("NOT needs_split").drop("items", "needs_split")
+        done.append(ended.withColumns({"translated": F.coalesce("translated", "text"), "rounds": F.lit(len(done) + 1)}))
+        frontier = _halves(rows.where("needs_split"))
+        if frontier.isEmpty():
             break
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
-    return out.withColumns({"batch": F.col("first_batch"), "pos": F.col("first_pos")}).drop("first_batch", "first_pos", "needs_split")
+    return out.withColumns({"batch": F.col("first_batch"), "pos": F.col("first_pos")}).drop("first_batch", "first_pos")
 
 
 def parse_numbered(lines: DataFrame, replies: DataFrame) -> DataFrame:

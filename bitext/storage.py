@@ -5,11 +5,15 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
+#: Tables with buckets by some of the columns of a join need no shuffle for it.
+BUCKETED = {"spark.sql.requireAllClusterKeysForCoPartition": "false"}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -45,6 +49,33 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def settings(spark: SparkSession, conf: dict[str, str]) -> Iterator[None]:
+    """Session settings for a while; a query keeps those it was started with."""
+    before = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def materialize_by(df: DataFrame, name: str, key: str) -> DataFrame:
+    """As ``materialize``, in one file for each bucket of ``key``.
+
+    What groups by it, and maybe by more, shuffles nothing; nor does what joins such tables, while ``BUCKETED`` holds.
+    """
+    spark = df.sparkSession
+    path, n = new_path(spark, name), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    listed = re.sub(r"\W", "_", path.rsplit("/", 1)[1])
+    df.repartition(n, key).write.bucketBy(n, key).option("path", path).format("parquet").saveAsTable(listed)
+    out = spark.table(listed)
+    spark.sql(f"DROP TABLE {listed}")  # its files stay
+    return out
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from contextlib import contextmanager
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from bitext.storage import new_path
+from bitext.storage import new_path, settings
 
 
 def stream_table(spark: SparkSession, path: str, files: int | None = None) -> DataFrame:
@@ -37,19 +34,6 @@ def finish(query: StreamingQuery, timeout: int | None = None) -> None:
 ROCKSDB = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
 
 
-@contextmanager
-def settings(spark: SparkSession, conf: dict[str, str]) -> Iterator[None]:
-    """Session settings for a while; a query keeps those it was started with."""
-    before = {k: spark.conf.get(k, None) for k in conf}
-    for k, v in conf.items():
-        spark.conf.set(k, v)
-    try:
-        yield
-    finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-
-
 def run_available(stream: DataFrame, mode: str, name: str, conf: dict[str, str] = ROCKSDB) -> DataFrame:
     """Process what is there now and return it: all rows in append mode, the last result in complete mode.
 

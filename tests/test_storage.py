@@ -34,3 +34,13 @@ def test_materialize_and_ship(spark):
     df = storage.materialize(spark.range(3), "numbers")
     assert df.count() == 3
     assert "numbers-" in df.inputFiles()[0]
+
+
+def test_tables_in_buckets_are_grouped_and_joined_without_a_shuffle(spark):
+    rows = spark.range(200).selectExpr("id % 20 AS doc_id", "id % 3 AS batch", "id AS pos")
+    a, b = (storage.materialize_by(rows, name, "doc_id") for name in ("a-1", "b-1"))
+    with storage.settings(spark, {**storage.BUCKETED, "spark.sql.autoBroadcastJoinThreshold": "-1"}):
+        joined = a.join(b.groupBy("doc_id", "batch").count(), ["doc_id", "batch"])
+        assert joined.count() == 200
+        assert "Exchange" not in joined._jdf.queryExecution().executedPlan().toString()
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith(("a_1", "b_1"))]
