@@ -107,7 +107,18 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 def words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, seq, pos, word: blank-separated words of the lines, lower case, letters only."""
     rows = lines(spark, sf_dir).select("doc_id", "seq", F.posexplode(F.split("text", " ")).alias("pos", "raw"))
-    return rows.where(F.lower("raw").rlike(r"\p{L}")).select("doc_id", "seq", "pos", F.regexp_replace(F.lower("raw"), r"[^\p{L}]+", "").alias("word"))
+    return rows.where(F.lower("raw").rlike(r"\p{L}")).select("doc_id", "seq", "pos", _letters("raw").alias("word"))
+
+
+def _letters(raw: str) -> F.Column:
+    return F.regexp_replace(F.lower(raw), r"[^\p{L}]+", "")
+
+
+def distinct_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ``word`` values of ``words``: patterns meet each form, as it stands in the texts, once."""
+    raw = lines(spark, sf_dir).select(F.explode(F.split("text", " ")).alias("raw")).groupBy("raw").agg(F.count(F.lit(1)).alias("n"))
+    # A condition on the text alone would be moved before the grouping.
+    return raw.select(F.when(F.col("n") > 0, _letters("raw")).alias("word")).where("word <> ''").distinct()
 
 
 def incoming(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -218,7 +218,7 @@ _TERM_LINE = "word || CASE length(word) % 4 WHEN 0 THEN ' => ' WHEN 1 THEN ' →
 def s11_read_glossary_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.length("word")
     mark = F.when(n % 4 == 0, " => ").when(n % 4 == 1, " → ").when(n % 4 == 2, "\t").otherwise(",")
-    rows = inputs.words(spark, sf_dir).select("word").distinct()
+    rows = inputs.distinct_words(spark, sf_dir)
     lines = rows.select(F.concat("word", mark, F.when(n % 5 == 0, F.col("word")).otherwise(F.reverse("word"))).alias("line"))
     return glossaries.parse_term_lines(lines).drop("line")
 

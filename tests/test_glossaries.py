@@ -9,11 +9,13 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from bitext import queries
+from bitext import inputs, queries
 from bitext.functions import register, text
 from bitext.operators import terms
 from bitext.plans import glossary_pass, requests
 
+from .conftest import SF
+
 SF = "/root/testdata/sf0.001"
 HAN = "[一-鿿ぁ-ヿ]"
 
@@ -149,3 +151,10 @@ def test_phrases_of_any_length_equal_plain_counts(spark, most):
     counts = Counter(" ".join(w[i : i + n]) for t in texts for w in [t.split()] for n in range(1, most + 1) for i in range(len(w) - n + 1))
     got = {(r.term, r.words): r.frequency for r in terms.mine_frequent_phrases(df, none, max_words=most, maximal=False).collect()}
     assert got == {(g, g.count(" ") + 1): n for g, n in counts.items() if n >= 3}
+
+
+def test_patterns_meet_each_form_of_a_word_once(spark):
+    got = inputs.distinct_words(spark, SF)
+    assert sorted(got.collect()) == sorted(inputs.words(spark, SF).select("word").distinct().collect())
+    first = got._jdf.queryExecution().optimizedPlan().toString().rsplit("Aggregate", 1)[1].split("\n", 1)[1]
+    assert "regexp_replace" not in first and "RLIKE" not in first
