@@ -17,7 +17,7 @@ from bitext.plans import edits, glossary_pass, inference, replies, requests
 from bitext.sources import blocks as scans
 from bitext.sources import containers, zipped
 from bitext.sources import glossary as glossaries
-from bitext.storage import new_path, table
+from bitext.storage import materialize, new_path, table
 from bitext.streaming import events as streams
 from bitext.streaming import runs
 
@@ -274,7 +274,7 @@ def k6_assemble_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_sql_packed("docx", sql_apply_terms("text")))
 def k7_repack_container(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = containers.pack_lines(table(spark, sf_dir, "documents"), "docx")
+    files = materialize(containers.pack_lines(table(spark, sf_dir, "documents"), "docx"), "packed")
     found = containers.scan_container(files, "docx")
     done = found.withColumn("translated", text.apply_terms(text.unescape_xml(F.col("text")), inputs.GLOSSARY))
     again = containers.scan_container(containers.repack(files, done, "docx"), "docx")

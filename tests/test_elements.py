@@ -75,3 +75,12 @@ def test_books_keep_their_unclosed_elements(spark):
     assert [(r.p_index, r.text) for r in found.orderBy("p_index").collect()] == [(0, "a"), (1, "b")]
     again = containers.scan_container(containers.repack(files, found.withColumn("translated", F.concat("text", F.lit("!"))), "epub"), "epub")
     assert sorted(r.text for r in again.collect()) == ["a!", "b!"]
+
+
+def test_files_are_repacked_row_by_row_not_group_by_group(spark):
+    files = containers.pack_lines(spark.createDataFrame([(1, "one\ntwo & three"), (2, None)], "doc_id int, text string"), "docx")
+    new = spark.createDataFrame([("1.docx", "word/document.xml", 1, "zwei"), ("1.docx", "word/document.xml", 0, None)], "doc_id string, part string, p_index int, translated string")
+    again = containers.repack(files, new, "docx")
+    assert "CoGroup" not in again._jdf.queryExecution().optimizedPlan().toString()
+    assert again.count() == 2
+    assert [r.text for r in containers.scan_container(again, "docx").orderBy("p_index").collect()] == ["one", "zwei"]

@@ -14,8 +14,6 @@ from bitext.functions import register, text
 from bitext.operators import terms
 from bitext.plans import glossary_pass, requests
 
-from .conftest import SF
-
 SF = "/root/testdata/sf0.001"
 HAN = "[一-鿿ぁ-ヿ]"
 
