@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from bitext.functions.compat import not_empty, strip, text_or_empty
+from bitext.functions.compat import BLANKS, strip, text_or_empty
 from bitext.ranks import Ordered
 from bitext.storage import materialize
 
@@ -41,14 +41,24 @@ def intake(files: DataFrame, max_files: int = 10, max_bytes: int = 200 * MIB, ma
 def memory_lookup(blocks: DataFrame, memory: DataFrame) -> DataFrame:
     """``blocks`` plus ``translated``: the last translation of the same trimmed text, else the text.
 
-    Memory rows have seq, original, translated.
+    Memory rows have seq, original, translated. Texts meet by the SHA-256 of what trimming leaves,
+    worked out once a row: a join by a trimmed text would trim it again at each comparison of its
+    sort. What the memory knows is written, so that both sides of the join come straight from a
+    shuffle; only then does Spark deal the blocks of a very common text to several tasks.
     """
-    known = memory.select(strip(F.col("original")).alias("key"), "seq", F.col("translated").alias("known")).groupBy("key").agg(F.max_by("known", "seq").alias("known"))
-    key = strip(text_or_empty(F.col("text")))
-    filled = blocks.where(key != "").join(known, key == F.col("key"), "left")
+
+    def key(c: Column) -> Column:
+        return F.unhex(F.sha2(strip(c), 256))
+
+    last = memory.select(key(F.col("original")).alias("memory_key"), "seq", F.col("translated").alias("known")).groupBy("memory_key").agg(F.max_by("known", "seq").alias("known"))
+    known = materialize(last.where("known <> ''"), "memory")
+    # Blank is what has nothing left from its start on, whatever its end.
+    blank = F.ltrim(text_or_empty(F.col("text")), F.lit(BLANKS)) == ""
+    filled = blocks.where(~blank).withColumn("memory_key", key(F.col("text"))).join(known, "memory_key", "left").drop("memory_key")
     # Blank texts are one key and may be many: their single memory row, if any, goes to them.
-    blank = blocks.where(key == "").join(F.broadcast(known.where("key = ''")), F.lit(True), "left")
-    return filled.unionByName(blank).withColumn("translated", F.coalesce(not_empty(F.col("known")), F.col("text"))).drop("key", "known")
+    empty = known.where(F.col("memory_key") == key(F.lit(""))).drop("memory_key")
+    rows = filled.unionByName(blocks.where(blank).join(F.broadcast(empty), F.lit(True), "left"))
+    return rows.withColumn("translated", F.coalesce("known", "text")).drop("known")
 
 
 def positional_overlay(blocks: DataFrame, edits: DataFrame) -> DataFrame:

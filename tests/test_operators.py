@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from bitext.operators import assemble, checks, match, terms, workspace
 from bitext.plans import edits, inference, replies
 from bitext.sources import blocks, containers, glossary
+from bitext.storage import settings
 from bitext.streaming import events, runs
 
 INCOMING = "seq long, source string, target string, source_lang string, target_lang string, domain string, confirmed boolean"
@@ -291,6 +292,20 @@ def test_memory_takes_the_last_and_never_an_empty_translation(spark):
     assert {r.doc_id: r.translated for r in workspace.memory_lookup(b, blank).collect()} == want | {4: "-", 5: "-"}
 
 
+def test_memory_trims_a_text_once_a_row_and_joins_what_comes_straight_from_a_shuffle(spark):
+    b = spark.createDataFrame([(1, "\u3000same\ufeff"), (2, "same\n"), (3, "sa me"), (4, "\ufeff\t"), (5, "Same")], "doc_id long, text string")
+    m = spark.createDataFrame([(2, "same", "last"), (1, "\u00a0same", "first"), (3, "same x", "-"), (4, None, "null"), (5, "Same", "kept"), (6, "Same ", "")], "seq long, original string, translated string")
+    with settings(spark, {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}):
+        got = workspace.memory_lookup(b, m)
+        assert got.columns == ["doc_id", "text", "translated"]
+        assert {r.doc_id: r.translated for r in got.collect()} == {1: "last", 2: "last", 3: "sa me", 4: "\ufeff\t", 5: "Same"}
+        plan = got._jdf.queryExecution().executedPlan().toString()
+    # A sort or join by an expression works it out at each comparison.
+    assert "SortMergeJoin [memory_key" in plan
+    # Adaptive joins split a common key only where nothing stands between shuffle and sort.
+    assert "Aggregate" not in plan
+
+
 def sequential_paragraphs(lines):
     import re
 
