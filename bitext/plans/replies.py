@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from bitext.functions.compat import let, not_empty, strip, text_or_empty
+from bitext.functions.compat import BLANK, WS, let, not_empty, strip, text_or_empty
 from bitext.functions.text import estimate_confidence, preserved_tags, strip_fences, strip_meta, style_guide
 from bitext.storage import BUCKETED, materialize_by, settings
 
@@ -126,12 +126,17 @@ def align_until(batches: DataFrame, ask: Callable[[DataFrame], DataFrame]) -> Da
 
 
 def parse_numbered(lines: DataFrame, replies: DataFrame) -> DataFrame:
-    """``lines`` (doc_id, batch, idx, text) plus ``translated`` from ``[idx] text`` lines; the last of an idx wins."""
+    """``lines`` (doc_id, batch, idx, text) plus ``translated`` from ``[idx] text`` lines; the last of an idx wins.
+
+    A text of blanks alone stays as it is: nothing of it is asked for.
+    """
     found = replies.select("doc_id", "batch", F.posexplode(F.split("reply", "\n")).alias("line_no", "line"))
-    pattern = r"^\[(\d+)\]\s*(.+)"
-    found = found.where(F.col("line").rlike(pattern)).select("doc_id", "batch", "line_no", F.regexp_extract("line", pattern, 1).cast("long").alias("idx"), strip(F.regexp_extract("line", pattern, 2)).alias("t"))
+    # A line ends with \n alone; for Java's dot, also at \r, \x85, \u2028 and \u2029.
+    pattern = rf"(?s)^{WS}*\[(\d+)\]{WS}*([^{BLANK}].*)"
+    found = found.where(F.col("line").rlike(pattern)).select("doc_id", "batch", "line_no", F.regexp_extract("line", pattern, 1).try_cast("long").alias("idx"), strip(F.regexp_extract("line", pattern, 2)).alias("t"))
     last = found.groupBy("doc_id", "batch", "idx").agg(F.max_by("t", "line_no").alias("translated"))
-    return lines.join(last, ["doc_id", "batch", "idx"], "left").withColumn("translated", F.coalesce("translated", "text"))
+    given = F.when(F.col("text").rlike(f"[^{BLANK}]"), F.col("translated"))
+    return lines.join(last, ["doc_id", "batch", "idx"], "left").withColumn("translated", F.coalesce(given, "text"))
 
 
 def parse_key_terms(json: Column, limit: int = 10) -> Column:
