@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from bitext.functions.compat import not_empty
 from bitext.functions.text import normalize_term
+from bitext.operators.sequences import UNSPACED, has_unspaced, segmented, sequences, write_filter
 from bitext.storage import materialize
 
 DEFAULTS = {"source_lang": "Auto", "target_lang": "中文 (简体)", "domain": "general"}
@@ -163,10 +164,6 @@ def mine_frequent_terms(blocks: DataFrame, stop_words: DataFrame, min_freq: int
     return counts.join(stop_words, "term", "left_anti")
 
 
-#: Letters of scripts that are written without blanks: each is a word by itself.
-UNSPACED = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}"
-
-
 def _places(words: DataFrame, head: int, most: int) -> DataFrame:
     """head, tail, words: from every word of ``w`` on up to ``head`` words and those after them up to ``most``, and how many in all."""
 
@@ -195,10 +192,15 @@ def _first_words(k: int, head: int) -> Column:
 
 #: Places that leave Python at once.
 PLACES = 1 << 18
-#: Words by which places are dealt out: more make the parts more even, fewer leave less to add up.
+#: Words by which places are dealt out: those of the filter's longest sequences.
 DEALT = 3
 
 
+def _close(gram: Column) -> Column:
+    """Without the blanks between letters that are words by themselves."""
+    return F.when(has_unspaced(gram), F.regexp_replace(gram, rf"(?<=[{UNSPACED}]\p{{M}}{{0,3}}) (?=[{UNSPACED}])", "")).otherwise(gram)
+
+
 def mine_frequent_phrases(blocks: DataFrame, stop_words: DataFrame, min_freq: int = 3, max_words: int = 5, text: str = "text", maximal: bool = True) -> DataFrame:
     """term, words, frequency of sequences of 1 to ``max_words`` words that come ``min_freq`` times or more.
 
@@ -206,38 +208,30 @@ def mine_frequent_phrases(blocks: DataFrame, stop_words: DataFrame, min_freq: in
     letter is a word, and the term has none between. No term starts or ends with a stop-word (a
     column ``term``). With ``maximal``, terms inside a longer one that is found go.
 
-    Every place is dealt out once, with the words from there on, by the first ``DEALT`` of them;
-    all longer sequences that start there are then counted without another shuffle, and what
-    shorter ones add up to goes by sums.
+    Two or three words that come less often by their hash are dropped first, by a filter of
+    bounded size. What is left is added up inside tasks and dealt out once, by its first
+    ``DEALT`` words, with those after them; all longer sequences that start there are then
+    counted without another shuffle.
     """
-    segments = F.explode(F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{M}\s]+"), F.lit(0)))
-    words = blocks.select(segments.alias("s")).select(F.regexp_extract_all("s", F.lit(rf"[{UNSPACED}]\p{{M}}*|[\p{{L}}\p{{M}}&&[^{UNSPACED}]]+"), F.lit(0)).alias("w"))
-    words = materialize(words.where(F.size("w") > 0), "segments")
-    head = min(DEALT, max_words)
-    most = F.least(F.col("words"), F.lit(max_words))
-
-    def grams(rows: DataFrame, sizes: range, key: list[str]) -> DataFrame:
-        """``rows`` (head, tail, words, n) with a row (gram, words) for each of the sizes that has so many words."""
-        one = lambda k: F.when(most >= k, F.struct(F.lit(k).alias("words"), _first_words(k, head).alias("gram")))
-        found = rows.select(*key, "n", F.explode(F.array(*map(one, sizes))).alias("g")).where("g IS NOT NULL").select(*key, "n", "g.*")
-        return found.groupBy(*key, "gram", "words").agg(F.sum("n").alias("frequency")).where(F.col("frequency") >= min_freq).drop(*key)
-
-    same = _places(words, head, max_words).repartition("head").groupBy("head", "tail", "words").agg(F.count(F.lit(1)).alias("n"))
+    texts = materialize(blocks.where(F.col(text).isNotNull()).select(segmented(F.col(text)).alias("t")), "segmented")
+    known = write_filter(texts, min_freq, min(max_words, DEALT) - 1) if max_words > 1 else None
+    same = sequences(texts, known, max_words).repartition("head").groupBy("head", "tail", "words").agg(F.sum("n").alias("n"))
+    size = F.col("words")
+    one = lambda k: F.when(size == k if k < DEALT else size >= k, F.struct(F.lit(k).alias("words"), _first_words(k, DEALT).alias("gram")))
+    found = same.where((size >= DEALT) | (F.col("n") >= min_freq)).select("head", "n", F.explode(F.array(*map(one, range(1, max_words + 1)))).alias("g")).where("g IS NOT NULL")
     # The head is part of the key, so equal sequences are in one place already.
-    every = grams(same, range(head, max_words + 1), ["head"])
-    if head > 1:
-        every = every.unionByName(grams(_places(words, head - 1, head - 1).withColumn("n", F.lit(1)), range(1, head), []))
+    every = found.select("head", "n", "g.*").groupBy("head", "gram", "words").agg(F.sum("n").alias("frequency")).where(F.col("frequency") >= min_freq).drop("head")
     every = materialize(every, "frequent")
-    parts = F.split("gram", " ")
-    stop = stop_words.select(F.col("term").alias("word")).distinct()
-    ends = every.withColumns({"first": F.element_at(parts, 1), "last": F.element_at(parts, -1)})
+    stop = materialize(stop_words.select(F.col("term").alias("word")).distinct(), "stop")
+    ends = every.withColumns({"first": F.substring_index("gram", " ", 1), "last": F.substring_index("gram", " ", -1)})
     good = ends.join(stop.withColumnRenamed("word", "first"), "first", "left_anti").join(stop.withColumnRenamed("word", "last"), "last", "left_anti").drop("first", "last")
-    if maximal:
+    if maximal and max_words > 1:
         good = materialize(good, "phrases")
-        inner = F.flatten(F.transform(F.sequence(F.lit(1), F.col("words") - 1), lambda n: F.transform(F.sequence(F.lit(1), F.col("words") - n + 1), lambda k: F.array_join(F.slice(parts, k, n), " "))))
-        good = good.join(good.where("words > 1").select(F.explode(inner).alias("gram")).distinct(), "gram", "left_anti")
-    joined = F.regexp_replace("gram", rf"(?<=[{UNSPACED}]\p{{M}}{{0,3}}) (?=[{UNSPACED}])", "")
-    return good.select(joined.alias("term"), "words", "frequency")
+        parts = good.where("words > 1").select("words", F.split("gram", " ").alias("p"))
+        part = lambda k, n: F.when(F.col("words") >= max(k + n, n + 1), F.concat_ws(" ", *(F.get("p", F.lit(i)) for i in range(k, k + n))))
+        inner = parts.select(F.explode(F.array(*(part(k, n) for n in range(1, max_words) for k in range(max_words - n + 1)))).alias("gram")).where("gram IS NOT NULL")
+        good = good.join(inner.distinct(), "gram", "left_anti")
+    return good.select(_close(F.col("gram")).alias("term"), "words", "frequency")
 
 
 def learn_from_edits(candidates: DataFrame, termbase: DataFrame, min_confidence: float = 0.5, per_edit: int = 3) -> DataFrame:

@@ -4,14 +4,17 @@ from __future__ import annotations
 
 import random
 import re
+import unicodedata
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from bitext import inputs, queries
 from bitext.functions import register, text
-from bitext.operators import terms
+from bitext.operators import sequences, terms
 from bitext.plans import glossary_pass, requests
 
 SF = "/root/testdata/sf0.001"
@@ -151,6 +154,85 @@ def test_phrases_of_any_length_equal_plain_counts(spark, most):
     assert got == {(g, g.count(" ") + 1): n for g, n in counts.items() if n >= 3}
 
 
+def test_phrases_deal_out_only_what_may_be_frequent(spark, monkeypatch):
+    seen = []
+    deal = terms.sequences
+    monkeypatch.setattr(terms, "sequences", lambda *a: seen.append(deal(*a)) or seen[-1])
+    once = [" ".join(f"{w}{chr(97 + k)}{chr(97 + j)}" for w in ("un", "du", "tri", "quad")) for k in range(20) for j in range(20)]
+    df = spark.createDataFrame([(t,) for t in [*once, *["to be or not to be"] * 3]], "text string")
+    none = spark.createDataFrame([], "term string")
+    got = terms.mine_frequent_phrases(df, none, 3, 6)
+    assert [tuple(r) for r in got.collect()] == [("to be or not to be", 6, 3)]
+    dealt = seen[0].where("words > 1").collect()
+    # Of some 2,800 sequences by chance one or other might pass, not more.
+    assert {(r["head"], r["tail"]) for r in dealt} >= {("to be", ""), ("to be or", "not to be"), ("not to be", "")} and len({r["head"] for r in dealt}) < 20
+
+
+def test_phrases_of_odd_texts_equal_brute_force(spark):
+    r = random.Random(10)
+    words = ["a", "of", "été", "ñu", "的", "straße", "ไทย", "x́"]
+    texts = [r.choice([" ", "  ", ", ", "\t", " – ", "𝟙"]).join(r.choices(words[:6], k=r.randint(0, 12))) for _ in range(80)] + [None, "", " ", "…", "a"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    stop = spark.createDataFrame([("of",)], "term string")
+    for maximal in (True, False):
+        got = terms.mine_frequent_phrases(df, stop, 3, 5, maximal=maximal)
+        assert sorted((x.term, x.words, x.frequency) for x in got.collect()) == phrases(texts, {"of"}, 3, 5, maximal)
+
+
+class Here:
+    """Stands for texts: what is mapped over them runs in this process."""
+
+    def __init__(self, texts):
+        self.batches = [pa.RecordBatch.from_arrays([pa.array(texts[k : k + 3], pa.string())], names=["t"]) for k in range(0, len(texts), 3)]
+
+    def mapInArrow(self, run, schema):  # noqa: N802
+        return [r for b in run(iter(self.batches)) for r in b.to_pylist()]
+
+
+@pytest.mark.parametrize("size", [1, 30, 1 << 20])
+def test_sequences_of_chunks_of_any_size(monkeypatch, size):
+    for name in ("CHUNK", "MERGED", "ROWS"):
+        monkeypatch.setattr(sequences, name, size)
+    monkeypatch.setattr(sequences, "_read_filter", lambda path, log: np.full(1 << 17, 255, np.uint8))
+    texts = ["a b c d e f g", "b c d, a b", "", "é", "é é é é a", ".", "a b c d e f g", " b  c\td "]
+    segments = [s.split() for t in texts for s in re.findall(r"[^,.]+", t)]
+    want = Counter()
+    for w in segments:
+        for i in range(len(w)):
+            want.update((" ".join(w[i : i + n]), "", n) for n in (1, 2) if i + n <= len(w))
+            if i + 3 <= len(w):
+                want[" ".join(w[i : i + 3]), " ".join(w[i + 3 : i + 5]), len(w[i : i + 5])] += 1
+    got = Counter()
+    for r in sequences.sequences(Here([sequences.BREAK + t for t in texts]), ("", 0), 5):
+        got[r["head"], r["tail"], r["words"]] += r["n"]
+    assert got == want
+
+
+@pytest.mark.parametrize("log", [0, 3, 9])
+def test_the_filter_passes_what_is_in_it(monkeypatch, log):
+    h = np.random.default_rng(11).integers(0, 1 << 44, 200_000, np.uint64)
+    known, bits = h[: (1 << sequences.SLICE + log) // sequences.EACH][:100_000], np.zeros(1 << sequences.SLICE + log, bool)
+    for at in sequences._bits(known, log):
+        assert (at >> np.uint64(sequences.SLICE) == known >> np.uint64(44 - log)).all()
+        bits[at] = True
+    monkeypatch.setattr(sequences, "_read_filter", lambda path, log: np.packbits(bits))
+    got = sequences._passing("", log, h, np.arange(len(h)) != 5)
+    assert got[: len(known)].sum() == len(known) - 1 and not got[5]
+    assert got[100_000:].sum() < 2_000
+
+
+def test_kinds_of_characters(spark):
+    codes = [*range(1, 0x3000), *range(0xFB00, 0x10400), *range(0x1D400, 0x1D7FF), *range(0x20000, 0x20100), 0x10FFFF]
+    text = "".join(map(chr, codes)).encode()
+    kinds = sequences._kinds(np.frombuffer(text, np.uint8))
+    sizes = [len(chr(c).encode()) for c in codes]
+    want = [0 if unicodedata.category(chr(c))[0] in "LM" else 1 if chr(c) in " \t\n\f\r" else 2 for c in codes]
+    assert kinds.tolist() == [k for k, n in zip(want, sizes, strict=True) for _ in range(n)]
+    # Java knows fewer characters as letters, none that is no letter here.
+    df = spark.createDataFrame([(c, chr(c)) for c in codes if c < 0x800], "code int, c string")
+    assert {r.code for r in df.where(F.col("c").rlike(r"[\p{L}\p{M}]")).collect()} == {c for c, k in zip(codes, want, strict=True) if k == 0 and c < 0x800}
+
+
 def test_patterns_meet_each_form_of_a_word_once(spark):
     got = inputs.distinct_words(spark, SF)
     assert sorted(got.collect()) == sorted(inputs.words(spark, SF).select("word").distinct().collect())
