@@ -25,7 +25,7 @@ UNSPACED = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}
 #: What texts begin with, so that words do not go on from one to the next.
 BREAK = "\x00"
 #: Bytes of text looked at together; hashes counted together; rows counted together, and those that leave Python at once.
-CHUNK, HELD, MERGED, ROWS = 1 << 21, 1 << 20, 1 << 19, 1 << 16
+CHUNK, HELD, MERGED, ROWS = 1 << 21, 1 << 20, 1 << 20, 1 << 16
 #: Bits of a slice of the filter, as a power of two, bits for each hash, and slices at most (64 MB): with more hashes, more passes.
 SLICE, EACH, MOST_SLICES = 20, 16, 1 << 9
 #: Hashes have this many bits and 32 more. Those with the same first ones are counted in one go: 1/4096 of all, some 25 MB for 100 GB of text.
@@ -225,37 +225,32 @@ def _passing(path: str, log: int, h: np.ndarray, there: np.ndarray) -> np.ndarra
     return out
 
 
-def _lone(words: pa.Array, at: np.ndarray) -> pa.Table:
-    """head, tail, words, n: the different words, and how often they come."""
-    return _rows(words, None, 1, np.bincount(at, minlength=len(words)))
+def _numbered(known: pa.Array, words: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The known words and the new ones after them, and the number of each of ``words`` there."""
+    at = pc.fill_null(pc.index_in(words, value_set=known), -1).to_numpy().astype(np.int64)
+    new = at < 0
+    at[new] = len(known) + np.arange(new.sum())
+    return pa.concat_arrays([known, words.filter(pa.array(new))]), at
 
 
-def _twos(words: pa.Array, at: np.ndarray, good: np.ndarray) -> pa.Table:
-    """head, tail, words, n: the different sequences of two words that start where it is ``good``."""
+def _twos(at: np.ndarray, good: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """Different sequences of two words that start where it is ``good``, and how often they come."""
     here = np.flatnonzero(good)
-    both, n = np.unique((at[here].astype(np.int64) << 32) | at[here + 1], return_counts=True)
-    return _rows(_joined([words.take(pa.array(both >> 32)), words.take(pa.array(both & 0xFFFFFFFF))]), None, 2, n)
+    both, n = np.unique(at[here] << 32 | at[here + 1], return_counts=True)
+    return [both >> 32, both & 0xFFFFFFFF], n
 
 
-def _longer(words: pa.Array, at: np.ndarray, good: np.ndarray, most: int) -> pa.Table:
-    """head, tail, words, n: from every ``good`` place on three words and those after them, up to ``most``, while every three in a row are good."""
+def _longer(at: np.ndarray, good: np.ndarray, most: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """From every ``good`` place on three words and those after them, up to ``most``, while every three in a row are good."""
     edges = np.flatnonzero(np.diff(good, prepend=False, append=False))
     here = np.flatnonzero(good)
-    size = np.minimum(np.repeat(edges[1::2], edges[1::2] - edges[::2]) + 2 - here, most)
-    # Beyond the end words are null and leave blanks at the end.
-    nth = [words.take(pa.array(at[np.where(k < size, here + k, here)], mask=k >= size)) for k in range(most)]
-    tail = pc.ascii_rtrim(_joined(nth[3:]), " ") if most > 3 else None
-    return _rows(_joined(nth[:3]), tail, size, np.ones(len(here), np.int64))
+    size = np.repeat(edges[1::2], edges[1::2] - edges[::2]) + 2 - here
+    return [np.where(k < size, at[np.where(k < size, here + k, here)], -1) for k in range(most)], np.ones(len(here), np.int64)
 
 
 def _joined(words: list[pa.Array]) -> pa.Array:
-    return pc.binary_join_element_wise(*words, " ", null_handling="replace", null_replacement="")
-
-
-def _rows(head: pa.Array, tail: pa.Array | None, size: int | np.ndarray, n: np.ndarray) -> pa.Table:
-    size = np.full(len(head), size) if isinstance(size, int) else size
-    tail = pa.repeat("", len(head)) if tail is None else tail
-    return pa.table({"head": head, "tail": tail, "words": pa.array(size, pa.int32()), "n": pa.array(n, pa.int64())})
+    # Words that are not there leave blanks at the end.
+    return pc.ascii_rtrim(pc.binary_join_element_wise(*words, " ", null_handling="replace", null_replacement=""), " ")
 
 
 def sequences(texts: DataFrame, known: tuple[str, int] | None, most: int) -> DataFrame:
@@ -265,26 +260,44 @@ def sequences(texts: DataFrame, known: tuple[str, int] | None, most: int) -> Dat
     three words in a row pass is one row for all from three words to ``most`` that start there: its
     first three words in ``head``, the others in ``tail``.
     """
-
-    def told(held: list[pa.Table]) -> Iterator[pa.RecordBatch]:
-        sums = pa.concat_tables(held).group_by(["head", "tail", "words"], use_threads=False).aggregate([("n", "sum")])
-        yield from sums.select(["head", "tail", "words", "n_sum"]).rename_columns(["head", "tail", "words", "n"]).to_batches(max_chunksize=ROWS)
+    names = [f"w{k}" for k in range(most)]
+
+    def rows(nth: list[np.ndarray], n: np.ndarray) -> pa.Table:
+        nth = nth + [np.full(len(n), -1)] * (most - len(nth))
+        return pa.table([pa.array(x, pa.int32()) for x in nth] + [pa.array(n, pa.int64())], names=[*names, "n"])
+
+    def added(held: list[pa.Table]) -> pa.Table:
+        sums = pa.concat_tables(held).group_by(names, use_threads=False).aggregate([("n", "sum")])
+        return sums.select([*names, "n_sum"]).rename_columns([*names, "n"])
+
+    def told(words: pa.Array, sums: pa.Table) -> Iterator[pa.RecordBatch]:
+        nth = [sums.column(x).to_numpy() for x in names]
+        order = np.argsort(nth[0] if most == 1 else nth[0].astype(np.int64) << 32 | nth[1])  # like ones together: the shuffle's blocks are smaller by it
+        for at in range(0, len(order), ROWS):
+            here = order[at : at + ROWS]
+            each = [words.take(pa.array(x[here], mask=x[here] < 0)) for x in nth]
+            tail = _joined(each[3:]) if most > 3 else pa.repeat("", len(here))
+            size = pa.array(sum((x[here] >= 0).astype(np.int32) for x in nth))
+            yield pa.RecordBatch.from_arrays([_joined(each[:3]), tail, size, sums.column("n").take(pa.array(here)).combine_chunks()], names=["head", "tail", "words", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.Table] = []
+        words, held = pa.array([], pa.string()), []
         for chunk in _texts(batches):
-            words, at, follows = _words(chunk)
-            held.append(_lone(words, at))
+            own, at, follows = _words(chunk)
+            words, numbers = _numbered(words, own)
+            held.append(rows([numbers], np.bincount(at, minlength=len(own))))
             if known is not None:
-                two, (three, there) = _two_and_three(words, at, follows)
+                two, (three, there) = _two_and_three(own, at, follows)
                 good = _passing(*known, *two)
-                held.append(_twos(words, at, good))
+                held.append(rows(*_twos(numbers[at], good)))
                 if most > 2:
-                    held.append(_longer(words, at, _passing(*known, three, there & good & _later(good, 1)), most))
-            if sum(map(len, held)) >= MERGED:
-                yield from told(held)
-                held = []
+                    held.append(rows(*_longer(numbers[at], _passing(*known, three, there & good & _later(good, 1)), most)))
+            if sum(map(len, held[1:])) >= max(len(held[0]), MERGED // 4):
+                held = [added(held)]
+                if len(held[0]) >= MERGED:
+                    yield from told(words, held[0])
+                    words, held = words.slice(0, 0), []
         if held:
-            yield from told(held)
+            yield from told(words, added(held))
 
     return texts.mapInArrow(run, "head string, tail string, words int, n long")
